@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+from .cqf_dedup import exact_groups
 from .minimax_shards import minimax_shards
+from .ngram_jaccard import jaccard_components
 from .quality_mcd import quality_verdicts
 
 
@@ -24,9 +27,19 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op6_cqf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mcd": op1_quality_mcd,
     "op2_minimax_shards": op2_minimax_shards,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op6_cqf_dedup": op6_cqf_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard": oracles.OP4, "op6_cqf_dedup": oracles.OP6}
