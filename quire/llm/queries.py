@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
 from .cqf_dedup import exact_groups
+from .langid import identify
 from .minimax_shards import minimax_shards
 from .ngram_jaccard import jaccard_components
+from .packing import pack
 from .quality_mcd import quality_verdicts
+from .secret_scan import scan_secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +39,28 @@ def op6_cqf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    return identify(docs.select("doc_id", "held_out", "text"), docs.filter(~F.col("held_out")).select("text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mcd": op1_quality_mcd,
     "op2_minimax_shards": op2_minimax_shards,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_cqf_dedup": op6_cqf_dedup,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_naive_bayes_langid": op10_naive_bayes_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard": oracles.OP4, "op6_cqf_dedup": oracles.OP6}
