@@ -104,8 +104,8 @@ def _start(rows: DataFrame) -> DataFrame:
     each feature: integers of a small range, so a group has few of them whatever its rows."""
     long = rows.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("x")) for i, f in enumerate(FEATURES)])).alias("v")).select("g", "v.*")
     hist = written(long.groupBy("g", "f", "x").agg(F.count("*").alias("n")), "quality-hist")
-    mid = hist.groupBy("g", "f").agg(F.percentile("x", 0.5, "n").alias("m"))
-    off = hist.join(mid, ["g", "f"]).select("g", "f", "m", "n", F.abs(F.col("x") - F.col("m")).alias("off")).groupBy("g", "f").agg(F.first("m").alias("m"), F.percentile("off", 0.5, "n").alias("s"))
+    mid = hist.groupBy("g", "f").agg(F.percentile("x", 0.5, F.col("n")).alias("m"))
+    off = hist.join(mid, ["g", "f"]).select("g", "f", "m", "n", F.abs(F.col("x") - F.col("m")).alias("off")).groupBy("g", "f").agg(F.first("m").alias("m"), F.percentile("off", 0.5, F.col("n")).alias("s"))
     p = len(FEATURES)
     flat = off.groupBy("g").agg(*[F.max(F.when(F.col("f") == i, F.col(c))).alias(f"{c}_{i}") for i in range(p) for c in ("m", "s")])
     cov = [[F.pow(1.4826 * F.col(f"s_{i}"), 2) if i == j else F.lit(0.0) for j in range(p)] for i in range(p)]
