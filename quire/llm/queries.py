@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .cqf_dedup import exact_groups
+from .host_consensus import extract_pages
 from .langid import identify
+from .maxplus_pieces import encode_pieces, ids_crc32
 from .minimax_shards import minimax_shards
 from .ngram_jaccard import jaccard_components
 from .packing import pack
 from .quality_mcd import quality_verdicts
+from .role_repair import repair_conversations
 from .secret_scan import scan_secrets
 
 
@@ -31,14 +34,26 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(_table(spark, sf_dir, "documents"))
 
 
+def op3_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op5_maxplus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ids_crc32(encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op6_cqf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -56,8 +71,11 @@ def op10_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mcd": op1_quality_mcd,
     "op2_minimax_shards": op2_minimax_shards,
+    "op3_host_consensus": op3_host_consensus,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_maxplus_pieces": op5_maxplus_pieces,
     "op6_cqf_dedup": op6_cqf_dedup,
+    "op7_role_repair": op7_role_repair,
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_naive_bayes_langid": op10_naive_bayes_langid,
