@@ -31,6 +31,8 @@ from .components import components
 COUNTERS = 1 << 16
 #: Tokens of an extended prefix up to which frequent tokens are indexed in pairs.
 PAIRED = 40
+#: Buckets of row hashes of which some are wanted; 128 KB of bits.
+BUCKETS = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -93,8 +95,22 @@ def frequent_counters(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _bits(s: np.ndarray) -> bytes:
-    """1024 parity bits: two sets differ in at least as many elements as their parities differ in bits."""
-    return np.packbits(np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).tobytes()
+    """Parity bits of a set by its low hash bits, as many as the next power of two above its size:
+    two sets differ in at least as many elements as their parities differ in bits."""
+    width = 512
+    while width < len(s):
+        width *= 2
+    return np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
+def bits_differ(a: bytes, b: bytes) -> int:
+    """Bits in which two parities differ, the longer one folded to the width of the shorter."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def index_keys(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -135,43 +151,56 @@ def _indexing(k: int, percent: int, frequent: np.ndarray) -> Callable:
     return index
 
 
-def _sets(k: int) -> Callable:
+def _sets(k: int, wanted: np.ndarray) -> Callable:
+    """Sets of the rows whose bucket is wanted; a few others share a bucket with those."""
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _pieces(batches):
-            sets = list(shingle_sets(batch["text"], k))
-            yield pd.DataFrame({"sig": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "tokens": [s.view(np.int64) for s in sets]})
+        for batch in batches:
+            bucket = batch["row"].to_numpy() & (BUCKETS - 1)
+            hit = batch[(wanted[bucket >> 6] >> (bucket & 63)) & 1 == 1]
+            for part in _pieces([hit]) if len(hit) else ():
+                yield pd.DataFrame({"row": part["row"].to_numpy(), "tokens": [s.view(np.int64) for s in shingle_sets(part["text"], k)]})
 
     return make
 
 
+def wanted_buckets(rows: DataFrame) -> np.ndarray:
+    """Bit for each bucket that has a row hash of ``rows`` (row)."""
+    bucket = F.col("row").bitwiseAND(F.lit(BUCKETS - 1))
+    words = rows.groupBy(F.shiftright(bucket, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(row & 63 as int))")).alias("bits")).collect()  # at most BUCKETS / 64
+    out = np.zeros(BUCKETS // 64, np.int64)
+    for r in words:
+        out[r["word"]] = r["bits"]
+    return out
+
+
 def _enough(a: Column, b: Column, percent: int) -> Column:
     """Sizes that allow the similarity."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def _differing(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Bits in which two rows of parity bits differ."""
-    x = np.frombuffer(b"".join(a), np.uint64).reshape(len(a), -1) ^ np.frombuffer(b"".join(b), np.uint64).reshape(len(b), -1)
-    return pd.Series(np.bitwise_count(x).sum(axis=1).astype(np.int32))
+    return pd.Series([bits_differ(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets reach the similarity."""
-    side = lambda x: nodes.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("bits").alias(f"bits_{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b")
     # 100 * inter >= percent * union, with inter = (n_a + n_b - differing) / 2
-    may = sized.withColumn("differing", F.pandas_udf(_differing, "int")("bits_a", "bits_b")).filter((100 + percent) * F.col("differing") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b")
-    may = written(may, "jaccard-may")
-    wanted = may.select(F.col("a").alias("sig")).unionByName(may.select(F.col("b").alias("sig"))).distinct().join(nodes.select("sig", "rep"), "sig").select("rep")
-    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("row")).join(wanted, F.col("row") == F.col("rep"), "left_semi")
-    sets = written(texts.select("text").mapInPandas(_sets(k), "sig binary, tokens array<long>").dropDuplicates(["sig"]), "jaccard-sets")
-    both = may.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("t_a")), "a").join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("t_b")), "b")
+    differing = F.pandas_udf(_differing, "int")("bits_a", "bits_b")
+    may = sized.withColumn("differing", differing).filter((100 + percent) * F.col("differing") <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    may = written(may.select("a", "b", "n_a", "n_b", "rep_a", "rep_b"), "jaccard-may")
+    wanted = may.select(F.col("rep_a").alias("row")).unionByName(may.select(F.col("rep_b").alias("row"))).distinct()
+    found = docs.select("text", F.xxhash64("doc_id", "text").alias("row")).mapInPandas(_sets(k, wanted_buckets(wanted)), "row long, tokens array<long>")
+    sets = written(found.join(wanted, "row", "left_semi").dropDuplicates(["row"]), "jaccard-sets")
+    both = may.join(sets.select(F.col("row").alias("rep_a"), F.col("tokens").alias("t_a")), "rep_a").join(sets.select(F.col("row").alias("rep_b"), F.col("tokens").alias("t_b")), "rep_b")
     inter = F.size(F.array_intersect("t_a", "t_b"))
     return both.filter(100 * inter >= percent * (F.col("n_a") + F.col("n_b") - inter)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, n_links and component_id for each row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles and component_id for each row of ``docs`` (doc_id, text).
 
     Documents link when the Jaccard similarity of their k-word shingle sets is ``percent`` / 100
     or more; component_id is the least doc_id that links reach, the own one included. Documents
@@ -184,30 +213,29 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     index = written(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInPandas(_indexing(k, percent, frequent), f"doc_id {kind}, row long, sig binary, n long, keys array<long>, bits binary"), "jaccard-index")
     full = index.filter("n > 0")
-    nodes = written(full.groupBy("sig").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "jaccard-nodes")
-    posts = nodes.select(F.explode("keys").alias("key"), "sig", "n")
-    rank = F.struct(F.xxhash64("sig").alias("h"), F.col("sig").alias("sig"), F.col("n").alias("n"))
-    lists = posts.groupBy("key").agg(F.count("*").alias("many"), F.min(rank).alias("lo"), F.max(rank).alias("hi")).filter("many > 1").select("key", "lo", "hi")
-    lists = written(lists, "jaccard-lists")
+    # numbered as they are written; all later reads see the same numbers
+    nodes = written(full.groupBy("sig").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
+    posts = nodes.select(F.explode("keys").alias("key"), "node", F.col("n").cast("int").alias("n"))
+    lists = written(posts.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("many > 1").select("key", "lo", "hi"), "jaccard-lists")
     met = written(posts.join(lists, "key"), "jaccard-met")
     stars = None
     for end in ("lo", "hi"):
-        pair = met.filter((F.col("sig") != F.col(f"{end}.sig")) & _enough(F.col("n"), F.col(f"{end}.n"), percent)).select(F.least("sig", F.col(f"{end}.sig")).alias("a"), F.greatest("sig", F.col(f"{end}.sig")).alias("b"))
+        pair = met.filter(F.col("node") != F.col(end)).select(F.least("node", end).alias("a"), F.greatest("node", end).alias("b"))
         stars = pair if stars is None else stars.unionByName(pair)
     links = written(_verified(stars.distinct(), nodes, docs, k, percent), "jaccard-links")
-    label = components(links)
+    label = components(links).withColumnRenamed("node", "of_node")
     # second round: what met under a key and is not yet in one component
-    own = met.select("key", "sig", "n", F.col("lo.sig").alias("main_sig")).join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("label", "sig")).drop("label")
-    own = own.join(label.select(F.col("node").alias("main_sig"), F.col("label").alias("main")), "main_sig", "left").withColumn("main", F.coalesce("main", "main_sig"))
-    own = own.select("key", "sig", "n", "comp", (F.col("comp") != F.col("main")).alias("apart"))
-    apart = written(own.filter("apart").drop("apart"), "jaccard-apart")
+    own = met.join(label, F.col("node") == F.col("of_node"), "left").select("key", "node", "n", "lo", F.coalesce("label", "node").alias("comp"))
+    own = own.join(label, F.col("lo") == F.col("of_node"), "left").select("key", "node", "n", "comp", (F.col("comp") != F.coalesce("label", "lo")).alias("apart"))
+    own = written(own, "jaccard-own")
+    apart = own.filter("apart")
     mixed = own.join(apart.select("key").distinct(), "key", "left_semi")
-    s = apart.select("key", F.col("sig").alias("s"), F.col("n").alias("n_s"), F.col("comp").alias("comp_s"))
-    met_again = s.join(mixed, "key").filter((F.col("comp") != F.col("comp_s")) & (~F.col("apart") | (F.col("sig") < F.col("s"))) & _enough(F.col("n"), F.col("n_s"), percent))
-    pairs = met_again.select(F.least("sig", "s").alias("a"), F.greatest("sig", "s").alias("b")).distinct()
+    s = apart.select("key", F.col("node").alias("s"), F.col("n").alias("n_s"), F.col("comp").alias("comp_s"))
+    met_again = s.join(mixed, "key").filter((F.col("comp") != F.col("comp_s")) & (~F.col("apart") | (F.col("node") < F.col("s"))) & _enough(F.col("n"), F.col("n_s"), percent))
+    pairs = met_again.select(F.least("node", "s").alias("a"), F.greatest("node", "s").alias("b")).distinct()
     more = written(_verified(pairs, nodes, docs, k, percent), "jaccard-more")
-    label = components(links.unionByName(more))
-    marked = nodes.select("sig", "least_id").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    label = components(links.unionByName(more)).withColumnRenamed("node", "of_node")
+    marked = nodes.select("sig", "node", "least_id").join(label, F.col("node") == F.col("of_node"), "left").withColumn("label", F.coalesce("label", "node"))
     least = marked.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of = written(marked.join(least, "label").select("sig", "component_id"), "jaccard-of")
     linked = full.select("doc_id", "n", "sig").join(of, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
