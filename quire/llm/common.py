@@ -47,3 +47,20 @@ def words_of(text: Column) -> Column:
 
 def crc32_of(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """Left join of ``left`` with the unique keys of ``right``, whose column ``rows`` says how many
+    rows of ``left`` have the key.
+
+    Keys of a thousandth of all rows or more, of which there are a thousand at most, are broadcast;
+    rows that met one of them are dealt by a key of their own and not to the task of the hot key.
+    """
+    bar = max(1000, -(-left.count() // 1000))
+    names = [c for c in right.columns if c != key]
+    renamed = lambda df, p: df.select(F.col(key).alias(f"_{p}key"), *[F.col(c).alias(f"_{p}{c}") for c in names])
+    hot, rest = renamed(right.filter(F.col(rows) >= bar), "h"), renamed(right.filter(F.col(rows) < bar), "c")
+    met = left.join(F.broadcast(hot), F.col(key) == F.col("_hkey"), "left")
+    own = F.when(F.col("_hkey").isNull(), F.struct(F.col(key).alias("k"), F.lit(0).cast("long").alias("s"))).otherwise(F.struct(F.lit(None).cast(left.schema[key].dataType).alias("k"), F.monotonically_increasing_id().alias("s")))
+    out = met.withColumn("_own", own).join(rest.withColumn("_own", F.struct(F.col("_ckey").alias("k"), F.lit(0).cast("long").alias("s"))), "_own", "left")
+    return out.select(*[left[c] for c in left.columns], *[F.coalesce(f"_h{c}", f"_c{c}").alias(c) for c in names])

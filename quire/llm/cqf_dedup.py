@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, written
+from .common import WS, spread_join, written
 
 #: Fingerprints have QUOTIENT_BITS + REMAINDER_BITS bits; runs travel in blocks of 2 ** (QUOTIENT_BITS - BLOCK_BITS) quotients.
 QUOTIENT_BITS, REMAINDER_BITS, BLOCK_BITS = 20, 32, 12
@@ -92,8 +92,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("len"), norm.alias("norm"), fp.alias("fp"))
     best = F.max_by("doc_id", F.struct("len", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.lit(1)), -F.col("doc_id")))
     checked = texts.join(repeated.select("fp"), "fp", "left_semi").groupBy("fp", "norm").agg(F.count("*").alias("n"), best.alias("best"), F.max("len").alias("best_len"))
-    classes = written(checked.filter("n > 1").select(F.sha2(F.col("norm").cast("binary"), 256).alias("c_sha"), "n", "best", "best_len"), "dedup-classes")
-    joined = rows.join(classes, rows["sha"] == classes["c_sha"], "left")
+    classes = written(checked.filter("n > 1").select(F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), "n", "best", "best_len"), "dedup-classes")
+    joined = spread_join(rows, classes, "sha", "n")
     single = F.col("n").isNull()
     could = single | (F.col("best").eqNullSafe(F.col("doc_id")) & (F.col("best_len") == F.col("len")))
     out = joined.select("doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("best")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), could.alias("could"), F.col("sha").alias("text_sha256"), F.xxhash64("doc_id").alias("h"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 from .components import components
 
 #: Counters of tokens by hash; 512 KB whatever the corpus.
@@ -214,7 +214,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     index = written(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInPandas(_indexing(k, percent, frequent), f"doc_id {kind}, row long, sig binary, n long, keys array<long>, bits binary"), "jaccard-index")
     full = index.filter("n > 0")
     # numbered as they are written; all later reads see the same numbers
-    nodes = written(full.groupBy("sig").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
+    nodes = written(full.groupBy("sig").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     posts = nodes.select(F.explode("keys").alias("key"), "node", F.col("n").cast("int").alias("n"))
     lists = written(posts.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("many > 1").select("key", "lo", "hi"), "jaccard-lists")
     met = written(posts.join(lists, "key"), "jaccard-met")
@@ -235,10 +235,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     pairs = met_again.select(F.least("node", "s").alias("a"), F.greatest("node", "s").alias("b")).distinct()
     more = written(_verified(pairs, nodes, docs, k, percent), "jaccard-more")
     label = components(links.unionByName(more)).withColumnRenamed("node", "of_node")
-    marked = nodes.select("sig", "node", "least_id").join(label, F.col("node") == F.col("of_node"), "left").withColumn("label", F.coalesce("label", "node"))
+    marked = nodes.select("sig", "node", "copies", "least_id").join(label, F.col("node") == F.col("of_node"), "left").withColumn("label", F.coalesce("label", "node"))
     least = marked.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of = written(marked.join(least, "label").select("sig", "component_id"), "jaccard-of")
-    linked = full.select("doc_id", "n", "sig").join(of, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    of = written(marked.join(least, "label").select("sig", "copies", "component_id"), "jaccard-of")
+    linked = spread_join(full.select("doc_id", "n", "sig"), of, "sig", "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(index.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
