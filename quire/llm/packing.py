@@ -14,12 +14,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ from .common import written
 CAPACITY, END_ID = 1024, 2
 SALTS = 64
 PIECES = "piece int, start long, length long, ids_crc32 long"
-_TOKENIZERS: dict[str, Callable[[list[str]], list[np.ndarray]]] = {}
+_TOKENIZERS: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -39,8 +39,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def encoder(path: str, held: int = 400_000) -> Callable[[list[str]], list[np.ndarray]]:
-    """Ids of texts under a byte-level BPE file of ``tokenizers``.
+def encoder(path: str, held: int = 800_000) -> Callable[[list[str]], list[bytes]]:
+    """Ids of texts (little-endian, 32 bits each) under a byte-level BPE file of ``tokenizers``.
 
     Such a vocabulary splits before a space that a character other than white space follows, so
     the ids of a text are those of its parts; parts are encoded once and remembered (``held`` of
@@ -54,8 +54,8 @@ def encoder(path: str, held: int = 400_000) -> Callable[[list[str]], list[np.nda
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     model, letters = tokenizer.model, _byte_letters()
-    known: dict[str, list[int]] = {}
-    marks = {m: [t.id for t in model.tokenize(m)] for m in ".,;:!?"}
+    known: dict[str, bytes] = {}
+    marks = {m: array("I", [t.id for t in model.tokenize(m)]).tobytes() for m in ".,;:!?"}
     spaces, spaced = (" \n", "  ", " \t", " \r", " \x0b", " \x0c", " \x1c", " \x1d", " \x1e", " \x1f"), re.compile(r" \s")
 
     def parts_of(text: str) -> list[str]:
@@ -76,27 +76,30 @@ def encoder(path: str, held: int = 400_000) -> Callable[[list[str]], list[np.nda
             rest[-1] += " "
         return [" " + first, *rest]
 
-    def word(p: str) -> list[int]:
-        return [t.id for t in model.tokenize(letters[32] + (p if p.isascii() else p.encode().decode("latin-1").translate(letters)))]
+    def word(p: str) -> bytes:
+        return array("I", [t.id for t in model.tokenize(letters[32] + (p if p.isascii() else p.encode().decode("latin-1").translate(letters)))]).tobytes()
 
-    def learn(new: list[str]) -> None:
+    def learn(new: set[str]) -> None:
         slow = []
         for p in new:
             if p.isalpha():
                 known[p] = word(p)
             elif p[-1] in marks and p[:-1].isalpha():
-                known[p] = (known.get(p[:-1]) or word(p[:-1])) + marks[p[-1]]
+                bare = known.get(p[:-1])
+                if bare is None:
+                    bare = known[p[:-1]] = word(p[:-1])
+                known[p] = bare + marks[p[-1]]
             else:
                 slow.append(p)
         for p, e in zip(slow, tokenizer.encode_batch_fast([p[1:] if p[0] == " " else " " + p for p in slow], add_special_tokens=False), strict=True):
-            known[p] = e.ids
+            known[p] = array("I", e.ids).tobytes()
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
+    def encode(texts: list[str]) -> list[bytes]:
         if len(known) > held:
             known.clear()
         split = [parts_of(t) for t in texts]
-        learn(list({p for parts in split for p in parts if p not in known}))
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, parts)), np.uint32) for parts in split]
+        learn(set().union(*split).difference(known))
+        return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
     _TOKENIZERS[path] = encode
     return encode
@@ -115,10 +118,10 @@ def _cut(path: str, capacity: int, end_id: int) -> Callable:
             rows = []
             encoded = chain.from_iterable(encode(list(some)) for some in _bounded(batch["text"].fillna("")))
             for at, (ids, row) in enumerate(zip(encoded, batch["row"], strict=True)):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                n = len(ids)
+                ids += array("I", [end_id]).tobytes()
+                n = len(ids) // 4
                 edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                rows += [(at, row, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+                rows += [(at, row, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
             at, row, piece, start, length, crc = zip(*rows, strict=True) if rows else ((),) * 6
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[list(at)], "row": row, "piece": piece, "start": start, "length": length, "ids_crc32": crc}).astype({"doc_id": batch["doc_id"].dtype})
 
