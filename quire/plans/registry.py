@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .library_queries import library_queries
 from .structure_queries import structure_queries
+from .text_queries import text_queries
 
 
 def _all() -> dict:
-    return library_queries() | structure_queries()
+    return library_queries() | structure_queries() | text_queries()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
