@@ -9,9 +9,9 @@ of frequent tokens would have too many pairs and index their frequent tokens one
 near the limit do both, so that each pair of documents meets under one of the two.
 
 Frequent tokens are told by counts of all tokens of all documents in a table of fixed size.
-Candidates are checked on their whole sets. Documents that share an index key are first compared
-with two representatives of the key; only those that are not in one component by then are compared
-with each other, so a group of near copies costs its size and not the square of it.
+Candidates are checked on their whole sets. Each document is first compared with the likeliest
+of the representatives of its index keys; only those that are not in one component by then are
+compared with each other, so a group of near copies costs its size and not the square of it.
 """
 
 from __future__ import annotations
@@ -183,14 +183,18 @@ def _differing(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([bits_differ(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the similarity."""
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that their sizes and parity bits allow, with what a check needs."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("bits").alias(f"bits_{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b")
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(_enough(F.col("n_a"), F.col("n_b"), percent))
     # 100 * inter >= percent * union, with inter = (n_a + n_b - differing) / 2
     differing = F.pandas_udf(_differing, "int")("bits_a", "bits_b")
     may = sized.withColumn("differing", differing).filter((100 + percent) * F.col("differing") <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-    may = written(may.select("a", "b", "n_a", "n_b", "rep_a", "rep_b"), "jaccard-may")
+    return may.drop("bits_a", "bits_b")
+
+
+def _verified(may: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The possible pairs whose whole sets reach the similarity."""
     wanted = may.select(F.col("rep_a").alias("row")).unionByName(may.select(F.col("rep_b").alias("row"))).distinct()
     found = docs.select("text", F.xxhash64("doc_id", "text").alias("row")).mapInPandas(_sets(k, wanted_buckets(wanted)), "row long, tokens array<long>")
     sets = written(found.join(wanted, "row", "left_semi").dropDuplicates(["row"]), "jaccard-sets")
@@ -222,7 +226,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     for end in ("lo", "hi"):
         pair = met.filter(F.col("node") != F.col(end)).select(F.least("node", end).alias("a"), F.greatest("node", end).alias("b"))
         stars = pair if stars is None else stars.unionByName(pair)
-    links = written(_verified(stars.distinct(), nodes, docs, k, percent), "jaccard-links")
+    # of its pairs with representatives each node first checks the likeliest one
+    may = _possible(stars.distinct(), nodes, percent)
+    rest = [c for c in may.columns if c != "b"]
+    first = written(may.groupBy("b").agg(F.min_by(F.struct(*rest), F.struct("differing", "a")).alias("p")).select("b", "p.*"), "jaccard-may")
+    links = written(_verified(first, docs, k, percent), "jaccard-links")
     label = components(links).withColumnRenamed("node", "of_node")
     # second round: what met under a key and is not yet in one component
     own = met.join(label, F.col("node") == F.col("of_node"), "left").select("key", "node", "n", "lo", F.coalesce("label", "node").alias("comp"))
@@ -233,7 +241,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     s = apart.select("key", F.col("node").alias("s"), F.col("n").alias("n_s"), F.col("comp").alias("comp_s"))
     met_again = s.join(mixed, "key").filter((F.col("comp") != F.col("comp_s")) & (~F.col("apart") | (F.col("node") < F.col("s"))) & _enough(F.col("n"), F.col("n_s"), percent))
     pairs = met_again.select(F.least("node", "s").alias("a"), F.greatest("node", "s").alias("b")).distinct()
-    more = written(_verified(pairs, nodes, docs, k, percent), "jaccard-more")
+    more = written(_verified(written(_possible(pairs, nodes, percent), "jaccard-may"), docs, k, percent), "jaccard-more")
     label = components(links.unionByName(more)).withColumnRenamed("node", "of_node")
     marked = nodes.select("sig", "node", "copies", "least_id").join(label, F.col("node") == F.col("of_node"), "left").withColumn("label", F.coalesce("label", "node"))
     least = marked.groupBy("label").agg(F.min("least_id").alias("component_id"))
