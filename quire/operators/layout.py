@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PAGE = ["version_id", "page_index"]
 # line building, in heights of the line
@@ -57,54 +59,56 @@ def build_blocks(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*PAGE).applyInPandas(_blocks_of, "version_id long, page_index int, block int, line int, text string")
 
 
+def grown_boxes(boxes: np.ndarray) -> np.ndarray:
+    """A label for each box (l, b, r, t): boxes whose common hulls come within NEAR points share one.
+    Hulls only grow, so the labels do not depend on the order of the boxes."""
+    label = np.arange(len(boxes))
+    while True:
+        names, label = np.unique(label, return_inverse=True)
+        low = np.full((len(names), 2), np.inf)
+        high = np.full((len(names), 2), -np.inf)
+        np.minimum.at(low, label, boxes[:, :2])
+        np.maximum.at(high, label, boxes[:, 2:])
+        touch = (low[:, None] - NEAR <= high[None, :]).all(axis=2)
+        touch &= touch.T
+        joined = np.argmax(touch, axis=1)  # the first hull that each one touches, itself at the latest
+        if (joined == np.arange(len(names))).all():
+            return label
+        label = joined[label]
+
+
 def _figures_of(page: pd.DataFrame) -> pd.DataFrame:
-    area = page["width"].iloc[0] * page["height"].iloc[0]
-    seen = page[(page["kind"] != "path") | page["filled"] | page["stroked"]]
-    seen = seen[(seen["r"] - seen["l"]) * (seen["t"] - seen["b"]) <= MOST_OF_PAGE * area]
-    groups = [([g.l, g.b, g.r, g.t], {g.kind}, 1, bool(g.filled)) for g in seen.itertuples()]
-    merged = True
-    while merged:  # a box that grew may touch others
-        merged, kept = False, []
-        for box, kinds, n, filled in groups:
-            for i, (other, kinds2, n2, filled2) in enumerate(kept):
-                if box[0] - NEAR <= other[2] and other[0] - NEAR <= box[2] and box[1] - NEAR <= other[3] and other[1] - NEAR <= box[3]:
-                    kept[i] = ([min(box[0], other[0]), min(box[1], other[1]), max(box[2], other[2]), max(box[3], other[3])], kinds | kinds2, n + n2, filled or filled2)
-                    merged = True
-                    break
-            else:
-                kept.append((box, kinds, n, filled))
-        groups = kept
-    rows = []
-    for (l, b, r, t), kinds, n, filled in groups:  # noqa: E741
-        wide, high = r - l, t - b
-        short = LEAST_FORM_SIDE if "form" in kinds else LEAST_SIDE
-        if max(wide, high) < LEAST_SIDE or min(wide, high) < short or wide * high > MOST_OF_PAGE * area or (kinds == {"path"} and n < 2 and not filled):
-            continue
-        rows.append((l, b, r, t, "image" if kinds == {"image"} else "form" if "form" in kinds else "vector"))
-    out = pd.DataFrame(sorted(rows, key=lambda x: (-x[3], x[0])), columns=["l", "b", "r", "t", "source"])
-    return out.assign(**{k: page[k].iloc[0] for k in PAGE})[[*PAGE, "l", "b", "r", "t", "source"]]
+    kind = page["kind"]
+    if len(page):
+        page = page.assign(label=grown_boxes(page[["l", "b", "r", "t"]].to_numpy(float)), form=kind == "form", other=kind != "image", bare=(kind == "path") & ~page["filled"])
+    g = page.groupby("label").agg(l=("l", "min"), b=("b", "min"), r=("r", "max"), t=("t", "max"), form=("form", "any"), other=("other", "any"), bare=("bare", "all"), n=("kind", "size"))
+    wide, high = g["r"] - g["l"], g["t"] - g["b"]
+    short = np.where(g["form"], LEAST_FORM_SIDE, LEAST_SIDE)
+    fits = (np.maximum(wide, high) >= LEAST_SIDE) & (np.minimum(wide, high) >= short) & (wide * high <= MOST_OF_PAGE * page["width"].iloc[0] * page["height"].iloc[0])
+    g = g[fits & ~(g["bare"] & (g["n"] < 2))].sort_values(["t", "l"], ascending=[False, True])
+    source = np.where(~g["other"], "image", np.where(g["form"], "form", "vector"))
+    return g.assign(source=source, **{k: page[k].iloc[0] for k in PAGE})[[*PAGE, "l", "b", "r", "t", "source"]]
 
 
 def figure_candidates(graphics: DataFrame) -> DataFrame:
     """Figures of a page: visible graphics whose boxes, as they grow, come within three points of each
     other. Input: version_id, page_index, kind, l, b, r, t, filled, stroked, width, height."""
-    return graphics.groupBy(*PAGE).applyInPandas(_figures_of, "version_id long, page_index int, l double, b double, r double, t double, source string")
+    seen = graphics.filter(((F.col("kind") != "path") | F.col("filled") | F.col("stroked")) & ((F.col("r") - F.col("l")) * (F.col("t") - F.col("b")) <= MOST_OF_PAGE * F.col("width") * F.col("height")))
+    return seen.groupBy(*PAGE).applyInPandas(_figures_of, "version_id long, page_index int, l double, b double, r double, t double, source string")
 
 
 def _rules_of(page: pd.DataFrame) -> pd.DataFrame:
-    wide = page["width"].iloc[0]
-    rules = page[(page["kind"] == "path") & (page["stroked"] | page["filled"]) & (page["t"] - page["b"] <= RULE_HEIGHT) & (page["r"] - page["l"] >= RULE_WIDTH * wide)]
-    heads: list[tuple[float, float]] = []
-    rows = []
-    for g in rules.sort_values("t", ascending=False).itertuples():
-        at = next((i for i, (l, r) in enumerate(heads) if abs(g.l - l) <= SAME_EDGE * wide and abs(g.r - r) <= SAME_EDGE * wide), None)  # noqa: E741
-        if at is None:
-            heads.append((g.l, g.r))
-            at = len(heads) - 1
-        rows.append((at, g.l, g.b, g.r, g.t))
-    return pd.DataFrame(rows, columns=["rule_group", "l", "b", "r", "t"]).assign(**{k: page[k].iloc[0] for k in PAGE})[[*PAGE, "rule_group", "l", "b", "r", "t"]]
+    page = page.sort_values(["t", "l"], ascending=[False, True]).reset_index(drop=True)
+    edges, slack = page[["l", "r"]].to_numpy(float), SAME_EDGE * page["width"].iloc[0]
+    group, n = np.full(len(page), -1), 0
+    while (group < 0).any():  # the topmost rule without a group takes all that share its edges
+        head = edges[np.argmax(group < 0)]
+        group[(group < 0) & (np.abs(edges - head) <= slack).all(axis=1)] = n
+        n += 1
+    return page.assign(rule_group=group)[[*PAGE, "rule_group", "l", "b", "r", "t"]]
 
 
 def horizontal_rules(graphics: DataFrame) -> DataFrame:
     """Horizontal rules of a page in groups with the edges of their first one, top down."""
-    return graphics.groupBy(*PAGE).applyInPandas(_rules_of, "version_id long, page_index int, rule_group int, l double, b double, r double, t double")
+    thin = graphics.filter((F.col("kind") == "path") & (F.col("stroked") | F.col("filled")) & (F.col("t") - F.col("b") <= RULE_HEIGHT) & (F.col("r") - F.col("l") >= RULE_WIDTH * F.col("width")))
+    return thin.groupBy(*PAGE).applyInPandas(_rules_of, "version_id long, page_index int, rule_group int, l double, b double, r double, t double")

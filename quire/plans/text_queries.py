@@ -32,11 +32,11 @@ SENT = rf"""tok AS (
 
 
 def _translated(spark, d):
-    t = F.when((F.col("version_id") + F.col("p") + F.col("sentence_no")) % 3 > 0, F.upper("sentence")).otherwise("")
+    t = F.when((F.col("version_id") + F.col("p") + F.col("sentence_no")) % 3 > 0, F.concat(F.lit("t "), "sentence")).otherwise("")
     return T.sentences(A.blocks(spark, d)).withColumn("translation", t)
 
 
-TRANSLATED = "tr AS (SELECT version_id, p, sentence_no, CASE WHEN (version_id + p + sentence_no) % 3 > 0 THEN upper(sentence) ELSE '' END AS translation FROM sent)"
+TRANSLATED = "tr AS (SELECT version_id, p, sentence_no, CASE WHEN (version_id + p + sentence_no) % 3 > 0 THEN 't ' || sentence ELSE '' END AS translation FROM sent)"
 
 
 def _stored(spark, d):
