@@ -10,9 +10,8 @@ states at all boundaries are known and each chunk is backtraced alone.
 from __future__ import annotations
 
 import re
-import zlib
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,9 +24,9 @@ from .common import written
 CHUNK = 32_768
 SPACE = "▁"
 #: Words of the vocabulary remembered with their segmentation, and the longest word that is.
-HELD, LONGEST = 300_000, 256
+HELD, LONGEST = 600_000, 256
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-OUT = "chunk int, start long, n_ids long, score double, ids array<int>, round_trip boolean"
+OUT = "chunk int, start long, n_ids long, score double, ids binary, round_trip boolean"
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -54,7 +53,8 @@ class Pieces:
         self.unknown = min(s for s, _ in self.score.values()) - 10.0
         if any(re.search(f"[^{SPACE}]{SPACE}", s) for s in self.score):
             raise ValueError("pieces go on behind a space")
-        self.known: dict[str, tuple[list[int], float]] = {}
+        self.pairs = {s[i : i + 2] for s in self.score for i in range(len(s) - 1)}  # neighbours within a piece
+        self.known: dict[str, tuple[bytes, float, bool]] = {}
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -103,22 +103,29 @@ class Pieces:
             at = j
         return ids, best[end]
 
-    def word(self, w: str) -> tuple[list[int], float]:
-        """Segmentation of a text between two places that no piece crosses."""
+    def word(self, w: str) -> tuple[bytes, float, bool]:
+        """Ids, score and whether they decode to it, of a text between two places that no piece
+        crosses. No piece crosses a place between two characters that are neighbours in none."""
         found = self.known.get(w)
         if found is None:
-            found = self.traced(w, 0, len(w), len(w))
+            cuts = [i for i in range(1, len(w)) if w[i - 1 : i + 1] not in self.pairs]
+            if cuts:
+                parts = [self.word(w[a:b]) for a, b in zip([0, *cuts], [*cuts, len(w)], strict=True)]
+                found = b"".join(p[0] for p in parts), sum(p[1] for p in parts), all(p[2] for p in parts)
+            else:
+                ids, score = self.traced(w, 0, len(w), len(w))
+                found = array("I", ids).tobytes(), score, self.decode(ids) == w.replace(SPACE, " ")
             if len(w) <= LONGEST:
                 if len(self.known) >= HELD:
                     self.known.clear()
                 self.known[w] = found
         return found
 
-    def words(self, s: str) -> tuple[list[int], float]:
-        """Segmentation of an escaped text that starts and ends where no piece crosses."""
+    def words(self, s: str) -> tuple[bytes, float, bool]:
+        """Ids, score and round trip of an escaped text that starts and ends where no piece crosses."""
         known = self.known
         found = [known.get(w) or self.word(w) for w in WORDS.findall(s)]
-        return list(chain.from_iterable(f[0] for f in found)), sum(f[1] for f in found)
+        return b"".join([f[0] for f in found]), sum([f[1] for f in found]), all([f[2] for f in found])
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, spaces restored; bytes are joined before they are decoded."""
@@ -180,16 +187,17 @@ def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def segment(p: Pieces, s: str, inner: int, entry: int, leave: int) -> tuple[list[int], float]:
+def segment(p: Pieces, s: str, inner: int, entry: int, leave: int) -> tuple[np.ndarray, float]:
     """Ids and score of a chunk between two boundary states."""
     free = _free(s, inner)
     if free is None or entry > free[0]:
-        return p.traced(s, entry, inner + leave, inner) if entry <= inner else ([], 0.0)
+        ids, score = p.traced(s, entry, inner + leave, inner) if entry <= inner else ([], 0.0)
+        return np.array(ids, "<u4"), score
     first, last = free
     a, x = p.traced(s[:first], entry, first, first)
-    b, y = p.words(s[first:last])
+    b, y, _ = p.words(s[first:last])
     c, z = p.traced(s[last:], 0, inner + leave - last, inner - last)
-    return a + b + c, x + y + z
+    return np.concatenate([np.array(a, "<u4"), np.frombuffer(b, "<u4"), np.array(c, "<u4")]), x + y + z
 
 
 def _escaped(text: str) -> str:
@@ -203,8 +211,8 @@ def _direct(path: str) -> Callable:
             rows = []
             for t in batch["text"]:
                 s = _escaped(t) if isinstance(t, str) and t else ""
-                ids, score = p.words(s) if s else ([], 0.0)
-                rows.append((0, 0, len(ids), score, ids, p.decode(ids) == s.replace(SPACE, " ")))
+                ids, score, same = p.words(s)
+                rows.append((0, 0, len(ids) // 4, float(score), ids, same))
             yield pd.concat([batch.drop(columns="text").reset_index(drop=True), pd.DataFrame(rows, columns=["chunk", "start", "n_ids", "score", "ids", "round_trip"])], axis=1)
 
     return run
@@ -261,7 +269,7 @@ def _backtrace(path: str, chunk: int) -> Callable:
             rows = []
             for s, n, k, a, b in zip(batch["body"], batch["inner"], batch["chunk"], batch["entry"], batch["leave"], strict=True):
                 ids, score = segment(p, s, n, a, b)
-                rows.append((k, k * chunk + a, len(ids), score, ids, p.decode(ids) == s[a : n + b].replace(SPACE, " ")))
+                rows.append((k, k * chunk + a, len(ids), score, ids.tobytes(), p.decode(ids.tolist()) == s[a : n + b].replace(SPACE, " ")))
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["chunk", "start", "n_ids", "score", "ids", "round_trip"])], axis=1)
 
     return run
@@ -271,7 +279,7 @@ def encode_pieces(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     """doc_id, chunk, start, n_ids, score, ids and round_trip for each chunk of each row of ``docs``
     (doc_id, text).
 
-    ``start`` counts in the text with its leading space mark; a piece belongs to the chunk where it
+    ``ids`` are little-endian, 32 bits each. ``start`` counts in the text with its leading space mark; a piece belongs to the chunk where it
     starts; the ids of a document are those of its chunks in order. Null and empty texts have one
     chunk without ids. Of tied segmentations the one whose last piece is longest wins. Repeated rows are
     encoded each; an empty table gives no rows; other columns are not looked at.
@@ -296,19 +304,8 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = Pieces.load(model)
         for batch in batches:
-            texts = [p.decode([] if i is None else list(i)) for i in batch["ids"]]
+            texts = [p.decode(np.frombuffer(i or b"", "<u4").tolist()) for i in batch["ids"]]
             yield batch[["doc_id", "chunk"]].assign(text=[t[1:] if k == 0 else t for t, k in zip(texts, batch["chunk"], strict=True)])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "chunk", "ids").mapInPandas(run, f"doc_id {kind}, chunk int, text string")
-
-
-def ids_crc32(encoded: DataFrame) -> DataFrame:
-    """``encoded`` with the CRC-32 of its ids (little-endian, 32 bits) in place of them."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(ids_crc32=[zlib.crc32(np.asarray(i, "<u4").tobytes()) for i in batch["ids"]]).drop(columns="ids")
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema if f.name != "ids")
-    return encoded.mapInPandas(run, f"{fields}, ids_crc32 long")

@@ -12,7 +12,7 @@ from . import oracles
 from .cqf_dedup import exact_groups
 from .host_consensus import extract_pages
 from .langid import identify
-from .maxplus_pieces import encode_pieces, ids_crc32
+from .maxplus_pieces import encode_pieces
 from .minimax_shards import minimax_shards
 from .ngram_jaccard import jaccard_components
 from .packing import pack
@@ -43,7 +43,8 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_maxplus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ids_crc32(encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+    pieces = encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op6_cqf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
