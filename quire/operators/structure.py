@@ -229,3 +229,120 @@ def flag_covered(blocks: DataFrame, regions: DataFrame, share: float = 0.5) -> D
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     hit = blocks.join(r, ["version_id", "page_index"]).filter(wide * high >= share * area)
     return hit.groupBy("version_id", "p").agg(F.max_by("label", F.struct("score", "label")).alias("label"))
+
+
+# fixed values: names of operators that stand in formulas
+OPERATOR_NAMES = "sin cos tan log ln exp max min arg lim sup inf mod det dim ker deg gcd lcm".split()
+MATH_SIGN = r"[=<>+∑∏∫√∂∇≤≥≠≈∈∉⊂⊆∪∩∀∃±×÷·∞]"
+
+
+def flag_math(blocks: DataFrame) -> DataFrame:
+    """Display math: no caption, and an equation label at the end with a sign, or at most one distinct
+    prose word beside a sign or operator names only."""
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1)), lambda w: ~w.isin(OPERATOR_NAMES)))
+    sign = F.col("text").rlike(MATH_SIGN)
+    named = F.size(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,})"), F.lit(1)), lambda w: w.isin(OPERATOR_NAMES))) > 0
+    label = F.col("text").rlike(r"\(\d+(?:\.\d+)*[a-z]?\)$")
+    math = ~F.col("text").rlike(CAPTION) & ((label & sign) | ((F.size(words) <= 1) & (sign | ((F.size(words) == 0) & named))))
+    return blocks.select("version_id", "p", math.alias("math"))
+
+
+def block_quality(lines: DataFrame) -> DataFrame:
+    """Flags of each block from its lines (version_id, block, glyphs, math_glyphs, turned, unmapped, size):
+    unmapped if any line is, math from half of the glyphs, side text above half, and the median size."""
+    g = lines.groupBy("version_id", "block").agg(F.bool_or("unmapped").alias("unmapped_chars"), (F.sum("math_glyphs") >= 0.5 * F.sum("glyphs")).alias("math"), (F.sum("turned") > 0.5 * F.sum("glyphs")).alias("side_text"), F.round(F.median("size"), 2).alias("font_size"))
+    return g
+
+
+def flag_equation_labels(blocks: DataFrame, math: DataFrame) -> DataFrame:
+    """Short small blocks beside display math on the same page, within their own height: its labels."""
+    m = math.select("version_id", "page_index", F.col("y0").alias("b0"), F.col("y1").alias("b1"), F.col("p").alias("math_p"))
+    small = blocks.filter((F.size(F.split("text", " ")) <= 6) & (F.col("font_size") < 12))
+    near = (F.col("y0") - (F.col("y1") - F.col("y0")) <= F.col("b1")) & (F.col("b0") <= F.col("y1") + (F.col("y1") - F.col("y0"))) & (F.col("p") != F.col("math_p"))
+    return small.join(m, ["version_id", "page_index"]).filter(near).select("version_id", "p").distinct()
+
+
+def repair_titles(papers: DataFrame, found: DataFrame) -> DataFrame:
+    """Titles that look like file names (no white space, or a document extension) give way to the found one."""
+    like_file = F.col("title").isNull() | ~F.trim("title").rlike(r"\s") | F.col("title").rlike(r"(?i)\.(?:pdf|docx?|tex|ps|dvi|indd)$")
+    f = found.select("version_id", F.col("title").alias("found"))
+    return papers.join(f, "version_id", "left").withColumn("title", F.when(like_file, F.coalesce("found", "title")).otherwise(F.col("title"))).drop("found")
+
+
+def paper_identifiers(papers: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Identifiers of each paper in the order to ask for: an arXiv id in its DOI, else the DOI, then
+    the first arXiv id on the first page."""
+    arxiv = F.regexp_extract("text", r"arXiv:(\d{4}\.\d{4,5})", 1)
+    found = blocks.filter("page_index = 0").filter(F.col("text").rlike(r"arXiv:\d{4}\.\d{4,5}")).groupBy("version_id").agg(F.min_by(arxiv, "p").alias("arxiv"))
+    own = F.regexp_extract("doi", r"(?i)^10\.48550/arxiv\.(\d{4}\.\d{4,5})$", 1)
+    first = F.when(own != "", F.concat(F.lit("arxiv:"), own)).when(F.coalesce("doi", F.lit("")) != "", F.concat(F.lit("doi:"), F.col("doi")))
+    ids = F.array_distinct(F.array_compact(F.array(first, F.concat(F.lit("arxiv:"), F.col("arxiv")))))
+    return papers.join(found, "version_id", "left").select("paper_id", F.posexplode(ids).alias("ordinal", "identifier"))
+
+
+def script_marks(glyphs: DataFrame, keys: list[str]) -> DataFrame:
+    """Superscripts and subscripts: glyphs of at most 0.85 of the line's median size whose centre is
+    more than 0.15 of the line's height off; a line is the window."""
+    w = Window.partitionBy(*keys)
+    size, mid = F.col("t") - F.col("b"), (F.col("t") + F.col("b")) / 2
+    g = glyphs.withColumns({"size": size, "mid": mid}).withColumn("usual", F.median("size").over(w))
+    g = g.withColumn("base", F.median(F.when(F.col("size") > 0.85 * F.col("usual"), F.col("mid"))).over(w))
+    off = F.col("mid") - F.col("base")
+    mark = F.when((F.col("size") <= 0.85 * F.col("usual")) & (F.abs(off) > 0.15 * F.col("usual")), F.when(off > 0, "^").otherwise("_"))
+    return g.withColumn("mark", mark).drop("size", "mid", "usual", "base")
+
+
+def remap_glyphs(glyphs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Glyphs (font, code, text) by a dictionary (code, mapped), for fonts whose mapped text has eight
+    letters and three tenths vowels. Counts by font gate the replacement."""
+    j = glyphs.join(dictionary, "code", "left")
+    letters = F.length(F.regexp_replace(F.coalesce("mapped", F.lit("")), "[^A-Za-z]", ""))
+    vowels = F.length(F.regexp_replace(F.coalesce("mapped", F.lit("")), "[^AEIOUaeiou]", ""))
+    ok = j.groupBy("font").agg(F.sum(letters).alias("l"), F.sum(vowels).alias("v")).filter("l >= 8 and v >= 0.3 * l").select("font", F.lit(True).alias("ok"))
+    return j.join(ok, "font", "left").withColumn("text", F.when(F.col("ok"), F.coalesce("mapped", "text")).otherwise(F.col("text"))).drop("mapped", "ok")
+
+
+def paragraph_chains(blocks: DataFrame) -> DataFrame:
+    """Paragraphs split over pages: the first body block of a page that starts in lower case goes on
+    with the last one of the page before, if their sizes agree. chain is the p of the first part."""
+    b = body_blocks(blocks)
+    w = Window.partitionBy("version_id").orderBy("p")
+    first = F.lag("page_index").over(w) == F.col("page_index") - 1
+    joins = first & F.col("text").rlike(r"^\p{Ll}") & (F.lag("font_size").over(w) == F.col("font_size"))
+    return b.withColumn("joins", F.coalesce(joins, F.lit(False))).withColumn("chain", F.max(F.when(~F.col("joins"), F.col("p"))).over(w.rowsBetween(Window.unboundedPreceding, 0))).select("version_id", "p", "chain", "joins")
+
+
+def blocks_under(anchors: DataFrame, blocks: DataFrame, share: float = 0.5) -> DataFrame:
+    """Blocks that cover a share of an anchor's box (anchor_id, version_id, page_index, a0, b0, a1, b1)."""
+    wide = F.greatest(F.lit(0.0), F.least("x1", "a1") - F.greatest("x0", "a0"))
+    high = F.greatest(F.lit(0.0), F.least("y1", "b1") - F.greatest("y0", "b0"))
+    return anchors.join(blocks, ["version_id", "page_index"]).filter(wide * high >= share * (F.col("a1") - F.col("a0")) * (F.col("b1") - F.col("b0"))).select("anchor_id", "version_id", "p")
+
+
+def nearest_caption(anchors: DataFrame, blocks: DataFrame, reach: float = 0.08) -> DataFrame:
+    """The caption with the smallest gap to each anchor's box on its page, within reach; the first of ties."""
+    c = blocks.filter(F.col("text").rlike(CAPTION))
+    gap_x = F.greatest(F.lit(0.0), F.col("x0") - F.col("a1"), F.col("a0") - F.col("x1"))
+    gap_y = F.greatest(F.lit(0.0), F.col("y0") - F.col("b1"), F.col("b0") - F.col("y1"))
+    near = anchors.join(c, ["version_id", "page_index"]).withColumn("gap", F.greatest(gap_x, gap_y)).filter(F.col("gap") <= reach)
+    return near.groupBy("anchor_id").agg(F.min_by("p", F.struct("gap", "p")).alias("caption_p"))
+
+
+def validate_anchors(anchors: DataFrame, counts: DataFrame) -> DataFrame:
+    """The first rule that each anchor (version_id, page_index, kind, quote, quads) breaks: its page, a
+    quad of eight numbers with an area, a quote for text, one quad for a region."""
+    area = lambda q: F.abs((q[4] - q[0]) * (q[7] - q[3]) - (q[6] - q[2]) * (q[5] - q[1])) / 2  # noqa: E731  half the cross product of the diagonals (TL-BR, TR-BL)
+    a = anchors.join(counts.select("version_id", "page_count"), "version_id", "left")
+    reason = (
+        F.when(F.col("page_count").isNull() | (F.col("page_index") < 0) | (F.col("page_index") >= F.col("page_count")), "page").when(F.exists("quads", lambda q: (F.size(q) != 8)), "quad")
+        .when(F.exists("quads", lambda q: area(q) < 1e-9), "area").when((F.col("kind") == "text") & (F.coalesce(F.trim("quote"), F.lit("")) == ""), "quote").when((F.col("kind") == "region") & (F.size("quads") != 1), "quads")
+    )
+    return a.select("anchor_id", reason.alias("reason"))
+
+
+def block_line_height(regions: DataFrame, pages: DataFrame) -> DataFrame:
+    """Median over the lines (version_id, page_index, block_id, box of four) of a block of the lesser of
+    width and height in points."""
+    b = regions.join(pages.select("version_id", "page_index", "width", "height"), ["version_id", "page_index"])
+    least = F.least((F.get("box", F.lit(2)) - F.get("box", F.lit(0))) * F.col("width"), (F.get("box", F.lit(3)) - F.get("box", F.lit(1))) * F.col("height"))
+    return b.groupBy("version_id", "page_index", "block_id").agg(F.median(least).alias("line_height"))
