@@ -10,8 +10,8 @@ repaired alone between its two states. So a very long conversation is spread ove
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import groupby
+from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("", "system", "user", "assistant")
 LEGAL = {(START, SYSTEM), (START, USER), (SYSTEM, USER), (USER, ASSISTANT), (ASSISTANT, USER)}
 #: Costs of a merge, of a relabel (of a turn whose role is unknown: less), and of an empty turn.
-MERGE, RELABEL, NAME_UNKNOWN, INSERT = 1.0, 2.0, 0.5, 3.0
+MERGE, RELABEL, NAME_UNKNOWN, INSERT = 1.0, 5.0, 0.5, 3.0
 INF = float("inf")
 
 
@@ -132,56 +132,70 @@ def _open(role: int) -> str:
 CLOSE = "<|end|>\n"
 
 
-def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole runs of equal keys of sorted batches."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        marks = batch[keys].apply(lambda c: c.isna() | (c != c)).to_numpy()
-        values = [tuple(None if m else v for v, m in zip(row, mark, strict=True)) for row, mark in zip(batch[keys].itertuples(index=False, name=None), marks, strict=True)]
-        for _, group in groupby(range(len(values)), key=values.__getitem__):
-            rows = list(group)
-            part = batch.iloc[rows[0] : rows[-1] + 1]
-            key = values[rows[0]]
-            if held and held[0].attrs["key"] != key:
-                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
-                held = []
-            part.attrs["key"] = key
-            held.append(part)
-    if held:
-        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+def _values(column: pd.Series) -> list:
+    """Values of a column with None for nulls; whole numbers that nulls made floats are whole again."""
+    if column.dtype.kind == "f":
+        return [None if v != v else int(v) for v in column.tolist()]
+    return column.tolist()
+
+
+def _runs(batches: Iterator[pd.DataFrame], columns: list[str], keys: int) -> Iterator[list[tuple]]:
+    """Whole runs of rows with equal first ``keys`` columns, from sorted batches."""
+    rows = (row for batch in batches for row in zip(*(_values(batch[c]) for c in columns), strict=True))
+    for _, run in groupby(rows, key=lambda r: r[:keys]):
+        yield list(run)
+
+
+def _batched(rows: Iterator[tuple], columns: list[str], size: int = 10_000) -> Iterator[pd.DataFrame]:
+    while some := list(islice(rows, size)):
+        yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(columns, zip(*some, strict=True), strict=True)})
 
 
 def _matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = [(*run[["conv_id", "block"]].iloc[0], block_matrix([role_of(r) for r in run["role"]]).ravel()) for run in _runs(batches, ["conv_id", "block"])]
-    yield pd.DataFrame(rows, columns=["conv_id", "block", "matrix"])
+    known: dict[tuple[int, ...], list[float]] = {}  # many blocks have the same roles
+
+    def matrix(roles: tuple[int, ...]) -> list[float]:
+        if roles not in known:
+            if len(known) > 50_000:
+                known.clear()
+            known[roles] = block_matrix(list(roles)).ravel().tolist()
+        return known[roles]
+
+    rows = ((*run[0][:2], matrix(tuple(role_of(r[2]) for r in run))) for run in _runs(batches, ["conv_id", "block", "role"], 2))
+    yield from _batched(rows, ["conv_id", "block", "matrix"])
 
 
 def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for run in _runs(batches, ["conv_id"]):
-        states = states_of([np.asarray(m).reshape(4, 4) for m in run["matrix"]])
-        yield run[["conv_id", "block"]].assign(entry=[a for a, _ in states], leave=[b for _, b in states], last=[i == len(run) - 1 for i in range(len(run))])
+    def rows() -> Iterator[tuple]:
+        for run in _runs(batches, ["conv_id", "block", "matrix"], 1):
+            states = states_of([np.asarray(r[2]).reshape(4, 4) for r in run])
+            for i, ((conv, block, _), (a, b)) in enumerate(zip(run, states, strict=True)):
+                yield conv, block, a, b, i == len(run) - 1
+
+    yield from _batched(rows(), ["conv_id", "block", "entry", "leave", "last"])
 
 
 def _render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for run in _runs(batches, ["conv_id", "block"]):
-        first = run.iloc[0]
-        path = repair([role_of(r) for r in run["role"]], int(first["entry"]), int(first["leave"]))
-        out = []
-        for i, ((action, role, before, cost), text) in enumerate(zip(path, run["text"], strict=True)):
-            text = text if isinstance(text, str) else ""
-            was = int(first["entry"]) if i == 0 else path[i - 1][1]
-            if "merge" in action:
-                piece = "\n" + text
-            else:
-                piece = ("" if was == START else CLOSE) + "".join(_open(r) + CLOSE for r in before) + _open(role) + text
-            if i == len(run) - 1 and first["last"]:
-                ending = ENDINGS[role]
-                piece += CLOSE + "".join(_open(r) + CLOSE for r in ending)
-                cost += INSERT * len(ending)
-                before = (*before, *ending)
-            out.append((action, ROLES[role], len(before), cost, piece))
-        action, role, empty, cost, piece = zip(*out, strict=True)
-        yield run[["conv_id", "turn", "block", "role"]].assign(action=action, new_role=role, n_inserted=empty, cost=cost, rendered=piece)
+    def rows() -> Iterator[tuple]:
+        for run in _runs(batches, ["conv_id", "block", "turn", "role", "text", "entry", "leave", "last"], 2):
+            *_, entry, leave, last = run[0]
+            was = entry
+            path = repair([role_of(r[3]) for r in run], entry, leave)
+            for i, (row, (action, role, before, cost)) in enumerate(zip(run, path, strict=True)):
+                text = row[4] if isinstance(row[4], str) else ""
+                if "merge" in action:
+                    piece = "\n" + text
+                else:
+                    piece = ("" if was == START else CLOSE) + "".join(_open(r) + CLOSE for r in before) + _open(role) + text
+                if last and i == len(run) - 1:
+                    ending = ENDINGS[role]
+                    piece += CLOSE + "".join(_open(r) + CLOSE for r in ending)
+                    cost += INSERT * len(ending)
+                    before = (*before, *ending)
+                was = role
+                yield row[0], row[2], row[1], row[3], action, ROLES[role], len(before), cost, piece
+
+    yield from _batched(rows(), ["conv_id", "turn", "block", "role", "action", "new_role", "n_inserted", "cost", "rendered"])
 
 
 def repair_conversations(turns: DataFrame, block: int = BLOCK) -> DataFrame:
