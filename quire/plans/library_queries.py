@@ -97,10 +97,6 @@ def library_queries() -> dict:
             lambda x, d: L.latest_rows(an(x, d).filter("annotation_id % 2 = 0").select("version_id", "page_index", "annotation_id", "value"), an(x, d).filter("annotation_id % 2 = 1").select("version_id", "page_index", "annotation_id", "value"), ["version_id", "page_index"], "annotation_id"),
             with_tables("annotations", body="SELECT version_id, page_index, max(annotation_id) AS annotation_id, arg_max(value, annotation_id) AS value FROM annotations GROUP BY 1, 2"),
         ),
-        "current_heading": (
-            lambda x, d: L.current_heading(S.headings(A.blocks(x, d)), A.blocks(x, d).filter("p % 2 = 0")).fillna("", ["heading"]),
-            None,
-        ),
         "replace_tags": (
             lambda x, d: L.replace_tags(tg(x, d), pa(x, d).filter("paper_id % 5 = 0").select("paper_id", F.lit("toxic").alias("tag"))),
             with_tables("papers", "paper_tags", more="k AS (SELECT * FROM paper_tags WHERE paper_id % 5 <> 0 OR paper_id NOT IN (SELECT paper_id FROM papers))", body="SELECT paper_id, tag FROM k UNION ALL SELECT paper_id, coalesce((SELECT min(tag) FROM k WHERE lower(tag) = 'toxic'), 'toxic') AS tag FROM papers WHERE paper_id % 5 = 0"),
@@ -132,10 +128,6 @@ def library_queries() -> dict:
             lambda x, d: N.extract_citations(ans(x, d)).fillna(0, ["paragraph"]),
             with_tables("answers", more="g AS (SELECT answer_id, unnest(range(len(l))) AS pos, l FROM (SELECT answer_id, flatten(list_transform(regexp_extract_all(markdown, '\\[cite ([^\\[\\]]*)\\]', 1), lambda x: regexp_split_to_array(x, ', *'))) AS l FROM answers)), i AS (SELECT answer_id, pos, l[pos + 1] AS item FROM g)", body="SELECT answer_id, regexp_extract(item, '^(?:\\w+ )?(\\d+)', 1)::INT AS number, CASE WHEN regexp_extract(item, '¶ *(\\d+)', 1) = '' THEN 0 ELSE regexp_extract(item, '¶ *(\\d+)', 1)::INT END AS paragraph, min(pos)::INT AS pos FROM i WHERE regexp_extract(item, '^(?:\\w+ )?(\\d+)', 1) <> '' GROUP BY 1, 2, 3"),
         ),
-        "resolve_citations": (
-            lambda x, d: N.resolve_citations(N.extract_citations(ans(x, d)), ans(x, d).select("answer_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("number")).withColumn("paragraphs", F.lit(2))).groupBy("resolved", "number").agg(F.count("*").alias("n"), F.count("paragraph").alias("with_paragraph")),
-            None,
-        ),
         "list_answers": (lambda x, d: N.list_answers(ans(x, d), "chat"), with_tables("answers", body="SELECT answer_id, session, epoch(created_at)::BIGINT AS created_s, row_number() OVER (PARTITION BY session ORDER BY created_at DESC, answer_id)::INT AS position FROM answers WHERE origin = 'chat' AND discarded_at IS NULL")),
         "list_conversations": (lambda x, d: N.list_conversations(ans(x, d)), with_tables("answers", body="SELECT session, count(*) AS answers, epoch(max(created_at))::BIGINT AS last_s, coalesce(substr(trim(regexp_replace(arg_min_null(prompt, (created_at, answer_id)), '[ \\t\\r\\n]+', ' ', 'g')), 1, 80), 'Untitled') AS title FROM answers WHERE discarded_at IS NULL GROUP BY session")),
         "sessions_of": (lambda x, d: N.sessions_of(ans(x, d)), with_tables("answers", more="q AS (SELECT session, arg_min_null(prompt, (created_at, answer_id)) AS q, count(*) AS answers FROM answers GROUP BY 1)", body="SELECT session, answers, CASE WHEN length(q) > 40 THEN substr(q, 1, 40) || '…' ELSE q END AS title FROM q")),

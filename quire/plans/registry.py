@@ -10,10 +10,11 @@ from .library_queries import library_queries
 from .more_queries import more_queries
 from .structure_queries import structure_queries
 from .text_queries import text_queries
+from .thread_queries import thread_queries
 
 
 def _all() -> dict:
-    return library_queries() | structure_queries() | text_queries() | more_queries()
+    return library_queries() | structure_queries() | text_queries() | more_queries() | thread_queries()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
