@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import stored
 from .structure import blocks_under, body_blocks, nearest_caption
 from .translation import sentence_array
 
@@ -52,17 +53,18 @@ def conversation_turns(answers: DataFrame, forks: DataFrame) -> DataFrame:
     own = answers.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("created_at", "answer_id"))).alias("own"))
     links = own.join(forks, "session", "left").withColumn("start", F.get("own", F.lit(0))["created_at"])
     links = links.join(own.select(F.col("session").alias("parent"), F.lit(True).alias("known")), "parent", "left")
-    done = links.filter("known is null").select("session", F.col("own").alias("turns"), F.size("own").alias("n_own"))
+    links = stored(links, "forks")
+    done = level = links.filter("known is null").select("session", F.col("own").alias("turns"), F.size("own").alias("n_own"))
     left = links.filter("known is not null")
     for _ in range(DEPTH):
-        up = done.select(F.col("session").alias("parent"), F.col("turns").alias("up"))
-        ready = left.join(up, "parent")
-        if ready.isEmpty():
-            break
+        ready = left.join(level.select(F.col("session").alias("parent"), F.col("turns").alias("up")), "parent")
         place = F.array_position(F.transform("up", lambda t: t["answer_id"]), F.col("at"))
         inherited = F.when(F.col("at").isNull(), F.filter("up", lambda t: t["created_at"] < F.col("start"))).when(place > 0, F.slice("up", F.lit(1), place.cast("int"))).otherwise(F.col("up"))
-        done = done.unionByName(ready.select("session", F.concat(inherited, "own").alias("turns"), F.size("own").alias("n_own")))
-        left = left.join(ready.select("session"), "session", "left_anti")
+        level = stored(ready.select("session", F.concat(inherited, "own").alias("turns"), F.size("own").alias("n_own")), "forks")
+        if level.isEmpty():
+            break
+        done = done.unionByName(level)
+        left = left.join(level.select("session"), "session", "left_anti")
     rest = left.select("session", F.col("own").alias("turns"), F.size("own").alias("n_own"))  # forks in a circle keep their own turns
     return done.unionByName(rest).select("session", "n_own", F.posexplode("turns").alias("position", "t"), F.size("turns").alias("n")).select("session", "position", "t.answer_id", (F.col("position") < F.col("n") - F.col("n_own")).alias("inherited"))
 
