@@ -235,3 +235,32 @@ def test_queries_match_sql(spark, sf, name):
     assert sorted(want.columns) == columns
     key = lambda rows: sorted(tuple(str(v) for v in r) for r in rows)
     assert key(got.select(columns).collect()) == key(c.execute("select " + ", ".join(f'"{x}"' for x in columns) + f" from ({registry.oracle_sql()[name]})").fetchall())
+
+
+def test_forks(spark):
+    from quire.operators.threads import conversation_turns
+
+    t = lambda n: dt.datetime(2024, 1, 1, 0, n)
+    a = spark.createDataFrame([("a", 1, t(1)), ("a", 2, t(2)), ("a", 3, t(5)), ("b", 4, t(4)), ("c", 5, t(6)), ("x", 6, t(1)), ("y", 7, t(2))], "session string, answer_id long, created_at timestamp")
+    f = spark.createDataFrame([("b", "a", 2), ("c", "b", None), ("x", "y", None), ("y", "x", None)], "session string, parent string, at long")
+    out = {}
+    for r in conversation_turns(a, f).orderBy("position").collect():
+        out.setdefault(r.session, []).append((r.answer_id, r.inherited))
+    assert out["b"] == [(1, True), (2, True), (4, False)] and out["c"] == [(1, True), (2, True), (4, True), (5, False)]
+    assert out["a"] == [(1, False), (2, False), (3, False)] and out["x"] == [(6, False)] and out["y"] == [(7, False)]
+
+
+def test_styled_sentences(spark):
+    from quire.operators.threads import styled_sentences
+
+    b = spark.createDataFrame([(1, 0, "One bold word. Two more.", [(4, 8, "b"), (12, 18, "i")])], "version_id long, p int, text string, styles array<struct<start:int,end:int,mark:string>>")
+    assert [r.markup for r in styled_sentences(b).orderBy("n").collect()] == ["One <b>bold</b> wor<i>d.</i>", "<i>Two</i> more."]
+
+
+def test_enrichment(spark):
+    from quire.operators.threads import enrich
+
+    p = spark.createDataFrame([(1, [], None), (2, ["A"], 1999), (3, [], None)], "paper_id long, authors array<string>, year int")
+    i = spark.createDataFrame([(1, 0, "doi:x"), (1, 1, "arxiv:y"), (2, 0, "doi:z")], "paper_id long, ordinal int, identifier string")
+    r = spark.createDataFrame([("arxiv:y", ["B"], 2001), ("doi:z", ["C"], 2002)], "identifier string, authors array<string>, year int")
+    assert {x.paper_id: (x.authors, x.year, x.asked) for x in enrich(p, i, r).collect()} == {1: (["B"], 2001, "arxiv:y"), 2: (["A"], 1999, "doi:z"), 3: ([], None, "none")}
