@@ -62,7 +62,7 @@ def shingle_sets(texts: pd.Series, k: int) -> Iterator[np.ndarray]:
         yield np.unique(x)
 
 
-def _pieces(batches: Iterator[pd.DataFrame], chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pd.DataFrame], chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """The batches cut where their texts are long in sum, to bound what is hashed at once."""
     for batch in batches:
         size = batch["text"].str.len().fillna(0).cumsum().to_numpy() // chars
