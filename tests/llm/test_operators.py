@@ -559,3 +559,35 @@ def test_language_scores_match_plain_bayes(spark):
         s = {lang: math.log(1 / 3) + sum(math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * BUCKETS)) for g in _ngrams(t).tolist()) for lang, c in counts.items()}
         best = min(s, key=lambda x: (-s[x], x))
         assert out[i][0] == best and abs(out[i][1] - 1 / sum(math.exp(v - s[best]) for v in s.values())) < 1e-4
+
+
+def test_pipeline_stages(spark, sf, tmp_path):
+    """Each stage against brute force over what its predecessor kept."""
+    import corpus_pipeline
+
+    texts = spark.read.parquet(f"{sf}/documents.parquet")
+    docs, columns = texts, texts.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r.doc_id: r for r in docs.collect()}
+        out = stage(spark, docs, sf)
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        rows = docs.collect()
+        if name != "best-fit packing":
+            assert docs.columns == columns
+        ids = {r.doc_id for r in rows}
+        if name == "quality rules":
+            assert all(n >= 20 and 100 * c <= 30 * n for n, _, _, _, c in (statistics(r.text) for r in rows))
+            good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()
+            fine = {r.doc_id for r in good if r.doc_id in before and (s := statistics(before[r.doc_id].text))[0] >= 20 and 100 * s[4] <= 30 * s[0]}
+            assert fine <= ids
+        elif name == "exact dedup":
+            norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+            assert Counter(norm(r.text) for r in rows) == Counter({norm(r.text) for r in before.values()})
+        elif name == "n-gram Jaccard join":
+            assert ids == {c for _, c in linked({i: r.text for i, r in before.items()}, 5, 80).values()}
+        elif name == "secret scans":
+            assert ids == set(before) and all(not base(r.text) and r.n_chars == len(r.text) for r in rows)
+            assert all(r.text == before[r.doc_id].text for r in rows if "[SECRET]" not in r.text)
+        else:
+            assert ids == set(before) and max(r.offset + r.length for r in rows) <= 1024
