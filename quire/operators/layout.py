@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE = ["version_id", "page_index"]
@@ -112,3 +112,67 @@ def horizontal_rules(graphics: DataFrame) -> DataFrame:
     """Horizontal rules of a page in groups with the edges of their first one, top down."""
     thin = graphics.filter((F.col("kind") == "path") & (F.col("stroked") | F.col("filled")) & (F.col("t") - F.col("b") <= RULE_HEIGHT) & (F.col("r") - F.col("l") >= RULE_WIDTH * F.col("width")))
     return thin.groupBy(*PAGE).applyInPandas(_rules_of, "version_id long, page_index int, rule_group int, l double, b double, r double, t double")
+
+
+def flag_tables(blocks: DataFrame, rules: DataFrame, most_lines: int = 2) -> DataFrame:
+    """Blocks between two neighbouring rules of a group that no body paragraph shares: ``in_table``.
+
+    blocks: version_id, page_index, p, text, l, b, r, t, n_lines in the coordinates of the rules. A
+    band with three line numbers is pseudocode and keeps its members; captions are left out.
+    """
+    w = Window.partitionBy(*PAGE, "rule_group").orderBy(F.desc("t"))
+    bands = rules.select(*PAGE, "rule_group", F.col("b").alias("top"), F.lead("t").over(w).alias("bottom"), F.col("l").alias("left"), F.col("r").alias("right")).filter("bottom is not null")
+    mid_y, mid_x = (F.col("b") + F.col("t")) / 2, (F.col("l") + F.col("r")) / 2
+    inside = blocks.join(bands, PAGE).filter((mid_y < F.col("top")) & (mid_y > F.col("bottom")) & mid_x.between(F.col("left"), F.col("right")))
+    band = Window.partitionBy(*PAGE, "rule_group", "top")
+    body = (F.col("n_lines") > most_lines) & (F.col("r") - F.col("l") >= 0.8 * (F.col("right") - F.col("left")))
+    numbers = F.sum(F.size(F.regexp_extract_all("text", F.lit(r"(?:^|\s)(\d{1,3}):(?:\s|$)"), F.lit(1)))).over(band)
+    kept = inside.withColumns({"body": F.max(body).over(band), "numbers": numbers}).filter((~F.col("body") | (F.col("numbers") >= 3)) & ~F.col("text").rlike(r"^(?:Fig\.|Figure|Table) +\d+[.:]"))
+    return kept.select("version_id", "p").distinct()
+
+
+def apply_layout(blocks: DataFrame, regions: DataFrame) -> DataFrame:
+    """Flags of blocks (version_id, page_index, p, text, x0, y0, x1, y1) from the best-scoring region
+    label that covers half of each; captions keep none. A page number is header or footer by its place."""
+    r = regions.select(*PAGE, "label", "score", F.col("x0").alias("a0"), F.col("y0").alias("b0"), F.col("x1").alias("a1"), F.col("y1").alias("b1"))
+    wide = F.greatest(F.lit(0.0), F.least("x1", "a1") - F.greatest("x0", "a0"))
+    high = F.greatest(F.lit(0.0), F.least("y1", "b1") - F.greatest("y0", "b0"))
+    hit = blocks.join(r, PAGE).filter(wide * high >= 0.5 * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    best = hit.groupBy("version_id", "p").agg(F.max_by("label", F.struct("score", "label")).alias("label"))
+    flag = (
+        F.when(F.col("text").rlike(r"^(?:Fig\.|Figure|Table) +\d+[.:]"), F.lit(None)).when(F.col("label").isin("table", "algorithm"), "in_table").when(F.col("label").startswith("formula"), "math")
+        .when(F.col("label").isin("image", "chart", "seal"), "in_figure").when(F.col("label") == "header", "page_header").when(F.col("label") == "footer", "page_footer")
+        .when(F.col("label") == "number", F.when(F.col("y0") + F.col("y1") < 1.0, "page_header").otherwise("page_footer"))
+    )
+    return blocks.join(best, ["version_id", "p"], "left").select("version_id", "p", flag.alias("flag"))
+
+
+def _grown(group: pd.DataFrame) -> pd.DataFrame:
+    """The hull of the seeds of one caption and of all parts that touch what was taken so far."""
+    boxes = group[["x0", "y0", "x1", "y1"]].to_numpy(float)
+    taken = group["seed"].to_numpy(bool).copy()
+    while True:
+        low, high = boxes[taken, :2].min(axis=0) - TOUCH, boxes[taken, 2:].max(axis=0) + TOUCH
+        more = taken | ((boxes[:, :2] <= high) & (boxes[:, 2:] >= low)).all(axis=1)
+        if (more == taken).all():
+            break
+        taken = more
+    hull = [*(boxes[taken, :2].min(axis=0) - PAD), *(boxes[taken, 2:].max(axis=0) + PAD)]
+    return pd.DataFrame([[group["version_id"].iloc[0], group["p"].iloc[0], *np.clip(hull, 0, 1)]], columns=["version_id", "p", "x0", "y0", "x1", "y1"])
+
+
+TOUCH, PAD, REACH = 0.015, 0.005, 0.08
+
+
+def figure_boxes(captions: DataFrame, parts: DataFrame) -> DataFrame:
+    """The region of each caption (version_id, page_index, p, c0..c3): parts on its side of it that
+    overlap it across and lie within reach are seeds, above before below; touching parts on that
+    side join them. A caption's candidates are the parts of its page."""
+    j = captions.join(parts.select(*PAGE, "x0", "y0", "x1", "y1"), PAGE)
+    across = (F.col("x0") < F.col("c2")) & (F.col("x1") > F.col("c0"))
+    above, below = (F.col("y1") <= F.col("c1")), (F.col("y0") >= F.col("c3"))
+    j = j.withColumns({"side": F.when(above, 0).when(below, 1), "gap": F.when(above, F.col("c1") - F.col("y1")).when(below, F.col("y0") - F.col("c3"))}).filter("side is not null")
+    j = j.withColumn("seed", across & (F.col("gap") <= REACH))
+    w = Window.partitionBy("version_id", "p")
+    chosen = j.withColumn("best", F.min(F.when(F.col("seed"), F.col("side"))).over(w)).filter(F.col("side") == F.col("best"))
+    return chosen.select("version_id", "p", "x0", "y0", "x1", "y1", "seed").groupBy("version_id", "p").applyInPandas(_grown, "version_id long, p int, x0 double, y0 double, x1 double, y1 double")

@@ -197,3 +197,13 @@ def packet_status(events: DataFrame) -> DataFrame:
 
     g = events.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "id", "kind"))).alias("es"))
     return g.select("key", F.aggregate("es", zero, step).alias("s")).select("key", "s.*")
+
+
+def delete_tag(tags: DataFrame, name: str) -> DataFrame:
+    """Memberships without those of a tag, case apart."""
+    return tags.filter(F.lower("tag") != name.lower())
+
+
+def packets_of_paper(packets: DataFrame, paper_id) -> DataFrame:
+    """Packets (packet_id, sources: array of struct with paper_id) that hold a paper."""
+    return packets.filter(F.exists("sources", lambda s: s["paper_id"] == paper_id))

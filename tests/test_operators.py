@@ -264,3 +264,44 @@ def test_enrichment(spark):
     i = spark.createDataFrame([(1, 0, "doi:x"), (1, 1, "arxiv:y"), (2, 0, "doi:z")], "paper_id long, ordinal int, identifier string")
     r = spark.createDataFrame([("arxiv:y", ["B"], 2001), ("doi:z", ["C"], 2002)], "identifier string, authors array<string>, year int")
     assert {x.paper_id: (x.authors, x.year, x.asked) for x in enrich(p, i, r).collect()} == {1: (["B"], 2001, "arxiv:y"), 2: (["A"], 1999, "doi:z"), 3: ([], None, "none")}
+
+
+def test_stateful_streams(spark, sf, tmp_path):
+    e = A.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).orderBy("ts").coalesce(1)
+    changes = e.filter("event_type = 'click'").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", (F.get_json_object("props", "$.k").cast("int") % 3).alias("expected"))
+    changes.write.parquet(f"{tmp_path}/r")
+    got = _drained(spark, jobs.stream_revisions(spark.readStream.schema(changes.schema).parquet(f"{tmp_path}/r")), "append", "revisions")
+    want = {(r.key, r.revision, r.conflicts) for r in L.apply_revisions(changes).collect()}
+    assert {(r.key, r.a, r.c) for r in got.groupBy("key").agg(F.max("revision").alias("a"), F.count_if(~F.col("accepted")).alias("c")).collect()} == want
+    kind = F.when(F.col("event_type") == "purchase", "HANDED_OFF").when(F.col("event_type") == "signup", "IMPORTED").when(F.col("event_type") == "error", "CANCELLED")
+    moves = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", kind.alias("kind")).filter("kind is not null")
+    moves.write.parquet(f"{tmp_path}/m")
+    got = _drained(spark, jobs.stream_packets(spark.readStream.schema(moves.schema).parquet(f"{tmp_path}/m")), "append", "moves")
+    want = {(r.key, r.status, r.illegal) for r in L.packet_status(moves).collect()}
+    assert {(r.key, r.s, r.c) for r in got.groupBy("key").agg(F.max_by("status", "id").alias("s"), F.count_if(~F.col("legal")).alias("c")).collect()} == want
+    rows = [("s", "k", 1, "a", "r1", 1), ("s", "k", 2, "a", "r2", 2), ("s", "k", 3, "b", "r3", 3), ("s", "j", 4, "b", "r4", 4)]
+    q = spark.createDataFrame(rows, "scope string, key string, request_id long, body string, response string, ts long")
+    q.coalesce(1).write.parquet(f"{tmp_path}/q")
+    got = _drained(spark, jobs.stream_idempotent(spark.readStream.schema(q.schema).parquet(f"{tmp_path}/q")), "append", "requests")
+    assert {(r.request_id, r.response, r.conflict) for r in got.collect()} == {(1, "r1", False), (2, "r1", False), (3, None, True), (4, "r4", False)}
+
+
+def test_tables_layout_and_figures(spark):
+    rules = spark.createDataFrame([(1, 0, 0, 10.0, 700.0, 400.0, 701.0), (1, 0, 0, 10.0, 600.0, 400.0, 601.0), (1, 0, 0, 10.0, 400.0, 400.0, 401.0)], "version_id long, page_index int, rule_group int, l double, b double, r double, t double")
+    rows = [(0, "cell", 20, 650, 60, 660, 1), (1, "Table 1. Caption", 20, 660, 90, 670, 1), (2, "body " * 50, 10, 500, 390, 540, 4), (3, "outside", 20, 300, 60, 310, 1)]
+    b = spark.createDataFrame([(1, 0, p, t, float(a), float(c), float(d), float(e), n) for p, t, a, c, d, e, n in rows], "version_id long, page_index int, p int, text string, l double, b double, r double, t double, n_lines int")
+    assert [r.p for r in Y.flag_tables(b, rules).collect()] == [0]
+    box = spark.createDataFrame([(1, 0, p, t, 0.1, y, 0.9, y + 0.05) for p, t, y in [(0, "x", 0.1), (1, "Fig. 1. c", 0.3), (2, "9", 0.94)]], "version_id long, page_index int, p int, text string, x0 double, y0 double, x1 double, y1 double")
+    regions = spark.createDataFrame([(1, 0, "table", 0.5, 0.0, 0.0, 1.0, 0.4), (1, 0, "chart", 0.9, 0.0, 0.0, 1.0, 0.4), (1, 0, "number", 0.9, 0.0, 0.9, 1.0, 1.0)], "version_id long, page_index int, label string, score double, x0 double, y0 double, x1 double, y1 double")
+    assert {r.p: r.flag for r in Y.apply_layout(box, regions).collect()} == {0: "in_figure", 1: None, 2: "page_footer"}
+    captions = spark.createDataFrame([(1, 0, 7, 0.1, 0.5, 0.9, 0.55)], "version_id long, page_index int, p int, c0 double, c1 double, c2 double, c3 double")
+    parts = spark.createDataFrame([(1, 0, 0.2, 0.4, 0.5, 0.48), (1, 0, 0.51, 0.3, 0.6, 0.41), (1, 0, 0.2, 0.05, 0.3, 0.1), (1, 0, 0.2, 0.6, 0.3, 0.7)], "version_id long, page_index int, x0 double, y0 double, x1 double, y1 double")
+    r = Y.figure_boxes(captions, parts).first()
+    assert [round(v, 3) for v in (r.x0, r.y0, r.x1, r.y1)] == [0.195, 0.295, 0.605, 0.485]
+
+
+def test_tags_and_packets(spark):
+    t = spark.createDataFrame([(1, "Tag"), (2, "tag"), (2, "other")], "paper_id long, tag string")
+    assert [r.tag for r in L.delete_tag(t, "TAG").collect()] == ["other"]
+    p = spark.createDataFrame([(1, [(5,)]), (2, [(6,), (7,)])], "packet_id long, sources array<struct<paper_id:long>>")
+    assert [r.packet_id for r in L.packets_of_paper(p, 7).collect()] == [2]
