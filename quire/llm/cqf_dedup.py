@@ -84,10 +84,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     other. A null doc_id loses ties. Of repeated rows that all could stay one does. An empty table
     gives no rows; other columns are not looked at.
     """
+    return _groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _groups(docs: DataFrame) -> DataFrame:
     norm = normalised(F.col("text"))
     sha = F.sha2(norm.cast("binary"), 256)
     fp = F.conv(F.substring(sha, 1, (QUOTIENT_BITS + REMAINDER_BITS) // 4), 16, 10).cast("long")
-    rows = written(docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("len"), sha.alias("sha")).withColumn("fp", F.conv(F.substring("sha", 1, (QUOTIENT_BITS + REMAINDER_BITS) // 4), 16, 10).cast("long")), "dedup-rows")
+    rows = written(docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("len"), sha.alias("sha"), F.xxhash64("text").alias("text_hash")).withColumn("fp", F.conv(F.substring("sha", 1, (QUOTIENT_BITS + REMAINDER_BITS) // 4), 16, 10).cast("long")), "dedup-rows")
     repeated = written(repeated_fingerprints(rows), "dedup-repeated")
     texts = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("len"), norm.alias("norm"), fp.alias("fp"))
     best = F.max_by("doc_id", F.struct("len", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.lit(1)), -F.col("doc_id")))
@@ -96,21 +100,25 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     joined = spread_join(rows, classes, "sha", "n")
     single = F.col("n").isNull()
     could = single | (F.col("best").eqNullSafe(F.col("doc_id")) & (F.col("best_len") == F.col("len")))
-    out = joined.select("doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("best")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), could.alias("could"), F.col("sha").alias("text_sha256"), F.xxhash64("doc_id").alias("h"))
+    out = joined.select("doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("best")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), could.alias("could"), F.col("sha").alias("text_sha256"), "text_hash")
     # equal doc_id and text: one of the rows stays
-    first = F.row_number().over(Window.partitionBy("doc_id", "text_sha256", "could").orderBy("h"))
-    return out.withColumn("kept", F.col("could") & (first == 1)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    first = F.row_number().over(Window.partitionBy("doc_id", "text_sha256", "could").orderBy("text_hash"))
+    return out.withColumn("kept", F.col("could") & (first == 1))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stay, with all their columns; of wholly repeated rows one stays."""
-    groups = exact_groups(docs)
-    gone = written(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"), (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_same")).distinct(), "dedup-gone")
-    sha = F.sha2(normalised(docs["text"]).cast("binary"), 256)
-    left = docs.join(gone.filter(~F.col("_same")), docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha")), "left_anti")
-    twice = gone.filter("_same").select("_gone_id", "_gone_sha")
-    again = left["doc_id"].eqNullSafe(F.col("_gone_id")) & (F.sha2(normalised(left["text"]).cast("binary"), 256) == F.col("_gone_sha"))
-    # rows of one doc_id and text, if there are any: the longest original stays
-    number = F.row_number().over(Window.partitionBy("doc_id", "_gone_sha").orderBy(F.length("text").desc()))
-    kept = left.join(twice, again).withColumn("_number", number).filter("_number = 1").select(docs.columns)
-    return left.join(twice, again, "left_anti").unionByName(kept)
+    """Rows of ``docs`` that stay, with all their columns; of wholly repeated rows one stays.
+
+    Rows that go are known by doc_id and a hash of their text, so the texts meet a narrow table.
+    """
+    marks = _groups(docs).groupBy("doc_id", "text_hash").agg(F.bool_or("kept").alias("kept"), F.count_if(~F.col("kept")).alias("others"))
+    marks = written(marks.filter("not kept or others > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept"), "dedup-gone")
+    key = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    left = docs.join(marks.filter("not kept").drop("kept"), key, "left_anti")
+    again = written(marks.filter("kept").drop("kept"), "dedup-again")
+    if again.isEmpty():
+        return left
+    # rows that are repeated as a whole: one of them stays
+    number = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))
+    once = left.join(again, key).withColumn("_number", number).filter("_number = 1").select(docs.columns)
+    return left.join(again, key, "left_anti").unionByName(once)
