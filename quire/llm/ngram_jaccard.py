@@ -8,7 +8,7 @@ frequent ones, two of them are, and an index of pairs of frequent tokens finds t
 of frequent tokens would have too many pairs and index their frequent tokens one by one; lengths
 near the limit do both, so that each pair of documents meets under one of the two.
 
-Frequent tokens are told by counts of all tokens of all documents in a table of fixed size.
+Counts of all tokens of all documents in a table of fixed size give the order and tell frequent tokens.
 Candidates are checked on their whole sets. Each document is first compared with the likeliest
 of the representatives of its index keys; only those that are not in one component by then are
 compared with each other, so a group of near copies costs its size and not the square of it.
@@ -84,14 +84,14 @@ def _counting(k: int) -> Callable:
     return count
 
 
-def frequent_counters(docs: DataFrame, k: int) -> np.ndarray:
-    """For each counter 0 if no frequent token falls to it, else its count."""
+def token_counters(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
+    """Tokens by counter, and the count above which a counter holds a frequent token."""
     rows = docs.select("text").mapInPandas(_counting(k), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect()  # at most COUNTERS
     counts = np.zeros(COUNTERS, np.int64)
     for r in rows:
         counts[r["counter"]] = r["n"]
     mean = counts.mean()
-    return np.where(counts > mean + 8 * np.sqrt(mean) + 32, counts, 0)
+    return counts, mean + 4 * np.sqrt(mean) + 16
 
 
 def _bits(s: np.ndarray) -> bytes:
@@ -113,17 +113,12 @@ def bits_differ(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def index_keys(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The keys under which a set is indexed."""
+def index_keys(s: np.ndarray, counts: np.ndarray, bar: float, percent: int) -> np.ndarray:
+    """The keys under which a set is indexed. The global order of tokens is by their counter, then by hash."""
     n = len(s)
-    count = frequent[(s >> np.uint64(48)).astype(np.int64)]
-    if n > 2 * PAIRED and not count.any():
-        prefix, rare = s[: n - -(-percent * n // 100) + 2], True
-    else:
-        prefix = s[np.lexsort((s, count))][: n - -(-percent * n // 100) + 2]
-        rare = frequent[(prefix >> np.uint64(48)).astype(np.int64)] == 0
-    if rare is True:
-        return prefix
+    count = counts[(s >> np.uint64(48)).astype(np.int64)]
+    order = np.lexsort((s, count))[: n - -(-percent * n // 100) + 2]
+    prefix, rare = s[order], count[order] <= bar
     keys, often = [prefix[rare]], prefix[~rare]
     limit = PAIRED * 100 // (100 - percent)
     if len(often):
@@ -136,13 +131,13 @@ def index_keys(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def _indexing(k: int, percent: int, frequent: np.ndarray) -> Callable:
+def _indexing(k: int, percent: int, counts: np.ndarray, bar: float) -> Callable:
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _pieces(batches):
             rows = []
             for s in shingle_sets(batch["text"], k):
                 if len(s):
-                    rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), index_keys(s, frequent, percent).view(np.int64), _bits(s)))
+                    rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), index_keys(s, counts, bar, percent).view(np.int64), _bits(s)))
                 else:
                     rows.append((None, 0, None, None))
             sig, n, keys, bits = zip(*rows, strict=True)
@@ -213,9 +208,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     table gives no rows; other columns are not looked at.
     """
     docs = docs.select("doc_id", "text")
-    frequent = frequent_counters(docs, k)
+    counts, bar = token_counters(docs, k)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    index = written(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInPandas(_indexing(k, percent, frequent), f"doc_id {kind}, row long, sig binary, n long, keys array<long>, bits binary"), "jaccard-index")
+    index = written(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInPandas(_indexing(k, percent, counts, bar), f"doc_id {kind}, row long, sig binary, n long, keys array<long>, bits binary"), "jaccard-index")
     full = index.filter("n > 0")
     # numbered as they are written; all later reads see the same numbers
     nodes = written(full.groupBy("sig").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
