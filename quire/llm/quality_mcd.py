@@ -1,9 +1,10 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant.
 
 Text statistics are transformed to four shares, whose centre and scatter are estimated for each
-language and source from the three quarters of its documents with the smallest covariance
-determinant (concentration steps from a coordinate-wise median start). A document far from that
-centre by Mahalanobis distance is rejected. Everything is DataFrame expressions; the features are
+language and source from the documents with the smallest covariance determinant (concentration
+steps from a coordinate-wise median start): half of them first, which up to half of junk cannot
+reach, then three quarters in groups that the half shows to be mostly clean. A document far from
+that centre by Mahalanobis distance is rejected. Everything is DataFrame expressions; the features are
 held as integers so that sums, and with them the verdicts, do not depend on the order of rows.
 """
 
@@ -20,10 +21,12 @@ FEATURES = ("word_length", "symbol_share", "dup_line_share", "repeat_share")
 SCALE = 1024
 #: Least standard deviation of each feature: shares are zero in most clean documents.
 FLOOR = (0.05, 0.05, 0.2, 0.2)
-#: Share of the documents of a group that the estimates are taken from.
+#: Share of the documents of a group that the estimates are taken from, if at most 1 - TRUSTED of the group is junk by the estimates from its half.
 SUBSET = 0.75
-#: Makes the scatter of that share consistent for normal data: SUBSET / P(chi2_6 <= chi2_4 quantile of SUBSET).
-CONSISTENCY = 1.486
+HALF = 0.5
+TRUSTED = 0.8
+#: Makes the scatter of a share consistent for normal data: share / P(chi2_6 <= chi2_4 quantile of the share).
+CONSISTENCY = {SUBSET: 1.486, HALF: 2.109}
 #: Squared distance beyond which a document is rejected: the chi-square quantile of four degrees at 1 - 1e-6.
 CUTOFF = 33.4
 MIN_GROUP = 50
@@ -90,7 +93,7 @@ def _factored(groups: DataFrame, cov: list[list[Column]], mean: list[Column]) ->
         col = lambda n: F.col(n)
         out = out.withColumn(f"l{j}{j}", F.sqrt(sum((-(col(f"l{j}{k}") * col(f"l{j}{k}")) for k in range(j)), col(f"c{j}{j}"))))
         out = out.withColumns({f"l{i}{j}": sum((-(col(f"l{i}{k}") * col(f"l{j}{k}")) for k in range(j)), col(f"c{i}{j}")) / col(f"l{j}{j}") for i in range(j + 1, p)} or {f"l{j}{j}": col(f"l{j}{j}")})
-    return out.select("g", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    return out.select("g", "subset", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
 def _scored(rows: DataFrame, fit: DataFrame) -> DataFrame:
@@ -107,24 +110,25 @@ def _start(rows: DataFrame) -> DataFrame:
     mid = hist.groupBy("g", "f").agg(F.percentile("x", 0.5, F.col("n")).alias("m"))
     off = hist.join(mid, ["g", "f"]).select("g", "f", "m", "n", F.abs(F.col("x") - F.col("m")).alias("off")).groupBy("g", "f").agg(F.first("m").alias("m"), F.percentile("off", 0.5, F.col("n")).alias("s"))
     p = len(FEATURES)
-    flat = off.groupBy("g").agg(*[F.max(F.when(F.col("f") == i, F.col(c))).alias(f"{c}_{i}") for i in range(p) for c in ("m", "s")])
+    flat = off.groupBy("g").agg(F.lit(HALF).alias("subset"), *[F.max(F.when(F.col("f") == i, F.col(c))).alias(f"{c}_{i}") for i in range(p) for c in ("m", "s")])
     cov = [[F.pow(1.4826 * F.col(f"s_{i}"), 2) if i == j else F.lit(0.0) for j in range(p)] for i in range(p)]
     return _factored(flat, cov, [F.col(f"m_{i}") for i in range(p)])
 
 
 def _concentrate(rows: DataFrame, fit: DataFrame) -> DataFrame:
     """One concentration step. Rows are pre-aggregated by group and distance bin; the subset is
-    the smallest run of bins that holds the share SUBSET of the group."""
+    the smallest run of bins that holds the share ``subset`` of the group."""
     p = len(FEATURES)
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
     binned = _scored(rows, fit).withColumn("bin", F.floor(BINS * F.log1p(F.col("d2"))))
-    hist = binned.groupBy("g", "bin").agg(F.count("*").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in pairs])
+    hist = binned.groupBy("g", "subset", "bin").agg(F.count("*").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in pairs])
     over = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     total = Window.partitionBy("g")
-    inside = hist.withColumns({"before": F.coalesce(F.sum("n").over(over), F.lit(0)), "all": F.sum("n").over(total)}).filter(F.col("before") < F.ceil(SUBSET * F.col("all")))
-    sums = inside.groupBy("g").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(p)], *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in pairs])
+    inside = hist.withColumns({"before": F.coalesce(F.sum("n").over(over), F.lit(0)), "all": F.sum("n").over(total)}).filter(F.col("before") < F.ceil(F.col("subset") * F.col("all")))
+    sums = inside.groupBy("g", "subset").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(p)], *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in pairs])
     mean = [F.col(f"s{i}") / F.col("n") for i in range(p)]
-    cov = [[CONSISTENCY * (F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j]) if j <= i else F.lit(0.0) for j in range(p)] for i in range(p)]
+    factor = F.when(F.col("subset") == HALF, CONSISTENCY[HALF]).otherwise(CONSISTENCY[SUBSET])
+    cov = [[factor * (F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j]) if j <= i else F.lit(0.0) for j in range(p)] for i in range(p)]
     return _factored(sums, cov, mean)
 
 
@@ -149,7 +153,13 @@ def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = M
     key = F.when(F.col("own"), F.concat_ws("|", F.lit("s"), F.to_json(F.struct("lang", "source")))).when(F.col("lang_n") >= min_group, F.concat_ws("|", F.lit("l"), F.to_json(F.struct("lang")))).otherwise(F.lit("all"))
     groups = pooled.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), key.alias("g"))
     rows = written(passed.join(groups, passed["lang"].eqNullSafe(groups["g_lang"]) & passed["source"].eqNullSafe(groups["g_source"])).select("g", "doc_id", "text_hash", *FEATURES), "quality-rows")
-    fit = written(_start(rows), "quality-fit")
+    start = written(_start(rows), "quality-fit")
+    half = start
+    for _ in range(steps):
+        half = written(_concentrate(rows, half), "quality-fit")
+    clean = _scored(rows, half).groupBy("g").agg(F.avg((F.col("d2") <= cutoff).cast("int")).alias("clean"))
+    share = F.when(F.col("clean") >= TRUSTED, SUBSET).otherwise(HALF)
+    fit = written(start.join(clean, "g").withColumn("subset", share).drop("clean"), "quality-fit")
     for _ in range(steps):
         fit = written(_concentrate(rows, fit), "quality-fit")
     judged = passed.join(groups, passed["lang"].eqNullSafe(groups["g_lang"]) & passed["source"].eqNullSafe(groups["g_source"]))
