@@ -19,8 +19,8 @@ WINDOW = 8
 FEATURES = ("word_length", "symbol_share", "dup_line_share", "repeat_share")
 #: Integer steps to a unit of a feature.
 SCALE = 1024
-#: Least standard deviation of each feature: shares are zero in most clean documents.
-FLOOR = (0.05, 0.05, 0.2, 0.2)
+#: Least standard deviation of each feature: shares are zero in most clean documents. Those of repeats hold for long documents; see _features.
+FLOOR = (0.05, 0.05, 0.1, 0.1)
 #: Share of the documents of a group that the estimates are taken from, if at most 1 - TRUSTED of the group is junk by the estimates from its half.
 SUBSET = 0.75
 HALF = 0.5
@@ -69,9 +69,15 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 
 def _features() -> list[Column]:
+    """The four features in integer steps. The sampling error of the angle of a share of n is 0.5 / sqrt(n):
+    where it passes the floor, the angle is reduced by as much, so that the floor of a short
+    document is in effect its sampling error. Words repeat in windows, so WINDOW of them count as one."""
     share = lambda a, b: F.asin(F.sqrt(F.least(F.lit(1.0), F.col(a) / F.greatest(F.col(b), F.lit(1)))))
+    trust = lambda n, floor: F.least(F.lit(1.0), 2 * floor * F.sqrt(n))
     length = F.log((F.col("word_chars") + 250) / (F.col("n_words") + 50))
-    return [F.round(f * SCALE).cast("long").alias(n) for n, f in zip(FEATURES, (length, share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")), strict=True)]
+    lines = share("n_dup_lines", "n_lines") * trust(F.col("n_lines"), FLOOR[2])
+    words = share("n_repeat_words", "n_words") * trust(F.col("n_words") / WINDOW, FLOOR[3])
+    return [F.round(f * SCALE).cast("long").alias(n) for n, f in zip(FEATURES, (length, share("n_symbols", "word_chars"), lines, words), strict=True)]
 
 
 def _distance(x: list[Column], mean: list[Column], low: list[list[Column]]) -> Column:

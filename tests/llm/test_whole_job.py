@@ -23,3 +23,18 @@ def test_quality_rejects_many_outliers(spark):
     rows += [(2000 + i, prose(r, r.randint(30, 300)), "en", "clean") for i in range(60)]
     kept = {x.doc_id for x in keep_good(spark.createDataFrame(rows, DOCS)).select("doc_id").collect()}
     assert kept == {i for i, *_ in rows if not 1000 <= i < 2000}
+
+
+def test_quality_rejects_repeated_lines(spark):
+    """Nearly half the lines of a long text are repeats, against one repeated line of five."""
+    from quire.llm.quality_mcd import quality_verdicts
+
+    r = random.Random(3)
+    rows = [(i, "\n".join(prose(r, 12) for _ in range(r.randint(3, 20))), "en", "s") for i in range(120)]
+    for i in range(3):
+        x, y = prose(r, 3), prose(r, 9)
+        rows.append((1000 + i, "\n".join(f"{x}\n{prose(r, 12)}" for _ in range(20)), "en", "s"))
+        rows.append((2000 + i, "\n".join([prose(r, 20), y, prose(r, 20), y, prose(r, 20)]), "en", "s"))
+    out = {v.doc_id: v for v in quality_verdicts(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not any(v.base_failed for v in out.values())
+    assert [i for i, v in out.items() if v.kept != (not 1000 <= i < 2000)] == []
