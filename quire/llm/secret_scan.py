@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -95,17 +96,41 @@ def base_spans(text: str, low: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+#: Words of a value: a run of capitals, or of small letters behind at most one capital.
+PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+")
+SCHEME = re.compile(r"(?:https?|ftp|file|mailto)://|www\.", re.I)
+#: What words that can be spoken do not hold.
+CLUSTER = re.compile(r"[^aeiouy]{7}|[aeiouy]{5}|[jq][^aeiouys]|v[bcdfghjkmpqtwxz]|x[bdfgjkmnrvz]|[bcdfghjkmpqvwx][qx]")
+
+
+def is_prose(value: str) -> bool:
+    """Whether a value without digits reads as words: three quarters of its letters are in parts of three
+    letters or more that can be spoken, and at most a quarter of its characters are signs."""
+    if any(map(str.isdigit, value)):
+        return False
+    value = "".join(c for c in unicodedata.normalize("NFKD", SCHEME.sub("", value)) if not unicodedata.combining(c))
+    letters = sum(map(str.isalpha, value))
+    spoken = 0
+    for m in PART.finditer(value):
+        part = m[0].lower()
+        if len(part) < 3:
+            continue
+        vowels = sum(c in "aeiouy" for c in part)
+        if not part.isascii() or 6 * vowels >= len(part) and not CLUSTER.search(part):
+            spoken += len(part)
+    return letters > 0 and 4 * spoken >= 3 * letters and 4 * letters >= 3 * len(value)
+
+
 def added_spans(text: str, low: str, base: list[tuple[str, int, int]], threshold: float) -> list[tuple[str, int, int]]:
-    """Values in credential contexts outside the base spans that are costly to guess."""
+    """Values in credential contexts that no base span holds whole, are costly to guess and not prose."""
     if not any(h in low for h in HINTS):
         return []
     found = []
     for m in CONTEXT.finditer(text):
         a, value = m.start(1), m[1].rstrip(".,;:!?)]}")
-        if any(a < e and a + len(value) > s for _, s, e in base):
+        if any(s <= a and a + len(value) <= e for _, s, e in base):
             continue
-        kinds = sum(any(f(c) for c in value) for f in (str.isdigit, str.islower, str.isupper)) + any(not c.isalnum() for c in value[1:-1])
-        if len(value) >= 8 and kinds >= 2 and any(map(str.isdigit, value)) and guess_cost(value) >= threshold:
+        if len(value) >= 8 and not is_prose(value) and guess_cost(value) >= threshold:
             found.append(("guess", a, a + len(value)))
     return found
 

@@ -38,3 +38,16 @@ def test_quality_rejects_repeated_lines(spark):
     out = {v.doc_id: v for v in quality_verdicts(spark.createDataFrame(rows, DOCS)).collect()}
     assert not any(v.base_failed for v in out.values())
     assert [i for i, v in out.items() if v.kept != (not 1000 <= i < 2000)] == []
+
+
+def test_secret_values_reach_the_cost(spark):
+    """Values that go on behind a base span, and values without digits; words are left alone."""
+    from quire.llm.secret_scan import base_spans, mask_secrets, masked, spans_of
+
+    text = "password: hunter2x$Tr0ub4dor&3zQ"
+    assert spans_of(text) == [("assign", 0, 18), ("guess", 10, 32)] and base_spans(text, text) == [("assign", 0, 18)]
+    texts = [text, "pwd: XkQzPwLmNtRvBsDfGh", "pwd = kJ#vQ!mZ@wXrTy", "passphrase is zQvKpLmXwRtYbNdF", "pwd: 8492716305"]
+    out = mask_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.text for r in sorted(out)] == ["[SECRET]", "pwd: [SECRET]", "pwd = [SECRET]", "passphrase is [SECRET]", "pwd: [SECRET]"]
+    prose = "The secret is Constantinople. Login: https://example.com/reset/page or user.name@company.org. The login is straightforward/easy. Auth: BasicAuthentication. Authorization: application/json. Bearer: Donaudampfschifffahrt. Pwd: ${DB_PASSWORD}, pwd: ********, passphrase: your_password_here, login = getCurrentUser()"
+    assert masked(prose) == prose
