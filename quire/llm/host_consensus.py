@@ -34,15 +34,17 @@ FURNITURE = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert nav navbar navigation menu menus breadcrumb breadcrumbs "
     "header masthead topbar footer foot sidebar side aside widget widgets related recommended share sharing social comment comments disqus reply replies newsletter subscribe subscription signup login popup modal overlay form search pagination pager skip hidden".split()
 )
+#: Words before one of FURNITURE in a name that tells of a state of the page: has-sidebar, no-comments.
+STATES = set("has have with without no not hide show is".split())
 MAIN = set("article content main post entry story body text page".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
 class Element:
-    __slots__ = ("path", "skip", "tag", "words")
+    __slots__ = ("doubt", "path", "skip", "tag", "words")
 
-    def __init__(self, tag: str, path: str, skip: bool, words: set[str]):
-        self.tag, self.path, self.skip, self.words = tag, path, skip, words
+    def __init__(self, tag: str, path: str, skip: bool, words: set[str], doubt: bool = False):
+        self.tag, self.path, self.skip, self.words, self.doubt = tag, path, skip, words, doubt
 
 
 def _names(raw: str) -> dict[str, str]:
@@ -52,15 +54,36 @@ def _names(raw: str) -> dict[str, str]:
 def _element(tag: str, raw: str, parent: Element | None) -> Element:
     names = _names(raw) if raw.strip() else {}
     classes = names.get("class", "").lower().split()
-    words = set(re.split(r"[^a-z]+", " ".join([*classes, names.get("id", "").lower()]))) - {""}
+    parts = [[w for w in re.split(r"[^a-z]+", n) if w] for n in [*classes, *names.get("id", "").lower().split()]]
+    words = {w for ws in parts for w in ws}
     hidden = "hidden" in names or names.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", names.get("style", ""), re.I)
-    furniture = tag not in ("html", "body", "main", "article") and bool(words & FURNITURE)
+    marked = [] if tag in ("html", "body", "main", "article") else [ws for ws in parts if not STATES & set(ws[:-1]) and FURNITURE & set(ws)]
+    furniture = any(FURNITURE.issuperset(ws) for ws in marked)
     skip = bool(parent and parent.skip) or tag in SKIPPED or furniture or bool(hidden) or names.get("role", "").lower() in ROLES
     step = tag + "".join(f".{c}" for c in sorted({re.sub(r"\d+", "#", c) for c in classes}))
-    return Element(tag, f"{parent.path}>{step}" if parent else step, skip, words)
-
-
-def blocks(page: str) -> Iterator[tuple[list[Element], str, int]]:
+    return Element(tag, f"{parent.path}>{step}" if parent else step, skip, words, bool(marked) and not furniture)
+
+
+def blocks(page: str) -> list[tuple[list[Element], str, int]]:
+    """The blocks of a page outside furniture. An element that only a part of a name marks is none
+    if it holds a title or article and most of the text, or if nothing is left without it."""
+    found = list(_blocks(page))
+    if not any(e.doubt for open_, _, _ in found for e in open_):
+        return found
+    held: Counter = Counter()
+    titled = set()
+    for open_, text, _ in found:
+        for i, e in enumerate(open_):
+            if e.doubt:
+                held[id(e)] += len(text)
+                if any(x.tag in ("h1", "article", "main") for x in open_[i:]):
+                    titled.add(id(e))
+    total = sum(len(text) for _, text, _ in found)
+    out = [b for b in found if not any(e.doubt and not (id(e) in titled and 2 * held[id(e)] > total) for e in b[0])]
+    return out or found
+
+
+def _blocks(page: str) -> Iterator[tuple[list[Element], str, int]]:
     """(open block elements, text, characters in links) for each block of a page, in order."""
     stack: list[Element] = []
     parts: list[str] = []
@@ -121,6 +144,7 @@ def blocks(page: str) -> Iterator[tuple[list[Element], str, int]]:
         if tag in INLINE:
             was = stack[-1] if stack else None
             e = _element(tag, m[3], was)
+            e.skip = e.skip or e.doubt
             inside = Element(tag, was.path if was else "", e.skip, set())
             if e.skip and not (was and was.skip):
                 yield from block()
@@ -135,10 +159,11 @@ def blocks(page: str) -> Iterator[tuple[list[Element], str, int]]:
 
 
 def best_path(page: str) -> str | None:
-    """The path of the container that scores best: its own blocks count whole, its children's half,
-    less what stands in links."""
+    """The path of the container that scores best, lifted: its own blocks count whole, its children's
+    half, less what stands in links."""
     scores: dict[str, float] = defaultdict(float)
-    for open_, text, linked in blocks(page):
+    found = blocks(page)
+    for open_, text, linked in found:
         value = max(0, len(text) - 2 * linked) + 10 * (text.count(",") + text.count("."))
         holders = open_[:-1] if open_ and open_[-1].tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "dd", "dt", "figcaption") else open_
         weight = 1.0
@@ -148,12 +173,30 @@ def best_path(page: str) -> str | None:
             weight *= 0.5
             if weight < 0.1:
                 break
-    return max(scores, key=lambda p: (scores[p], p)) if scores else None
+    return _lifted(max(scores, key=lambda p: (scores[p], p)), found) if scores else None
+
+
+def _lifted(path: str, found: list[tuple[list[Element], str, int]]) -> str:
+    """The path of the outermost article that holds ``path``, else of its main; else of the outermost
+    ancestor that adds no block of links."""
+    chain = next([e for e in open_] for open_, _, _ in found if any(e.path == path for e in open_))
+    at = next(i for i, e in enumerate(chain) if e.path == path)
+    for tag in ("article", "main"):
+        holder = next((e.path for e in chain[: at + 1] if e.tag == tag), None)
+        if holder:
+            return holder
+    for outer in reversed(chain[:at]):
+        added = [(text, linked) for open_, text, linked in found if any(e.path == outer.path for e in open_) and not any(e.path == path for e in open_)]
+        if outer.tag == "html" or any(2 * linked > len(text) for text, linked in added):
+            break
+        if added:
+            path = outer.path
+    return path
 
 
 def extract(page: str, paths: list[str]) -> str:
     """The blocks under the first of ``paths`` that the page has, else under its own best one."""
-    found = list(blocks(page))
+    found = blocks(page)
     for path in [*paths, None]:
         path = best_path(page) if path is None else path
         texts = [t for open_, t, _ in found if path is None or any(e.path == path for e in open_)]

@@ -51,3 +51,26 @@ def test_secret_values_reach_the_cost(spark):
     assert [r.text for r in sorted(out)] == ["[SECRET]", "pwd: [SECRET]", "pwd = [SECRET]", "passphrase is [SECRET]", "pwd: [SECRET]"]
     prose = "The secret is Constantinople. Login: https://example.com/reset/page or user.name@company.org. The login is straightforward/easy. Auth: BasicAuthentication. Authorization: application/json. Bearer: Donaudampfschifffahrt. Pwd: ${DB_PASSWORD}, pwd: ********, passphrase: your_password_here, login = getCurrentUser()"
     assert masked(prose) == prose
+
+
+def test_host_consensus_keeps_the_article(spark):
+    """Title and lead beside nested sections, and wrappers whose names only mention furniture."""
+    from quire.llm.host_consensus import extract, extract_pages
+
+    body = "<p>" + "long, main text. " * 20 + "</p>"
+    article = f"<h1>T</h1><p>lead</p><section>{body}</section><section>{body}</section>"
+    want = "\n".join(["T", "lead", *[("long, main text. " * 20).strip()] * 2])
+    nav = '<div class="nav"><a href="x">Home</a></div><div class="site-footer"><p>foot</p></div>'
+    shapes = [
+        f"<body>{nav}<article>{article}</article></body>",
+        f"<body>{nav}<article><h1>T</h1><p>lead</p><div class=content>{body}{body}</div></article></body>",
+        f"<body>{nav}<div class=page><h1>T</h1><p>lead</p><div class=content>{body}{body}</div></div></body>",
+        f"<body>{nav}<div class='layout has-sidebar'><article>{article}</article></div></body>",
+        f"<body>{nav}<div class='post no-comments'>{article}</div></body>",
+        f"<body>{nav}<div class='page-header-wrap'>{article}</div></body>",
+    ]
+    for page in shapes:
+        assert extract(page, []) == want
+    rows = [(10 * i + j, f"http://h{i}.example/{j}", page) for i, page in enumerate(shapes) for j in range(3)]
+    out = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == 18 and all(r.text == want for r in out)
