@@ -63,6 +63,13 @@ def extract_artifacts(answers: DataFrame) -> DataFrame:
     return found.select("answer_id", "number", F.regexp_extract("f.head", r"^(\S*)", 1).alias("language"), F.trim(F.regexp_replace("f.head", r"^\S* ?", "")).alias("title"), F.array_join("f.body", "\n").alias("content"))
 
 
+def paper_artifacts(answers: DataFrame, limit: int = 200) -> DataFrame:
+    """The artifacts of the latest ``limit`` live answers of each paper, with its packet_id."""
+    newest = Window.partitionBy("packet_id").orderBy(F.desc("created_at"), "answer_id")
+    a = answers.filter("discarded_at is null").withColumn("newest", F.row_number().over(newest)).filter(F.col("newest") <= limit)
+    return a.select("answer_id", "packet_id").join(extract_artifacts(a), "answer_id")
+
+
 def strip_artifacts(answers: DataFrame) -> DataFrame:
     """Answers with each closed fence as one line that names it."""
     return answers.select("answer_id", F.regexp_replace("markdown", r"(?ms)^ {0,3}```(\S*) ?([^\n]*)\n.*?^ {0,3}``` *$", r"[artifact: $2]").alias("markdown"))
