@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space as a Java regular expression class body: \x20 and \x09-\x0D.
 WS = r" \t\n\x0B\f\r"
-_LOCAL: dict[str, str] = {}
+#: Most rows of a narrow table that is broadcast by hint; 16 MB of ids and hashes.
+BROADCAST_ROWS = 1_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; in local mode, where nothing is shared, the working
+    folder of the session's warehouse if that is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="quire-")
-    return _LOCAL["dir"]
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -35,6 +36,47 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, after their last reader has run."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()[:1]}:
+            spark = t.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of ids or hashes, with a broadcast hint if it has few rows; else Spark
+    chooses the join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores behind it as make it differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and text hash are not in ``gone``; of those in ``again`` one row each.
+
+    Both are narrow tables (doc_id, text_hash), unique and apart; whole texts move only where one
+    of them is too large to broadcast.
+    """
+    i, h, n = (fresh(docs.columns, x) for x in ("gone_id", "gone_hash", "gone_number"))
+    named = lambda df: small(df.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)))
+    key = docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(h))
+    left = docs.join(named(gone), key, "left_anti")
+    if again.isEmpty():
+        return left
+    twice = named(again)
+    number = F.row_number().over(Window.partitionBy(i, h).orderBy(h))
+    once = left.join(twice, key).withColumn(n, number).filter(F.col(n) == 1).select([left[c] for c in docs.columns])
+    return left.join(twice, key, "left_anti").unionByName(once)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over a value that is evaluated once a row, also where nested lambdas use it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

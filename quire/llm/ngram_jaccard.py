@@ -1,17 +1,23 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-The tokens of a document are its distinct word shingles. Two sets whose Jaccard similarity reaches
-the threshold share at least two tokens of their extended prefixes (the first size - need + 2
-tokens of a global order, where need = ceil(threshold * size)). Rare tokens come first in that
-order. A shared rare token is found by an index of single tokens; where all shared tokens are
-frequent ones, two of them are, and an index of pairs of frequent tokens finds those. Long documents
-of frequent tokens would have too many pairs and index their frequent tokens one by one; lengths
-near the limit do both, so that each pair of documents meets under one of the two.
-
-Counts of all tokens of all documents in a table of fixed size give the order and tell frequent tokens.
-Candidates are checked on their whole sets. Each document is first compared with the likeliest
-of the representatives of its index keys; only those that are not in one component by then are
-compared with each other, so a group of near copies costs its size and not the square of it.
+The tokens of a document are its distinct word shingles. Two sets whose similarity reaches the
+threshold have at least need = ceil(threshold * size) tokens in common, so they share tokens among
+the first ones of any order of all tokens. Three steps make use of that, each on what the last left:
+
+1. In the order of hashes a set and its partner share at least ``sure`` tokens of their prefixes. A
+   set of whose prefix fewer tokens occur in any other set has no partner and is done.
+2. The whole sets of the others are counted token by token, exactly. Fewer than ``need`` tokens that
+   occur in another of these sets: no partner.
+3. The tokens that do, the rarest first, give the extended prefix of size - need + 2 tokens, of which
+   partners share two. Rare tokens are indexed one by one and frequent ones in pairs: either a rare
+   token or a pair of frequent ones is shared. Long documents would have too many pairs and index
+   their frequent tokens one by one; lengths near the limit do both.
+
+Sizes, the places of a key in both prefixes and parity bits of both sets bound the overlap within
+the join on keys; what passes is checked on the whole sets of 64-bit hashes. Each document is first
+compared with the representative of its keys that has the fewest tokens of its own; only documents
+that are not in one component by then are compared with each other, so a group of near copies
+costs its size and not the square of it.
 """
 
 from __future__ import annotations
@@ -24,15 +30,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, written
+from .common import dropped, small, spread_join, without_rows, written
 from .components import components
 
-#: Counters of tokens by hash; 512 KB whatever the corpus.
-COUNTERS = 1 << 16
+#: Sets in which a token occurs up to which it is rare.
+RARE = 8
 #: Tokens of an extended prefix up to which frequent tokens are indexed in pairs.
-PAIRED = 40
-#: Buckets of row hashes of which some are wanted; 128 KB of bits.
-BUCKETS = 1 << 20
+PAIRED = 16
+#: Words of 64 parity bits of a set.
+PARITY_WORDS = 8
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -70,103 +76,56 @@ def _pieces(batches: Iterator[pd.DataFrame], chars: int = 1_000_000) -> Iterator
             yield part
 
 
-def _counting(k: int) -> Callable:
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in _pieces(batches):
-            for s in shingle_sets(batch["text"], k):
-                total += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=COUNTERS) if len(s) > COUNTERS else 0
-                if len(s) <= COUNTERS:
-                    np.add.at(total, (s >> np.uint64(48)).astype(np.int64), 1)
-        found = np.flatnonzero(total)
-        yield pd.DataFrame({"counter": found, "n": total[found]})
-
-    return count
-
-
-def token_counters(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
-    """Tokens by counter, and the count above which a counter holds a frequent token."""
-    rows = docs.select("text").mapInPandas(_counting(k), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect()  # at most COUNTERS
-    counts = np.zeros(COUNTERS, np.int64)
-    for r in rows:
-        counts[r["counter"]] = r["n"]
-    mean = counts.mean()
-    return counts, mean + 4 * np.sqrt(mean) + 16
-
-
-def _bits(s: np.ndarray) -> bytes:
-    """Parity bits of a set by its low hash bits, as many as the next power of two above its size:
-    two sets differ in at least as many elements as their parities differ in bits."""
-    width = 512
-    while width < len(s):
-        width *= 2
-    return np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
-
-
-def bits_differ(a: bytes, b: bytes) -> int:
-    """Bits in which two parities differ, the longer one folded to the width of the shorter."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def index_keys(s: np.ndarray, counts: np.ndarray, bar: float, percent: int) -> np.ndarray:
-    """The keys under which a set is indexed. The global order of tokens is by their counter, then by hash."""
-    n = len(s)
-    count = counts[(s >> np.uint64(48)).astype(np.int64)]
-    order = np.lexsort((s, count))[: n - -(-percent * n // 100) + 2]
-    prefix, rare = s[order], count[order] <= bar
-    keys, often = [prefix[rare]], prefix[~rare]
-    limit = PAIRED * 100 // (100 - percent)
-    if len(often):
-        if 100 * n >= percent * limit:
-            keys.append(_mixed(often + _M2))
-        if percent * n <= 100 * limit:
-            often = np.sort(often)
-            i, j = np.triu_indices(len(often), 1)
-            keys.append(_mixed(_mixed(often[i] * _M1) + often[j]))
-    return np.concatenate(keys)
+def least_overlap(n: int, percent: int) -> int:
+    """Tokens that a set of n has in common with any partner."""
+    return -(-percent * n // 100)
+
+
+def _sure(n: int, percent: int) -> int:
+    """Common tokens of two prefixes if the smaller set has n tokens: half of the difference allowed."""
+    need = least_overlap(n, percent)
+    return min(need, max(min(2, need), n * (100 - percent) // 200))
+
+
+def _signature(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _indexing(k: int, percent: int, counts: np.ndarray, bar: float) -> Callable:
+def _indexing(k: int, percent: int) -> Callable:
+    """Size, signature and prefix in the order of hashes of each set; ``least`` is the number of
+    tokens of the prefix that any partner has in its own."""
+
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _pieces(batches):
             rows = []
             for s in shingle_sets(batch["text"], k):
-                if len(s):
-                    rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), index_keys(s, counts, bar, percent).view(np.int64), _bits(s)))
-                else:
-                    rows.append((None, 0, None, None))
-            sig, n, keys, bits = zip(*rows, strict=True)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "row": batch["row"].to_numpy(), "sig": sig, "n": n, "keys": keys, "bits": bits}).astype({"doc_id": batch["doc_id"].dtype})
+                n = len(s)
+                need = least_overlap(n, percent)
+                rows.append((_signature(s) if n else None, n, _sure(need, percent), s[: n - need + _sure(n, percent)].view(np.int64)))
+            sig, n, least, keys = zip(*rows, strict=True)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "text_hash": batch["text_hash"].to_numpy(), "sig": sig, "n": n, "least": least, "keys": keys})
 
     return index
 
 
-def _sets(k: int, wanted: np.ndarray) -> Callable:
-    """Sets of the rows whose bucket is wanted; a few others share a bucket with those."""
+def parity(s: np.ndarray) -> np.ndarray:
+    """Parity bits of a set by its low hash bits: two sets differ in at least as many elements as
+    their parities differ in bits."""
+    width = 64 * PARITY_WORDS
+    return np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).view(np.int64)
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bucket = batch["row"].to_numpy() & (BUCKETS - 1)
-            hit = batch[(wanted[bucket >> 6] >> (bucket & 63)) & 1 == 1]
-            for part in _pieces([hit]) if len(hit) else ():
-                yield pd.DataFrame({"row": part["row"].to_numpy(), "tokens": [s.view(np.int64) for s in shingle_sets(part["text"], k)]})
 
-    return make
+def _sets(k: int) -> Callable:
+    """Whole sets and parities of the texts of nodes."""
 
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _pieces(batches):
+            found = list(shingle_sets(batch["text"], k))
+            same = [_signature(s) == bytes(g) for s, g in zip(found, batch["sig"], strict=True)]
+            found = [s for s, ok in zip(found, same, strict=True) if ok]
+            yield pd.DataFrame({"node": batch["node"].to_numpy()[same], "tokens": [s.view(np.int64) for s in found], "bits": [parity(s) for s in found]})
 
-def wanted_buckets(rows: DataFrame) -> np.ndarray:
-    """Bit for each bucket that has a row hash of ``rows`` (row)."""
-    bucket = F.col("row").bitwiseAND(F.lit(BUCKETS - 1))
-    words = rows.groupBy(F.shiftright(bucket, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(row & 63 as int))")).alias("bits")).collect()  # at most BUCKETS / 64
-    out = np.zeros(BUCKETS // 64, np.int64)
-    for r in words:
-        out[r["word"]] = r["bits"]
-    return out
+    return make
 
 
 def _enough(a: Column, b: Column, percent: int) -> Column:
@@ -174,28 +133,133 @@ def _enough(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _differing(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([bits_differ(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+def _overlaps(overlap: Column, a: Column, b: Column, percent: int) -> Column:
+    """An overlap, or a bound of it, that reaches the similarity: 100 * overlap >= percent * union."""
+    return (100 + percent) * overlap >= percent * (a + b)
+
 
+def _parities(a: Column, b: Column) -> Column:
+    """Bits in which two parities differ."""
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, PARITY_WORDS)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
-def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that their sizes and parity bits allow, with what a check needs."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("bits").alias(f"bits_{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(_enough(F.col("n_a"), F.col("n_b"), percent))
-    # 100 * inter >= percent * union, with inter = (n_a + n_b - differing) / 2
-    differing = F.pandas_udf(_differing, "int")("bits_a", "bits_b")
-    may = sized.withColumn("differing", differing).filter((100 + percent) * F.col("differing") <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-    return may.drop("bits_a", "bits_b")
 
+def _alike(bits_a: Column, bits_b: Column, a: Column, b: Column, percent: int) -> Column:
+    return (100 + percent) * _parities(bits_a, bits_b) <= (100 - percent) * (a + b)
 
-def _verified(may: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The possible pairs whose whole sets reach the similarity."""
-    wanted = may.select(F.col("rep_a").alias("row")).unionByName(may.select(F.col("rep_b").alias("row"))).distinct()
-    found = docs.select("text", F.xxhash64("doc_id", "text").alias("row")).mapInPandas(_sets(k, wanted_buckets(wanted)), "row long, tokens array<long>")
-    sets = written(found.join(wanted, "row", "left_semi").dropDuplicates(["row"]), "jaccard-sets")
-    both = may.join(sets.select(F.col("row").alias("rep_a"), F.col("tokens").alias("t_a")), "rep_a").join(sets.select(F.col("row").alias("rep_b"), F.col("tokens").alias("t_b")), "rep_b")
-    inter = F.size(F.array_intersect("t_a", "t_b"))
-    return both.filter(100 * inter >= percent * (F.col("n_a") + F.col("n_b") - inter)).select("a", "b")
+
+def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity. Tokens that no other set has are left out of
+    ``nodes``; they cannot be in common."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(_overlaps(F.size(F.array_intersect("t_a", "t_b")), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+
+
+def _partners(full: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Steps 1 and 2: the nodes that may have a partner, with their size n, parity bits and their
+    tokens that occur in other ones, the rarest first."""
+    posts = full.select("doc_id", "text_hash", "least", F.xxhash64("sig").alias("h"), F.explode("keys").alias("key"))
+    shared = posts.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
+    met = posts.select("doc_id", "text_hash", "least", "key").join(written(shared, "jaccard-shared"), "key", "left_semi")
+    alive = written(met.groupBy("doc_id", "text_hash").agg(F.count("*").alias("met"), F.first("least").alias("least")).filter("met >= least").select("doc_id", "text_hash"), "jaccard-alive")
+    same = nodes["rep.doc_id"].eqNullSafe(alive["doc_id"]) & (nodes["rep.text_hash"] == alive["text_hash"])
+    reps = written(nodes.join(alive, same, "left_semi").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "node", "sig"), "jaccard-reps")
+    rows = docs.join(small(reps), docs["doc_id"].eqNullSafe(F.col("rep_id")) & (F.xxhash64(docs["text"]) == F.col("rep_hash")))
+    sets = written(rows.select("node", "sig", "text").mapInPandas(_sets(k), "node long, tokens array<long>, bits array<long>"), "jaccard-sets")
+    if sets.count() > reps.count():  # repeated rows
+        sets = written(sets.dropDuplicates(["node"]), "jaccard-sets")
+    tokens = sets.select("node", F.explode("tokens").alias("key"))
+    counts = written(tokens.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "jaccard-counts")
+    ranked = tokens.join(counts, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ranked"))
+    n = sets.select("node", "bits", F.size("tokens").alias("n"))
+    return n.join(ranked, "node").filter(100 * F.size("ranked") >= percent * F.col("n")).select("node", "n", "bits", F.col("ranked.key").alias("tokens"), F.col("ranked.df").alias("dfs"))
+
+
+def _posts(nodes: DataFrame, percent: int) -> DataFrame:
+    """Step 3: (key, node, n, m, pos) for the keys of each node. m is the number of its shared tokens;
+    partners whose first common key is at ``pos`` have m - pos tokens in common at most."""
+    m = F.size("tokens")
+    length = m - F.ceil(percent * F.col("n") / 100).cast("int") + 2
+    prefix = F.slice(F.transform(F.arrays_zip("tokens", "dfs"), lambda x, i: F.struct(x["tokens"].alias("key"), i.alias("pos"), x["dfs"].alias("df"))), 1, F.least(m, length))
+    limit = PAIRED * 100 // (100 - percent)
+    paired, single = percent * F.col("n") <= 100 * limit, 100 * F.col("n") >= percent * limit
+    none = F.array().cast("array<struct<key:bigint,pos:int>>")
+    one = F.transform(F.filter("prefix", lambda x: (x["df"] <= RARE) | single), lambda x: F.struct(x["key"].alias("key"), x["pos"].alias("pos")))
+    often = F.filter("prefix", lambda x: x["df"] > RARE)
+    # of the first two common tokens the second is at pos + 1
+    two = F.flatten(F.transform("often", lambda x: F.transform(F.filter("often", lambda y: y["pos"] > x["pos"]), lambda y: F.struct(F.xxhash64(x["key"], y["key"]).alias("key"), (y["pos"] - 1).alias("pos")))))
+    keyed = nodes.select("node", "n", m.alias("m"), prefix.alias("prefix")).select("node", "n", "m", one.alias("one"), F.when(paired, often).otherwise(F.array().cast("array<struct<key:bigint,pos:int,df:bigint>>")).alias("often"))
+    return keyed.select("node", "n", "m", F.explode(F.concat("one", F.coalesce(two, none))).alias("k")).select("k.key", "node", "n", "m", "k.pos")
+
+
+def _star(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links of nodes with the likeliest of the representatives of their keys. The representative of a
+    key is the node with the least share of tokens of its own."""
+    best = F.min_by(F.struct("node", "n", "m", "pos"), F.struct((F.col("n") - F.col("m")) / F.col("n"), F.col("node")))
+    lists = posts.groupBy("key").agg(best.alias("rep"), F.count("*").alias("many")).filter("many > 1").select("key", "rep")
+    bound = F.least(F.col("m") - F.col("pos"), F.col("rep.m") - F.col("rep.pos"))
+    met = posts.join(lists, "key").filter((F.col("node") != F.col("rep.node")) & _enough(F.col("n"), F.col("rep.n"), percent) & _overlaps(bound, F.col("n"), F.col("rep.n"), percent))
+    pairs = met.select(F.col("rep.node").alias("a"), F.col("node").alias("b"), F.col("rep.n").alias("n_a"), F.col("n").alias("n_b")).distinct()
+    bits = nodes.select("node", "bits")
+    seen = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b")
+    may = seen.filter(_alike(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), percent))
+    first = may.groupBy("b").agg(F.min_by("a", F.struct(_parities(F.col("bits_a"), F.col("bits_b")), F.col("a"))).alias("a"))
+    return _verified(written(first.select("a", "b"), "jaccard-first"), nodes, percent)
+
+
+def _labelled(posts: DataFrame, label: DataFrame) -> DataFrame:
+    own = posts.join(label.select(F.col("node").alias("of_node"), "label"), F.col("node") == F.col("of_node"), "left")
+    return own.select("key", "node", "n", "m", "pos", F.coalesce("label", "node").alias("comp"))
+
+
+def _mixed_keys(own: DataFrame) -> DataFrame:
+    """Rows under keys at which nodes of different components meet; ``apart`` is outside the
+    component of the key that has the least label."""
+    mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "lo")
+    return own.join(mixed, "key").withColumn("apart", F.col("comp") != F.col("lo")).drop("lo")
+
+
+def _links(nodes: DataFrame, percent: int) -> DataFrame:
+    """Enough links (a, b) between ``nodes`` to join all nodes that links reach."""
+    posts = written(_posts(nodes, percent), "jaccard-posts")
+    links = written(_star(posts, nodes, percent), "jaccard-links")
+    for _ in range(2):  # representatives among those that are still apart
+        rest = written(_mixed_keys(_labelled(posts, components(links))), "jaccard-apart")
+        links = written(links.unionByName(_star(rest.filter("apart"), nodes, percent)), "jaccard-links")
+    rest = _mixed_keys(_labelled(posts, components(links))).join(nodes.select("node", "bits"), "node")
+    rest = written(rest, "jaccard-apart")
+    one = rest.filter("apart").select("key", *[F.col(c).alias(f"{c}_s") for c in ("node", "n", "m", "pos", "comp", "bits")])
+    bound = F.least(F.col("m") - F.col("pos"), F.col("m_s") - F.col("pos_s"))
+    other = (F.col("comp") != F.col("comp_s")) & (~F.col("apart") | (F.col("node") < F.col("node_s")))
+    near = _enough(F.col("n"), F.col("n_s"), percent) & _overlaps(bound, F.col("n"), F.col("n_s"), percent) & _alike(F.col("bits"), F.col("bits_s"), F.col("n"), F.col("n_s"), percent)
+    keys = rest.withColumnRenamed("key", "other_key")
+    met = one.join(keys, (F.col("key") == F.col("other_key")) & other & near)
+    pairs = written(met.select(F.least("node", "node_s").alias("a"), F.greatest("node", "node_s").alias("b")).distinct(), "jaccard-pairs")
+    return links.unionByName(_verified(pairs, nodes, percent))
+
+
+def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and, for documents with shingles, the doc_id and
+    text_hash of the row of the component that comes first (``first``)."""
+    if not 50 < percent <= 100:
+        raise ValueError("the similarity is above 50 and at most 100 percent")
+    docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType
+    ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    made = ids.mapInPandas(_indexing(k, percent), "doc_id string, text_hash long, sig binary, n long, least int, keys array<long>")
+    index = written(made.withColumn("doc_id", F.col("doc_id").cast(kind)), "jaccard-index")
+    full = index.filter("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    # numbered as they are written; all later reads see the same numbers
+    nodes = written(full.groupBy("sig").agg(first.alias("rep"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
+    may = written(_partners(full, docs, nodes, k, percent), "jaccard-may")
+    label = components(written(_links(may, percent), "jaccard-links"))
+    marked = nodes.join(label.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").withColumn("label", F.coalesce("label", "node"))
+    least = marked.groupBy("label").agg(F.min("rep").alias("first"))
+    of = written(marked.join(least, "label").select("sig", "copies", "first"), "jaccard-of")
+    narrow = full.select("doc_id", "text_hash", "n", "sig")
+    linked = spread_join(narrow, of, "sig", "copies").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), "first")
+    return linked.unionByName(index.filter("n = 0").select("doc_id", "text_hash", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast(linked.schema["first"].dataType).alias("first")))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -205,47 +269,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     or more; component_id is the least doc_id that links reach, the own one included. Documents
     without words (null, empty, only white space) have no shingles and no links. Equal sets are one
     node; repeated rows share a component. A component without any doc_id has a null id. An empty
-    table gives no rows; other columns are not looked at.
+    table gives no rows; other columns are not looked at. Shingles are compared by 64-bit hashes.
     """
-    docs = docs.select("doc_id", "text")
-    counts, bar = token_counters(docs, k)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    index = written(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInPandas(_indexing(k, percent, counts, bar), f"doc_id {kind}, row long, sig binary, n long, keys array<long>, bits binary"), "jaccard-index")
-    full = index.filter("n > 0")
-    # numbered as they are written; all later reads see the same numbers
-    nodes = written(full.groupBy("sig").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    posts = nodes.select(F.explode("keys").alias("key"), "node", F.col("n").cast("int").alias("n"))
-    lists = written(posts.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("many > 1").select("key", "lo", "hi"), "jaccard-lists")
-    met = written(posts.join(lists, "key"), "jaccard-met")
-    stars = None
-    for end in ("lo", "hi"):
-        pair = met.filter(F.col("node") != F.col(end)).select(F.least("node", end).alias("a"), F.greatest("node", end).alias("b"))
-        stars = pair if stars is None else stars.unionByName(pair)
-    # of its pairs with representatives each node first checks the likeliest one
-    may = _possible(stars.distinct(), nodes, percent)
-    rest = [c for c in may.columns if c != "b"]
-    first = written(may.groupBy("b").agg(F.min_by(F.struct(*rest), F.struct("differing", "a")).alias("p")).select("b", "p.*"), "jaccard-may")
-    links = written(_verified(first, docs, k, percent), "jaccard-links")
-    label = components(links).withColumnRenamed("node", "of_node")
-    # second round: what met under a key and is not yet in one component
-    own = met.join(label, F.col("node") == F.col("of_node"), "left").select("key", "node", "n", "lo", F.coalesce("label", "node").alias("comp"))
-    own = own.join(label, F.col("lo") == F.col("of_node"), "left").select("key", "node", "n", "comp", (F.col("comp") != F.coalesce("label", "lo")).alias("apart"))
-    own = written(own, "jaccard-own")
-    apart = own.filter("apart")
-    mixed = own.join(apart.select("key").distinct(), "key", "left_semi")
-    s = apart.select("key", F.col("node").alias("s"), F.col("n").alias("n_s"), F.col("comp").alias("comp_s"))
-    met_again = s.join(mixed, "key").filter((F.col("comp") != F.col("comp_s")) & (~F.col("apart") | (F.col("node") < F.col("s"))) & _enough(F.col("n"), F.col("n_s"), percent))
-    pairs = met_again.select(F.least("node", "s").alias("a"), F.greatest("node", "s").alias("b")).distinct()
-    more = written(_verified(written(_possible(pairs, nodes, percent), "jaccard-may"), docs, k, percent), "jaccard-more")
-    label = components(links.unionByName(more)).withColumnRenamed("node", "of_node")
-    marked = nodes.select("sig", "node", "copies", "least_id").join(label, F.col("node") == F.col("of_node"), "left").withColumn("label", F.coalesce("label", "node"))
-    least = marked.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of = written(marked.join(least, "label").select("sig", "copies", "component_id"), "jaccard-of")
-    linked = spread_join(full.select("doc_id", "n", "sig"), of, "sig", "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(index.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return _components_of(docs, k, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` with one document, that of the least doc_id, of each component; all columns."""
-    gone = written(jaccard_components(docs, k, percent).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """Rows of ``docs`` with one document, that of the least doc_id, of each component; all columns.
+
+    Documents without words stay, also null and empty ones; of wholly repeated rows with words one
+    stays. Of rows with one doc_id and different texts each goes or stays by its own text; in one
+    component the one with the least text hash stays. A null doc_id comes after all others. Extra
+    columns may have any names. An empty table gives none.
+    """
+    rows = _components_of(docs, k, percent).filter("n_shingles > 0")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    marks = rows.groupBy("doc_id", "text_hash").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("rows"))
+    marks = written(marks.filter("not stays or rows > 1"), "jaccard-gone")
+    return without_rows(docs, marks.filter("not stays"), marks.filter("stays"))
