@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
-_LOCAL: dict[str, str] = {}
-
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder of ``spark.checkpoint.dir`` and read again; in a
-    temporary folder only where that is unset (tests). The files outlive any executor."""
+    """``df`` written as Parquet in the shared folder of ``spark.checkpoint.dir`` and read again. The
+    files outlive any executor. In local mode, where nothing is shared, the session's warehouse
+    folder serves if the setting is unset; on a cluster that is an error."""
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and "dir" not in _LOCAL:
-        _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="quire-")
-    path = f"{(shared or _LOCAL['dir']).rstrip('/')}/quire/{name}-{uuid.uuid4().hex}"
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    path = f"{shared.rstrip('/')}/quire/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
