@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,20 +45,31 @@ def sessions_of(answers: DataFrame) -> DataFrame:
     return q.select("session", "answers", F.when(F.length("q") > 40, F.concat(F.substring("q", 1, 40), F.lit("…"))).otherwise(F.col("q")).alias("title"))
 
 
+#: An opening fence: at most three spaces, three or more of one sign, and what follows.
+FENCE = r"^( {0,3})(`{3,}(?=[^`]*$)|~{3,})(.*)$"
+
+
 def extract_artifacts(answers: DataFrame) -> DataFrame:
     """Fenced blocks of answers: (answer_id, number, language, title, content). A fold over the lines
-    of an answer holds the open fence; an unclosed one runs to the end."""
-    lines = F.split("markdown", "\n")
+    of an answer holds the open fence; it is closed by at least as many of its sign with nothing
+    behind them, and an unclosed one runs to the end."""
+    lines = F.transform(F.split("markdown", "\n"), lambda x: F.struct(x.alias("line"), F.regexp_extract(x, FENCE, 2).alias("mark"), F.trim(F.regexp_extract(x, FENCE, 3)).alias("info"), F.rtrim(F.regexp_extract(x, r"^ {0,3}(`{3,}|~{3,})[ \t]*$", 1)).alias("end")))
     row = "array<struct<head:string,body:array<string>>>"
-    zero = F.struct(F.lit(None).cast("string").alias("head"), F.array().cast("array<string>").alias("body"), F.array().cast(row).alias("done"))
-    is_fence = lambda x: x.rlike("^ {0,3}```")
+    empty = F.array().cast("array<string>")
+    zero = F.struct(F.lit("").alias("fence"), F.lit("").alias("head"), empty.alias("body"), F.array().cast(row).alias("done"))
+    state = lambda fence, head, body, done: F.struct(fence.alias("fence"), head.alias("head"), body.alias("body"), done.alias("done"))
+    finished = lambda a: F.concat(a["done"], F.array(F.struct(a["head"].alias("head"), a["body"].alias("body"))))
 
     def step(a, x):
-        close = F.struct(F.lit(None).cast("string").alias("head"), F.array().cast("array<string>").alias("body"), F.concat(a["done"], F.array(F.struct(a["head"].alias("head"), a["body"].alias("body")))).alias("done"))
-        opened = F.struct(F.regexp_replace(x, "^ {0,3}```", "").alias("head"), F.array().cast("array<string>").alias("body"), a["done"].alias("done"))
-        return F.when(a["head"].isNull() & is_fence(x), opened).when(a["head"].isNull(), a).when(x.rlike("^ {0,3}``` *$"), close).otherwise(F.struct(a["head"].alias("head"), F.concat(a["body"], F.array(x)).alias("body"), a["done"].alias("done")))
-
-    end = lambda a: F.when(a["head"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(F.struct(a["head"].alias("head"), a["body"].alias("body")))))
+        closes = (x["end"] != "") & x["end"].startswith(a["fence"])
+        return (
+            F.when((a["fence"] == "") & (x["mark"] != ""), state(x["mark"], x["info"], empty, a["done"]))
+            .when(a["fence"] == "", a)
+            .when(closes, state(F.lit(""), F.lit(""), empty, finished(a)))
+            .otherwise(state(a["fence"], a["head"], F.concat(a["body"], F.array(x["line"])), a["done"]))
+        )
+
+    end = lambda a: F.when(a["fence"] == "", a["done"]).otherwise(finished(a))
     found = answers.select("answer_id", F.posexplode(F.aggregate(lines, zero, step, end)).alias("number", "f"))
     return found.select("answer_id", "number", F.regexp_extract("f.head", r"^(\S*)", 1).alias("language"), F.trim(F.regexp_replace("f.head", r"^\S* ?", "")).alias("title"), F.array_join("f.body", "\n").alias("content"))
 
@@ -75,10 +86,35 @@ def strip_artifacts(answers: DataFrame) -> DataFrame:
     return answers.select("answer_id", F.regexp_replace("markdown", r"(?ms)^ {0,3}```(\S*) ?([^\n]*)\n.*?^ {0,3}``` *$", r"[artifact: $2]").alias("markdown"))
 
 
+#: "Figure 3", "Figs. 3, 4 and S1", "fig 3–5"; the word is no part of another one.
+FIGURES = r"(?i)(?:^|[^a-z])fig(?:ure)?s?\.?\s*(s?\d{1,3}(?:\s*(?:,|&|/|and|or|[-–~])\s*s?\d{1,3})*)"
+#: Numbers that a range of figures is expanded by at most.
+RANGE = 4
+
+
+def figure_numbers(text: Column) -> Column:
+    """Distinct figure labels that a text names, in order of first mention, in upper case. A range is
+    expanded by RANGE numbers at most."""
+
+    def labels(group: Column) -> Column:
+        parts = F.regexp_extract_all(group, F.lit(r"([-–~]?\s*[sS]?\d{1,3})"), F.lit(1))
+        label = lambda x: F.upper(F.regexp_extract(x, r"([sS]?\d{1,3})", 1))
+        number = lambda x: F.when(x.rlike(r"^\d+$"), x.cast("int"))
+
+        def one(x: Column, i: Column) -> Column:
+            own, was = label(x), number(label(F.get(parts, i - 1)))
+            is_range = x.rlike(r"^[-–~]") & (i > 0) & (was < number(own))
+            return F.when(F.coalesce(is_range, F.lit(False)), F.transform(F.sequence(was + 1, F.least(number(own), was + RANGE)), lambda n: n.cast("string"))).otherwise(F.array(own))
+
+        return F.flatten(F.transform(parts, one))
+
+    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(FIGURES), F.lit(1)), labels)))
+
+
 def figure_refs(answers: DataFrame, figures: DataFrame) -> DataFrame:
-    """Figure numbers that answers name, with the caption of that figure in the answer's paper."""
-    n = answers.select("answer_id", F.col("packet_id").alias("version_id"), F.explode(F.array_distinct(F.regexp_extract_all("markdown", F.lit(r"(?:Fig\.|Figure) +(\d+)"), F.lit(1)))).alias("n"))
-    return n.select("answer_id", "version_id", F.col("n").cast("int").alias("label")).join(figures.select("version_id", "label", "caption"), ["version_id", "label"], "left")
+    """Figure labels that answers name, with the caption of that figure in the answer's paper."""
+    n = answers.select("answer_id", F.col("packet_id").alias("version_id"), F.explode(figure_numbers(F.col("markdown"))).alias("label"))
+    return n.join(figures.select("version_id", F.col("label").cast("string").alias("label"), "caption"), ["version_id", "label"], "left")
 
 
 def page_refs(answers: DataFrame) -> DataFrame:

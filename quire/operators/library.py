@@ -176,7 +176,7 @@ def apply_revisions(changes: DataFrame) -> DataFrame:
     """Revision log to state: a change counts only if its expected revision is the current one. A
     fold over the changes of a key in order; ``conflicts`` counts the others."""
     zero = F.struct(F.lit(0).alias("revision"), F.lit(0).alias("conflicts"), F.lit(None).cast("long").alias("last"))
-    step = lambda a, c: F.when(c["expected"] == a["revision"] % 3, F.struct((a["revision"] + 1).alias("revision"), a["conflicts"].alias("conflicts"), c["id"].alias("last"))).otherwise(F.struct(a["revision"].alias("revision"), (a["conflicts"] + 1).alias("conflicts"), a["last"].alias("last")))
+    step = lambda a, c: F.when(c["expected"] == a["revision"], F.struct((a["revision"] + 1).alias("revision"), a["conflicts"].alias("conflicts"), c["id"].alias("last"))).otherwise(F.struct(a["revision"].alias("revision"), (a["conflicts"] + 1).alias("conflicts"), a["last"].alias("last")))
     g = changes.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "id", "expected"))).alias("cs"))
     return g.select("key", F.aggregate("cs", zero, step).alias("s")).select("key", "s.*")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_CHARS = 12_000
@@ -57,6 +57,43 @@ def apply_budget(items: DataFrame, budget: int = MAX_CHARS) -> DataFrame:
     return g.select("packet_id", F.explode(F.aggregate("xs", zero, step, lambda a: a["out"])).alias("r")).select("packet_id", "r.*")
 
 
+#: Roles of context in the order in which they take from the budget, behind the selections.
+CONTEXT_ROLES = ("caption", "region_text", "containing", "previous", "following")
+
+
+def apply_role_budget(items: DataFrame, budget: int = MAX_CHARS) -> DataFrame:
+    """Items of each packet (packet_id, rank, role, block_ids, text) within its budget: selections first in
+    order of rank, each cut to what is left; then the context, role by role, whole or not at all
+    and without blocks that context already holds. ``chars`` is what is kept of the text. Context
+    that does not fit is excluded as ``text_budget``; repeated blocks leave without a reason."""
+    order = F.array_position(F.array(*map(F.lit, ("selection", *CONTEXT_ROLES))), F.col("role"))
+    one = F.struct(order.alias("o"), "rank", "role", F.col("block_ids").cast("array<long>").alias("ids"), F.length("text").alias("n"))
+    zero = F.struct(F.lit(budget).alias("left"), F.array().cast("array<long>").alias("used"), F.array().cast("array<struct<rank:int,role:string,chars:int,kept:boolean,reason:string>>").alias("out"))
+
+    def step(a, x):
+        row = lambda chars, kept, reason: F.concat(a["out"], F.array(F.struct(x["rank"].alias("rank"), x["role"].alias("role"), chars.alias("chars"), F.lit(kept).alias("kept"), F.lit(reason).cast("string").alias("reason"))))
+        state = lambda left, used, out: F.struct(left.alias("left"), used.alias("used"), out.alias("out"))
+        cut = F.least(x["n"], a["left"])
+        return (
+            F.when(x["role"] == "selection", state(a["left"] - cut, a["used"], row(cut, True, None)))
+            .when(F.arrays_overlap(a["used"], x["ids"]), state(a["left"], a["used"], row(F.lit(0), False, None)))
+            .when(x["n"] > a["left"], state(a["left"], a["used"], row(F.lit(0), False, "text_budget")))
+            .otherwise(state(a["left"] - x["n"], F.concat(a["used"], x["ids"]), row(x["n"], True, None)))
+        )
+
+    g = items.groupBy("packet_id").agg(F.array_sort(F.collect_list(one)).alias("xs"))
+    return g.select("packet_id", F.explode(F.aggregate("xs", zero, step, lambda a: a["out"])).alias("r")).select("packet_id", "r.*")
+
+
+#: Greek letters, mathematical operators and mathematical letters.
+MATH_LIKE = r"[\x{0370}-\x{03FF}\x{2200}-\x{22FF}\x{1D400}-\x{1D7FF}]"
+
+
+def is_math_like(quote: Column, display_quote: Column) -> Column:
+    """Selections that text cannot stand for alone: with a display form, or a Greek or mathematical sign."""
+    return F.coalesce(F.trim(display_quote) != "", F.lit(False)) | F.coalesce(quote.rlike(MATH_LIKE), F.lit(False))
+
+
 def content_sha256(packets: DataFrame, columns: list[str]) -> DataFrame:
     """SHA-256 of the JSON of the columns in order of their names, nulls kept."""
     body = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})

@@ -173,13 +173,23 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) ->
     return h.withColumns({"run": run, "total": total}).filter(2 * F.col("run") >= F.col("total")).groupBy(*keys).agg(F.min(value).alias("median"))
 
 
+#: A numeric citation: "3", "3, 7", "12–15", "1,2;5-7" in square brackets of 80 characters at most.
+CITED = r"\[(\s*\d+(?:\s*[,;–—-]\s*\d+)*\s*)\]"
+
+
 def link_citations(blocks: DataFrame) -> DataFrame:
-    """Numeric citations of body text with the reference entry of that number, if there is one."""
-    cited = body_blocks(blocks).select("version_id", "p", F.explode(F.regexp_extract_all("text", F.lit(r"\[(\d+(?:, \d+)*)\] see"), F.lit(1))).alias("list"))
-    cited = cited.select("version_id", "p", F.explode(F.split("list", ", ")).alias("n")).select("version_id", "p", F.col("n").cast("int").alias("n")).distinct()
-    entries = blocks.filter(F.col("text").rlike(r"^\[\d+\] ")).select("version_id", F.regexp_extract("text", r"^\[(\d+)\] ", 1).cast("int").alias("n"), F.col("p").alias("entry"))
-    first = entries.groupBy("version_id", "n").agg(F.min("entry").alias("entry_p"))
-    return cited.join(first, ["version_id", "n"], "left")
+    """The numbers that numeric citations of body text name, each with the reference entry of that
+    number, if there is one: the first block that begins with ``[n]`` or ``n.``, else the first of joined entries that
+    holds ``[n]`` among them. Blocks that begin with ``[n]`` are entries and cite nothing."""
+    is_entry = F.col("text").rlike(r"^\s*\[\d+\]")
+    groups = F.filter(F.regexp_extract_all("text", F.lit(CITED), F.lit(1)), lambda g: F.length(g) <= 80)
+    numbers = F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(r"(\d+)"), F.lit(1))))
+    cited = body_blocks(blocks).filter(~is_entry).select("version_id", "p", F.explode(numbers).alias("n")).select("version_id", "p", F.col("n").cast("int").alias("n")).filter("n is not null").distinct()
+    joined = F.regexp_extract_all(F.trim("text"), F.lit(r"(?:^|\s)\[(\d+)\]"), F.lit(1))
+    dotted = F.regexp_extract_all(F.trim("text"), F.lit(r"^(\d+)\.\s"), F.lit(1))
+    entries = blocks.select("version_id", "p", F.posexplode(F.when(is_entry, joined).otherwise(dotted)).alias("at", "n")).select("version_id", F.col("n").cast("int").alias("n"), F.struct((F.col("at") > 0).alias("later"), "p").alias("entry")).filter("n is not null")
+    first = entries.groupBy("version_id", "n").agg(F.min("entry").alias("e"))
+    return cited.join(first.select("version_id", "n", F.col("e.p").alias("entry_p")), ["version_id", "n"], "left")
 
 
 def neighbours(blocks: DataFrame) -> DataFrame:

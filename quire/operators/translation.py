@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,24 +79,37 @@ def continued_blocks(blocks: DataFrame) -> DataFrame:
     return b.filter(open_ & (F.coalesce("math_p", F.lit(-1)) < F.col("was_p")) & F.col("text").rlike(r"^\p{Ll}") & (2 * F.length(first) <= F.length("was"))).select("version_id", "p", "was_p")
 
 
+def _fits(rest: Column) -> Callable[[Column], Column]:
+    """Cuts up to which the batch, and behind which the ``rest``, stays within ``worst``."""
+    return lambda m: (F.get("sums", m) - F.get("sums", F.col("at")) <= F.col("worst")) & (F.get(rest, m) <= F.col("worst"))
+
+
 def translation_batches(blocks: DataFrame) -> DataFrame:
-    """Body blocks of each page in at most four batches whose largest is as small as it can be;
-    the cuts come from all choices of three places, the first of equals. A page bounds the choices."""
+    """Body blocks of each page in at most four batches whose largest is as small as it can be; of
+    equal choices the one with the earliest cuts. ``f_j`` holds, for each place, the least largest batch
+    of what follows in j batches, so a page of n blocks takes n * n steps."""
     b = body_blocks(blocks).groupBy("version_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("p", F.length("text").alias("n")))).alias("bs"))
     sizes = F.transform("bs", lambda x: x["n"].cast("long"))
     count = F.size("bs")
-    total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    b = b.withColumn("sizes", sizes).withColumn("k", F.greatest(F.lit(1), F.least(F.lit(MOST_GROUPS), F.floor(total / GROUP_CHARS), count)).cast("int"))
-    span = lambda a, e: F.aggregate(F.slice("sizes", a + 1, e - a), F.lit(0).cast("long"), lambda s, x: s + x)
-    inner = F.sequence(F.lit(0), count)
-    cuts = F.flatten(F.transform(inner, lambda i: F.flatten(F.transform(inner, lambda j: F.transform(inner, lambda m: F.array(i, j, m))))))
-    # with k batches 4 - k of the cuts stay at 0; the others rise strictly and end before the last block
-    ok = lambda c: F.forall(F.sequence(F.lit(0), F.lit(2)), lambda x: F.when(x < 4 - F.col("k"), F.get(c, x) == 0).otherwise((F.get(c, x) > F.when(x == 0, F.lit(0)).otherwise(F.coalesce(F.get(c, x - 1), F.lit(0)))) & (F.get(c, x) < count)))
-    worst = lambda c: F.greatest(span(F.lit(0), c[0]), span(c[0], c[1]), span(c[1], c[2]), span(c[2], count))
-    best = F.array_min(F.transform(F.filter(cuts, ok), lambda c: F.struct(worst(c).alias("worst"), c.alias("c"))))
-    chosen = b.withColumn("best", best).select("version_id", "page_index", "k", "best", F.posexplode("bs").alias("i", "x"))
-    batch = sum((F.when((F.get(F.col("best.c"), F.lit(x)) > 0) & (F.col("i") >= F.get(F.col("best.c"), F.lit(x))), 1).otherwise(0) for x in range(3)), F.lit(0))
-    return chosen.select("version_id", "page_index", "x.p", batch.cast("int").alias("batch"), F.col("best.worst").alias("largest"))
+    zero = F.array(F.lit(0).cast("long"))
+    b = b.withColumn("sums", F.aggregate(sizes, zero, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))))
+    total = F.element_at("sums", -1)
+    b = b.withColumn("k", F.greatest(F.lit(1), F.least(F.lit(MOST_GROUPS), F.floor(total / GROUP_CHARS), count)).cast("int"))
+    between = lambda i, m: F.get("sums", m) - F.get("sums", i)
+    b = b.withColumn("f1", F.transform(F.sequence(F.lit(0), count), lambda i: total - F.get("sums", i)))
+    for j in range(2, MOST_GROUPS + 1):
+        # no place is left for j batches within the last j - 1 blocks
+        rest = lambda i, f=f"f{j - 1}": F.array_min(F.transform(F.sequence(i + 1, F.greatest(i + 1, count - 1)), lambda m: F.when(m < count, F.greatest(between(i, m), F.get(f, m)))))
+        b = b.withColumn(f"f{j}", F.transform(F.sequence(F.lit(0), count), lambda i: F.when(i < count, rest(i))))
+    b = b.withColumns({"worst": F.get(F.get(F.array(*[F.col(f"f{j}") for j in range(1, MOST_GROUPS + 1)]), F.col("k") - 1), F.lit(0)), "at": F.lit(0)})
+    for c in range(1, MOST_GROUPS):
+        left = F.col("k") - c  # batches behind this cut
+        f = F.get(F.array(*[F.col(f"f{j}") for j in range(1, MOST_GROUPS + 1)]), left - 1)
+        cut = F.array_min(F.filter(F.sequence(F.col("at") + 1, F.greatest(F.col("at") + 1, count - 1)), _fits(f)))
+        b = b.withColumn(f"cut{c}", F.when(left > 0, cut)).withColumn("at", F.coalesce(F.col(f"cut{c}"), F.col("at")))
+    chosen = b.select("version_id", "page_index", "worst", *[f"cut{c}" for c in range(1, MOST_GROUPS)], F.posexplode("bs").alias("i", "x"))
+    batch = sum((F.when(F.col("i") >= F.col(f"cut{c}"), 1).otherwise(0) for c in range(1, MOST_GROUPS)), F.lit(0))
+    return chosen.select("version_id", "page_index", "x.p", batch.cast("int").alias("batch"), F.col("worst").alias("largest"))
 
 
 def sentence_groups(translated: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import answers as N
@@ -67,6 +68,24 @@ def _short_and_long_quotes(spark, d):
     return b.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")).unionByName(b.select((F.col("item_id") + 1000000).alias("quote_id"), F.array_join(words, " ").alias("quote")))
 
 
+def _listed_figures(answers):
+    """Answers of even sessions that name a list and a range of figures."""
+    more = F.replace("markdown", F.lit("see Fig. "), F.lit("see Figs. 1–3, S1 and "))
+    return answers.withColumn("markdown", F.when(F.col("session") % 2 == 0, more).otherwise(F.col("markdown")))
+
+
+FIGURE_SQL = r"""fg AS (SELECT answer_id, packet_id, unnest(regexp_extract_all(CASE WHEN session % 2 = 0 THEN replace(markdown, 'see Fig. ', 'see Figs. 1–3, S1 and ') ELSE markdown END, '(?i)(?:^|[^a-z])fig(?:ure)?s?\.?\s*(s?\d{1,3}(?:\s*(?:,|&|/|and|or|[-–~])\s*s?\d{1,3})*)', 1)) AS g FROM answers),
+  fp AS (SELECT answer_id, packet_id, g, unnest(ps) AS part, generate_subscripts(ps, 1) AS i, ps FROM (SELECT *, regexp_extract_all(g, '([-–~]?\s*[sS]?\d{1,3})', 1) AS ps FROM fg)),
+  fl AS (SELECT *, upper(regexp_extract(part, '([sS]?\d{1,3})', 1)) AS own, try_cast(upper(regexp_extract(part, '([sS]?\d{1,3})', 1)) AS INT) AS n, CASE WHEN i > 1 THEN try_cast(upper(regexp_extract(ps[i - 1], '([sS]?\d{1,3})', 1)) AS INT) END AS was FROM fp),
+  r AS (SELECT DISTINCT answer_id, packet_id AS version_id, unnest(CASE WHEN regexp_matches(part, '^[-–~]') AND was < n THEN list_transform(range(was + 1, least(n, was + 4) + 1), lambda x: x::VARCHAR) ELSE [own] END) AS label FROM fl)"""
+
+
+def _expected(logs):
+    """Clicks of a key with the revision that they expect: half of those before them, now and then one more."""
+    n = F.row_number().over(Window.partitionBy("key").orderBy("ts", "id")) - 1
+    return logs.select("key", "ts", "id", (F.floor(n / 2) + (F.col("k") % 5 == 0).cast("int")).cast("int").alias("expected"))
+
+
 def search_blocks(spark, d):
     """Body paragraphs for four queries: the flagship."""
     docs = S.body_blocks(A.blocks(spark, d)).select((F.col("version_id") * 100000 + F.col("p")).alias("doc"), "text")
@@ -138,10 +157,10 @@ def library_queries() -> dict:
             with_tables("papers", body="SELECT paper_id, CASE WHEN paper_id % 3 = 1 AND paper_id % 2 = 0 THEN 'New' ELSE title END AS title, CASE WHEN paper_id % 3 = 1 THEN CASE WHEN paper_id % 2 = 1 THEN '10.1/x' ELSE '' END ELSE doi END AS doi, paper_id % 3 = 1 AS edited FROM papers"),
         ),
         "apply_revisions": (
-            lambda x, d: L.apply_revisions(ev(x, d).filter("event_type = 'click'").select("key", "ts", "id", (F.col("k") % 3).alias("expected"))).fillna(-1, ["last"]),
-            """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS id, (props->>'$.k')::INT % 3 AS expected, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'click'),
+            lambda x, d: L.apply_revisions(_expected(ev(x, d).filter("event_type = 'click'"))).fillna(-1, ["last"]),
+            """WITH RECURSIVE e AS (SELECT key, id, k, ((k - 1) // 2 + (j % 5 = 0)::INT)::INT AS expected FROM (SELECT user_id AS key, event_id AS id, (props->>'$.k')::INT AS j, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'click')),
               w AS (SELECT key, k, CASE WHEN expected = 0 THEN 1 ELSE 0 END AS revision, CASE WHEN expected = 0 THEN 0 ELSE 1 END AS conflicts, CASE WHEN expected = 0 THEN id ELSE -1 END AS last FROM e WHERE k = 1
-                UNION ALL SELECT e.key, e.k, CASE WHEN expected = revision % 3 THEN revision + 1 ELSE revision END, CASE WHEN expected = revision % 3 THEN conflicts ELSE conflicts + 1 END, CASE WHEN expected = revision % 3 THEN id ELSE last END FROM w JOIN e ON e.key = w.key AND e.k = w.k + 1)
+                UNION ALL SELECT e.key, e.k, CASE WHEN expected = revision THEN revision + 1 ELSE revision END, CASE WHEN expected = revision THEN conflicts ELSE conflicts + 1 END, CASE WHEN expected = revision THEN id ELSE last END FROM w JOIN e ON e.key = w.key AND e.k = w.k + 1)
               SELECT key, arg_max(revision, k) AS revision, arg_max(conflicts, k) AS conflicts, arg_max(last, k) AS last FROM w GROUP BY key""",
         ),
         "packet_status": (
@@ -164,8 +183,8 @@ def library_queries() -> dict:
         "extract_artifacts": (lambda x, d: N.extract_artifacts(ans(x, d)), with_tables("answers", body="SELECT answer_id, 0 AS number, 'html' AS language, 'title' AS title, '<p>' || session || '</p>' AS content FROM answers")),
         "strip_artifacts": (lambda x, d: N.strip_artifacts(ans(x, d)), with_tables("answers", body="SELECT answer_id, replace(markdown, '```html title' || chr(10) || '<p>' || session || '</p>' || chr(10) || '```', '[artifact: title]') AS markdown FROM answers")),
         "figure_refs": (
-            lambda x, d: N.figure_refs(ans(x, d), S.numbered_figures(A.blocks(x, d))),
-            with_tables("answers", "blocks", more=f"f AS (SELECT version_id, regexp_extract(text, '^Fig\\. +(\\d+)\\.', 1)::INT AS label, arg_min(CASE WHEN length(text) > 300 THEN substr(text, 1, 299) || '…' ELSE text END, p) AS caption FROM blocks WHERE trim(text) <> '' AND NOT {NOT_BODY_SQL} AND regexp_matches(text, '^Fig\\. +\\d+\\.') AND NOT regexp_matches(text, '\\.{{4}}') GROUP BY 1, 2), r AS (SELECT answer_id, packet_id AS version_id, unnest(list_distinct(regexp_extract_all(markdown, '(?:Fig\\.|Figure) +(\\d+)', 1)))::INT AS label FROM answers)", body="SELECT answer_id, version_id, label, caption FROM r LEFT JOIN f USING (version_id, label)"),
+            lambda x, d: N.figure_refs(_listed_figures(ans(x, d)), S.numbered_figures(A.blocks(x, d))),
+            with_tables("answers", "blocks", more=FIGURE_SQL + f", f AS (SELECT version_id, regexp_extract(text, '^Fig\\. +(\\d+)\\.', 1)::INT::VARCHAR AS label, arg_min(CASE WHEN length(text) > 300 THEN substr(text, 1, 299) || '…' ELSE text END, p) AS caption FROM blocks WHERE trim(text) <> '' AND NOT {NOT_BODY_SQL} AND regexp_matches(text, '^Fig\\. +\\d+\\.') AND NOT regexp_matches(text, '\\.{{4}}') GROUP BY 1, 2)", body="SELECT answer_id, version_id, label, caption FROM r LEFT JOIN f USING (version_id, label)"),
         ),
         "page_refs": (lambda x, d: N.page_refs(ans(x, d)), with_tables("answers", body="SELECT answer_id, unnest(list_distinct(regexp_extract_all(markdown, '\\bpp?\\. ?(\\d+)', 1)))::INT AS page FROM answers")),
         "save_answers": (

@@ -51,6 +51,12 @@ def two_column(b):
     return b.withColumns({"x0": F.when(odd & right, 0.52).otherwise(F.col("x0")), "x1": F.when(odd & left, 0.48).otherwise(F.col("x1"))})
 
 
+def _cited(blocks):
+    """Blocks with ranges and lists of citations, and joined reference entries."""
+    ranged = F.replace("text", F.lit("[1, 2] see"), F.lit("[1–3; 5] and [7]"))
+    return blocks.withColumn("text", F.when(F.col("p") % 14 == 8, ranged).when(F.col("p") % 21 == 19, F.concat("text", F.lit(" [77] joined"))).otherwise(F.col("text")))
+
+
 def structure_queries() -> dict:
     b = A.blocks
     heads = lambda s, d: S.headings(b(s, d))
@@ -106,8 +112,11 @@ def structure_queries() -> dict:
             with_tables("blocks", more="h AS (SELECT version_id, page_index, font_size, sum(length(text)) AS w FROM blocks GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY version_id, page_index ORDER BY font_size) AS run, sum(w) OVER (PARTITION BY version_id, page_index) AS total FROM h)", body="SELECT version_id, page_index, min(font_size) AS median FROM r WHERE 2 * run >= total GROUP BY ALL"),
         ),
         "link_citations": (
-            lambda s, d: S.link_citations(b(s, d)).fillna(-1, ["entry_p"]),
-            with_tables("blocks", more=f"c0 AS (SELECT version_id, p, unnest(regexp_extract_all(text, '\\[(\\d+(?:, \\d+)*)\\] see', 1)) AS l, quality_flags FROM blocks), c AS (SELECT DISTINCT version_id, p, unnest(string_split(l, ', '))::INT AS n FROM c0 WHERE NOT {NOT_BODY_SQL}), e AS (SELECT version_id, regexp_extract(text, '^\\[(\\d+)\\] ', 1)::INT AS n, min(p) AS entry_p FROM blocks WHERE regexp_matches(text, '^\\[\\d+\\] ') GROUP BY ALL)", body="SELECT version_id, n, p, coalesce(entry_p, -1) AS entry_p FROM c LEFT JOIN e USING (version_id, n)"),
+            lambda s, d: S.link_citations(_cited(b(s, d))).fillna(-1, ["entry_p"]),
+            with_tables("blocks", more=rf"""cb AS (SELECT version_id, p, quality_flags, CASE WHEN p % 14 = 8 THEN replace(text, '[1, 2] see', '[1–3; 5] and [7]') WHEN p % 21 = 19 THEN text || ' [77] joined' ELSE text END AS text FROM blocks),
+              c0 AS (SELECT version_id, p, unnest(regexp_extract_all(text, '\[(\s*\d+(?:\s*[,;–—-]\s*\d+)*\s*)\]', 1)) AS l FROM cb WHERE NOT {NOT_BODY_SQL} AND trim(text) <> '' AND NOT regexp_matches(text, '^\s*\[\d+\]')), c AS (SELECT DISTINCT version_id, p, unnest(regexp_extract_all(l, '\d+'))::INT AS n FROM c0 WHERE length(l) <= 80),
+              e0 AS (SELECT version_id, p, CASE WHEN regexp_matches(text, '^\s*\[\d+\]') THEN regexp_extract_all(trim(text), '(?:^|\s)\[(\d+)\]', 1) ELSE regexp_extract_all(trim(text), '^(\d+)\.\s', 1) END AS ns FROM cb), e1 AS (SELECT version_id, p, unnest(ns) AS n, generate_subscripts(ns, 1) > 1 AS later FROM e0),
+              e AS (SELECT version_id, try_cast(n AS INT) AS n, arg_min(p, (later, p)) AS entry_p FROM e1 GROUP BY ALL)""", body="SELECT version_id, n, p, coalesce(entry_p, -1) AS entry_p FROM c LEFT JOIN e USING (version_id, n)"),
         ),
         "neighbours": (lambda s, d: S.neighbours(b(s, d)).fillna(-1, ["before", "after"]), with_tables("blocks", body=f"SELECT version_id, p, coalesce(lag(p) OVER w, -1) AS before, coalesce(lead(p) OVER w, -1) AS after FROM blocks WHERE NOT {NOT_BODY_SQL} AND trim(text) <> '' WINDOW w AS (PARTITION BY version_id, font_size ORDER BY p)")),
         "title_from_blocks": (

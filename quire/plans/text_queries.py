@@ -57,6 +57,13 @@ def _items(spark, d):
     return A.blocks(spark, d).select(F.col("version_id").alias("packet_id"), F.col("p").alias("rank"), (F.col("p") % 6).alias("block_id"), "text")
 
 
+def _role_items(spark, d):
+    """Blocks as selections and context of their version, each with two of a few block ids."""
+    roles = F.array(*map(F.lit, ("selection", *K.CONTEXT_ROLES)))
+    p = F.col("p")
+    return A.blocks(spark, d).select(F.col("version_id").alias("packet_id"), p.alias("rank"), F.get(roles, (p % 6).cast("int")).alias("role"), F.array(p % 5, p % 7).alias("block_ids"), "text")
+
+
 def _anchors(spark, d):
     name = F.when(F.col("annotation_id") % 5 == 0, F.concat(F.lit("bad name "), F.col("annotation_id").cast("string"))).otherwise(F.concat(F.lit("a"), F.col("annotation_id").cast("string")))
     return A.annotations(spark, d).withColumns({"bundle_id": F.col("version_id") % 50, "name": name})
@@ -112,6 +119,17 @@ def text_queries() -> dict:
               UNION ALL SELECT i.version_id, i.p, CASE WHEN list_contains(used, block_id) OR n > room THEN room ELSE room - n END, CASE WHEN list_contains(used, block_id) OR n > room THEN used ELSE list_append(used, block_id) END,
                 NOT list_contains(used, block_id) AND n <= room, CASE WHEN list_contains(used, block_id) THEN 'repeated' WHEN n > room THEN 'text_budget' ELSE '' END FROM w JOIN i ON i.version_id = w.version_id AND i.p = w.p + 1)""", body="SELECT version_id AS packet_id, p AS rank, kept, reason FROM w WHERE p >= 0"),
         ),
+        "apply_role_budget": (
+            lambda x, d: K.apply_role_budget(_role_items(x, d), 900).fillna("", ["reason"]).select("packet_id", "rank", "chars", "kept", "reason"),
+            with_tables("blocks", more="""i AS (SELECT version_id, p, (p % 6 + 1)::INT AS o, p % 5 AS a, p % 7 AS b, length(text) AS n FROM blocks), k AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY o, p) AS k FROM i), w AS (
+              SELECT version_id, 0::BIGINT AS k, 900::BIGINT AS room, []::BIGINT[] AS used, -1 AS p, 0::BIGINT AS chars, false AS kept, '' AS reason FROM (SELECT DISTINCT version_id FROM i)
+              UNION ALL SELECT k.version_id, k.k, CASE WHEN o = 1 THEN room - least(n, room) WHEN list_has_any(used, [a, b]) OR n > room THEN room ELSE room - n END, CASE WHEN o = 1 OR list_has_any(used, [a, b]) OR n > room THEN used ELSE list_concat(used, [a, b]) END, k.p,
+                CASE WHEN o = 1 THEN least(n, room) WHEN list_has_any(used, [a, b]) OR n > room THEN 0 ELSE n END, o = 1 OR (NOT list_has_any(used, [a, b]) AND n <= room), CASE WHEN o > 1 AND NOT list_has_any(used, [a, b]) AND n > room THEN 'text_budget' ELSE '' END FROM w JOIN k ON k.version_id = w.version_id AND k.k = w.k + 1)""", body="SELECT version_id AS packet_id, p AS rank, chars::INT AS chars, kept, reason FROM w WHERE k > 0"),
+        ),
+        "math_like": (
+            lambda x, d: A.annotations(x, d).filter(K.is_math_like(F.when(F.col("annotation_id") % 7 == 1, F.concat("quote", F.lit(" ∑α"))).otherwise(F.col("quote")), F.col("display_quote"))).select("annotation_id"),
+            with_tables("annotations", body="SELECT annotation_id FROM annotations WHERE coalesce(trim(display_quote) <> '', false) OR annotation_id % 7 = 1"),
+        ),
         "image_quota": (
             lambda x, d: K.image_quota(_items(x, d).withColumn("eligible", F.col("rank") % 3 == 1)),
             with_tables("blocks", body="SELECT version_id AS packet_id, p AS rank, row_number() OVER (PARTITION BY version_id ORDER BY p) <= 2 AS image FROM blocks WHERE p % 3 = 1"),

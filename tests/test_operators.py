@@ -305,3 +305,41 @@ def test_tags_and_packets(spark):
     assert [r.tag for r in L.delete_tag(t, "TAG").collect()] == ["other"]
     p = spark.createDataFrame([(1, [(5,)]), (2, [(6,), (7,)])], "packet_id long, sources array<struct<paper_id:long>>")
     assert [r.packet_id for r in L.packets_of_paper(p, 7).collect()] == [2]
+
+
+def test_quotes_over_blocks(spark):
+    """Short quotes, quotes over two blocks, folded signs, all places and the choice by context."""
+    texts = spark.createDataFrame([(1, ["The ﬁrst half of a sen-", "tence ends here. It ends."]), (2, ["ends, ends and ENDS"]), (3, None)], "doc long, parts array<string>")
+    quotes = spark.createDataFrame([(1, "a sentence  ends", None, None), (2, "ends", "and ", None), (3, "first", None, None), (4, "absent", None, None), (5, " - ", None, None)], "quote_id long, quote string, prefix string, suffix string")
+    for at_once in (1, 50_000):
+        got = {(r.doc, r.quote_id): (len(r.starts), r.first_part, r.start, r.last_part, r.end) for r in R.locate_quotes(quotes, texts, at_once).collect()}
+        assert got == {(1, 1): (1, 0, 17, 1, 10), (1, 2): (2, 1, 6, 1, 10), (1, 3): (1, 0, 4, 0, 8), (2, 2): (3, 0, 15, 0, 19)}
+
+
+def test_terms_fold_and_stem(spark):
+    docs = spark.createDataFrame([(1, "Les élèves running fast"), (2, "eleve runs"), (3, "run ran"), (4, "")], "id long, text string")
+    find = lambda terms, **o: sorted(r.doc for r in R.search_terms(docs, "id", "text", spark.createDataFrame(terms, "query_id string, term_no int, tokens array<string>, is_prefix boolean"), **o).collect())
+    assert find([("q", 0, ["élève"], True)]) == [1, 2] and find([("q", 0, ["run"], False)]) == [3]
+    assert find([("q", 0, ["running"], False)], stem=True) == [1, 2, 3]
+    assert find([("q", 0, ["running", "fast"], False)]) == [1] and find([("q", 0, ["fast", "running"], False)]) == []
+
+
+def test_fences(spark):
+    text = "````md Title\n```\ninner\n```\n````\n~~~\na\n~~\n~~~~\n```x`y\nno\n    ```\n```py\nopen"
+    got = [(r.language, r.title, r.content) for r in N.extract_artifacts(spark.createDataFrame([(1, text)], "answer_id long, markdown string")).orderBy("number").collect()]
+    assert got == [("md", "Title", "```\ninner\n```"), ("", "", "a\n~~"), ("py", "", "open")]
+
+
+def test_figure_lists(spark):
+    rows = [(1, "see Figs. 3, 4 and s1; figure 3"), (2, "Fig 2–9 and configure 5"), (3, "fig. 7-3"), (4, None)]
+    a = spark.createDataFrame(rows, "answer_id long, markdown string")
+    got = {r.answer_id: r.x for r in a.select("answer_id", N.figure_numbers(F.col("markdown")).alias("x")).collect()}
+    assert got == {1: ["3", "4", "S1"], 2: ["2", "3", "4", "5", "6"], 3: ["7", "3"], 4: None}
+
+
+def test_budget_of_roles(spark):
+    rows = [(1, 0, "selection", [1], "x" * 8), (1, 1, "selection", [2], "x" * 5), (1, 2, "following", [7], "xx"), (1, 3, "caption", [5], "x" * 3), (1, 4, "previous", [5], "x"), (1, 5, "containing", [6], "x" * 9)]
+    items = spark.createDataFrame(rows, "packet_id long, rank int, role string, block_ids array<int>, text string")
+    got = {r["rank"]: (r.chars, r.kept, r.reason) for r in K.apply_role_budget(items, 17).collect()}
+    assert got == {0: (8, True, None), 1: (5, True, None), 3: (3, True, None), 5: (0, False, "text_budget"), 4: (0, False, None), 2: (0, False, "text_budget")}
+    assert {r["rank"]: r.chars for r in K.apply_role_budget(items, 10).collect()}[1] == 2
