@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space as a Java regular expression class body: \x20 and \x09-\x0D.
 WS = r" \t\n\x0B\f\r"
+#: Paths of scratch tables, in the order of their writing.
+_WRITTEN: list[str] = []
 #: Most rows of a narrow table that is broadcast by hint; 16 MB of ids and hashes.
 BROADCAST_ROWS = 1_000_000
 
@@ -33,16 +36,26 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables that ``written`` made, after their last reader has run."""
-    for t in tables:
-        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()[:1]}:
-            spark = t.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table, after its last reader has run."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_of(spark: SparkSession, *, keep: int = 0) -> Iterator[None]:
+    """Delete at the end all tables that ``written`` made within, but for the last ``keep`` of them.
+    Everything that reads them must have run by then."""
+    start = len(_WRITTEN)
+    yield
+    end = len(_WRITTEN) - keep
+    for path in _WRITTEN[start:end]:
+        deleted(spark, path)
+    del _WRITTEN[start:end]
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -77,6 +90,16 @@ def without_rows(docs: DataFrame, gone: DataFrame, again: DataFrame) -> DataFram
     return left.join(twice, key, "left_anti").unionByName(once)
 
 
+def map_ids(df: DataFrame, run: Callable, columns: str, *ids: str) -> DataFrame:
+    """``mapInPandas`` that carries the columns ``ids`` (doc_id if none is named) as text and gives them
+    their type back: pandas would make floats of whole numbers beside a null. ``columns`` is the schema of the others, which come after the ids."""
+    ids = ids or ("doc_id",)
+    kinds = {c: df.schema[c].dataType for c in ids}
+    text = df.select([F.col(c).cast("string").alias(c) if c in kinds else F.col(c) for c in df.columns])
+    out = text.mapInPandas(run, ", ".join([*(f"{c} string" for c in ids), columns]))
+    return out.select([F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in out.columns])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over a value that is evaluated once a row, also where nested lambdas use it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, small, spread_join, without_rows, written
+from .common import map_ids, scratch_of, small, spread_join, without_rows, written
 from .components import components
 
 #: Sets in which a token occurs up to which it is rare.
@@ -214,27 +214,29 @@ def _labelled(posts: DataFrame, label: DataFrame) -> DataFrame:
 
 def _mixed_keys(own: DataFrame) -> DataFrame:
     """Rows under keys at which nodes of different components meet; ``apart`` is outside the
-    component of the key that has the least label."""
-    mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "lo")
-    return own.join(mixed, "key").withColumn("apart", F.col("comp") != F.col("lo")).drop("lo")
+    component that has the most nodes under the key."""
+    sizes = own.groupBy("key", "comp").agg(F.count("*").alias("many"))
+    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("many", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main")
+    return own.join(mixed, "key").withColumn("apart", F.col("comp") != F.col("main")).drop("main")
 
 
-def _links(nodes: DataFrame, percent: int) -> DataFrame:
-    """Enough links (a, b) between ``nodes`` to join all nodes that links reach."""
-    posts = written(_posts(nodes, percent), "jaccard-posts")
-    links = written(_star(posts, nodes, percent), "jaccard-links")
-    for _ in range(2):  # representatives among those that are still apart
-        rest = written(_mixed_keys(_labelled(posts, components(links))), "jaccard-apart")
-        links = written(links.unionByName(_star(rest.filter("apart"), nodes, percent)), "jaccard-links")
-    rest = _mixed_keys(_labelled(posts, components(links))).join(nodes.select("node", "bits"), "node")
-    rest = written(rest, "jaccard-apart")
+def _met_again(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that met under a key and that sizes, places and parities allow."""
+    rest = written(rest.join(nodes.select("node", "bits"), "node"), "jaccard-apart")
     one = rest.filter("apart").select("key", *[F.col(c).alias(f"{c}_s") for c in ("node", "n", "m", "pos", "comp", "bits")])
     bound = F.least(F.col("m") - F.col("pos"), F.col("m_s") - F.col("pos_s"))
     other = (F.col("comp") != F.col("comp_s")) & (~F.col("apart") | (F.col("node") < F.col("node_s")))
     near = _enough(F.col("n"), F.col("n_s"), percent) & _overlaps(bound, F.col("n"), F.col("n_s"), percent) & _alike(F.col("bits"), F.col("bits_s"), F.col("n"), F.col("n_s"), percent)
-    keys = rest.withColumnRenamed("key", "other_key")
-    met = one.join(keys, (F.col("key") == F.col("other_key")) & other & near)
-    pairs = written(met.select(F.least("node", "node_s").alias("a"), F.greatest("node", "node_s").alias("b")).distinct(), "jaccard-pairs")
+    met = one.join(rest.withColumnRenamed("key", "other_key"), (F.col("key") == F.col("other_key")) & other & near)
+    return met.select(F.least("node", "node_s").alias("a"), F.greatest("node", "node_s").alias("b"))
+
+
+def _links(nodes: DataFrame, percent: int) -> DataFrame:
+    """Enough links (a, b) between ``nodes`` to join all nodes that links reach."""
+    posts = written(_posts(nodes, percent), "jaccard-posts")
+    links = written(_star(posts, nodes, percent), "jaccard-links")
+    rest = _mixed_keys(_labelled(posts, components(links)))
+    pairs = written(_met_again(rest, nodes, percent).distinct(), "jaccard-pairs")
     return links.unionByName(_verified(pairs, nodes, percent))
 
 
@@ -244,16 +246,17 @@ def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     if not 50 < percent <= 100:
         raise ValueError("the similarity is above 50 and at most 100 percent")
     docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType
-    ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    made = ids.mapInPandas(_indexing(k, percent), "doc_id string, text_hash long, sig binary, n long, least int, keys array<long>")
-    index = written(made.withColumn("doc_id", F.col("doc_id").cast(kind)), "jaccard-index")
+    made = map_ids(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), _indexing(k, percent), "text_hash long, sig binary, n long, least int, keys array<long>")
+    index = written(made, "jaccard-index")
     full = index.filter("n > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     # numbered as they are written; all later reads see the same numbers
     nodes = written(full.groupBy("sig").agg(first.alias("rep"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    may = written(_partners(full, docs, nodes, k, percent), "jaccard-may")
-    label = components(written(_links(may, percent), "jaccard-links"))
+    with scratch_of(docs.sparkSession, keep=1):
+        may = written(_partners(full, docs, nodes, k, percent), "jaccard-may")
+    with scratch_of(docs.sparkSession, keep=1):
+        links = written(_links(may, percent), "jaccard-links")
+    label = components(links)
     marked = nodes.join(label.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").withColumn("label", F.coalesce("label", "node"))
     least = marked.groupBy("label").agg(F.min("rep").alias("first"))
     of = written(marked.join(least, "label").select("sig", "copies", "first"), "jaccard-of")
