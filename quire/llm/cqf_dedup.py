@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, spread_join, written
+from .common import WS, spread_join, without_rows, written
 
 #: Fingerprints have QUOTIENT_BITS + REMAINDER_BITS bits; runs travel in blocks of 2 ** (QUOTIENT_BITS - BLOCK_BITS) quotients.
 QUOTIENT_BITS, REMAINDER_BITS, BLOCK_BITS = 20, 32, 12
@@ -107,18 +107,12 @@ def _groups(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stay, with all their columns; of wholly repeated rows one stays.
+    """Rows of ``docs`` (doc_id, text) that stay, with all their columns; of wholly repeated rows one stays.
 
-    Rows that go are known by doc_id and a hash of their text, so the texts meet a narrow table.
+    Null and empty texts, and texts of white space alone, are copies of each other. A null doc_id
+    loses ties. Rows that go are known by doc_id and a hash of their text, so the texts meet a
+    narrow table. Extra columns may have any names. An empty table gives none.
     """
     marks = _groups(docs).groupBy("doc_id", "text_hash").agg(F.bool_or("kept").alias("kept"), F.count_if(~F.col("kept")).alias("others"))
-    marks = written(marks.filter("not kept or others > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept"), "dedup-gone")
-    key = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    left = docs.join(marks.filter("not kept").drop("kept"), key, "left_anti")
-    again = written(marks.filter("kept").drop("kept"), "dedup-again")
-    if again.isEmpty():
-        return left
-    # rows that are repeated as a whole: one of them stays
-    number = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))
-    once = left.join(again, key).withColumn("_number", number).filter("_number = 1").select(docs.columns)
-    return left.join(again, key, "left_anti").unionByName(once)
+    marks = written(marks.filter("not kept or others > 0"), "dedup-marks")
+    return without_rows(docs, marks.filter("not kept"), marks.filter("kept"))
