@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, let, words_of, written
+from .common import WS, let, without_rows, words_of, written
 
 WINDOW = 8
 FEATURES = ("word_length", "symbol_share", "dup_line_share", "repeat_share")
@@ -176,6 +176,11 @@ def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = M
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` that the quality rules keep, with all their columns."""
-    bad = written(quality_verdicts(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct(), "quality-rejected")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs["text"]) == bad["_bad_hash"]), "left_anti")
+    """Rows of ``docs`` (doc_id, text, lang, source) that the quality rules keep, with all their columns.
+
+    Null and empty texts go, as they fail the base rules; repeated rows stay or go together; extra
+    columns may have any names; an empty table gives none.
+    """
+    bad = quality_verdicts(docs, **options).filter(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    bad = written(bad, "quality-rejected")
+    return without_rows(docs, bad, bad.limit(0))
