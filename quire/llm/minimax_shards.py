@@ -121,8 +121,8 @@ def minimax_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     key = F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("null"))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     rows = written(docs.select("doc_id", size.alias("size"), crc32_of(F.col("text")).alias("text_crc32"), key.alias("key"), salt.alias("salt")), "shard-rows")
-    groups = rows.groupBy("key").agg(F.sum("size").alias("size")).withColumn("range", F.pmod(F.conv(F.substring("key", 1, 3), 16, 10).cast("int"), F.lit(RANGES)))
-    groups = written(groups.withColumn("range", F.coalesce(F.col("range"), F.lit(RANGES))), "shard-groups")
+    groups = rows.groupBy("key").agg(F.sum("size").alias("size")).withColumn("range", F.when(F.col("key") == "null", RANGES).otherwise(F.conv(F.substring("key", 1, 3), 16, 10).cast("int")))
+    groups = written(groups, "shard-groups")
     sums = groups.groupBy("range").agg(F.sum("size").alias("sum"), F.max("size").alias("largest"))
     starts = sums.withColumn("start", F.coalesce(F.sum("sum").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most RANGES + 1 rows
     running = F.sum("size").over(Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
