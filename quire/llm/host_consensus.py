@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_ids, small, written
 
 #: Share of a host's votes from which a path wins; so a host has at most five.
 SHARE = 0.2
@@ -34,6 +34,8 @@ FURNITURE = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert nav navbar navigation menu menus breadcrumb breadcrumbs "
     "header masthead topbar footer foot sidebar side aside widget widgets related recommended share sharing social comment comments disqus reply replies newsletter subscribe subscription signup login popup modal overlay form search pagination pager skip hidden".split()
 )
+#: Names of reader comments, which may stand in an article element of their own.
+COMMENTS = set("comment comments disqus reply replies".split())
 #: Words before one of FURNITURE in a name that tells of a state of the page: has-sidebar, no-comments.
 STATES = set("has have with without no not hide show is".split())
 MAIN = set("article content main post entry story body text page".split())
@@ -57,11 +59,11 @@ def _element(tag: str, raw: str, parent: Element | None) -> Element:
     parts = [[w for w in re.split(r"[^a-z]+", n) if w] for n in [*classes, *names.get("id", "").lower().split()]]
     words = {w for ws in parts for w in ws}
     hidden = "hidden" in names or names.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", names.get("style", ""), re.I)
-    marked = [] if tag in ("html", "body", "main", "article") else [ws for ws in parts if not STATES & set(ws[:-1]) and FURNITURE & set(ws)]
-    furniture = any(FURNITURE.issuperset(ws) for ws in marked)
+    marked = [] if tag in ("html", "body") else [ws for ws in parts if not STATES & set(ws[:-1]) and FURNITURE & set(ws)]
+    furniture = any(FURNITURE.issuperset(ws) for ws in marked) and (tag not in ("main", "article") or bool(COMMENTS & words))
     skip = bool(parent and parent.skip) or tag in SKIPPED or furniture or bool(hidden) or names.get("role", "").lower() in ROLES
     step = tag + "".join(f".{c}" for c in sorted({re.sub(r"\d+", "#", c) for c in classes}))
-    return Element(tag, f"{parent.path}>{step}" if parent else step, skip, words, bool(marked) and not furniture)
+    return Element(tag, f"{parent.path}>{step}" if parent else step, skip, words, bool(marked) and not furniture and tag not in ("main", "article"))
 
 
 def blocks(page: str) -> list[tuple[list[Element], str, int]]:
@@ -94,8 +96,9 @@ def _blocks(page: str) -> Iterator[tuple[list[Element], str, int]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
-            if text and not (stack and stack[-1].skip):
-                yield [e for e in stack if e.tag not in INLINE], text, linked
+            open_ = [e for e in stack if e.tag not in INLINE]
+            if text and not (open_ and open_[-1].skip):
+                yield open_, text, linked
             linked = 0
 
     def text(s: str) -> None:
@@ -146,8 +149,6 @@ def _blocks(page: str) -> Iterator[tuple[list[Element], str, int]]:
             e = _element(tag, m[3], was)
             e.skip = e.skip or e.doubt
             inside = Element(tag, was.path if was else "", e.skip, set())
-            if e.skip and not (was and was.skip):
-                yield from block()
             stack.append(inside)
             links += tag == "a"
         else:
@@ -238,6 +239,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     not looked at. Blocks are split at block elements and at <br>.
     """
     won = written(winning_paths(pages), "host-paths")
-    kind = pages.schema["page_id"].dataType.simpleString()
     own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    return own.join(won, "host", "left").select("page_id", "url", "html", "paths").mapInPandas(_extract, f"page_id {kind}, url string, text string, n_chars long")
+    return map_ids(own.join(small(won), "host", "left").select("page_id", "url", "html", "paths"), _extract, "url string, text string, n_chars long", "page_id")
