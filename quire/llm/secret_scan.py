@@ -16,7 +16,11 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import map_ids
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -40,6 +44,8 @@ COMMON = (
     "january february march april may june july august september october november december red blue green black white apple orange"
 ).split()
 RANK = {w: i + 1 for i, w in enumerate(COMMON)}
+#: Most words that are learnt from the documents and broadcast with the scan: 1 MB.
+LEARNT = 20_000
 # fixed values: rows of a keyboard, and letters that signs stand for
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4310!5$7+8", "aaeioissttb")
@@ -51,7 +57,7 @@ def _char_cost(c: str) -> float:
     return 1.0 if c.isdigit() else 1.2 if c.islower() else 1.3 if c.isupper() else 1.5
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
     """log10 of the guesses of the cheapest segmentation of ``value``; 0 for an empty one."""
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
@@ -64,9 +70,9 @@ def guess_cost(value: str) -> float:
 
         best[i + 1] = min(best[i + 1], best[i] + _char_cost(value[i]))
         for j in range(i + 3, min(n, i + SPAN) + 1):
-            rank, extra = RANK.get(low[i:j]), 0.0
+            rank, extra = ranks.get(low[i:j]), 0.0
             if rank is None:
-                rank, extra = RANK.get(plain[i:j]), 0.6
+                rank, extra = ranks.get(plain[i:j]), 0.6
             if rank is not None:
                 reach(j, math.log10(rank + 1) + extra + (0.3 if value[i:j] != low[i:j] else 0.0))
         j = i + 1
@@ -121,7 +127,7 @@ def is_prose(value: str) -> bool:
     return letters > 0 and 4 * spoken >= 3 * letters and 4 * letters >= 3 * len(value)
 
 
-def added_spans(text: str, low: str, base: list[tuple[str, int, int]], threshold: float) -> list[tuple[str, int, int]]:
+def added_spans(text: str, low: str, base: list[tuple[str, int, int]], threshold: float, ranks: dict[str, int] = RANK) -> list[tuple[str, int, int]]:
     """Values in credential contexts that no base span holds whole, are costly to guess and not prose."""
     if not any(h in low for h in HINTS):
         return []
@@ -130,28 +136,28 @@ def added_spans(text: str, low: str, base: list[tuple[str, int, int]], threshold
         a, value = m.start(1), m[1].rstrip(".,;:!?)]}")
         if any(s <= a and a + len(value) <= e for _, s, e in base):
             continue
-        if len(value) >= 8 and not is_prose(value) and guess_cost(value) >= threshold:
+        if len(value) >= 8 and not is_prose(value) and guess_cost(value, ranks) >= threshold:
             found.append(("guess", a, a + len(value)))
     return found
 
 
-def spans_of(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
+def spans_of(text: str | None, threshold: float = THRESHOLD, ranks: dict[str, int] = RANK) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets of a whole text, by start and kind; offsets in code points."""
     if not text:
         return []
     low = text.lower()
     base = base_spans(text, low)
-    return sorted(base + added_spans(text, low, base, threshold), key=lambda s: (s[1], KINDS.index(s[0])))
+    return sorted(base + added_spans(text, low, base, threshold, ranks), key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _scan(threshold: float) -> Callable:
+def _scan(threshold: float, ranks: dict[str, int]) -> Callable:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [spans_of(t if isinstance(t, str) else None, threshold) for t in batch["text"]]
+            found = [spans_of(t if isinstance(t, str) else None, threshold, ranks) for t in batch["text"]]
             base = [[s for s in f if s[0] != "guess"] for f in found]
             yield batch.drop(columns="text").assign(
                 **{f"n_{k}": [sum(s[0] == k for s in f) for f in found] for k in KINDS},
@@ -162,19 +168,30 @@ def _scan(threshold: float) -> Callable:
     return scan
 
 
+def learnt_ranks(docs: DataFrame, most: int = LEARNT) -> dict[str, int]:
+    """Ranks of words: the fixed ones first, then the ``most`` most frequent words of three to ``SPAN``
+    letters a-z, in any case, of all ``docs`` (text) that at least three of them have."""
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("word")
+    counts = docs.select(word).filter(F.length("word") <= SPAN).groupBy("word").agg(F.count("*").alias("n")).filter("n >= 3")
+    found = counts.orderBy(F.desc("n"), "word").limit(most).collect()  # at most ``most`` words
+    ranks = dict(RANK)
+    for r in found:
+        ranks.setdefault(r["word"], len(ranks) + 1)
+    return ranks
+
+
 def scan_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans for each row of ``docs`` (doc_id, text).
 
     Null and empty texts have no spans; repeated rows are scanned each; an empty table gives no
     rows; other columns are not looked at. Spans of one start are in order of their kind.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(_scan(threshold), f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
+    return map_ids(docs.select("doc_id", "text"), _scan(threshold, learnt_ranks(docs)), "n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
 
 
-def masked(text: str | None, threshold: float = THRESHOLD) -> str | None:
+def masked(text: str | None, threshold: float = THRESHOLD, ranks: dict[str, int] = RANK) -> str | None:
     """The text with each run of spans replaced by ``[SECRET]``."""
-    spans = spans_of(text, threshold)
+    spans = spans_of(text, threshold, ranks)
     if not text or not spans:
         return text
     out, at = [], 0
@@ -186,14 +203,20 @@ def masked(text: str | None, threshold: float = THRESHOLD) -> str | None:
 
 
 def mask_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the secrets of ``text`` masked and ``n_chars`` set to its new length (0 for null)."""
+    """``docs`` with the secrets of ``text`` masked and ``n_chars`` set to its new length (0 for null).
 
-    def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [masked(t if isinstance(t, str) else None, threshold) for t in batch["text"]]
-            batch["text"] = texts
-            if "n_chars" in batch:
-                batch["n_chars"] = [len(t or "") for t in texts]
-            yield batch
+    Null and empty texts stay as they are; repeated rows are masked each; other columns, whatever
+    their names, types and nulls, pass as Arrow columns untouched; an empty table gives none.
+    """
+    ranks = learnt_ranks(docs)
 
-    return docs.mapInPandas(mask, docs.schema)
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [masked(t, threshold, ranks) for t in batch.column("text").to_pylist()]
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            columns["text"] = pa.array(texts, batch.schema.field("text").type)
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(t or "") for t in texts], batch.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
+
+    return docs.mapInArrow(mask, docs.schema)
