@@ -14,31 +14,46 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_ids
+
 #: Hash buckets, lengths of n-grams, and the most languages that the broadcast table may hold (64 MB).
 BUCKETS, LENGTHS, MOST_LANGUAGES = 1 << 16, (2, 3), 256
 UNKNOWN = "und"
-#: Characters that are hashed at once.
-CHARS = 1 << 20
+#: Characters that are hashed at once, and numbers that are gathered at once from the table.
+CHARS, GATHERED = 1 << 20, 1 << 22
+#: n-grams beyond which a longer text is no more certain: its score is the posterior at this length.
+SCORED = 40
 
 
-def _ngrams(text: str) -> np.ndarray:
-    """Buckets of all n-grams of a text in lower case, padded with a space at both ends."""
+def _ngrams(text: str, chars: int = CHARS) -> Iterator[np.ndarray]:
+    """Buckets of all n-grams of a text in lower case, padded with a space at both ends; those that
+    start in the same ``chars`` characters at a time, so that a text of any length has the same ones."""
     x = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = []
-    for n in LENGTHS:
-        if len(x) >= n:
-            h = np.full(len(x) - n + 1, n, np.uint32)
-            for i in range(n):
-                h = (h ^ x[i : len(x) - n + 1 + i]) * np.uint32(0x01000193)
-                h ^= h >> np.uint32(15)
-            out.append((h * np.uint32(0x9E3779B1)) >> np.uint32(16))
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
-
-
-def _slices(text: str) -> Iterator[str]:
-    """A text in slices that overlap by no n-gram more than at their padded ends."""
-    for at in range(0, max(1, len(text)), CHARS):
-        yield text[at : at + CHARS]
+    for at in range(0, len(x), chars):
+        out = []
+        for n in LENGTHS:
+            part = x[at : at + chars + n - 1]
+            if len(part) >= n:
+                h = np.full(len(part) - n + 1, n, np.uint32)
+                for i in range(n):
+                    h = (h ^ part[i : len(part) - n + 1 + i]) * np.uint32(0x01000193)
+                    h ^= h >> np.uint32(15)
+                out.append((h * np.uint32(0x9E3779B1)) >> np.uint32(16))
+        if out:
+            yield np.concatenate(out)
+
+
+def _sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of n-grams of each text of a batch as a sparse matrix: row, bucket and count of each
+    entry, in order of rows."""
+    rows, buckets, counts = [], [], []
+    for i, text in enumerate(texts):
+        parts = [np.unique(g, return_counts=True) for g in _ngrams(text)]
+        for b, c in parts:
+            rows.append(np.full(len(b), i, np.int64))
+            buckets.append(b)
+            counts.append(c)
+    return (np.concatenate(rows), np.concatenate(buckets), np.concatenate(counts)) if rows else (np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.int64))
 
 
 def _counting(languages: list[str]) -> Callable:
@@ -57,10 +72,10 @@ def _counting(languages: list[str]) -> Callable:
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
                 i = place[lang]
                 docs[i] += 1
-                for part in _slices(text):
-                    held[i].append(_ngrams(part))
-                if sum(map(len, held[i])) > CHARS:
-                    flush(i)
+                for part in _ngrams(text):
+                    held[i].append(part)
+                    if sum(map(len, held[i])) > CHARS:
+                        flush(i)
         for i in range(len(languages)):
             flush(i)
         lang, bucket = np.nonzero(total)
@@ -85,30 +100,49 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     return languages, np.log(counts + 0.5) - np.log((counts + 0.5).sum(axis=0)), np.log(np.maximum(docs, 1) / max(docs.sum(), 1))
 
 
+def _bounded(places: list[int], texts: list[str]) -> Iterator[list[int]]:
+    """Places of texts, as many at once as have CHARS characters in sum."""
+    some, size = [], 0
+    for i in places:
+        if some and size + len(texts[i]) > CHARS:
+            yield some
+            some, size = [], 0
+        some.append(i)
+        size += len(texts[i])
+    if some:
+        yield some
+
+
 def _predicting(languages: list[str], model) -> Callable:
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, prior = model.value
         for batch in batches:
-            names, scores = [], []
-            for text in batch["text"]:
-                if not languages or not isinstance(text, str) or not any(map(str.isalpha, text)):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                s = prior.copy()
-                for part in _slices(text):
-                    s += table[_ngrams(part)].sum(axis=0, dtype=np.float64)
-                best = int(np.argmax(s))  # the first of ties
-                names.append(languages[best])
-                scores.append(float(1 / np.exp(s - s[best]).sum()))
+            names, scores = [UNKNOWN] * len(batch), [0.0] * len(batch)
+            known = [i for i, t in enumerate(batch["text"]) if languages and isinstance(t, str) and any(map(str.isalpha, t))]
+            texts = batch["text"].tolist()
+            for some in _bounded(known, texts):
+                row, bucket, count = _sparse([texts[i] for i in some])
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                found = np.zeros((len(some), len(languages)))
+                for at in range(0, len(row), GATHERED // len(languages) + 1):
+                    cut = slice(at, at + GATHERED // len(languages) + 1)
+                    inside = np.unique(np.r_[at, first[(first >= at) & (first < cut.stop)]]) - at
+                    found[row[at + inside]] += np.add.reduceat(table[bucket[cut]].astype(np.float64) * count[cut, None], inside, axis=0)
+                size = np.bincount(row, weights=count, minlength=len(some))
+                found += prior
+                best = found.argmax(axis=1)  # the first of ties
+                off = (found - found.max(axis=1, keepdims=True)) * np.minimum(1.0, SCORED / np.maximum(size, 1))[:, None]
+                for i, b, s in zip(some, best, 1 / np.exp(off).sum(axis=1), strict=True):
+                    names[i], scores[i] = languages[b], float(s)
             yield batch.drop(columns="text").assign(lang_pred=names, score=scores)
 
     return predict
 
 
 def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score (posterior of the prediction) for each row of ``docs``
-    (doc_id, held_out, text), learnt from ``labelled`` (text, lang).
+    """doc_id, held_out, lang_pred and score for each row of ``docs`` (doc_id, held_out, text), learnt
+    from ``labelled`` (text, lang). The score is the posterior of the prediction, for texts of more than
+    SCORED n-grams that of an average part of them with so many.
 
     ``und`` with score 0 where a text is null, has no letter, or nothing was learnt. Ties go to the
     language first in order; repeated rows are judged alike; an empty table gives no rows. Other
@@ -116,5 +150,4 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """
     languages, table, prior = fit(labelled)
     model = docs.sparkSession.sparkContext.broadcast((table.astype(np.float32), prior))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "held_out", "text").mapInPandas(_predicting(languages, model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return map_ids(docs.select("doc_id", "held_out", "text"), _predicting(languages, model), "held_out boolean, lang_pred string, score double")
