@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_ids, written
 
 #: Code points of a chunk.
 CHUNK = 32_768
@@ -285,15 +285,14 @@ def encode_pieces(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     encoded each; an empty table gives no rows; other columns are not looked at.
     ``model`` is a path that every worker can read.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     long = F.length(F.coalesce("text", F.lit(""))) > chunk
-    small = docs.filter(~long).select("doc_id", "text").mapInPandas(_direct(model), f"doc_id {kind}, {OUT}")
+    small = map_ids(docs.filter(~long).select("doc_id", "text"), _direct(model), OUT)
     rows = docs.filter(long).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     reach = Pieces.load(model).longest
-    chunks = written(rows.mapInPandas(_split(reach, chunk), f"doc_id {kind}, row long, chunk int, inner int, body string").repartition("row", "chunk"), "pieces-chunks")
+    chunks = written(map_ids(rows, _split(reach, chunk), "row long, chunk int, inner int, body string").repartition("row", "chunk"), "pieces-chunks")
     matrices = chunks.select("row", "chunk", "inner", "body").mapInPandas(_matrices(model), "row long, chunk int, matrix array<double>")
     states = written(matrices.groupBy("row").applyInPandas(_states, "row long, chunk int, entry int, leave int"), "pieces-states")
-    large = chunks.join(states, ["row", "chunk"]).select("doc_id", "body", "inner", "chunk", "entry", "leave").mapInPandas(_backtrace(model, chunk), f"doc_id {kind}, {OUT}")
+    large = map_ids(chunks.join(states, ["row", "chunk"]).select("doc_id", "body", "inner", "chunk", "entry", "leave"), _backtrace(model, chunk), OUT)
     return small.unionByName(large)
 
 
@@ -307,5 +306,4 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
             texts = [p.decode(np.frombuffer(i or b"", "<u4").tolist()) for i in batch["ids"]]
             yield batch[["doc_id", "chunk"]].assign(text=[t[1:] if k == 0 else t for t, k in zip(texts, batch["chunk"], strict=True)])
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "chunk", "ids").mapInPandas(run, f"doc_id {kind}, chunk int, text string")
+    return map_ids(encoded.select("doc_id", "chunk", "ids"), run, "chunk int, text string")

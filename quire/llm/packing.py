@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_ids, written
 
 CAPACITY, END_ID = 1024, 2
 SALTS = 64
@@ -250,10 +250,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     capacity bounds the number.
     """
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("row"))
     salt = F.pmod(F.xxhash64("row", "piece"), F.lit(SALTS)).cast("int")
-    pieces = written(rows.mapInPandas(_cut(tokenizer, capacity, end_id), f"doc_id {kind}, row long, {PIECES}").withColumn("salt", salt), "pack-pieces")
+    pieces = written(map_ids(rows, _cut(tokenizer, capacity, end_id), f"row long, {PIECES}").withColumn("salt", salt), "pack-pieces")
     counts = written(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")), "pack-counts")
     by_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     fixed, rest = reduced(by_length, capacity)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_ids, written
 
 BLOCK = 64
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -133,10 +133,8 @@ CLOSE = "<|end|>\n"
 
 
 def _values(column: pd.Series) -> list:
-    """Values of a column with None for nulls; whole numbers that nulls made floats are whole again."""
-    if column.dtype.kind == "f":
-        return [None if v != v else int(v) for v in column.tolist()]
-    return column.tolist()
+    """Values of a column with None for nulls."""
+    return [None if isinstance(v, float) and v != v else v for v in column.tolist()]
 
 
 def _runs(batches: Iterator[pd.DataFrame], columns: list[str], keys: int) -> Iterator[list[tuple]]:
@@ -209,13 +207,12 @@ def repair_conversations(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     keep, relabel, merge and insert wins. An empty table gives no rows; other columns are not
     looked at.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
     number = F.coalesce(F.floor(F.col("turn") / block).cast("long"), F.lit(-1 << 62))
     rows = turns.select("conv_id", "turn", "role", "text", number.alias("block"))
     dealt = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
-    matrices = dealt.select("conv_id", "block", "role").mapInPandas(_matrices, f"conv_id {kinds['conv_id']}, block long, matrix array<double>")
-    states = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInPandas(_states, f"conv_id {kinds['conv_id']}, block long, entry int, leave int, last boolean")
+    matrices = map_ids(dealt.select("conv_id", "block", "role"), _matrices, "block long, matrix array<double>", "conv_id")
+    states = map_ids(matrices.repartition("conv_id").sortWithinPartitions("conv_id", "block"), _states, "block long, entry int, leave int, last boolean", "conv_id")
     known = written(states.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "entry", "leave", "last"), "chat-states")
     joined = rows.join(known, rows["conv_id"].eqNullSafe(known["c"]) & (rows["block"] == known["b"])).drop("c", "b")
     again = joined.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
-    return again.mapInPandas(_render, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, block long, role string, action string, new_role string, n_inserted int, cost double, rendered string")
+    return map_ids(again, _render, "block long, role string, action string, new_role string, n_inserted int, cost double, rendered string", "conv_id", "turn")
