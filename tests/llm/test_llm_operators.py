@@ -554,9 +554,9 @@ def test_language_scores_match_plain_bayes(spark):
     texts = ["und der", "of the", "que les", "zzz"]
     df = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
     out = {r.doc_id: (r.lang_pred, r.score) for r in identify(df, spark.createDataFrame(train, "text string, lang string")).collect()}
-    counts = {lang: Counter(_ngrams(t).tolist()) for t, lang in train}
+    counts = {lang: Counter(np.concatenate(list(_ngrams(t))).tolist()) for t, lang in train}
     for i, t in enumerate(texts):
-        s = {lang: math.log(1 / 3) + sum(math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * BUCKETS)) for g in _ngrams(t).tolist()) for lang, c in counts.items()}
+        s = {lang: math.log(1 / 3) + sum(math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * BUCKETS)) for g in np.concatenate(list(_ngrams(t))).tolist()) for lang, c in counts.items()}
         best = min(s, key=lambda x: (-s[x], x))
         assert out[i][0] == best and abs(out[i][1] - 1 / sum(math.exp(v - s[best]) for v in s.values())) < 1e-4
 
