@@ -25,8 +25,13 @@ def auto_anchors(candidates: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def bundle_text_pages(requests: DataFrame) -> DataFrame:
-    """Pages of each request (bundle_id, mode, page_count, anchor_page) by mode none, all or anchor_pages."""
-    pages = F.when(F.col("mode") == "all", F.sequence(F.lit(0), F.col("page_count") - 1)).when(F.col("mode") == "anchor_pages", F.array("anchor_page"))
+    """Pages of each request (bundle_id, mode, page_count, anchor_page and, for ``ranges``, an array of
+    structs first, last) by mode none, all, anchor_pages or ranges; a range ends with the last page."""
+    last = F.col("page_count") - 1
+    pages = F.when(F.col("mode") == "all", F.sequence(F.lit(0), last)).when(F.col("mode") == "anchor_pages", F.array("anchor_page"))
+    if "ranges" in requests.columns:
+        span = lambda r: F.when(r["first"] <= F.least(r["last"], last), F.sequence(r["first"], F.least(r["last"], last))).otherwise(F.array().cast("array<int>"))
+        pages = pages.when(F.col("mode") == "ranges", F.flatten(F.transform("ranges", span)))
     return requests.select("bundle_id", F.explode(pages).alias("page_index")).distinct()
 
 

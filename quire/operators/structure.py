@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import not_body
@@ -62,6 +62,85 @@ def headings(blocks: DataFrame) -> DataFrame:
     return folded.select("version_id", F.col("h.p").alias("p"), F.col("h.page_index").alias("page_index"), F.col("h.text").alias("title"), F.size("h.number").alias("level"), F.col("h.number").alias("number"))
 
 
+# fixed values: headings that have no number
+NAMED = (
+    "abstract", "introduction", "related work", "background", "conclusions?", "discussion", "references", "bibliography", "acknowledge?ments?",
+    "초록", "요약", "서론", "결론", r"참고\s*문헌",
+)
+NUMBERED = r"^(\d{1,2}(?:\.\d{1,2}){0,3})\.?\s+(\S.*)$"
+ROMAN = r"^(X{0,3}(?:IX|IV|V?I{0,3}))\.\s+(\S.*)$"
+LETTERED = r"^([A-Z])\.\s+(\S.*)$"
+APPENDED = r"^[A-Z](?:\.\d{1,2}){1,3}\.?\s+(\S.*)$"
+UNNUMBERED = r"(?i)^(?:(?:[A-Z]\.?\s+)?(?:appendix|appendices)\b.*|(?:" + "|".join(NAMED) + r")\s*:?)$"
+#: Most words and characters of a heading, and by how much a number may jump beyond the next one.
+HEADING_WORDS, HEADING_CHARS, HEADING_JUMP = 12, 120, 2
+
+
+def _is_short(x: Column) -> Column:
+    return (F.length(x) <= HEADING_CHARS) & (F.size(F.split(x, r"\s+")) <= HEADING_WORDS)
+
+
+def _is_title(x: Column) -> Column:
+    """Begins with a letter that is not a small one, has two letters and no full stop at its end."""
+    return x.rlike(r"^[\p{Lu}\p{Lt}\p{Lo}\p{Lm}]") & (F.length(F.regexp_replace(x, r"\P{L}+", "")) >= 2) & ~x.endswith(".")
+
+
+def _in_title_case(x: Column) -> Column:
+    """Words of more than three characters begin with a capital, if with a letter."""
+    return F.forall(F.split(x, r"\s+"), lambda w: (F.length(w) <= 3) | ~w.rlike(r"^\p{L}") | w.rlike(r"^\p{Lu}"))
+
+
+def outline(blocks: DataFrame) -> DataFrame:
+    """Headings of all kinds in order: (version_id, p, page_index, title, level).
+
+    Numbered ones (also wrapped over lines, or run in before a paragraph) rise above the last accepted
+    number, with a jump of at most two in its first part; sections with Roman numbers in capitals and
+    their lettered subsections follow one another likewise; numbered appendices and named headings
+    stand by themselves. All but numbered ones are one short line; a column ``lines`` tells the lines of a
+    block, one if it is absent. Candidates are told in the row; the fold sees only those of a version.
+    """
+    text = F.trim("text")
+    single = (F.coalesce("lines", F.lit(1)) if "lines" in blocks.columns else F.lit(1)) == 1
+    rest = F.regexp_extract(text, NUMBERED, 2)
+    run_in = F.regexp_extract(rest, r"^(.*?)[.:]\s", 1)
+    whole = single | (_is_short(text) & _is_title(rest) & _in_title_case(rest))
+    head = F.when(whole, rest).when((run_in != "") & _in_title_case(run_in), run_in)
+    b = blocks.select("version_id", "p", "page_index", text.alias("text"), single.alias("single"), text.rlike(NUMBERED).alias("has_number"), rest.alias("rest"), head.alias("head"))
+    col, alone = F.col, ~F.col("has_number") & F.col("single") & _is_short(F.col("text"))
+    number = F.when(col("has_number") & _is_short(col("head")) & _is_title(col("head")), F.transform(F.split(F.regexp_extract("text", NUMBERED, 1), r"\."), lambda x: x.cast("int")))
+    roman, capitals = F.regexp_extract("text", ROMAN, 1), F.regexp_extract("text", ROMAN, 2)
+    ones = F.array(*map(F.lit, ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")))
+    value = 10 * F.length(F.regexp_extract(roman, "^(X*)", 1)) + F.array_position(ones, F.regexp_replace(roman, "^X+", "")) - 1
+    section = F.when(alone & (roman != "") & _is_title(capitals) & (capitals == F.upper(capitals)), value.cast("int"))
+    appended, unnumbered = col("text").rlike(APPENDED), col("text").rlike(UNNUMBERED)
+    dots = F.length(F.regexp_replace(F.regexp_extract("text", r"^(\S+)", 1), r"[^.]", ""))
+    fixed = F.when(alone, F.when(appended, F.when(_is_title(F.regexp_extract("text", APPENDED, 1)), dots + 1)).when(unnumbered, F.lit(1)))
+    letter = F.when(alone & ~appended & ~unnumbered & _is_title(F.regexp_extract("text", LETTERED, 2)), F.ascii("text") - 64)
+    title = F.when(col("has_number"), F.concat(F.expr("substr(text, 1, length(text) - length(rest))"), "head")).otherwise(col("text"))
+    title = F.regexp_replace(title, r":*\s*$", "")
+    h = b.select("version_id", F.struct("p", "page_index", title.alias("title"), number.alias("number"), section.alias("section"), fixed.cast("int").alias("fixed"), letter.cast("int").alias("letter")).alias("h"))
+    found = h.filter("h.number is not null or h.section is not null or h.fixed is not null or h.letter is not null")
+    zero = F.struct(F.array(F.lit(0)).alias("last"), F.lit(0).alias("section"), F.lit(0).alias("letter"), F.array().cast("array<struct<p:int,page_index:int,title:string,level:int>>").alias("kept"))
+
+    def step(a, h):
+        def to(level, **new):
+            return F.struct(*[new.get(n, a[n]).alias(n) for n in ("last", "section", "letter")], F.concat(a["kept"], F.array(F.struct(h["p"].alias("p"), h["page_index"].alias("page_index"), h["title"].alias("title"), level.alias("level")))).alias("kept"))
+
+        rises = (h["number"] > a["last"]) & (h["number"][0] <= a["last"][0] + HEADING_JUMP)
+        follows = lambda x, last: (x > last) & (x <= last + HEADING_JUMP)
+        return (
+            F.when(h["number"].isNotNull() & rises, to(F.size(h["number"]), last=h["number"]))
+            .when(h["number"].isNotNull(), a)
+            .when(follows(h["section"], a["section"]), to(F.lit(1), section=h["section"], letter=F.lit(0)))
+            .when(h["fixed"].isNotNull(), to(h["fixed"]))
+            .when((a["section"] > 0) & follows(h["letter"], a["letter"]), to(F.lit(2), letter=h["letter"]))
+            .otherwise(a)
+        )
+
+    g = found.groupBy("version_id").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    return g.select("version_id", F.explode(F.aggregate("hs", zero, step, lambda a: a["kept"])).alias("r")).select("version_id", "r.*")
+
+
 def section_paths(blocks: DataFrame, found: DataFrame) -> DataFrame:
     """The section path of each block: at a heading of level L the path is cut to L - 1 titles and
     its own is added; it holds until the next heading."""
@@ -200,11 +279,30 @@ def neighbours(blocks: DataFrame) -> DataFrame:
 
 
 def title_from_blocks(blocks: DataFrame) -> DataFrame:
-    """The largest block of the first page's top half if it is 1.15 times the weighted median size."""
+    """The title of each version from its first page: the largest candidate, the first of equals, if it is
+    1.15 times the weighted median size, with neighbours of its size (within 0.5), those before it
+    first, three blocks in all. Candidates begin in the top half, are a fifth of the page wide and have two
+    words. Footnote marks behind it go; a title above 300 characters is none."""
     first = blocks.filter("page_index = 0")
     median = weighted_median(body_blocks(first).withColumn("chars", F.length("text")), ["version_id"], "font_size", "chars")
-    top = body_blocks(first).filter((F.col("y0") < 0.5) & (F.size(F.split("text", " ")) >= 2)).groupBy("version_id").agg(F.min_by(F.struct("font_size", "text"), F.struct(-F.col("font_size"), F.col("p"))).alias("t"))
-    return top.join(median, "version_id").filter(F.col("t.font_size") >= 1.15 * F.col("median")).select("version_id", F.substring("t.text", 1, 300).alias("title"))
+    body = (F.trim("text") != "") & ~F.coalesce(not_body(F.col("quality_flags")), F.lit(False))
+    words = F.size(F.regexp_extract_all("text", F.lit(r"(\p{L}{2,})"), F.lit(1)))
+    can = F.coalesce(body & (F.col("y0") < 0.5) & (F.col("x1") - F.col("x0") >= 0.2) & (words >= 2) & F.col("font_size").isNotNull(), F.lit(False))
+    page = first.groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("p", "text", "font_size", can.alias("can")))).alias("bs"))
+    page = page.withColumn("best", F.array_max(F.transform(F.filter(F.transform("bs", lambda x, i: F.struct(x["font_size"].alias("size"), (-i).alias("at"), x["can"].alias("can"))), lambda x: x["can"]), lambda x: F.struct(x["size"].alias("size"), x["at"].alias("at")))))
+    at, size = -F.col("best.at"), F.col("best.size")
+
+    def same(offset: int) -> Column:
+        x = F.get("bs", at + offset)
+        return F.coalesce((at + offset >= 0) & x["can"] & (F.abs(x["font_size"] - size) <= 0.5), F.lit(False))
+
+    before = F.when(same(-1) & same(-2), 2).when(same(-1), 1).otherwise(0)
+    behind = F.when(same(1) & same(2), 2).when(same(1), 1).otherwise(0)
+    page = page.filter("best is not null").withColumns({"before": before, "behind": F.least(behind, 2 - before)})
+    parts = F.transform(F.slice("bs", at + 1 - F.col("before"), F.col("before") + 1 + F.col("behind")), lambda x: F.trim(F.regexp_replace(x["text"], r"\s+", " ")))
+    title = F.trim(F.regexp_replace(F.array_join(parts, " "), r"[*∗†‡§¶]+$", ""))
+    found = page.join(median, "version_id").filter(size >= 1.15 * F.col("median")).select("version_id", title.alias("title"))
+    return found.filter(F.length("title").between(1, 300))
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import structure as S
 from ..sources import adapters as A
 from ..sources.adapters_sql import with_tables
-from .structure_queries import NOT_BODY_SQL
+from .structure_queries import NOT_BODY_SQL, TITLE_SQL
 
 NAMES = ", ".join(f"'{n}'" for n in S.OPERATOR_NAMES)
 SIGN = S.MATH_SIGN
@@ -86,8 +86,8 @@ def more_queries() -> dict:
         ),
         "repair_titles": (
             lambda x, d: S.repair_titles(A.papers(x, d).withColumn("title", F.when(F.col("paper_id") % 3 == 0, F.lit("paper_final.pdf")).otherwise(F.col("title"))), S.title_from_blocks(b(x, d))).select("paper_id", "title"),
-            with_tables("blocks", "papers", more=f"f AS (SELECT * FROM blocks WHERE page_index = 0 AND NOT {NOT_BODY_SQL} AND trim(text) <> ''), h AS (SELECT version_id, font_size, sum(length(text)) AS w FROM f GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY version_id ORDER BY font_size) AS run, sum(w) OVER (PARTITION BY version_id) AS total FROM h), m AS (SELECT version_id, min(font_size) AS median FROM r WHERE 2 * run >= total GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY font_size DESC, p) AS k FROM f WHERE y0 < 0.5 AND len(string_split(text, ' ')) >= 2), found AS (SELECT version_id, substr(text, 1, 300) AS found FROM t JOIN m USING (version_id) WHERE k = 1 AND font_size >= 1.15::DOUBLE * median), p AS (SELECT paper_id, version_id, CASE WHEN paper_id % 3 = 0 THEN 'paper_final.pdf' ELSE title END AS title FROM papers)",
-                        body="SELECT paper_id, CASE WHEN title IS NULL OR NOT regexp_matches(trim(title), '\\s') OR regexp_matches(title, '(?i)\\.(?:pdf|docx?|tex|ps|dvi|indd)$') THEN coalesce(found, title) ELSE title END AS title FROM p LEFT JOIN found USING (version_id)"),
+            with_tables("blocks", "papers", more=TITLE_SQL.format(src="blocks") + ", found AS (SELECT version_id, title AS found FROM titled), pp AS (SELECT paper_id, version_id, CASE WHEN paper_id % 3 = 0 THEN 'paper_final.pdf' ELSE title END AS title FROM papers)",
+                        body="SELECT paper_id, CASE WHEN title IS NULL OR NOT regexp_matches(trim(title), '\\s') OR regexp_matches(title, '(?i)\\.(?:pdf|docx?|tex|ps|dvi|indd)$') THEN coalesce(found, title) ELSE title END AS title FROM pp LEFT JOIN found USING (version_id)"),
         ),
         "paper_identifiers": (
             lambda x, d: S.paper_identifiers(_arxiv_papers(x, d), _arxiv_blocks(x, d)),

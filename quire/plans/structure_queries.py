@@ -51,6 +51,52 @@ def two_column(b):
     return b.withColumns({"x0": F.when(odd & right, 0.52).otherwise(F.col("x0")), "x1": F.when(odd & left, 0.48).otherwise(F.col("x1"))})
 
 
+TITLE_SQL = rf"""f AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY p) AS i, trim(text) <> '' AND NOT {NOT_BODY_SQL} AS body FROM {{src}} WHERE page_index = 0),
+  h AS (SELECT version_id, font_size, sum(length(text)) AS w FROM f WHERE body GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY version_id ORDER BY font_size) AS run, sum(w) OVER (PARTITION BY version_id) AS total FROM h), m AS (SELECT version_id, min(font_size) AS median FROM r WHERE 2 * run >= total GROUP BY ALL),
+  cn AS (SELECT *, body AND y0 < 0.5 AND x1 - x0 >= 0.2 AND len(regexp_extract_all(text, '\p{{{{L}}}}{{{{2,}}}}')) >= 2 AS can FROM f), bt AS (SELECT version_id, arg_min(i, (-font_size, i)) AS best_i, max(font_size) AS size FROM cn WHERE can GROUP BY 1),
+  ok AS (SELECT cn.version_id, i - best_i AS o, text, size FROM cn JOIN bt USING (version_id) WHERE can AND abs(font_size - size) <= 0.5 AND abs(i - best_i) <= 2),
+  sp AS (SELECT version_id, any_value(size) AS size, CASE WHEN bool_or(o = -1) THEN 1 + bool_or(o = -2)::INT ELSE 0 END AS before, CASE WHEN bool_or(o = 1) THEN 1 + bool_or(o = 2)::INT ELSE 0 END AS behind FROM ok GROUP BY 1),
+  tt AS (SELECT version_id, trim(regexp_replace(string_agg(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ' ORDER BY o), '[*∗†‡§¶]+$', '')) AS title FROM ok JOIN sp USING (version_id) JOIN m USING (version_id) WHERE o BETWEEN -before AND least(behind, 2 - before) AND sp.size >= 1.15::DOUBLE * median GROUP BY 1),
+  titled AS (SELECT version_id, title FROM tt WHERE length(title) BETWEEN 1 AND 300)"""
+#: Blocks of which the second and third have the size of a title in some versions.
+SIZED = "sb AS (SELECT * REPLACE (CASE WHEN p = 1 AND version_id % 3 = 0 THEN 14.3 WHEN p = 2 AND version_id % 6 = 0 THEN 13.8 ELSE font_size END::DOUBLE AS font_size) FROM blocks)"
+
+
+def _sized(blocks):
+    p, v = F.col("p"), F.col("version_id")
+    return blocks.withColumn("font_size", F.when((p == 1) & (v % 3 == 0), 14.3).when((p == 2) & (v % 6 == 0), 13.8).otherwise(F.col("font_size")))
+
+
+def outlined(blocks):
+    """Blocks of which some are headings of each kind, some of two lines."""
+    k, n = (F.col("p") + F.col("version_id")) % 11, F.floor(F.col("p") / 11)
+    roman = F.element_at(F.array(*map(F.lit, ("I", "II", "III", "IV", "VI", "IX"))), (n % 6 + 1).cast("int"))
+    letter = F.element_at(F.array(*map(F.lit, "ABDC")), (n % 4 + 1).cast("int"))
+    text = (
+        F.when(k == 0, F.concat(roman, F.lit(". MAIN RESULTS"))).when(k == 2, F.concat(letter, F.lit(". Some Methods"))).when(k == 4, F.lit("Conclusion:"))
+        .when(k == 6, F.lit("B.1 More Proofs")).when(k == 8, F.concat((n + 1).cast("string"), F.lit(".1 Long Title. It runs into the text here"))).otherwise(F.col("text"))
+    )
+    return blocks.withColumns({"text": text, "lines": F.when(k == 8, 3).otherwise(1)})
+
+
+IS_TITLE = r"regexp_matches({0}, '^[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{Lm}}]') AND length(regexp_replace({0}, '\P{{L}}+', '', 'g')) >= 2 AND NOT ends_with({0}, '.')"
+IS_SHORT = r"length({0}) <= 120 AND len(regexp_split_to_array({0}, '\s+')) <= 12"
+IN_CASE = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: length(w) > 3 AND regexp_matches(w, '^\p{{L}}') AND NOT regexp_matches(w, '^\p{{Lu}}'))) = 0"
+OUTLINE = rf"""ob AS (SELECT version_id, p, page_index, trim(CASE (p + version_id) % 11 WHEN 0 THEN (['I', 'II', 'III', 'IV', 'VI', 'IX'])[p // 11 % 6 + 1] || '. MAIN RESULTS' WHEN 2 THEN (['A', 'B', 'D', 'C'])[p // 11 % 4 + 1] || '. Some Methods' WHEN 4 THEN 'Conclusion:' WHEN 6 THEN 'B.1 More Proofs' WHEN 8 THEN (p // 11 + 1) || '.1 Long Title. It runs into the text here' ELSE text END) AS text, (p + version_id) % 11 <> 8 AS single FROM blocks),
+  o1 AS (SELECT *, regexp_matches(text, '{S.NUMBERED}') AS num, regexp_extract(text, '{S.NUMBERED}', 2) AS rest, regexp_extract(text, '{S.ROMAN}', 1) AS roman, regexp_extract(text, '{S.ROMAN}', 2) AS caps, regexp_matches(text, '{S.APPENDED}') AS appended, regexp_matches(text, '{S.UNNUMBERED}') AS named FROM ob),
+  o2 AS (SELECT *, regexp_extract(rest, '^(.*?)[.:]\s', 1) AS run_in FROM o1),
+  o3 AS (SELECT *, CASE WHEN single OR ({IS_SHORT.format("text")} AND {IS_TITLE.format("rest")} AND {IN_CASE.format("rest")}) THEN rest WHEN run_in <> '' AND {IN_CASE.format("run_in")} THEN run_in END AS head, NOT num AND single AND {IS_SHORT.format("text")} AS alone FROM o2),
+  o4 AS (SELECT version_id, p, page_index, regexp_replace(CASE WHEN num THEN substr(text, 1, length(text) - length(rest)) || head ELSE text END, ':*\s*$', '') AS title,
+    CASE WHEN num AND {IS_SHORT.format("head")} AND {IS_TITLE.format("head")} THEN list_transform(string_split(regexp_extract(text, '{S.NUMBERED}', 1), '.'), lambda x: x::INT) END AS number,
+    CASE WHEN alone AND roman <> '' AND {IS_TITLE.format("caps")} AND caps = upper(caps) THEN 10 * length(regexp_extract(roman, '^X*')) + list_position(['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'], regexp_replace(roman, '^X+', '')) - 1 END AS section,
+    CASE WHEN alone AND appended THEN CASE WHEN {IS_TITLE.format(f"regexp_extract(text, '{S.APPENDED}', 1)")} THEN length(regexp_replace(regexp_extract(text, '^\S+'), '[^.]', '', 'g')) + 1 END WHEN alone AND named THEN 1 END AS fixed,
+    CASE WHEN alone AND NOT appended AND NOT named AND {IS_TITLE.format(f"regexp_extract(text, '{S.LETTERED}', 2)")} THEN ascii(text) - 64 END AS letter FROM o3),
+  o5 AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY p) AS k FROM o4 WHERE number IS NOT NULL OR section IS NOT NULL OR fixed IS NOT NULL OR letter IS NOT NULL),
+  ow AS (SELECT version_id, 0::BIGINT AS k, [0] AS last, 0 AS sec, 0 AS let, 0 AS level FROM (SELECT DISTINCT version_id FROM o5)
+    UNION ALL SELECT version_id, k, CASE WHEN how = 1 THEN number ELSE last END, CASE WHEN how = 2 THEN section ELSE sec END::INT, CASE WHEN how = 2 THEN 0 WHEN how = 4 THEN letter ELSE let END::INT, CASE how WHEN 1 THEN len(number) WHEN 2 THEN 1 WHEN 3 THEN fixed WHEN 4 THEN 2 ELSE 0 END::INT FROM (
+      SELECT o.version_id, o.k, last, sec, let, number, section, fixed, letter, CASE WHEN number IS NOT NULL THEN CASE WHEN number > last AND number[1] <= last[1] + 2 THEN 1 ELSE 0 END WHEN section > sec AND section <= sec + 2 THEN 2 WHEN fixed IS NOT NULL THEN 3 WHEN sec > 0 AND letter > let AND letter <= let + 2 THEN 4 ELSE 0 END AS how FROM ow JOIN o5 o ON o.version_id = ow.version_id AND o.k = ow.k + 1))"""
+
+
 def _cited(blocks):
     """Blocks with ranges and lists of citations, and joined reference entries."""
     ranged = F.replace("text", F.lit("[1, 2] see"), F.lit("[1–3; 5] and [7]"))
@@ -69,6 +115,7 @@ def structure_queries() -> dict:
         ),
         "reference_blocks": (lambda s, d: S.reference_blocks(b(s, d)), with_tables("blocks", more=REFS, body="SELECT * FROM refs")),
         "reference_pages": (lambda s, d: S.reference_pages(b(s, d)), with_tables("blocks", more=REFS, body="SELECT version_id, unnest(range(min(page_index), max(page_index) + 1))::INT AS page_index FROM refs GROUP BY version_id")),
+        "outline": (lambda s, d: S.outline(outlined(b(s, d))), with_tables("blocks", more=OUTLINE, body="SELECT o5.version_id, p, page_index, title, level FROM o5 JOIN ow USING (version_id, k) WHERE level > 0")),
         "headings": (lambda s, d: heads(s, d).drop("number"), with_tables("blocks", more=HEADS, body="SELECT * FROM headings")),
         "section_paths": (
             lambda s, d: S.section_paths(b(s, d), heads(s, d)),
@@ -120,8 +167,8 @@ def structure_queries() -> dict:
         ),
         "neighbours": (lambda s, d: S.neighbours(b(s, d)).fillna(-1, ["before", "after"]), with_tables("blocks", body=f"SELECT version_id, p, coalesce(lag(p) OVER w, -1) AS before, coalesce(lead(p) OVER w, -1) AS after FROM blocks WHERE NOT {NOT_BODY_SQL} AND trim(text) <> '' WINDOW w AS (PARTITION BY version_id, font_size ORDER BY p)")),
         "title_from_blocks": (
-            lambda s, d: S.title_from_blocks(b(s, d)),
-            with_tables("blocks", more=f"f AS (SELECT * FROM blocks WHERE page_index = 0 AND NOT {NOT_BODY_SQL} AND trim(text) <> ''), h AS (SELECT version_id, font_size, sum(length(text)) AS w FROM f GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY version_id ORDER BY font_size) AS run, sum(w) OVER (PARTITION BY version_id) AS total FROM h), m AS (SELECT version_id, min(font_size) AS median FROM r WHERE 2 * run >= total GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY font_size DESC, p) AS k FROM f WHERE y0 < 0.5 AND len(string_split(text, ' ')) >= 2)", body="SELECT version_id, substr(text, 1, 300) AS title FROM t JOIN m USING (version_id) WHERE k = 1 AND font_size >= 1.15::DOUBLE * median"),
+            lambda s, d: S.title_from_blocks(_sized(b(s, d))),
+            with_tables("blocks", more=SIZED + ", " + TITLE_SQL.format(src="sb"), body="SELECT version_id, title FROM titled"),
         ),
         "reading_order": (
             lambda s, d: S.reading_order(two_column(b(s, d))),

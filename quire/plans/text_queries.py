@@ -99,8 +99,8 @@ def text_queries() -> dict:
             with_tables("blocks", more=SENT + ", " + TRANSLATED + ", g AS (SELECT *, sum(CASE WHEN translation <> '' OR k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY version_id, p ORDER BY sentence_no) AS grp FROM (SELECT *, row_number() OVER (PARTITION BY version_id, p ORDER BY sentence_no) AS k FROM tr))", body="SELECT version_id, p, grp::BIGINT AS grp, min(sentence_no) AS first_no, max(sentence_no) AS last_no, arg_min(translation, sentence_no) AS translation FROM g GROUP BY version_id, p, grp"),
         ),
         "translated_pages": (
-            lambda x, d: T.translated_pages(b(x, d).filter("p % 3 = 0").withColumn("language", F.when(F.col("p") % 2 == 0, "en").otherwise("ko"))),
-            with_tables("blocks", body="SELECT version_id, CASE WHEN p % 2 = 0 THEN 'en' ELSE 'ko' END AS language, count(DISTINCT page_index) AS n, string_agg(DISTINCT page_index::VARCHAR, ',' ORDER BY page_index) AS pages FROM blocks WHERE p % 3 = 0 GROUP BY 1, 2").replace("string_agg(DISTINCT page_index::VARCHAR, ',' ORDER BY page_index)", "array_to_string(list_sort(list_distinct(list(page_index))), ',')"),
+            lambda x, d: T.translated_pages(b(x, d).withColumn("language", F.when(F.col("p") % 2 == 0, "en").otherwise("ko"))),
+            with_tables("blocks", body="SELECT version_id, CASE WHEN p % 2 = 0 THEN 'en' ELSE 'ko' END AS language, count(DISTINCT page_index) AS n, string_agg(DISTINCT page_index::VARCHAR, ',' ORDER BY page_index) AS pages FROM blocks GROUP BY 1, 2").replace("string_agg(DISTINCT page_index::VARCHAR, ',' ORDER BY page_index)", "array_to_string(list_sort(list_distinct(list(page_index))), ',')"),
         ),
         "scope_pages": (
             lambda x, d: K.scope_pages(_requests(x, d), _counts(x, d), S.reference_pages(b(x, d))),
@@ -152,8 +152,8 @@ def text_queries() -> dict:
             with_tables("annotations", body="SELECT annotation_id % 100 AS bundle_id, annotation_id % 700 AS anchor_id, CASE WHEN bool_or(annotation_id % 3 = 0) THEN 'linked_by_proposal' ELSE 'cited_by_answer' END AS reason FROM annotations GROUP BY 1, 2 HAVING NOT bool_or(annotation_id % 17 = 0)"),
         ),
         "bundle_text_pages": (
-            lambda x, d: E.bundle_text_pages(_counts(x, d).select(F.col("version_id").alias("bundle_id"), F.when(F.col("version_id") % 3 == 0, "all").when(F.col("version_id") % 3 == 1, "anchor_pages").otherwise("none").alias("mode"), "page_count", F.lit(0).alias("anchor_page"))),
-            with_tables("blocks", more="c AS (SELECT version_id, max(page_index) + 1 AS n FROM blocks GROUP BY 1)", body="SELECT version_id AS bundle_id, unnest(range(n))::INT AS page_index FROM c WHERE version_id % 3 = 0 UNION ALL SELECT version_id, 0 FROM c WHERE version_id % 3 = 1"),
+            lambda x, d: E.bundle_text_pages(_counts(x, d).select(F.col("version_id").alias("bundle_id"), F.get(F.array(*map(F.lit, ("all", "anchor_pages", "none", "ranges"))), (F.col("version_id") % 4).cast("int")).alias("mode"), "page_count", F.lit(0).alias("anchor_page"), F.array(F.struct(F.lit(0).alias("first"), F.lit(1).alias("last")), F.struct(F.lit(1).alias("first"), (F.col("version_id") % 5).cast("int").alias("last"))).alias("ranges"))),
+            with_tables("blocks", more="c AS (SELECT version_id, max(page_index) + 1 AS n FROM blocks GROUP BY 1)", body="SELECT version_id AS bundle_id, unnest(range(n))::INT AS page_index FROM c WHERE version_id % 4 = 0 UNION ALL SELECT version_id, 0 FROM c WHERE version_id % 4 = 1 UNION ALL SELECT DISTINCT version_id, unnest(list_concat(range(0, least(1, n - 1) + 1), range(1, least(version_id % 5, n - 1) + 1)))::INT FROM c WHERE version_id % 4 = 3"),
         ),
         "bundle_refs": (
             lambda x, d: E.bundle_refs(_anchors(x, d)),

@@ -82,7 +82,7 @@ def thread_queries() -> dict:
             lambda x, d: R.highlight(A.papers(x, d).select(F.col("paper_id").alias("doc"), "title"), "title", ["the", "and", "of", "und", "que"]),
             with_tables("papers", more="w AS (SELECT paper_id AS doc, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM (SELECT paper_id, string_split(title, ' ') AS ws FROM papers)), m AS (SELECT *, lower(regexp_replace(word, '[^A-Za-z0-9]', '', 'g')) IN ('the', 'and', 'of', 'und', 'que') AS match FROM w), f AS (SELECT *, CASE WHEN match = lag(match) OVER (PARTITION BY doc ORDER BY i) THEN 0 ELSE 1 END AS new FROM m), r AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY i)::BIGINT AS run FROM f)", body="SELECT doc, run, match, string_agg(word, ' ' ORDER BY i) AS part FROM r GROUP BY doc, run, match"),
         ),
-        "current_heading": (lambda x, d: L.current_heading(S.headings(b(x, d)), b(x, d).filter("p % 2 = 0")).fillna("", ["heading"]), with_tables("blocks", more=HEADS, body="SELECT b.version_id, b.p, coalesce(arg_max(h.title, h.p), '') AS heading FROM blocks b LEFT JOIN headings h ON h.version_id = b.version_id AND h.p <= b.p WHERE b.p % 2 = 0 GROUP BY 1, 2")),
+        "current_heading": (lambda x, d: L.current_heading(S.headings(b(x, d)), b(x, d)).fillna("", ["heading"]), with_tables("blocks", more=HEADS, body="SELECT b.version_id, b.p, coalesce(arg_max(h.title, h.p), '') AS heading FROM blocks b LEFT JOIN headings h ON h.version_id = b.version_id AND h.p <= b.p GROUP BY 1, 2")),
         "resolve_citations": (
             lambda x, d: N.resolve_citations(N.extract_citations(ans(x, d)), ans(x, d).select("answer_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("number")).withColumn("paragraphs", F.lit(2))).fillna(0, ["paragraph"]),
             with_tables("answers", more=CITES, body="SELECT answer_id, pos, number, CASE WHEN number <= 3 AND paragraph <= 2 THEN paragraph ELSE 0 END AS paragraph, number <= 3 AS resolved FROM c"),

@@ -343,3 +343,11 @@ def test_budget_of_roles(spark):
     got = {r["rank"]: (r.chars, r.kept, r.reason) for r in K.apply_role_budget(items, 17).collect()}
     assert got == {0: (8, True, None), 1: (5, True, None), 3: (3, True, None), 5: (0, False, "text_budget"), 4: (0, False, None), 2: (0, False, "text_budget")}
     assert {r["rank"]: r.chars for r in K.apply_role_budget(items, 10).collect()}[1] == 2
+
+
+def test_outline(spark):
+    texts = ["Abstract", "I. INTRODUCTION", "A. First Part", "C. Third Part", "F. too far", "III. LATE", "B. Again", "VI. TOO LATE", "1 One", "4 Jumps", "3.2 Fine:", "2 Falls", "A.1 Extra", "A.2 no title.", "Appendix B", "no heading", "3.3 Run In Title. And the text goes on"]
+    b = blocks(spark, texts).withColumn("lines", F.when(F.col("text").startswith("3.3"), 4).otherwise(1))
+    got = [(r.title, r.level) for r in S.outline(b).orderBy("p").collect()]
+    assert got == [("Abstract", 1), ("I. INTRODUCTION", 1), ("A. First Part", 2), ("C. Third Part", 2), ("III. LATE", 1), ("B. Again", 2), ("1 One", 1), ("3.2 Fine", 2), ("A.1 Extra", 2), ("Appendix B", 1), ("3.3 Run In Title", 2)]
+    assert S.outline(b.limit(0)).count() == 0
