@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from .common import map_ids, written
 
 #: Code points of a chunk.
 CHUNK = 32_768
+#: Matrices that are combined at once.
+FAN = 16
 SPACE = "▁"
 #: Words of the vocabulary remembered with their segmentation, and the longest word that is.
 HELD, LONGEST = 600_000, 256
@@ -233,21 +236,21 @@ def _matrices(path: str) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = Pieces.load(path)
         for batch in batches:
-            yield batch[["row", "chunk"]].assign(matrix=[transfer(p, s, n).ravel() for s, n in zip(batch["body"], batch["inner"], strict=True)])
+            yield batch[["row"]].assign(at=batch["chunk"].astype("int64"), matrix=[transfer(p, s, n).ravel() for s, n in zip(batch["body"], batch["inner"], strict=True)])
 
     return run
 
 
-def boundary_states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Entry and exit state of each chunk: prefix products forward, then the best states backward."""
-    size = matrices[0].shape[0]
-    prefix = np.full(size, -np.inf)
-    prefix[0] = 0.0
+def boundary_states(matrices: list[np.ndarray], entry: int = 0, leave: int = 0) -> list[tuple[int, int]]:
+    """Entry and exit state of each stretch between the states at both ends: prefix products forward,
+    then the best states backward. Nothing hangs over the ends of a document."""
+    prefix = np.full(matrices[0].shape[0], -np.inf)
+    prefix[entry] = 0.0
     seen = []
     for m in matrices:
         seen.append(prefix)
         prefix = (prefix[:, None] + m).max(axis=0)
-    states, leave = [], 0  # nothing hangs over the end of a document
+    states = []
     for before, m in zip(reversed(seen), reversed(matrices), strict=True):
         entry = int(np.argmax(before + m[:, leave]))
         states.append((entry, leave))
@@ -255,11 +258,40 @@ def boundary_states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return states[::-1]
 
 
+def _square(matrix) -> np.ndarray:
+    m = np.asarray(matrix)
+    return m.reshape(int(len(m) ** 0.5), -1)
+
+
+def _products(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The matrix of up to FAN neighbouring stretches."""
+    whole = reduce(combined, map(_square, rows.sort_values("at")["matrix"]))
+    return pd.DataFrame({"row": [key[0]], "at": [key[1]], "matrix": [whole.ravel()]})
+
+
 def _states(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("chunk")
-    size = int(len(rows["matrix"].iloc[0]) ** 0.5)
-    states = boundary_states([np.asarray(m).reshape(size, size) for m in rows["matrix"]])
-    return pd.DataFrame({"row": rows["row"].to_numpy(), "chunk": rows["chunk"].to_numpy(), "entry": [a for a, _ in states], "leave": [b for _, b in states]})
+    """The states of up to FAN neighbouring stretches from those of the stretch that they make up."""
+    rows = rows.sort_values("at")
+    states = boundary_states([_square(m) for m in rows["matrix"]], int(rows["entry"].iloc[0]), int(rows["leave"].iloc[0]))
+    return pd.DataFrame({"row": rows["row"].to_numpy(), "at": rows["at"].to_numpy(), "entry": [a for a, _ in states], "leave": [b for _, b in states]})
+
+
+def chunk_states(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """(row, at, entry, leave) of each chunk of ``matrices`` (row, at, matrix). Products of ``fan`` neighbours
+    are taken level by level until one is left of each document; then states go down the same
+    tree, so no task holds more than ``fan`` matrices of a document."""
+    up = (F.col("at") / fan).cast("long").alias("up")
+    levels, most = [matrices], matrices.agg(F.max("at")).first()[0] or 0
+    while most > 0:
+        below = levels[-1].select("row", up, "at", "matrix")
+        levels.append(written(below.groupBy("row", "up").applyInPandas(_products, "row long, at long, matrix array<double>"), "pieces-level"))
+        most //= fan
+    states = levels[-1].select("row", "at", F.lit(0).alias("entry"), F.lit(0).alias("leave"))
+    for level in reversed(levels[:-1]):
+        above = states.select("row", F.col("at").alias("up"), "entry", "leave")
+        below = level.select("row", up, "at", "matrix").join(above, ["row", "up"])
+        states = written(below.groupBy("row", "up").applyInPandas(_states, "row long, at long, entry int, leave int"), "pieces-states")
+    return states
 
 
 def _backtrace(path: str, chunk: int) -> Callable:
@@ -290,8 +322,8 @@ def encode_pieces(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     rows = docs.filter(long).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     reach = Pieces.load(model).longest
     chunks = written(map_ids(rows, _split(reach, chunk), "row long, chunk int, inner int, body string").repartition("row", "chunk"), "pieces-chunks")
-    matrices = chunks.select("row", "chunk", "inner", "body").mapInPandas(_matrices(model), "row long, chunk int, matrix array<double>")
-    states = written(matrices.groupBy("row").applyInPandas(_states, "row long, chunk int, entry int, leave int"), "pieces-states")
+    matrices = chunks.select("row", "chunk", "inner", "body").mapInPandas(_matrices(model), "row long, at long, matrix array<double>")
+    states = chunk_states(written(matrices, "pieces-level")).select("row", F.col("at").cast("int").alias("chunk"), "entry", "leave")
     large = map_ids(chunks.join(states, ["row", "chunk"]).select("doc_id", "body", "inner", "chunk", "entry", "leave"), _backtrace(model, chunk), OUT)
     return small.unionByName(large)
 
