@@ -124,3 +124,24 @@ def test_learnt_words(spark):
     out = {r.doc_id: r.n_guess for r in scan_secrets(docs).collect()}
     assert len(out) == 7 and out[9] == 0
     assert guess_cost("quillonbrombeerzelthaus", ranks) < 8 < guess_cost("quillonbrombeerzelthaus")
+
+
+def test_states_by_tree(spark):
+    """States of a tree of matrices have the best total score, whatever the fan."""
+    import numpy as np
+
+    from quire.llm.maxplus_pieces import boundary_states, chunk_states
+
+    rng = np.random.default_rng(3)
+    docs = {row: [rng.integers(-50, 0, (4, 4)).astype(float) for _ in range(n)] for row, n in ((1, 1), (2, 2), (3, 9), (4, 40))}
+    df = spark.createDataFrame([(row, i, m.ravel().tolist()) for row, ms in docs.items() for i, m in enumerate(ms)], "row long, at long, matrix array<double>")
+    total = lambda ms, states: sum(m[a, b] for m, (a, b) in zip(ms, states, strict=True))
+    for fan in (2, 3, 16):
+        got = {}
+        for r in chunk_states(df, fan).orderBy("at").collect():
+            got.setdefault(r["row"], []).append((r.entry, r.leave))
+        for row, ms in docs.items():
+            states = got[row]
+            assert states[0][0] == 0 and states[-1][1] == 0 and all(x[1] == y[0] for x, y in zip(states, states[1:], strict=False))
+            assert total(ms, states) == total(ms, boundary_states(ms))
+    assert chunk_states(df.limit(0)).count() == 0
