@@ -97,6 +97,12 @@ OUTLINE = rf"""ob AS (SELECT version_id, p, page_index, trim(CASE (p + version_i
       SELECT o.version_id, o.k, last, sec, let, number, section, fixed, letter, CASE WHEN number IS NOT NULL THEN CASE WHEN number > last AND number[1] <= last[1] + 2 THEN 1 ELSE 0 END WHEN section > sec AND section <= sec + 2 THEN 2 WHEN fixed IS NOT NULL THEN 3 WHEN sec > 0 AND letter > let AND letter <= let + 2 THEN 4 ELSE 0 END AS how FROM ow JOIN o5 o ON o.version_id = ow.version_id AND o.k = ow.k + 1))"""
 
 
+PATHS = """hk AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY p) AS i FROM headings), paths AS (
+              SELECT version_id, i, p, [title] AS path FROM hk WHERE i = 1 UNION ALL
+              SELECT h.version_id, h.i, h.p, list_concat(w.path[1:h.level - 1], [h.title]) FROM paths w JOIN hk h ON h.version_id = w.version_id AND h.i = w.i + 1)"""
+SECTION_BODY = "SELECT b.version_id, b.p, last_value(array_to_string(path, ' › ') IGNORE NULLS) OVER (PARTITION BY b.version_id ORDER BY b.p ROWS UNBOUNDED PRECEDING) AS section FROM blocks b LEFT JOIN paths x ON b.version_id = x.version_id AND b.p = x.p"
+KIND_BODY = "SELECT b.version_id, b.p, CASE WHEN r.p IS NOT NULL THEN 'reference' WHEN list_contains(quality_flags, 'in_table') THEN 'in_table' WHEN list_contains(quality_flags, 'math') THEN 'math' WHEN h.p IS NOT NULL THEN 'heading' WHEN regexp_matches(b.text, '^(?:Fig\\.|Figure|Table) +(\\d+)[.:]') THEN 'caption' ELSE 'body' END AS kind FROM blocks b LEFT JOIN refs r ON b.version_id = r.version_id AND b.p = r.p LEFT JOIN headings h ON b.version_id = h.version_id AND b.p = h.p"
+
 def _cited(blocks):
     """Blocks with ranges and lists of citations, and joined reference entries."""
     ranged = F.replace("text", F.lit("[1, 2] see"), F.lit("[1–3; 5] and [7]"))
@@ -119,9 +125,7 @@ def structure_queries() -> dict:
         "headings": (lambda s, d: heads(s, d).drop("number"), with_tables("blocks", more=HEADS, body="SELECT * FROM headings")),
         "section_paths": (
             lambda s, d: S.section_paths(b(s, d), heads(s, d)),
-            with_tables("blocks", more=HEADS + """, hk AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY p) AS i FROM headings), paths AS (
-              SELECT version_id, i, p, [title] AS path FROM hk WHERE i = 1 UNION ALL
-              SELECT h.version_id, h.i, h.p, list_concat(w.path[1:h.level - 1], [h.title]) FROM paths w JOIN hk h ON h.version_id = w.version_id AND h.i = w.i + 1)""",
+            with_tables("blocks", more=HEADS + ", " + PATHS,
                         body="SELECT b.version_id, b.p, last_value(array_to_string(path, ' › ') IGNORE NULLS) OVER (PARTITION BY b.version_id ORDER BY b.p ROWS UNBOUNDED PRECEDING) AS section FROM blocks b LEFT JOIN paths x ON b.version_id = x.version_id AND b.p = x.p"),
         ),
         "find_dois": (lambda s, d: S.find_dois(b(s, d)), with_tables("blocks", body=r"SELECT version_id, arg_min(regexp_replace(regexp_extract(text, '10\.\d{4,9}/\S+'), '[.,;:]+$', ''), p) AS doi FROM blocks WHERE page_index <= 1 AND regexp_matches(text, '10\.\d{4,9}/\S+') GROUP BY version_id")),
@@ -139,7 +143,7 @@ def structure_queries() -> dict:
         "flag_no_body": (lambda s, d: S.flag_no_body(b(s, d)), with_tables("blocks", body=f"SELECT version_id, page_index, bool_and({NOT_BODY_SQL}) AS no_body_text FROM blocks GROUP BY version_id, page_index")),
         "block_kind": (
             lambda s, d: S.block_kind(b(s, d), heads(s, d)),
-            with_tables("blocks", more=HEADS + ", " + REFS, body="SELECT b.version_id, b.p, CASE WHEN r.p IS NOT NULL THEN 'reference' WHEN list_contains(quality_flags, 'in_table') THEN 'in_table' WHEN list_contains(quality_flags, 'math') THEN 'math' WHEN h.p IS NOT NULL THEN 'heading' WHEN regexp_matches(b.text, '^(?:Fig\\.|Figure|Table) +(\\d+)[.:]') THEN 'caption' ELSE 'body' END AS kind FROM blocks b LEFT JOIN refs r ON b.version_id = r.version_id AND b.p = r.p LEFT JOIN headings h ON b.version_id = h.version_id AND b.p = h.p"),
+            with_tables("blocks", more=HEADS + ", " + REFS, body=KIND_BODY),
         ),
         "numbered_figures": (
             lambda s, d: S.numbered_figures(b(s, d)),

@@ -10,7 +10,7 @@ from ..operators import structure as S
 from ..operators import translation as T
 from ..sources import adapters as A
 from ..sources.adapters_sql import with_tables
-from .structure_queries import NOT_BODY_SQL, REFS
+from .structure_queries import HEADS, KIND_BODY, NOT_BODY_SQL, PATHS, REFS, SECTION_BODY
 
 ABBR = ", ".join(f"'{a}'" for a in T.ABBREVIATIONS)
 BODY = f"trim(text) <> '' AND NOT {NOT_BODY_SQL}"
@@ -91,7 +91,9 @@ def text_queries() -> dict:
         ),
         "continued_blocks": (
             lambda x, d: T.continued_blocks(b(x, d).withColumn("text", F.when(F.col("p") % 2 == 1, F.lower("text")).otherwise(F.concat("text", F.lit(" and")))).withColumn("quality_flags", F.when(F.col("p") % 13 == 5, F.array(F.lit("math"))).otherwise(F.array().cast("array<string>")))),
-            None,
+            with_tables("blocks", more="cb AS (SELECT version_id, p, CASE WHEN p % 2 = 1 THEN lower(text) ELSE text || ' and' END AS text, CASE WHEN p % 13 = 5 THEN ['math'] ELSE []::VARCHAR[] END AS quality_flags FROM blocks), " + SENT.replace("FROM blocks", "FROM cb") + rf""",
+              mp AS (SELECT *, max(CASE WHEN list_contains(quality_flags, 'math') THEN p END) OVER (PARTITION BY version_id ORDER BY p) AS math_p FROM cb), bb AS (SELECT *, lag(text) OVER w AS was, lag(p) OVER w AS was_p FROM mp WHERE trim(text) <> '' AND NOT {NOT_BODY_SQL} WINDOW w AS (PARTITION BY version_id ORDER BY p))""",
+                        body=r"""SELECT b.version_id, b.p, was_p FROM bb b JOIN sent s ON s.version_id = b.version_id AND s.p = b.p AND s.sentence_no = 0 WHERE NOT regexp_matches(trim(was), '[.!?。！？]["''”’)\]]*$') AND NOT regexp_matches(was, '^(?:Fig\.|Figure|Table) +\d+') AND coalesce(math_p, -1) < was_p AND regexp_matches(b.text, '^\p{Ll}') AND 2 * length(sentence) <= length(was)"""),
         ),
         "translation_batches": (lambda x, d: T.translation_batches(b(x, d)), None),
         "sentence_groups": (
@@ -169,7 +171,7 @@ def text_queries() -> dict:
         ),
         "bundle_texts": (
             lambda x, d: E.bundle_texts(b(x, d), S.block_kind(b(x, d), S.headings(b(x, d))), S.section_paths(b(x, d), S.headings(b(x, d)))),
-            None,
+            with_tables("blocks", more=HEADS + ", " + REFS + ", " + PATHS + f", kk AS ({KIND_BODY}), ss AS ({SECTION_BODY}), dd AS (SELECT version_id, page_index, string_agg(p || '|' || kind || '|' || coalesce(section, '') || '|' || text, chr(10) ORDER BY p) AS document FROM blocks JOIN kk USING (version_id, p) JOIN ss USING (version_id, p) GROUP BY ALL)", body="SELECT *, sha256(document) AS sha256 FROM dd"),
         ),
         "bundle_documents": (lambda x, d: E.bundle_documents(A.answers(x, d)), with_tables("answers", body="SELECT answer_id, '# Answer ' || answer_id || chr(10) || substr(coalesce(prompt, ''), 1, 200) || chr(10) || '````' || chr(10) || markdown || chr(10) || '````' AS document FROM answers")),
         "list_bundles": (lambda x, d: E.list_bundles(A.annotations(x, d).select(F.col("annotation_id").alias("bundle_id"), "created_at"), 50).select("bundle_id", F.unix_timestamp("created_at").alias("created_s")), with_tables("annotations", body="SELECT annotation_id AS bundle_id, floor(epoch(created_at))::BIGINT AS created_s FROM annotations ORDER BY created_at DESC, annotation_id LIMIT 50")),

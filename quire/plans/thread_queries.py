@@ -72,7 +72,7 @@ def thread_queries() -> dict:
                 SELECT l.session, list_concat(CASE WHEN cut_at IS NULL THEN list_filter(t.ids, lambda x, i: t.ts[i] < l.ts[1]) WHEN list_contains(t.ids, cut_at) THEN t.ids[1:list_position(t.ids, cut_at)] ELSE t.ids END, l.ids), list_concat(CASE WHEN cut_at IS NULL THEN list_filter(t.ts, lambda x: x < l.ts[1]) WHEN list_contains(t.ids, cut_at) THEN t.ts[1:list_position(t.ids, cut_at)] ELSE t.ts END, l.ts), len(l.ids) FROM t JOIN l ON l.parent = t.session)""",
                         body="SELECT session, (i - 1)::INT AS position, ids[i] AS answer_id, i <= len(ids) - n_own AS inherited FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM t)"),
         ),
-        "paper_artifacts": (lambda x, d: N.paper_artifacts(ans(x, d)).select("packet_id", "answer_id", "number", "language"), with_tables("answers", body="SELECT answer_id, 0 AS number, 'html' AS language FROM (SELECT * FROM answers WHERE discarded_at IS NULL ORDER BY created_at DESC, answer_id LIMIT 200)")),
+        "paper_artifacts": (lambda x, d: N.paper_artifacts(ans(x, d)).select("packet_id", "answer_id", "number", "language"), with_tables("answers", body="SELECT packet_id, answer_id, 0 AS number, 'html' AS language FROM (SELECT *, row_number() OVER (PARTITION BY packet_id ORDER BY created_at DESC, answer_id) AS k FROM answers WHERE discarded_at IS NULL) WHERE k <= 200")),
         "parse_queries": (
             lambda x, d: R.parse_queries(_queries(x, d)).select("query_id", "term_no", F.array_join("tokens", " ").alias("tokens"), "is_prefix"),
             r"""WITH q AS (SELECT item_id AS query_id, '"' || substr(text, 1, 20) || '" OR -- ' || substr(text, 30, 40) AS query FROM benchmark), t AS (SELECT query_id, list_filter(regexp_extract_all(substr(query, 1, 200), '("[^"]*"|[^\s"]+)', 1), lambda x: regexp_matches(x, '[\p{L}\p{N}]'))[1:16] AS items FROM q), u AS (SELECT query_id, unnest(range(len(items)))::INT AS term_no, unnest(items) AS item FROM t)
