@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if "dir" not in _LOCAL:
+        _LOCAL["dir"] = tempfile.mkdtemp(prefix="quire-")
+        atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
+    return "file://" + _LOCAL["dir"]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder of ``spark.checkpoint.dir`` and read again. The
-    files outlive any executor. In local mode, where nothing is shared, the session's warehouse
-    folder serves if the setting is unset; on a cluster that is an error."""
+    files outlive any executor. Where the setting is unset, a temporary folder that ends with the
+    process serves in local mode, where driver and tasks are one; on a cluster it is an error."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    path = f"{shared.rstrip('/')}/quire/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/quire/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -39,6 +39,18 @@ def list_conversations(answers: DataFrame) -> DataFrame:
     return g.select("session", "answers", F.unix_timestamp("last").alias("last_s"), F.coalesce(title, F.lit("Untitled")).alias("title")).orderBy(F.desc("last_s"), "session")
 
 
+def name_conversations(answers: DataFrame, titles: DataFrame, threads: DataFrame) -> DataFrame:
+    """Conversations with their title: the own one (session, title), else that of their live thread (session,
+    title, kind, deleted_at), else the first prompt; the kind is that of the thread or ``chat``, and the
+    source is the packet of the first live answer."""
+    first = answers.filter("discarded_at is null").groupBy("session").agg(F.min_by("packet_id", F.struct("created_at", "answer_id")).alias("source"))
+    own = titles.select("session", F.col("title").alias("own_title"))
+    live = threads.filter("deleted_at is null").select("session", F.col("title").alias("thread_title"), F.col("kind").alias("thread_kind"))
+    c = list_conversations(answers).join(first, "session").join(own, "session", "left").join(live, "session", "left")
+    named = lambda x: F.when(F.col(x) != "", F.col(x))
+    return c.select("session", "answers", "last_s", "source", F.coalesce(named("own_title"), named("thread_title"), "title").alias("title"), F.coalesce(named("thread_kind"), F.lit("chat")).alias("kind"))
+
+
 def sessions_of(answers: DataFrame) -> DataFrame:
     """Sessions with their first question, 40 characters and an ellipsis at most."""
     q = answers.groupBy("session").agg(F.min_by("prompt", F.struct("created_at", "answer_id")).alias("q"), F.count("*").alias("answers"))

@@ -17,6 +17,21 @@ def validate_selection(requests: DataFrame, versions: DataFrame, anchors: DataFr
     return r.select("request_id", "version_id", "anchor_id", reason.alias("reason")).filter("reason is not null")
 
 
+def unselected_sources(items: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Answers, artifacts and proposals (request_id, kind, position, versions) of which no version is
+    among the chosen ones (request_id, version_id) of their request, with the reason."""
+    one = items.select("request_id", "kind", "position", F.explode("versions").alias("version_id"))
+    met = one.join(chosen.select("request_id", "version_id").distinct(), ["request_id", "version_id"], "left_semi").select("request_id", "kind", "position").distinct()
+    return items.select("request_id", "kind", "position").join(met, ["request_id", "kind", "position"], "left_anti").withColumn("reason", F.concat("kind", F.lit("_version_not_selected")))
+
+
+def invalid_ranges(ranges: DataFrame, counts: DataFrame) -> DataFrame:
+    """Page ranges (request_id, version_id, position, first, last) that are not within the pages of their version in order."""
+    r = ranges.join(counts.select("version_id", "page_count"), "version_id")
+    good = (F.col("first") >= 0) & (F.col("first") <= F.col("last")) & (F.col("last") < F.col("page_count"))
+    return r.filter(~F.coalesce(good, F.lit(False))).select("request_id", "version_id", "position", F.lit("invalid_range").alias("reason"))
+
+
 def auto_anchors(candidates: DataFrame, chosen: DataFrame) -> DataFrame:
     """Anchors added to a bundle (bundle_id, anchor_id, reason) by their first reason, but those chosen already."""
     rank = F.when(F.col("reason") == "linked_by_proposal", 0).otherwise(1)

@@ -149,6 +149,14 @@ def text_queries() -> dict:
             lambda x, d: E.validate_selection(A.annotations(x, d).select((F.col("annotation_id") % 200).alias("request_id"), (F.col("version_id") + F.when(F.col("annotation_id") % 11 == 0, 1).otherwise(0)).alias("version_id"), (F.col("annotation_id") + F.when(F.col("annotation_id") % 13 == 0, 10**9).otherwise(0)).alias("anchor_id")), A.papers(x, d), A.annotations(x, d)),
             with_tables("papers", "annotations", more="r AS (SELECT annotation_id % 200 AS request_id, version_id + CASE WHEN annotation_id % 11 = 0 THEN 1 ELSE 0 END AS version_id, annotation_id + CASE WHEN annotation_id % 13 = 0 THEN 1000000000 ELSE 0 END AS anchor_id FROM annotations), j AS (SELECT r.*, p.version_id IS NOT NULL AS known, a.version_id AS av, count(*) OVER (PARTITION BY request_id, r.version_id) > 1 AS twice FROM r LEFT JOIN papers p ON r.version_id = p.version_id LEFT JOIN annotations a ON r.anchor_id = a.annotation_id)", body="SELECT * FROM (SELECT request_id, version_id, anchor_id, CASE WHEN NOT known OR av IS NULL THEN 'NOT_FOUND' WHEN av <> version_id THEN 'anchor_other_version' WHEN twice THEN 'duplicate_version' END AS reason FROM j) WHERE reason IS NOT NULL"),
         ),
+        "unselected_sources": (
+            lambda x, d: E.unselected_sources(A.answers(x, d).select((F.col("answer_id") % 20).alias("request_id"), F.get(F.array(*map(F.lit, ("answer", "artifact", "proposal"))), (F.col("answer_id") % 3).cast("int")).alias("kind"), F.col("answer_id").alias("position"), F.array("session", F.col("session") + 7, F.col("session") + 13).alias("versions")), A.papers(x, d).select((F.col("version_id") % 20).alias("request_id"), "version_id").filter("version_id % 3 > 0")),
+            with_tables("answers", body="SELECT request_id, kind, position, kind || '_version_not_selected' AS reason FROM (SELECT answer_id % 20 AS request_id, (['answer', 'artifact', 'proposal'])[answer_id % 3 + 1] AS kind, answer_id AS position, session FROM answers) WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id % 3 > 0 AND doc_id % 20 = request_id AND doc_id IN (session, session + 7, session + 13))"),
+        ),
+        "invalid_ranges": (
+            lambda x, d: E.invalid_ranges(A.papers(x, d).select((F.col("version_id") % 20).alias("request_id"), "version_id", F.lit(0).alias("position"), (F.col("version_id") % 4 - 1).alias("first"), (F.col("version_id") % 7).alias("last")), _counts(x, d)),
+            with_tables("blocks", more="c AS (SELECT version_id, max(page_index) + 1 AS n FROM blocks GROUP BY 1)", body="SELECT version_id % 20 AS request_id, version_id, 0 AS position, 'invalid_range' AS reason FROM c WHERE NOT (version_id % 4 - 1 >= 0 AND version_id % 4 - 1 <= version_id % 7 AND version_id % 7 < n)"),
+        ),
         "auto_anchors": (
             lambda x, d: E.auto_anchors(A.annotations(x, d).select((F.col("annotation_id") % 100).alias("bundle_id"), (F.col("annotation_id") % 700).alias("anchor_id"), F.when(F.col("annotation_id") % 3 == 0, "linked_by_proposal").otherwise("cited_by_answer").alias("reason")), A.annotations(x, d).filter("annotation_id % 17 = 0").select((F.col("annotation_id") % 100).alias("bundle_id"), (F.col("annotation_id") % 700).alias("anchor_id")).distinct()),
             with_tables("annotations", body="SELECT annotation_id % 100 AS bundle_id, annotation_id % 700 AS anchor_id, CASE WHEN bool_or(annotation_id % 3 = 0) THEN 'linked_by_proposal' ELSE 'cited_by_answer' END AS reason FROM annotations GROUP BY 1, 2 HAVING NOT bool_or(annotation_id % 17 = 0)"),

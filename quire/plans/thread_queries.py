@@ -61,6 +61,10 @@ def thread_queries() -> dict:
         "readable_quotes": (lambda x, d: H.readable_quotes(_quotes(x, d)).select("annotation_id", "quote"), with_tables("annotations", body="SELECT annotation_id, quote || ' x' || chr(9) || 'y' AS quote FROM annotations")),
         "threads_with_answers": (lambda x, d: H.threads_with_answers(_threads(x, d), ans(x, d)).select("session", "title"), with_tables("answers", more=THREADS, body="SELECT session, title FROM threads WHERE session IN (SELECT session FROM answers WHERE discarded_at IS NULL)")),
         "versions_to_reprocess": (lambda x, d: H.versions_to_reprocess(A.papers(x, d), _runs(x, d).filter("parser < 30 or status = 'DONE'"), 7).select("version_id"), "SELECT doc_id AS version_id FROM documents WHERE doc_id NOT IN (SELECT user_id FROM events WHERE (event_id % 50 < 30 OR event_type NOT IN ('view', 'click')) AND (event_type IN ('view', 'click') OR event_id % 50 = 7))"),
+        "name_conversations": (
+            lambda x, d: N.name_conversations(ans(x, d), ans(x, d).select("session").distinct().filter("session % 5 = 0").select("session", F.concat(F.lit("Own "), F.col("session").cast("string")).alias("title")), _threads(x, d).withColumn("kind", F.when(F.col("session") % 4 == 0, "explain"))),
+            with_tables("answers", more=THREADS + ", c AS (SELECT session, count(*) AS answers, epoch(max(created_at))::BIGINT AS last_s, arg_min(packet_id, (created_at, answer_id)) AS source, coalesce(substr(trim(regexp_replace(arg_min_null(prompt, (created_at, answer_id)), '[ \\t\\r\\n]+', ' ', 'g')), 1, 80), 'Untitled') AS prompt FROM answers WHERE discarded_at IS NULL GROUP BY session)", body="SELECT c.session, c.answers, last_s, source, CASE WHEN c.session % 5 = 0 THEN 'Own ' || c.session ELSE coalesce(t.title, prompt) END AS title, CASE WHEN t.session IS NOT NULL AND c.session % 4 = 0 THEN 'explain' ELSE 'chat' END AS kind FROM c LEFT JOIN threads t ON t.session = c.session AND t.deleted_at IS NULL"),
+        ),
         "orphan_tags": (lambda x, d: H.orphan_tags(A.table(x, d, "documents").select(F.when(F.col("doc_id") % 3 == 0, "TOXIC").when(F.col("doc_id") % 3 == 1, "poor").otherwise(F.concat(F.lit("tag"), F.col("source"))).alias("name")).distinct(), A.paper_tags(x, d)), with_tables("paper_tags", body="SELECT DISTINCT name FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'TOXIC' WHEN doc_id % 3 = 1 THEN 'poor' ELSE 'tag' || source END AS name FROM documents) WHERE lower(name) NOT IN (SELECT lower(tag) FROM paper_tags)")),
         "session_titles": (lambda x, d: H.session_titles(N.sessions_of(ans(x, d)).filter("session % 3 = 0").select("session", "title"), _threads(x, d)), with_tables("answers", more=THREADS + ", q AS (SELECT session, arg_min_null(prompt, (created_at, answer_id)) AS q FROM answers WHERE session % 3 = 0 GROUP BY 1)", body="SELECT session, CASE WHEN length(q) > 40 THEN substr(q, 1, 40) || '…' ELSE q END AS title FROM q UNION ALL SELECT session, title FROM threads WHERE deleted_at IS NULL AND session NOT IN (SELECT session FROM q)")),
         "list_threads": (lambda x, d: H.list_threads(_threads(x, d), ans(x, d)), with_tables("answers", more=THREADS, body="SELECT session, any_value(title) AS title, count(*) AS answers, epoch(max(created_at))::BIGINT AS last_s FROM threads JOIN answers USING (session) WHERE deleted_at IS NULL AND discarded_at IS NULL GROUP BY session")),
