@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as a Java regular expression class body: \x20 and \x09-\x0D.
 WS = r" \t\n\x0B\f\r"
+_LOCAL: dict[str, str] = {}
 #: Paths of scratch tables, in the order of their writing.
 _WRITTEN: list[str] = []
 #: Most rows of a narrow table that is broadcast by hint; 16 MB of ids and hashes.
@@ -18,14 +22,17 @@ BROADCAST_ROWS = 1_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; in local mode, where nothing is shared, the working
-    folder of the session's warehouse if that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a temporary folder that ends
+    with the process serves in local mode, where driver and tasks are one; on a cluster it is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if "dir" not in _LOCAL:
+        _LOCAL["dir"] = tempfile.mkdtemp(prefix="quire-")
+        atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
+    return "file://" + _LOCAL["dir"]
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

@@ -15,10 +15,10 @@ from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_ids, written
+from .common import map_ids, small, written
 
 BLOCK = 64
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -159,28 +159,28 @@ def _matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known[roles] = block_matrix(list(roles)).ravel().tolist()
         return known[roles]
 
-    rows = ((*run[0][:2], matrix(tuple(role_of(r[2]) for r in run))) for run in _runs(batches, ["conv_id", "block", "role"], 2))
-    yield from _batched(rows, ["conv_id", "block", "matrix"])
+    rows = ((*run[0][:3], matrix(tuple(role_of(r[3]) for r in run))) for run in _runs(batches, ["conv_id", "block", "part", "role"], 3))
+    yield from _batched(rows, ["conv_id", "block", "part", "matrix"])
 
 
 def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows() -> Iterator[tuple]:
-        for run in _runs(batches, ["conv_id", "block", "matrix"], 1):
-            states = states_of([np.asarray(r[2]).reshape(4, 4) for r in run])
-            for i, ((conv, block, _), (a, b)) in enumerate(zip(run, states, strict=True)):
-                yield conv, block, a, b, i == len(run) - 1
+        for run in _runs(batches, ["conv_id", "block", "part", "matrix"], 1):
+            states = states_of([np.asarray(r[3]).reshape(4, 4) for r in run])
+            for i, ((conv, block, part, _), (a, b)) in enumerate(zip(run, states, strict=True)):
+                yield conv, block, part, a, b, i == len(run) - 1
 
-    yield from _batched(rows(), ["conv_id", "block", "entry", "leave", "last"])
+    yield from _batched(rows(), ["conv_id", "block", "part", "entry", "leave", "last"])
 
 
 def _render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows() -> Iterator[tuple]:
-        for run in _runs(batches, ["conv_id", "block", "turn", "role", "text", "entry", "leave", "last"], 2):
+        for run in _runs(batches, ["conv_id", "block", "part", "turn", "role", "text", "entry", "leave", "last"], 3):
             *_, entry, leave, last = run[0]
             was = entry
-            path = repair([role_of(r[3]) for r in run], entry, leave)
+            path = repair([role_of(r[4]) for r in run], entry, leave)
             for i, (row, (action, role, before, cost)) in enumerate(zip(run, path, strict=True)):
-                text = row[4] if isinstance(row[4], str) else ""
+                text = row[5] if isinstance(row[5], str) else ""
                 if "merge" in action:
                     piece = "\n" + text
                 else:
@@ -191,15 +191,37 @@ def _render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     cost += INSERT * len(ending)
                     before = (*before, *ending)
                 was = role
-                yield row[0], row[2], row[1], row[3], action, ROLES[role], len(before), cost, piece
+                yield row[0], row[3], row[1], row[2], row[4], action, ROLES[role], len(before), cost, piece
 
-    yield from _batched(rows(), ["conv_id", "turn", "block", "role", "action", "new_role", "n_inserted", "cost", "rendered"])
+    yield from _batched(rows(), ["conv_id", "turn", "block", "part", "role", "action", "new_role", "n_inserted", "cost", "rendered"])
+
+
+def _blocks(turns: DataFrame, block: int) -> DataFrame:
+    """``turns`` with ``block``, by turn number, and ``part``. Where more rows than four blocks have one
+    number (repeated or null turns, rows without a conversation) they are ordered over all
+    tasks and cut into parts of ``block`` rows, so that no block grows with the table."""
+    number = F.coalesce(F.floor(F.col("turn") / block).cast("long"), F.lit(-1 << 62))
+    rows = turns.select("conv_id", "turn", "role", "text", number.alias("block"))
+    many = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * block)
+    hot = written(many.select(F.col("conv_id").alias("hot_id"), F.col("block").alias("hot_block")), "chat-hot")
+    if hot.isEmpty():
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    hot = small(hot)
+    key = F.col("conv_id").eqNullSafe(F.col("hot_id")) & (F.col("block") == F.col("hot_block"))
+    order = ["conv_id", "block", "turn", "role", "text", "at"]
+    big = rows.join(hot, key).drop("hot_id", "hot_block").withColumn("at", F.monotonically_increasing_id())
+    big = written(big.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).withColumn("task", F.shiftright("at", 33)), "chat-ordered")
+    spans = big.groupBy("conv_id", "block", "task").agg(F.min("at").alias("lo"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id", "block").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select(F.col("conv_id").alias("hot_id"), F.col("block").alias("hot_block"), F.col("task").alias("of_task"), (before - F.col("lo")).alias("shift"))
+    numbered = big.join(spans, key & (F.col("task") == F.col("of_task"))).withColumn("part", F.floor((F.col("at") + F.col("shift")) / block).cast("long"))
+    return rows.join(hot, key, "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(numbered.select("conv_id", "turn", "role", "text", "block", "part"))
 
 
 def repair_conversations(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``turns`` (conv_id, turn, role, text): its action, new role, number of
     empty turns put beside it, cost and rendered piece. The pieces of a conversation in order of
-    block and position are its rendering.
+    block, part and position are its rendering.
 
     Turns are in order of ``turn`` (null first), then role and text; repeated rows are turns of
     their own. Turns with a null conv_id are one conversation. A null or strange role is unknown
@@ -207,12 +229,12 @@ def repair_conversations(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     keep, relabel, merge and insert wins. An empty table gives no rows; other columns are not
     looked at.
     """
-    number = F.coalesce(F.floor(F.col("turn") / block).cast("long"), F.lit(-1 << 62))
-    rows = turns.select("conv_id", "turn", "role", "text", number.alias("block"))
-    dealt = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
-    matrices = map_ids(dealt.select("conv_id", "block", "role"), _matrices, "block long, matrix array<double>", "conv_id")
-    states = map_ids(matrices.repartition("conv_id").sortWithinPartitions("conv_id", "block"), _states, "block long, entry int, leave int, last boolean", "conv_id")
-    known = written(states.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "entry", "leave", "last"), "chat-states")
-    joined = rows.join(known, rows["conv_id"].eqNullSafe(known["c"]) & (rows["block"] == known["b"])).drop("c", "b")
-    again = joined.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
-    return map_ids(again, _render, "block long, role string, action string, new_role string, n_inserted int, cost double, rendered string", "conv_id", "turn")
+    rows = _blocks(turns, block)
+    keys = ["conv_id", "block", "part"]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "turn", "role", "text")
+    matrices = map_ids(dealt.select(*keys, "role"), _matrices, "block long, part long, matrix array<double>", "conv_id")
+    states = map_ids(matrices.repartition("conv_id").sortWithinPartitions(*keys), _states, "block long, part long, entry int, leave int, last boolean", "conv_id")
+    known = written(states.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.col("part").alias("p"), "entry", "leave", "last"), "chat-states")
+    joined = rows.join(known, rows["conv_id"].eqNullSafe(known["c"]) & (rows["block"] == known["b"]) & (rows["part"] == known["p"])).drop("c", "b", "p")
+    again = joined.repartition(*keys).sortWithinPartitions(*keys, "turn", "role", "text")
+    return map_ids(again, _render, "block long, part long, role string, action string, new_role string, n_inserted int, cost double, rendered string", "conv_id", "turn")
