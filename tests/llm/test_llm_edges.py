@@ -145,3 +145,21 @@ def test_states_by_tree(spark):
             assert states[0][0] == 0 and states[-1][1] == 0 and all(x[1] == y[0] for x, y in zip(states, states[1:], strict=False))
             assert total(ms, states) == total(ms, boundary_states(ms))
     assert chunk_states(df.limit(0)).count() == 0
+
+
+def test_conversation_without_numbers(spark):
+    """Rows with one or no turn number and without a conversation are cut into bounded parts."""
+    from quire.llm.role_repair import repair_conversations
+
+    roles = ["user", "assistant"]
+    rows = [(None, None, roles[i % 2], f"t{i:04}") for i in range(700)] + [(5, 3, roles[i % 2], "same") for i in range(300)] + [(6, i, roles[i % 2], "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(7)
+    out = repair_conversations(df).collect()
+    assert len(out) == 1200
+    sizes = {}
+    for r in out:
+        sizes[r.conv_id, r.block, r.part] = sizes.get((r.conv_id, r.block, r.part), 0) + 1
+    assert max(sizes.values()) == 64 and len([k for k in sizes if k[0] is None]) == 11
+    cost = lambda c: sum(r.cost for r in out if r.conv_id == c)
+    whole = {c: sum(r.cost for r in repair_conversations(df.filter(f"conv_id <=> {'null' if c is None else c}"), 10_000).collect()) for c in (None, 5, 6)}
+    assert all(abs(cost(c) - w) < 1e-6 for c, w in whole.items())
