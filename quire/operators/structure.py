@@ -238,7 +238,7 @@ def block_text(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
     block, which a page bounds."""
     w = Window.partitionBy(*keys).orderBy(order)
     after = F.lead("text").over(w)
-    soft = F.col("text").rlike("[A-Za-z]-$") & F.coalesce(after.rlike("^[a-z]"), F.lit(False))
+    soft = F.col("text").rlike(r"\p{L}[-‐]$") & F.coalesce(after.rlike(r"^\p{Ll}"), F.lit(False))
     part = F.when(soft, F.expr("substr(text, 1, length(text) - 1)")).when(after.isNull(), F.col("text")).otherwise(F.concat("text", F.lit(" ")))
     joined = lines.withColumn("part", part).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "part"))), lambda x: x["part"]), "").alias("text"))
     return joined.withColumn("text", F.trim(F.regexp_replace(F.regexp_replace("text", "­", ""), " +", " ")))
@@ -362,11 +362,20 @@ def block_quality(lines: DataFrame) -> DataFrame:
     return g
 
 
+#: Share of the body size of the page below which a block is small.
+LABEL_SIZE, LABEL_WORDS = 0.85, 6
+
+
 def flag_equation_labels(blocks: DataFrame, math: DataFrame) -> DataFrame:
-    """Short small blocks beside display math on the same page, within their own height: its labels."""
-    m = math.select("version_id", "page_index", F.col("y0").alias("b0"), F.col("y1").alias("b1"), F.col("p").alias("math_p"))
-    small = blocks.filter((F.size(F.split("text", " ")) <= 6) & (F.col("font_size") < 12))
-    near = (F.col("y0") - (F.col("y1") - F.col("y0")) <= F.col("b1")) & (F.col("b0") <= F.col("y1") + (F.col("y1") - F.col("y0"))) & (F.col("p") != F.col("math_p"))
+    """Short small body blocks right above or below display math: they overlap it from left to right and the
+    gap is at most their own height. Small is below 0.85 of the weighted median size of the page's
+    body text; math is no body text, and captions are no labels."""
+    body = body_blocks(blocks).join(math.select("version_id", "p"), ["version_id", "p"], "left_anti")
+    size = weighted_median(body.withColumn("chars", F.length("text")), ["version_id", "page_index"], "font_size", "chars")
+    small = body.filter((F.size(F.split(F.trim("text"), r"\s+")) <= LABEL_WORDS) & ~F.col("text").rlike(CAPTION)).join(size, ["version_id", "page_index"]).filter(F.col("font_size") < LABEL_SIZE * F.col("median"))
+    m = math.select("version_id", "page_index", *[F.col(x).alias(f"m_{x}") for x in ("x0", "y0", "x1", "y1")])
+    high = F.col("y1") - F.col("y0")
+    near = (F.col("m_x0") < F.col("x1")) & (F.col("x0") < F.col("m_x1")) & ((F.abs(F.col("y0") - F.col("m_y1")) <= high) | (F.abs(F.col("m_y0") - F.col("y1")) <= high))
     return small.join(m, ["version_id", "page_index"]).filter(near).select("version_id", "p").distinct()
 
 

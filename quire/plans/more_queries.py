@@ -17,11 +17,11 @@ CAPTION_SQL = r"regexp_matches(text, '^(?:Fig\.|Figure|Table) +(\d+)[.:]')"
 def _math_blocks(x, d):
     """Every fifth block as a formula or a formula-like line."""
     k = (F.col("p") + F.col("version_id")) % 5
-    t = F.when(k == 1, F.concat(F.lit("x = y + "), F.col("p").cast("string"))).when(k == 2, F.concat(F.lit("where speed = 3 so (2.1)"))).when(k == 3, F.lit("max log")).otherwise(F.col("text"))
-    return A.blocks(x, d).withColumns({"text": t, "y1": F.col("y0") + 0.19})
+    t = F.when(k == 1, F.concat(F.lit("x = y + "), F.col("p").cast("string"))).when(k == 2, F.concat(F.lit("where speed = 3 so (2.1)"))).when(k == 3, F.lit("max log")).when((k == 4) & (F.col("p") % 2 == 0), F.lit("under a brace")).otherwise(F.col("text"))
+    return A.blocks(x, d).withColumns({"text": t, "y1": F.col("y0") + 0.19, "font_size": F.when((k == 4) & (F.col("p") % 2 == 0), 8.0).otherwise(F.col("font_size"))})
 
 
-MATH_TEXT = "mb AS (SELECT version_id, p, page_index, y0, y0 + 0.19::DOUBLE AS y1, font_size, CASE WHEN (p + version_id) % 5 = 1 THEN 'x = y + ' || p WHEN (p + version_id) % 5 = 2 THEN 'where speed = 3 so (2.1)' WHEN (p + version_id) % 5 = 3 THEN 'max log' ELSE text END AS text FROM blocks)"
+MATH_TEXT = "mb AS (SELECT version_id, p, page_index, x0, x1, quality_flags, y0, y0 + 0.19::DOUBLE AS y1, CASE WHEN (p + version_id) % 5 = 4 AND p % 2 = 0 THEN 8.0 ELSE font_size END::DOUBLE AS font_size, CASE WHEN (p + version_id) % 5 = 1 THEN 'x = y + ' || p WHEN (p + version_id) % 5 = 2 THEN 'where speed = 3 so (2.1)' WHEN (p + version_id) % 5 = 3 THEN 'max log' WHEN (p + version_id) % 5 = 4 AND p % 2 = 0 THEN 'under a brace' ELSE text END AS text FROM blocks)"
 MATH_FLAG = rf"""mw AS (SELECT *, len(list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z]{{3,}})', 1), lambda w: w NOT IN ({NAMES})))) AS words, len(list_filter(regexp_extract_all(lower(text), '([a-z]{{2,}})', 1), lambda w: w IN ({NAMES}))) > 0 AS named, regexp_matches(text, '{SIGN}') AS sign, regexp_matches(text, '\(\d+(?:\.\d+)*[a-z]?\)$') AS label FROM mb),
   mf AS (SELECT *, NOT {CAPTION_SQL} AND ((label AND sign) OR (words <= 1 AND (sign OR (words = 0 AND named)))) AS math FROM mw)"""
 
@@ -78,7 +78,8 @@ def more_queries() -> dict:
         "flag_math": (lambda x, d: S.flag_math(_math_blocks(x, d)), with_tables("blocks", more=MATH_TEXT + ", " + MATH_FLAG, body="SELECT version_id, p, math FROM mf")),
         "flag_equation_labels": (
             lambda x, d: S.flag_equation_labels(_math_blocks(x, d), _math_blocks(x, d).join(S.flag_math(_math_blocks(x, d)).filter("math"), ["version_id", "p"])),
-            with_tables("blocks", more=MATH_TEXT + ", " + MATH_FLAG, body="SELECT DISTINCT s.version_id, s.p FROM mf s JOIN mf m ON s.version_id = m.version_id AND s.page_index = m.page_index AND s.p <> m.p AND m.math WHERE len(string_split(s.text, ' ')) <= 6 AND s.font_size < 12 AND s.y0 - (s.y1 - s.y0) <= m.y1 AND m.y0 <= s.y1 + (s.y1 - s.y0)"),
+            with_tables("blocks", more=MATH_TEXT + ", " + MATH_FLAG + f""", lb AS (SELECT * FROM mf WHERE NOT math AND trim(text) <> '' AND NOT {NOT_BODY_SQL}), lh AS (SELECT version_id, page_index, font_size, sum(length(text)) AS w FROM lb GROUP BY ALL), lr AS (SELECT *, sum(w) OVER (PARTITION BY version_id, page_index ORDER BY font_size) AS run, sum(w) OVER (PARTITION BY version_id, page_index) AS total FROM lh), lm AS (SELECT version_id, page_index, min(font_size) AS median FROM lr WHERE 2 * run >= total GROUP BY ALL)""",
+                        body=f"SELECT DISTINCT s.version_id, s.p FROM lb s JOIN lm USING (version_id, page_index) JOIN mf m ON s.version_id = m.version_id AND s.page_index = m.page_index AND m.math WHERE len(regexp_split_to_array(trim(s.text), '\\s+')) <= 6 AND NOT {CAPTION_SQL.replace('text', 's.text')} AND s.font_size < 0.85::DOUBLE * median AND m.x0 < s.x1 AND s.x0 < m.x1 AND (abs(s.y0 - m.y1) <= s.y1 - s.y0 OR abs(m.y0 - s.y1) <= s.y1 - s.y0)"),
         ),
         "block_quality": (
             lambda x, d: S.block_quality(_glyph_lines(x, d)),

@@ -156,7 +156,7 @@ def structure_queries() -> dict:
         "block_text": (
             lambda s, d: S.block_text(b(s, d).select("version_id", "page_index", "p", F.when(F.col("p") % 3 == 1, F.concat("text", F.lit("a-"))).otherwise(F.lower("text")).alias("text")), ["version_id", "page_index"], "p"),
             with_tables("blocks", more="l AS (SELECT version_id, page_index, p, CASE WHEN p % 3 = 1 THEN text || 'a-' ELSE lower(text) END AS text FROM blocks), n AS (SELECT *, lead(text) OVER (PARTITION BY version_id, page_index ORDER BY p) AS after FROM l)",
-                        body="SELECT version_id, page_index, trim(regexp_replace(string_agg(CASE WHEN regexp_matches(text, '[A-Za-z]-$') AND coalesce(regexp_matches(after, '^[a-z]'), false) THEN substr(text, 1, length(text) - 1) WHEN after IS NULL THEN text ELSE text || ' ' END, '' ORDER BY p), ' +', ' ', 'g')) AS text FROM n GROUP BY version_id, page_index"),
+                        body="SELECT version_id, page_index, trim(regexp_replace(string_agg(CASE WHEN regexp_matches(text, '\\p{L}[-‐]$') AND coalesce(regexp_matches(after, '^\\p{Ll}'), false) THEN substr(text, 1, length(text) - 1) WHEN after IS NULL THEN text ELSE text || ' ' END, '' ORDER BY p), ' +', ' ', 'g')) AS text FROM n GROUP BY version_id, page_index"),
         ),
         "weighted_median": (
             lambda s, d: S.weighted_median(b(s, d).withColumn("chars", F.length("text")), ["version_id", "page_index"], "font_size", "chars"),
