@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_ids
+from .common import map_ids, written
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -169,11 +169,21 @@ def _scan(threshold: float, ranks: dict[str, int]) -> Callable:
 
 
 def learnt_ranks(docs: DataFrame, most: int = LEARNT) -> dict[str, int]:
-    """Ranks of words: the fixed ones first, then the ``most`` most frequent words of three to ``SPAN``
-    letters a-z, in any case, of all ``docs`` (text) that at least three of them have."""
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("word")
+    """Ranks of words: the fixed ones first, then the most frequent words of three to ``SPAN`` letters a-z,
+    in any case, of all ``docs`` (text) that at least three of them have outside credential contexts, ``most``
+    at most. The count
+    from which words are taken comes from a histogram, so the driver never sees more than those."""
+    prose = F.regexp_replace("text", "(?i)" + CONTEXT.pattern, " ")  # a secret of copied documents is no word
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(prose), F.lit(r"(?<![^\s(\"'])[a-z]{3,}(?![^\s.,;:!?)\"'])"), F.lit(0)))).alias("word")
     counts = docs.select(word).filter(F.length("word") <= SPAN).groupBy("word").agg(F.count("*").alias("n")).filter("n >= 3")
-    found = counts.orderBy(F.desc("n"), "word").limit(most).collect()  # at most ``most`` words
+    counts = written(counts.withColumn("bin", F.floor(64 * F.log2("n")).cast("int")), "secret-words")
+    left, least = most, None
+    for r in counts.groupBy("bin").agg(F.count("*").alias("words")).orderBy(F.desc("bin")).collect():  # at most 64 rows for each doubling of a count
+        left -= r["words"]
+        if left < 0:
+            break
+        least = r["bin"]
+    found = [] if least is None else counts.filter(F.col("bin") >= least).orderBy(F.desc("n"), "word").collect()  # at most ``most`` words
     ranks = dict(RANK)
     for r in found:
         ranks.setdefault(r["word"], len(ranks) + 1)
