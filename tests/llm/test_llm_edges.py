@@ -118,9 +118,10 @@ def test_language_slices():
 def test_learnt_words(spark):
     from quire.llm.secret_scan import RANK, guess_cost, learnt_ranks, scan_secrets
 
-    docs = spark.createDataFrame([(i, "Quillon brombeer zelthaus pass: quillonbrombeerzelthaus9") for i in range(5)] + [(9, None), (10, "")], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, "Quillon (brombeer), zelthaus. pass: quillonbrombeerzelthaus9 pwd: XkQzPwLmNtRvBsDfGh") for i in range(5)] + [(9, None), (10, "")], "doc_id long, text string")
     ranks = learnt_ranks(docs)
-    assert ranks["quillon"] > len(RANK) and ranks["password"] == 1 and "zelthaus" in ranks
+    assert ranks["quillon"] > len(RANK) and ranks["password"] == 1 and "zelthaus" in ranks and "brombeer" in ranks
+    assert "xkqzpwlmntrvbsdfgh" not in ranks and len(learnt_ranks(docs, 1)) == len(RANK) + 0
     out = {r.doc_id: r.n_guess for r in scan_secrets(docs).collect()}
     assert len(out) == 7 and out[9] == 0
     assert guess_cost("quillonbrombeerzelthaus", ranks) < 8 < guess_cost("quillonbrombeerzelthaus")
