@@ -58,7 +58,7 @@ def apply_budget(items: DataFrame, budget: int = MAX_CHARS) -> DataFrame:
 
 
 #: Roles of context in the order in which they take from the budget, behind the selections.
-CONTEXT_ROLES = ("caption", "region_text", "containing", "previous", "following")
+CONTEXT_ROLES = ("caption", "region_text", "containing_paragraph", "previous_paragraph", "following_paragraph")
 
 
 def apply_role_budget(items: DataFrame, budget: int = MAX_CHARS) -> DataFrame:
@@ -85,13 +85,21 @@ def apply_role_budget(items: DataFrame, budget: int = MAX_CHARS) -> DataFrame:
     return g.select("packet_id", F.explode(F.aggregate("xs", zero, step, lambda a: a["out"])).alias("r")).select("packet_id", "r.*")
 
 
-#: Greek letters, mathematical operators and mathematical letters.
-MATH_LIKE = r"[\x{0370}-\x{03FF}\x{2200}-\x{22FF}\x{1D400}-\x{1D7FF}]"
+#: Greek letters, mathematical operators, brackets, signs and letters.
+MATH_LIKE = r"[\x{0370}-\x{03FF}\x{2200}-\x{22FF}\x{2308}-\x{230B}\x{27C0}-\x{27EF}\x{2980}-\x{2AFF}\x{1D400}-\x{1D7FF}]"
 
 
 def is_math_like(quote: Column, display_quote: Column) -> Column:
-    """Selections that text cannot stand for alone: with a display form, or a Greek or mathematical sign."""
-    return F.coalesce(F.trim(display_quote) != "", F.lit(False)) | F.coalesce(quote.rlike(MATH_LIKE), F.lit(False))
+    """Text selections that their text cannot stand for alone: with a display form, or a mathematical sign."""
+    return display_quote.isNotNull() | F.coalesce(quote.rlike(MATH_LIKE), F.lit(False))
+
+
+def image_candidates(selections: DataFrame, unreadable: DataFrame) -> DataFrame:
+    """Selections (packet_id, rank, anchor_id, kind, quote, display_quote) with ``eligible``: regions, and texts
+    that are math-like or unreadable (anchor_id, unreadable)."""
+    u = unreadable.filter("unreadable").select(F.col("anchor_id").alias("u_id")).distinct()
+    j = selections.join(u, selections["anchor_id"] == u["u_id"], "left")
+    return j.withColumn("eligible", (F.col("kind") == "region") | is_math_like(F.col("quote"), F.col("display_quote")) | F.col("u_id").isNotNull()).drop("u_id")
 
 
 def content_sha256(packets: DataFrame, columns: list[str]) -> DataFrame:

@@ -87,10 +87,12 @@ def region_context(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def unreadable(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Anchors whose quote has a visible character outside ASCII that the blocks under it lack."""
-    under = blocks_under(anchors, blocks).join(blocks.select("version_id", "p", "text"), ["version_id", "p"]).groupBy("anchor_id").agg(F.array_join(F.collect_list("text"), "").alias("have"))
-    odd = F.filter(F.array_distinct(F.split("quote", "")), lambda c: c.rlike(r"[^\p{ASCII}\s]"))
-    return anchors.join(under, "anchor_id").select("anchor_id", F.exists(odd, lambda c: ~F.contains(F.col("have"), c)).alias("unreadable"))
+    """Text anchors that their quote cannot stand for: a block under them has unmapped characters, or the
+    quote has a visible character outside ASCII that the blocks under it lack. Anchors without blocks are not told."""
+    flags = F.coalesce(F.array_contains("quality_flags", "unmapped_chars"), F.lit(False))
+    under = blocks_under(anchors, blocks).join(blocks.select("version_id", "p", "text", flags.alias("unmapped")), ["version_id", "p"]).groupBy("anchor_id").agg(F.array_join(F.collect_list("text"), "").alias("have"), F.bool_or("unmapped").alias("unmapped"))
+    odd = F.filter(F.array_distinct(F.split("quote", "")), lambda c: c.rlike(r"[^\p{ASCII}\s\p{Cf}]"))
+    return anchors.join(under, "anchor_id").select("anchor_id", (F.col("unmapped") | F.exists(odd, lambda c: ~F.contains(F.col("have"), c))).alias("unreadable"))
 
 
 def styled_sentences(blocks: DataFrame) -> DataFrame:

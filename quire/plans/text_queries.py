@@ -130,7 +130,11 @@ def text_queries() -> dict:
         ),
         "math_like": (
             lambda x, d: A.annotations(x, d).filter(K.is_math_like(F.when(F.col("annotation_id") % 7 == 1, F.concat("quote", F.lit(" ∑α"))).otherwise(F.col("quote")), F.col("display_quote"))).select("annotation_id"),
-            with_tables("annotations", body="SELECT annotation_id FROM annotations WHERE coalesce(trim(display_quote) <> '', false) OR annotation_id % 7 = 1"),
+            with_tables("annotations", body="SELECT annotation_id FROM annotations WHERE display_quote IS NOT NULL OR annotation_id % 7 = 1"),
+        ),
+        "image_candidates": (
+            lambda x, d: K.image_quota(K.image_candidates(A.annotations(x, d).select(F.col("version_id").alias("packet_id"), F.col("annotation_id").alias("rank"), F.col("annotation_id").alias("anchor_id"), "kind", "quote", "display_quote"), A.annotations(x, d).select(F.col("annotation_id").alias("anchor_id"), (F.col("annotation_id") % 9 == 4).alias("unreadable")))),
+            with_tables("annotations", body="SELECT version_id AS packet_id, annotation_id AS rank, row_number() OVER (PARTITION BY version_id ORDER BY annotation_id) <= 2 AS image FROM annotations WHERE kind = 'region' OR display_quote IS NOT NULL OR annotation_id % 9 = 4"),
         ),
         "image_quota": (
             lambda x, d: K.image_quota(_items(x, d).withColumn("eligible", F.col("rank") % 3 == 1)),

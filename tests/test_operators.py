@@ -13,6 +13,7 @@ from quire.operators import library as L
 from quire.operators import packets as K
 from quire.operators import search as R
 from quire.operators import structure as S
+from quire.operators import threads as H
 from quire.operators import translation as T
 from quire.plans import registry
 from quire.sources import adapters as A
@@ -338,7 +339,7 @@ def test_figure_lists(spark):
 
 
 def test_budget_of_roles(spark):
-    rows = [(1, 0, "selection", [1], "x" * 8), (1, 1, "selection", [2], "x" * 5), (1, 2, "following", [7], "xx"), (1, 3, "caption", [5], "x" * 3), (1, 4, "previous", [5], "x"), (1, 5, "containing", [6], "x" * 9)]
+    rows = [(1, 0, "selection", [1], "x" * 8), (1, 1, "selection", [2], "x" * 5), (1, 2, "following_paragraph", [7], "xx"), (1, 3, "caption", [5], "x" * 3), (1, 4, "previous_paragraph", [5], "x"), (1, 5, "containing_paragraph", [6], "x" * 9)]
     items = spark.createDataFrame(rows, "packet_id long, rank int, role string, block_ids array<int>, text string")
     got = {r["rank"]: (r.chars, r.kept, r.reason) for r in K.apply_role_budget(items, 17).collect()}
     assert got == {0: (8, True, None), 1: (5, True, None), 3: (3, True, None), 5: (0, False, "text_budget"), 4: (0, False, None), 2: (0, False, "text_budget")}
@@ -351,3 +352,13 @@ def test_outline(spark):
     got = [(r.title, r.level) for r in S.outline(b).orderBy("p").collect()]
     assert got == [("Abstract", 1), ("I. INTRODUCTION", 1), ("A. First Part", 2), ("C. Third Part", 2), ("III. LATE", 1), ("B. Again", 2), ("1 One", 1), ("3.2 Fine", 2), ("A.1 Extra", 2), ("Appendix B", 1), ("3.3 Run In Title", 2)]
     assert S.outline(b.limit(0)).count() == 0
+
+
+def test_unreadable_selections(spark):
+    b = blocks(spark, ["alpha β gamma", "plain text", "more"])
+    b = b.withColumn("quality_flags", F.when(F.col("p") == 2, F.array(F.lit("unmapped_chars"))).otherwise(F.array().cast("array<string>")))
+    rows = [(1, 0, "alpha β"), (2, 1, "plain ð"), (3, 2, "more"), (4, 1, "plain"), (5, 0, None)]
+    box = b.select(F.col("p").alias("of"), "version_id", "page_index", F.col("x0").alias("a0"), F.col("y0").alias("b0"), F.col("x1").alias("a1"), F.col("y1").alias("b1"))
+    anchors = spark.createDataFrame(rows, "anchor_id long, of int, quote string").join(box, "of").drop("of")
+    got = {r.anchor_id: r.unreadable for r in H.unreadable(anchors, b).collect()}
+    assert got[1] is False and got[2] is True and got[3] is True and got[4] is False and not got[5]
