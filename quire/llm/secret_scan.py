@@ -14,6 +14,8 @@ import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 import pyarrow as pa
@@ -173,8 +175,10 @@ def learnt_ranks(docs: DataFrame, most: int = LEARNT) -> dict[str, int]:
     in any case, of all ``docs`` (text) that at least three of them have outside credential contexts, ``most``
     at most. The count
     from which words are taken comes from a histogram, so the driver never sees more than those."""
-    prose = F.regexp_replace("text", "(?i)" + CONTEXT.pattern, " ")  # a secret of copied documents is no word
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(prose), F.lit(r"(?<![^\s(\"'])[a-z]{3,}(?![^\s.,;:!?)\"'])"), F.lit(0)))).alias("word")
+    low = F.lower("text")
+    hinted = reduce(or_, (F.contains(low, F.lit(h)) for h in HINTS))
+    prose = F.when(hinted, F.regexp_replace(low, CONTEXT.pattern, " ")).otherwise(low)  # a secret of copied documents is no word
+    word = F.explode(F.array_distinct(F.regexp_extract_all(prose, F.lit(r"(?<![^\s(\"'])[a-z]{3,}(?![^\s.,;:!?)\"'])"), F.lit(0)))).alias("word")
     counts = docs.select(word).filter(F.length("word") <= SPAN).groupBy("word").agg(F.count("*").alias("n")).filter("n >= 3")
     counts = written(counts.withColumn("bin", F.floor(64 * F.log2("n")).cast("int")), "secret-words")
     left, least = most, None
