@@ -19,6 +19,7 @@ from .packing import pack
 from .quality_mcd import quality_verdicts
 from .role_repair import repair_conversations
 from .secret_scan import scan_secrets
+from .suffix_dedup import without_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +70,10 @@ def op10_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "held_out", "text"), docs.filter(~F.col("held_out")).select("text", "lang"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mcd": op1_quality_mcd,
     "op2_minimax_shards": op2_minimax_shards,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_naive_bayes_langid": op10_naive_bayes_langid,
+    "op11_suffix_dedup": op11_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard": oracles.OP4, "op6_cqf_dedup": oracles.OP6}
