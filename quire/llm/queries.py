@@ -16,6 +16,7 @@ from .maxplus_pieces import encode_pieces
 from .minimax_shards import minimax_shards
 from .ngram_jaccard import jaccard_components
 from .packing import pack
+from .periodic_runs import run_digests
 from .quality_mcd import quality_verdicts
 from .role_repair import repair_conversations
 from .secret_scan import scan_secrets
@@ -74,6 +75,10 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mcd": op1_quality_mcd,
     "op2_minimax_shards": op2_minimax_shards,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_naive_bayes_langid": op10_naive_bayes_langid,
     "op11_suffix_dedup": op11_suffix_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard": oracles.OP4, "op6_cqf_dedup": oracles.OP6}
