@@ -21,6 +21,7 @@ from .quality_mcd import quality_verdicts
 from .role_repair import repair_conversations
 from .secret_scan import scan_secrets
 from .suffix_dedup import without_repeats
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +76,10 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(_table(spark, sf_dir, "documents"))
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_naive_bayes_langid": op10_naive_bayes_langid,
     "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_whitening": op12_whitening,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
