@@ -8,12 +8,13 @@ stands for, from its first window's first byte to its last window's last, is its
 1. Anchors whose first GRAM bytes occur once have no partner. Of the others, passages that occur
    twice are repeated as a whole, by 128 bits of hashes. Both are counts with map-side sums.
 2. One of each distinct passage that is left is a suffix: sampled splitters range-partition them by
-   their leading bytes. A bucket sorts them by multikey quicksort, and the bytes before them, read
-   backwards, too. Windows are equal where neighbours in both orders agree far enough.
-3. Suffixes that share their first GRAM bytes with a splitter go on over the boundary: each of their
-   distinct windows is range-partitioned, sorted and compared with its neighbour in the same way,
-   and the first and last of each bucket with those of the other buckets. So a passage that a third
-   of all documents hold is spread over as many buckets as it fills.
+   their leading GRAM bytes, and those of which more than HOT_ROWS share these by all their bytes. A
+   bucket sorts its suffixes by multikey quicksort, and the bytes before them, read backwards, too.
+   Windows are equal where neighbours in both orders agree far enough.
+3. Only such frequent ones can go on over a boundary: where they are the first or last of a bucket,
+   each of their distinct windows is range-partitioned, sorted and compared with its neighbour in
+   the same way, and the first and last of each bucket with those of the other buckets. So a
+   passage that a third of all documents hold is spread over as many buckets as it fills.
 """
 
 from __future__ import annotations
@@ -23,17 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, written
 
 #: Bytes that two suffixes must share to be compared; bits of a place in a chunk of a column of texts.
 GRAM, PLACE_BITS = 40, 17
-#: Suffixes and windows to a bucket on average.
-BUCKET_ROWS = 100_000
+#: Suffixes and windows to a bucket on average, and suffixes with one gram that stay in one bucket.
+BUCKET_ROWS, HOT_ROWS = 100_000, 20_000
 ANCHORS = "fp long, ph long, k1 long, k2 long, first int, at int, last int"
-SUFFIXES = "k1 long, k2 long, n long, first int, at int, last int, ahead binary, behind binary"
+SUFFIXES = "k1 long, k2 long, n long, first int, at int, last int, hot boolean, ahead binary, behind binary"
 FOUND = "k1 long, k2 long, start int, stop int, win binary, alone boolean"
 _U = np.uint64
 _STEP = int.from_bytes(hashlib.sha256(b"step").digest()[:8], "little") | 1
@@ -112,10 +113,10 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         for k1, k2, text, wanted in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
             for r in wanted:
                 first, at, last = r["first"], r["at"], r["last"]
-                out.append((k1, k2, r["n"], first, at, last, text[at : last + length], text[first:at][::-1]))
+                out.append((k1, k2, r["n"], first, at, last, r["hot"], text[at : last + length], text[first:at][::-1]))
         if out:
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["k1", "k2", "n", "first", "at", "last", "ahead", "behind"])
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.bool_()] + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["k1", "k2", "n", "first", "at", "last", "hot", "ahead", "behind"])
 
 
 def words_of_bytes(strings: list[bytes], width: int) -> np.ndarray:
@@ -184,19 +185,19 @@ def _all_rows(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
 
 def _sort_bucket(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Ranges of repeated windows within a bucket of suffixes, and the distinct windows of its first and
-    last groups, which may go on in other buckets."""
+    last groups where these are hot, as they may go on in other buckets."""
     rows = _all_rows(batches)
     if rows is None:
         return
-    k1, k2, n, first, at, last = (rows.column(c).to_numpy() for c in range(6))
-    ahead, behind = rows.column(6).to_pylist(), rows.column(7).to_pylist()
+    k1, k2, n, first, at, last, hot = (rows.column(c).to_numpy() for c in range(7))
+    ahead, behind = rows.column(7).to_pylist(), rows.column(8).to_pylist()
     m = len(ahead)
     least, most = at - last, at - first  # distances of the anchor from the first byte of its windows
     order, shared = multikey_quicksort(words_of_bytes(ahead, -(-length // 8)))
     back, shared_back = multikey_quicksort(words_of_bytes(behind, max(1, -(-(length - GRAM) // 8))))
     group = np.empty(m, np.int64)
     group[order] = np.cumsum(shared < GRAM)
-    border = (group == 1) | (group == group.max())
+    border = hot & ((group == 1) | (group == group.max()))
     flags = np.zeros((m, length - GRAM + 1), bool)
     run, run_back = np.empty(m, np.int64), np.empty(m, np.int64)
     wins: dict[bytes, tuple[int, int, bool]] = {}
@@ -236,7 +237,7 @@ def _sort_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
     yield _found(k1[ends], k2[ends], start[ends], stop[ends], [win[e] for e in ends], alone[ends] & ~again[ends])
 
 
-def _buckets(df: DataFrame, *by: str) -> DataFrame:
+def _buckets(df: DataFrame, *by: str | Column) -> DataFrame:
     """``df``, a written table, range-partitioned by sampled splitters."""
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BUCKET_ROWS))
     return df.repartitionByRange(n, *by)
@@ -248,9 +249,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.cast("binary").alias("body"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("row"), F.col("doc_id").cast("string"), text).alias("k2"))
 
 
-def repeated_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = 200, hot_rows: int = HOT_ROWS) -> DataFrame:
     """k1, k2, start, stop: ranges of bytes of the rows of ``docs`` (doc_id, text) that cover each byte of a
-    window of ``length`` bytes that starts elsewhere too, and no other. Ranges may overlap."""
+    window of ``length`` bytes that starts elsewhere too, and no other. Ranges may overlap. ``hot_rows`` is the number of
+    suffixes with one gram above which they are dealt over buckets; it does not change the result."""
     keyed = _keyed(docs)
     scan, cut = (lambda it, f=f: f(it, length) for f in (_scan, _cut_out))
     long_enough = keyed.filter(F.octet_length("body") >= length)
@@ -261,10 +263,13 @@ def repeated_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
     passages = written(hits.filter("mixed").groupBy("fp", "ph").agg(F.count("*").alias("n"), *one), "suffix-passages")
     twice = small(written(passages.filter("n > 1").select("fp", "ph"), "suffix-twice"))
     whole = hits.filter("not mixed").unionByName(hits.filter("mixed").join(twice, ["fp", "ph"], "left_semi"))
-    wanted = passages.groupBy("k1", "k2").agg(F.collect_list(F.struct("n", "first", "at", "last")).alias("wanted"))
+    often = small(written(passages.groupBy("fp").count().filter(F.col("count") > hot_rows).select("fp", F.lit(True).alias("often")), "suffix-often"))
+    marked = passages.join(often, "fp", "left").withColumn("hot", F.col("often").isNotNull())
+    wanted = marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("n", "first", "at", "last", "hot")).alias("wanted"))
     suffixes = written(long_enough.join(wanted, ["k1", "k2"]).select("k1", "k2", "body", "wanted").mapInArrow(cut, SUFFIXES), "suffix-suffixes")
     sort, compare = (lambda it, f=f: f(it, length) for f in (_sort_bucket, _sort_windows))
-    inner = written(_buckets(suffixes, "ahead", "behind").mapInArrow(sort, FOUND), "suffix-buckets")
+    key = [F.substring("ahead", 1, GRAM), *(F.when(F.col("hot"), F.col(c)) for c in ("ahead", "behind"))]
+    inner = written(_buckets(suffixes, *key).mapInArrow(sort, FOUND), "suffix-buckets")
     outer = written(_buckets(inner.filter("win is not null"), "win", "k1", "k2", "start").mapInArrow(compare, FOUND), "suffix-windows")
     met = outer.filter("win is not null").groupBy("win").agg(F.count("*").alias("n"), F.collect_list(F.struct("k1", "k2", "start", "stop", "alone")).alias("rows"))
     last = met.filter("n > 1").select(F.inline("rows")).filter("alone")
@@ -295,7 +300,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 200, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept, the bytes that stay, of each row
     of ``docs`` (doc_id, text).
 
@@ -307,7 +312,7 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     if length <= GRAM:
         raise ValueError(f"length must be more than {GRAM}")
-    ranges = repeated_ranges(docs, length).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    ranges = repeated_ranges(docs, length, hot_rows).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     joined = _keyed(docs).join(written(ranges, "suffix-ranges"), ["k1", "k2"], "left").select("doc_id", "body", "ranges")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(_digests, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

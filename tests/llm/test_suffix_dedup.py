@@ -20,11 +20,11 @@ def brute(texts, length=200):
         yield len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g)
 
 
-def agrees(df, length=200):
+def agrees(df, length=200, **more):
     from quire.llm.suffix_dedup import without_repeats
 
     rows = df.collect()
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in without_repeats(df, length).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in without_repeats(df, length, **more).collect())
     want = Counter((r.doc_id, *b) for r, b in zip(rows, brute([r.text for r in rows], length), strict=True))
     assert got == want
     return sum(n * k[2] for k, n in want.items())
@@ -46,6 +46,7 @@ def test_edges_ties_and_hot_passages(spark):
     texts += [some("xyz", 100) + base[1000:1195] + rnd.choice("ab") * rnd.randint(1, 9) + some("xyz", 100) for _ in range(200)]
     rows = [(i, t, 1, 2, "x") for i, t in enumerate(texts)] + [(3, "x" * 5000, 1, 2, "x"), (None, base, None, None, None), (None, base, None, None, None), (None, None, None, None, None)]
     assert agrees(spark.createDataFrame(rows, EDGE)) > 0
+    assert agrees(spark.createDataFrame(rows, EDGE), hot_rows=20) > 0  # windows compared over the boundaries of buckets
     assert agrees(spark.createDataFrame(rows[:12], EDGE), 50) > 0
     assert agrees(spark.createDataFrame([], EDGE)) == 0
 
