@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL: dict[str, str] = {}
 
 
-def _folder(spark: SparkSession) -> str:
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a temporary folder that ends
+    with the process serves in local mode, where driver and tasks are one; on a cluster it is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
@@ -25,10 +27,8 @@ def _folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder of ``spark.checkpoint.dir`` and read again. The
-    files outlive any executor. Where the setting is unset, a temporary folder that ends with the
-    process serves in local mode, where driver and tasks are one; on a cluster it is an error."""
+    """``df`` written as Parquet in the shared folder and read again. The files outlive any executor."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,28 +1,17 @@
-"""Search: positional inverted index, BM25 ranking of words, phrases and prefixes, quote location."""
+"""Search: parsing of queries and marking of matches. ``search_index`` ranks, ``quotes`` locates."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Callable, Iterator
-
-import ahocorasick
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import folded_terms
-
-K1, B = 1.2, 0.75
-#: Quotes that are looked for in one pass over the texts; their automaton takes some hundred MB at most.
-QUOTES_AT_ONCE = 50_000
-#: Characters of context on each side that choose among the places of a quote.
-CONTEXT = 30
+from ..functions.text import nfkc
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
-    """Terms of each query (query_id, query): quoted phrases are exact, bare words are prefixes; 16
+    """Terms of each query (query_id, query) in NFKC: quoted phrases are exact, bare words are prefixes; 16
     terms of 200 characters in sum at most; terms without a letter or digit are dropped."""
+    queries = nfkc(queries.select("query_id", "query"), "query")
     items = F.regexp_extract_all(F.substring("query", 1, 200), F.lit(r'("[^"]*"|[^\s"]+)'), F.lit(1))
     good = F.slice(F.filter(items, lambda x: x.rlike(r"[\p{L}\p{N}]")), 1, 16)
     t = queries.select("query_id", F.posexplode(good).alias("term_no", "item"))
@@ -30,64 +19,10 @@ def parse_queries(queries: DataFrame) -> DataFrame:
     return t.select("query_id", "term_no", tokens.alias("tokens"), (~F.col("item").startswith('"')).alias("is_prefix"))
 
 
-def _tokens(text: Column | str, ascii_only: bool = True) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+" if ascii_only else r"[^\p{L}\p{N}]+"), lambda x: x != "")
-
-
-def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Postings (doc, term, tf, len): lower-case runs of ASCII letters and digits, counted map-side."""
-    d = docs.select(F.col(id_col).alias("doc"), _tokens(text_col).alias("tokens")).withColumn("len", F.size("tokens"))
-    return d.select("doc", "len", F.explode("tokens").alias("term")).groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
-
-
-def _ranked(parts: DataFrame, need: DataFrame, stats: DataFrame, k: int) -> DataFrame:
-    """BM25 over (query_id, term_no, doc, len, tf): the k best documents that hold all terms of a query."""
-    df = parts.groupBy("query_id", "term_no").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = parts.join(df, ["query_id", "term_no"]).crossJoin(F.broadcast(stats)).groupBy("query_id", "doc").agg(F.count("*").alias("found"), F.sum(part).alias("score")).join(need, "query_id").filter("found = need")  # one row of statistics
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "doc", F.round("score", 6).alias("score"))
-
-
-def search(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k: int = 20) -> DataFrame:
-    """The k best documents of each query (query_id, term rows) that hold all its terms, by BM25.
-
-    Words meet the query terms in the map stage, before anything is shuffled; corpus counts come from
-    one pass over the lengths."""
-    tokens = _tokens(text_col)
-    d = docs.select(F.col(id_col).alias("doc"), F.size(tokens).alias("len"), tokens.alias("tokens"))
-    stats = d.filter("len > 0").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    q = queries.select("query_id", "term").distinct()
-    need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    parts = d.select("doc", "len", F.explode("tokens").alias("term")).join(q, "term").groupBy("query_id", F.col("term").alias("term_no"), "doc", "len").agg(F.count("*").alias("tf"))
-    return _ranked(parts, need, stats, k)
-
-
-def search_terms(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, k: int = 20, stem: bool = False, ascii_only: bool = False) -> DataFrame:
-    """The k best documents of each query that hold all its terms, by BM25.
-
-    ``terms`` is what ``parse_queries`` gives: a phrase is found where its tokens stand one behind the
-    other; the last token of a prefix term matches every word that starts with it. Words and tokens
-    have their diacritics folded, and with ``stem`` whole words are stemmed; prefixes match the word before stemming.
-    The distinct words of the corpus are matched first, so folding runs once a word, and only words
-    that some query matches are shuffled.
-    """
-    tokens = _tokens(text_col, ascii_only)
-    d = docs.select(F.col(id_col).alias("doc"), F.size(tokens).alias("len"), tokens.alias("tokens"))
-    stats = d.filter("len > 0").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    size = F.size("tokens")
-    q = terms.filter(size > 0).select("query_id", "term_no", size.alias("size"), "is_prefix", F.posexplode("tokens").alias("token_no", "token"))
-    q = folded_terms(q, "token", stem).select("query_id", "term_no", "size", "token_no", (F.col("is_prefix") & (F.col("token_no") == F.col("size") - 1)).alias("is_prefix"), F.col("token_folded").alias("q_folded"), F.col("token_stem").alias("q_stem"))
-    words = folded_terms(d.select(F.explode("tokens").alias("word")).distinct(), "word", stem)
-    exact = words.join(q.filter("not is_prefix"), F.col("word_stem") == F.col("q_stem"))
-    begun = words.join(q.filter("is_prefix"), F.col("word_folded").startswith(F.col("q_folded")))
-    matched = exact.unionByName(begun).select("word", "query_id", "term_no", "size", "token_no")
-    met = d.select("doc", "len", F.posexplode("tokens").alias("pos", "word")).join(matched, "word")
-    starts = met.groupBy("query_id", "term_no", "size", "doc", "len", (F.col("pos") - F.col("token_no")).alias("start")).agg(F.count_distinct("token_no").alias("n")).filter("n = size")
-    parts = starts.groupBy("query_id", "term_no", "doc", "len").agg(F.count("*").alias("tf"))
-    need = terms.filter(size > 0).groupBy("query_id").agg(F.count_distinct("term_no").alias("need"))
-    return _ranked(parts, need, stats, k)
+def invalid_queries(queries: DataFrame) -> DataFrame:
+    """(query_id, code) of the queries without a term."""
+    terms = parse_queries(queries).select("query_id").distinct()
+    return queries.select("query_id").distinct().join(terms, "query_id", "left_anti").withColumn("code", F.lit("INVALID_QUERY"))
 
 
 def highlight(hits: DataFrame, text_col: str, terms: list[str]) -> DataFrame:
@@ -98,101 +33,3 @@ def highlight(hits: DataFrame, text_col: str, terms: list[str]) -> DataFrame:
     over = Window.partitionBy("doc").orderBy("i")
     w = w.withColumn("run", F.sum(F.when(F.col("match") == F.lag("match").over(over), 0).otherwise(1)).over(over.rowsBetween(Window.unboundedPreceding, 0)))
     return w.groupBy("doc", "run", "match").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("part"))
-
-
-_DROPPED = re.compile(r"[\s\-‐-―­−]+")
-
-
-def fold(text: str | None) -> str:
-    """A text in NFKC and lower case without white space and hyphens."""
-    return _DROPPED.sub("", unicodedata.normalize("NFKC", text or "").lower())
-
-
-def folded_with_places(parts: list[str | None]) -> tuple[str, list[tuple[int, int]]]:
-    """The parts folded one behind the other, and the part and offset that each folded character comes from."""
-    out, places = [], []
-    for i, part in enumerate(parts):
-        for at, c in enumerate(part or ""):
-            f = fold(c)
-            if f:
-                out.append(f)
-                places += [(i, at)] * len(f)
-    return "".join(out), places
-
-
-def _agreement(a: str, b: str) -> int:
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    return n
-
-
-def _finding(quotes: list[tuple]) -> Callable:
-    """Places of ``quotes`` (quote_id, folded quote, folded prefix and suffix) in each row of texts."""
-    by_text: dict[str, list[tuple]] = {}
-    for quote_id, q, before, behind in quotes:
-        by_text.setdefault(q, []).append((quote_id, before, behind))
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for q in by_text:
-            automaton.add_word(q, q)
-        automaton.make_automaton()
-        for batch in batches:
-            rows = []
-            for n, parts in enumerate(batch["parts"]):
-                parts = [] if parts is None else list(parts)
-                whole = "".join(p or "" for p in parts)
-                # places are only wanted where a quote stands
-                text = fold(whole) if whole.isascii() else folded_with_places(parts)[0]
-                found: dict[str, list[int]] = {}
-                for end, q in automaton.iter(text):
-                    found.setdefault(q, []).append(end - len(q) + 1)
-                if not found:
-                    continue
-                text, places = folded_with_places(parts)
-                for q, starts in found.items():
-                    for quote_id, before, behind in by_text[q]:
-                        score = lambda s: _agreement(before[::-1], text[max(0, s - CONTEXT) : s][::-1]) + _agreement(behind, text[s + len(q) : s + len(q) + CONTEXT])  # noqa: B023, E731
-                        best = max(starts, key=lambda s: (score(s), -s))
-                        (p0, a), (p1, b) = places[best], places[best + len(q) - 1]
-                        rows.append((n, quote_id, starts, best, p0, a, p1, b + 1))
-            names = ["n", "quote_id", "starts", "best", "first_part", "start", "last_part", "end"]
-            out = pd.DataFrame(rows, columns=names)
-            yield pd.DataFrame({"doc": batch["doc"].to_numpy()[out["n"].astype(int)]}).join(out.drop(columns="n"))
-
-    return find
-
-
-def locate_quotes(quotes: DataFrame, texts: DataFrame, at_once: int = QUOTES_AT_ONCE) -> DataFrame:
-    """Where each quote (quote_id, quote and, if known, prefix and suffix) stands in the texts (doc,
-    and text or parts, an array of neighbouring blocks; a quote may span blocks).
-
-    Quotes and texts are folded: NFKC, lower case, no white space, no hyphens. ``starts`` are all
-    places in the folded text; the best one agrees with most of the 30 characters before and behind
-    the quote, the first one of ties, and is given as offsets from ``start`` in block ``first_part``
-    up to ``end`` in block ``last_part``. Quotes of any length are found; those that fold to nothing are not.
-    The texts are searched for ``at_once`` distinct rows of quotes in one pass, so each pass is
-    linear in the texts and holds a bounded automaton.
-    """
-    kinds = quotes.schema["quote_id"].dataType, texts.schema["doc"].dataType
-    side = [F.col(c) if c in quotes.columns else F.lit(None).cast("string").alias(c) for c in ("prefix", "suffix")]
-    t = texts.select(F.col("doc").cast("string").alias("doc"), "parts" if "parts" in texts.columns else F.array("text").alias("parts"))
-    schema = "doc string, quote_id string, starts array<int>, best int, first_part int, start int, last_part int, end int"
-    out, some = None, []
-
-    def passed() -> None:
-        nonlocal out
-        found = t.mapInPandas(_finding(list(some)), schema)
-        out = found if out is None else out.unionByName(found)
-        some.clear()
-
-    for r in quotes.select(F.col("quote_id").cast("string").alias("quote_id"), "quote", *side).distinct().toLocalIterator():  # one block of quotes at a time
-        q = fold(r["quote"])
-        if q:
-            some.append((r["quote_id"], q, fold(r["prefix"])[-CONTEXT:], fold(r["suffix"])[:CONTEXT]))
-        if len(some) == at_once:
-            passed()
-    if some or out is None:
-        passed()
-    return out.select(F.col("doc").cast(kinds[1]).alias("doc"), F.col("quote_id").cast(kinds[0]).alias("quote_id"), *[c for c in out.columns if c not in ("doc", "quote_id")])

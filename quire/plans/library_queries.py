@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import answers as N
 from ..operators import library as L
-from ..operators import search as R
 from ..operators import structure as S
 from ..sources import adapters as A
 from ..sources.adapters_sql import with_tables
@@ -15,7 +14,6 @@ from .structure_queries import NOT_BODY_SQL
 
 HAY = "lower(concat(quote, display_quote, comment))"
 NOTE = "trim(coalesce(comment, '')) <> ''"
-QUERY_TERMS = [("q1", "the"), ("q1", "with"), ("q2", "und"), ("q2", "die"), ("q3", "que"), ("q3", "les"), ("q4", "section")]
 
 
 def s(column: str) -> F.Column:
@@ -32,42 +30,6 @@ def _specs(spark, d):
     return A.papers(spark, d).select("version_id", F.when(n % 4 == 0, "1-2, 3").when(n % 4 == 1, "2").when(n % 4 == 2, "1, x").otherwise("1-900").alias("spec"), F.lit(50).alias("page_count"))
 
 
-def _term_rows(spark):
-    return spark.createDataFrame(QUERY_TERMS, "query_id string, term string")
-
-
-BM25_SQL = """q AS (SELECT * FROM (VALUES ('q1','the'),('q1','with'),('q2','und'),('q2','die'),('q3','que'),('q3','les'),('q4','section')) t(query_id, term)),
-  toks AS (SELECT doc, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ts FROM d),
-  stats AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avg_len FROM toks WHERE len(ts) > 0),
-  post AS (SELECT doc, len, term, count(*) AS tf FROM (SELECT doc, len(ts) AS len, unnest(ts) AS term FROM toks) GROUP BY ALL),
-  hits AS (SELECT * FROM post JOIN q USING (term)), df AS (SELECT term, count(DISTINCT doc) AS df FROM hits GROUP BY term), need AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1),
-  sc AS (SELECT query_id, doc, count(*) AS found, sum(ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))) AS score FROM hits JOIN df USING (term), stats GROUP BY 1, 2),
-  ranked AS (SELECT query_id, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc) AS rank FROM sc JOIN need USING (query_id) WHERE found = need)"""
-
-
-PHRASES = [("a", 0, ["the"], False), ("a", 1, ["s"], True), ("b", 0, ["in", "the"], False), ("c", 0, ["et", "l"], True), ("d", 0, ["and"], False), ("d", 1, ["co"], True)]
-PHRASE_SQL = """q AS (SELECT * FROM (VALUES ('a',0,['the'],false),('a',1,['s'],true),('b',0,['in','the'],false),('c',0,['et','l'],true),('d',0,['and'],false),('d',1,['co'],true)) v(query_id, term_no, tokens, is_prefix)),
-  toks AS (SELECT paper_id AS doc, list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda x: x <> '') AS ts FROM papers),
-  stats AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avg_len FROM toks WHERE len(ts) > 0),
-  pos AS (SELECT doc, len(ts) AS len, ts, unnest(range(1, len(ts) + 1)) AS i FROM toks),
-  parts AS (SELECT query_id, term_no, doc, len, count(*) AS tf FROM pos, q WHERE CASE WHEN len(tokens) = 1 THEN CASE WHEN is_prefix THEN starts_with(ts[i], tokens[1]) ELSE ts[i] = tokens[1] END ELSE i < len AND ts[i] = tokens[1] AND CASE WHEN is_prefix THEN starts_with(ts[i + 1], tokens[2]) ELSE ts[i + 1] = tokens[2] END END GROUP BY ALL),
-  df AS (SELECT query_id, term_no, count(*) AS df FROM parts GROUP BY ALL), need AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1),
-  sc AS (SELECT query_id, doc, count(*) AS found, sum(ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))) AS score FROM parts JOIN df USING (query_id, term_no), stats GROUP BY 1, 2),
-  ranked AS (SELECT query_id, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc) AS rank FROM sc JOIN need USING (query_id) WHERE found = need)"""
-FOLD = r"regexp_replace(lower({}), '[\s\x{{2010}}-\x{{2015}}\x{{00AD}}\x{{2212}}\x{{00A0}}-]+', '', 'g')"
-
-
-def _phrase_terms(spark):
-    return spark.createDataFrame(PHRASES, "query_id string, term_no int, tokens array<string>, is_prefix boolean")
-
-
-def _short_and_long_quotes(spark, d):
-    """Each benchmark item whole, and its first three words."""
-    b = A.table(spark, d, "benchmark")
-    words = F.slice(F.filter(F.split("text", "[ ]+"), lambda x: x != ""), 1, 3)
-    return b.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")).unionByName(b.select((F.col("item_id") + 1000000).alias("quote_id"), F.array_join(words, " ").alias("quote")))
-
-
 def _listed_figures(answers):
     """Answers of even sessions that name a list and a range of figures."""
     more = F.replace("markdown", F.lit("see Fig. "), F.lit("see Figs. 1–3, S1 and "))
@@ -86,33 +48,10 @@ def _expected(logs):
     return logs.select("key", "ts", "id", (F.floor(n / 2) + (F.col("k") % 5 == 0).cast("int")).cast("int").alias("expected"))
 
 
-def search_blocks(spark, d):
-    """Body paragraphs for four queries: the flagship."""
-    docs = S.body_blocks(A.blocks(spark, d)).select((F.col("version_id") * 100000 + F.col("p")).alias("doc"), "text")
-    return R.search(docs, "doc", "text", _term_rows(spark))
-
-
 def library_queries() -> dict:
     an, pa, tg, ans = A.annotations, A.papers, A.paper_tags, A.answers
     ev = lambda x, d: _logs(x, d)
     return {
-        "search_blocks": (search_blocks, with_tables("blocks", more=f"d AS (SELECT version_id::BIGINT * 100000 + p AS doc, text FROM blocks WHERE trim(text) <> '' AND NOT {NOT_BODY_SQL}), " + BM25_SQL, body="SELECT query_id, rank, doc, score FROM ranked WHERE rank <= 20")),
-        "search_titles": (lambda x, d: R.search(pa(x, d), "paper_id", "title", _term_rows(x), 10), with_tables("papers", more="d AS (SELECT paper_id AS doc, title AS text FROM papers), " + BM25_SQL, body="SELECT query_id, rank, doc, score FROM ranked WHERE rank <= 10")),
-        "build_index": (
-            lambda x, d: R.build_index(pa(x, d), "paper_id", "title").groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf")),
-            with_tables("papers", body="SELECT term, count(DISTINCT doc) AS docs, count(*) AS tf FROM (SELECT paper_id AS doc, unnest(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM papers) GROUP BY term"),
-        ),
-        "search_phrases": (
-            lambda x, d: R.search_terms(pa(x, d), "paper_id", "title", _phrase_terms(x), 20, ascii_only=True),
-            with_tables("papers", more=PHRASE_SQL, body="SELECT query_id, rank, doc, score FROM ranked WHERE rank <= 20"),
-        ),
-        "locate_quotes": (
-            lambda x, d: R.locate_quotes(_short_and_long_quotes(x, d), A.table(x, d, "documents").select(F.col("doc_id").alias("doc"), "text")).select("doc", "quote_id", F.size("starts").alias("places"), F.col("starts")[0].alias("first_start")),
-            rf"""WITH b AS (SELECT item_id, {FOLD.format("text")} AS f, text FROM benchmark),
-              q AS (SELECT item_id AS quote_id, f AS q FROM b UNION ALL SELECT item_id + 1000000, {FOLD.format("array_to_string((list_filter(regexp_split_to_array(text, '[ ]+'), lambda x: x <> ''))[1:3], ' ')")} FROM b),
-              t AS (SELECT doc_id AS doc, {FOLD.format("coalesce(text, '')")} AS t FROM documents)
-              SELECT doc, quote_id, (len(string_split(t, q)) - 1)::INT AS places, (instr(t, q) - 1)::INT AS first_start FROM t JOIN q ON q <> '' AND contains(t, q)""",
-        ),
         "live_papers": (lambda x, d: L.live(pa(x, d), "local").select("paper_id", s("created_at")), with_tables("papers", body="SELECT paper_id, epoch(created_at)::BIGINT AS created_s FROM papers WHERE deleted_at IS NULL AND owner_id = 'local'")),
         "filter_tags_any": (lambda x, d: L.filter_tags(pa(x, d), tg(x, d), ["QUALITY", "toxic"]).select("paper_id"), with_tables("papers", "paper_tags", body="SELECT paper_id FROM papers WHERE paper_id IN (SELECT paper_id FROM paper_tags WHERE lower(tag) IN ('quality', 'toxic'))")),
         "filter_tags_all": (lambda x, d: L.filter_tags(pa(x, d), tg(x, d), ["quality", "TOXIC"], "all").select("paper_id"), with_tables("papers", "paper_tags", body="SELECT paper_id FROM papers WHERE paper_id IN (SELECT paper_id FROM paper_tags WHERE lower(tag) IN ('quality', 'toxic') GROUP BY 1 HAVING count(DISTINCT lower(tag)) = 2)")),

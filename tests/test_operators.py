@@ -1,17 +1,22 @@
 """Golden rows and invariants of the operators outside the training-data subpackage."""
 
 import datetime as dt
+import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions.scratch import scratch_dir
 from quire.functions.text import nfkc, porter_step1, stemmed
 from quire.operators import answers as N
 from quire.operators import bundles as E
 from quire.operators import layout as Y
 from quire.operators import library as L
 from quire.operators import packets as K
+from quire.operators import quotes as Q
 from quire.operators import search as R
+from quire.operators import search_index as X
 from quire.operators import structure as S
 from quire.operators import threads as H
 from quire.operators import translation as T
@@ -312,19 +317,56 @@ def test_quotes_over_blocks(spark):
     """Short quotes, quotes over two blocks, folded signs, all places and the choice by context."""
     texts = spark.createDataFrame([(1, ["The ﬁrst half of a sen-", "tence ends here. It ends."]), (2, ["ends, ends and ENDS"]), (3, None)], "doc long, parts array<string>")
     quotes = spark.createDataFrame([(1, "a sentence  ends", None, None), (2, "ends", "and ", None), (3, "first", None, None), (4, "absent", None, None), (5, " - ", None, None)], "quote_id long, quote string, prefix string, suffix string")
-    for at_once in (1, 50_000):
-        got = {(r.doc, r.quote_id): (len(r.starts), r.first_part, r.start, r.last_part, r.end) for r in R.locate_quotes(quotes, texts, at_once).collect()}
-        assert got == {(1, 1): (1, 0, 17, 1, 10), (1, 2): (2, 1, 6, 1, 10), (1, 3): (1, 0, 4, 0, 8), (2, 2): (3, 0, 15, 0, 19)}
+    got = {(r.doc, r.quote_id): (len(r.starts), r.first_part, r.start, r.last_part, r.end) for r in Q.locate_quotes(quotes, texts).collect()}
+    assert got == {(1, 1): (1, 0, 17, 1, 10), (1, 2): (2, 1, 6, 1, 10), (1, 3): (1, 0, 4, 0, 8), (2, 2): (3, 0, 15, 0, 19)}
+    assert Q.locate_quotes(quotes.limit(0), texts).count() == 0 == Q.locate_quotes(quotes, texts.limit(0)).count()
+
+
+def test_quotes_of_any_length_without_a_driver_loop(spark):
+    """Every stretch of a text is found, at all its places; the plan has neither a nested loop nor a loop over quotes."""
+    text = "abcabcabdabcabcabdxyabcab"
+    stretches = sorted({text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)})
+    quotes = spark.createDataFrame([(i, q) for i, q in enumerate(stretches)] + [(-1, "zz"), (-2, "abcabcabdabcabcabe")], "quote_id long, quote string")
+    found = Q.locate_quotes(quotes, spark.createDataFrame([(1, text), (2, "nothing")], "doc long, text string"))
+    assert {(r.doc, stretches[r.quote_id]): r.starts for r in found.collect()} == {(1, q): [i for i in range(len(text)) if text.startswith(q, i)] for q in stretches}
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_terms_fold_and_stem(spark):
-    docs = spark.createDataFrame([(1, "Les élèves running fast"), (2, "eleve runs"), (3, "run ran"), (4, "")], "id long, text string")
-    find = lambda terms, **o: sorted(r.doc for r in R.search_terms(docs, "id", "text", spark.createDataFrame(terms, "query_id string, term_no int, tokens array<string>, is_prefix boolean"), **o).collect())
+    docs = spark.createDataFrame([(1, "Les élèves running fast"), (2, "eleve runs"), (3, "run ran"), (4, ""), (5, None)], "id long, text string")
+
+    def find(terms, stem=False):
+        index = X.write_index(docs, f"{scratch_dir(spark)}/{uuid.uuid4().hex}", "id", "text", ascii_only=False, stem=stem)
+        found = X.search_index(index, spark.createDataFrame(terms, "query_id string, term_no int, tokens array<string>, is_prefix boolean"))
+        assert "NestedLoop" not in found._jdf.queryExecution().toString()
+        return sorted(r.doc for r in found.collect())
+
     assert find([("q", 0, ["élève"], True)]) == [1, 2] and find([("q", 0, ["run"], False)]) == [3]
     assert find([("q", 0, ["running"], False)], stem=True) == [1, 2, 3]
     assert find([("q", 0, ["running", "fast"], False)]) == [1] and find([("q", 0, ["fast", "running"], False)]) == []
 
 
+def test_slices_left_out_of_a_search(spark, monkeypatch):
+    """The same hits whether all slices are scored or only those that can reach the k best."""
+    monkeypatch.setattr(X, "SLICE_DOCS", 20)
+    rnd = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice(["a", "b", "c", "dd", "ee"]) for _ in range(rnd.randint(0, 40))), i % 7) for i in range(400)], "id long, text string, page int")
+    index = X.write_index(docs, f"{scratch_dir(spark)}/{uuid.uuid4().hex}", "id", "text", ("page",))
+    assert index.table("docs").select("slice").distinct().count() > 10
+    terms = spark.createDataFrame([("q", 0, ["a"], False), ("q", 1, ["dd"], False), ("r", 0, ["ee"], False), ("s", 0, ["none"], False), ("t", 0, ["d"], True), ("u", 0, ["a", "b"], False)], "query_id string, term_no int, tokens array<string>, is_prefix boolean")
+    few = [tuple(r) for r in X.search_index(index, terms, 5).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(X, "FIRST_SLICES", 10_000)
+    assert few == [tuple(r) for r in X.search_index(index, terms, 5).orderBy("query_id", "rank").collect()]
+    assert [r[0] for r in few] == ["q"] * 5 + ["r"] * 5 + ["t"] * 5 + ["u"] * 5 and all(r[4] == r[2] % 7 for r in few)
+
+
+def test_queries_in_nfkc_and_without_terms(spark):
+    q = spark.createDataFrame([(1, "ﬁeld １２"), (2, " -- "), (3, None)], "query_id int, query string")
+    assert sorted((r.query_id, r.tokens) for r in R.parse_queries(q).collect()) == [(1, ["12"]), (1, ["field"])]
+    assert sorted((r.query_id, r.code) for r in R.invalid_queries(q).collect()) == [(2, "INVALID_QUERY"), (3, "INVALID_QUERY")]
+
+
 def test_fences(spark):
     text = "````md Title\n```\ninner\n```\n````\n~~~\na\n~~\n~~~~\n```x`y\nno\n    ```\n```py\nopen"
     got = [(r.language, r.title, r.content) for r in N.extract_artifacts(spark.createDataFrame([(1, text)], "answer_id long, markdown string")).orderBy("number").collect()]
