@@ -98,29 +98,43 @@ def strip_artifacts(answers: DataFrame) -> DataFrame:
     return answers.select("answer_id", F.regexp_replace("markdown", r"(?ms)^ {0,3}```(\S*) ?([^\n]*)\n.*?^ {0,3}``` *$", r"[artifact: $2]").alias("markdown"))
 
 
-#: "Figure 3", "Figs. 3, 4 and S1", "fig 3–5"; the word is no part of another one.
-FIGURES = r"(?i)(?:^|[^a-z])fig(?:ure)?s?\.?\s*(s?\d{1,3}(?:\s*(?:,|&|/|and|or|[-–~])\s*s?\d{1,3})*)"
-#: Numbers that a range of figures is expanded by at most.
-RANGE = 4
+# fixed values: words that name figures, and what joins or ranges over their numbers
+FIGURE_WORDS = ("fig", "figs", "figure", "figures", "그림")
+JOINERS, DASHES = (",", "&", "/", "and", "or"), ("-", "–", "~")
+#: Numbers that a range of figures is expanded by at most, and digits of a number.
+RANGE, DIGITS = 4, 3
 
 
 def figure_numbers(text: Column) -> Column:
-    """Distinct figure labels that a text names, in order of first mention, in upper case. A range is
-    expanded by RANGE numbers at most."""
-
-    def labels(group: Column) -> Column:
-        parts = F.regexp_extract_all(group, F.lit(r"([-–~]?\s*[sS]?\d{1,3})"), F.lit(1))
-        label = lambda x: F.upper(F.regexp_extract(x, r"([sS]?\d{1,3})", 1))
-        number = lambda x: F.when(x.rlike(r"^\d+$"), x.cast("int"))
-
-        def one(x: Column, i: Column) -> Column:
-            own, was = label(x), number(label(F.get(parts, i - 1)))
-            is_range = x.rlike(r"^[-–~]") & (i > 0) & (was < number(own))
-            return F.when(F.coalesce(is_range, F.lit(False)), F.transform(F.sequence(was + 1, F.least(number(own), was + RANGE)), lambda n: n.cast("string"))).otherwise(F.array(own))
-
-        return F.flatten(F.transform(parts, one))
+    """Distinct figure labels that a text names, in order of first mention: "Figs. 3, 4 and S1", "fig 3–5", "그림 3".
+
+    The text is read as words, numbers and signs. A word for figures waits for a number; a number may be
+    followed by a joiner or a dash, which wait for another one; all else ends the list. A range is expanded
+    by RANGE numbers at most.
+    """
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|\p{Nd}+|\S)"), F.lit(1))
+    state = lambda wait, dash, extra, last, out: F.struct(wait.alias("wait"), dash.alias("dash"), extra.alias("extra"), last.alias("last"), out.alias("out"))
+    lit, no, none = F.lit, F.lit(False), F.lit(None).cast("int")
+    # wait: nothing, a number after a word, a joiner after a number, a number after a joiner
+    start = state(lit(0), no, no, none, F.array().cast("array<string>"))
+
+    def step(a: Column, t: Column) -> Column:
+        number = t.cast("int")
+        wants = a["wait"].isin(1, 3)
+        label = F.concat(F.when(a["extra"], "S").otherwise(""), t)
+        ranged = a["dash"] & ~a["extra"] & (a["last"] < number)
+        new = F.when(F.coalesce(ranged, no), F.transform(F.sequence(a["last"] + 1, F.least(number, a["last"] + RANGE)), lambda n: n.cast("string"))).otherwise(F.array(label))
+        return (
+            F.when(t.isin(*FIGURE_WORDS), state(lit(1), no, no, none, a["out"]))
+            .when(wants & t.rlike(f"^[0-9]{{1,{DIGITS}}}$"), state(lit(2), no, no, F.when(~a["extra"], number), F.concat(a["out"], new)))
+            .when(wants & (t == "s") & ~a["extra"], state(a["wait"], a["dash"], lit(True), a["last"], a["out"]))
+            .when(((a["wait"] == 1) & (t == ".") & ~a["extra"]) | ((a["wait"] == 3) & t.isin("and", "or", "&") & ~a["dash"]), a)
+            .when((a["wait"] == 2) & t.isin(*JOINERS), state(lit(3), no, no, none, a["out"]))
+            .when((a["wait"] == 2) & t.isin(*DASHES), state(lit(3), lit(True), no, a["last"], a["out"]))
+            .otherwise(state(lit(0), no, no, none, a["out"]))
+        )
 
-    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(FIGURES), F.lit(1)), labels)))
+    return F.array_distinct(F.aggregate(tokens, start, step, lambda a: a["out"]))
 
 
 def figure_refs(answers: DataFrame, figures: DataFrame) -> DataFrame:
@@ -130,8 +144,11 @@ def figure_refs(answers: DataFrame, figures: DataFrame) -> DataFrame:
 
 
 def page_refs(answers: DataFrame) -> DataFrame:
-    """Distinct pages named ``p.19`` in answers."""
-    return answers.select("answer_id", F.explode(F.array_distinct(F.regexp_extract_all("markdown", F.lit(r"\bpp?\. ?(\d+)"), F.lit(1)))).alias("page")).select("answer_id", F.col("page").cast("int").alias("page"))
+    """Distinct pages that answers name: ``p.19``, the first of ``pp. 19–20``, and ``19쪽``."""
+    named = lambda pattern: F.regexp_extract_all("markdown", F.lit(pattern), F.lit(1))
+    pages = F.concat(named(r"\b[Pp]{1,2}\.\s*(\d+)"), named(r"(\d+)(?:\s*[-–~]\s*\d+)?\s*쪽"))
+    numbers = F.array_distinct(F.filter(F.transform(pages, lambda x: x.try_cast("int")), lambda x: x.isNotNull()))
+    return answers.select("answer_id", F.explode(numbers).alias("page"))
 
 
 def save_answers(existing: DataFrame, incoming: DataFrame) -> DataFrame:

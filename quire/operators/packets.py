@@ -86,7 +86,16 @@ def apply_role_budget(items: DataFrame, budget: int = MAX_CHARS) -> DataFrame:
 
 
 #: Greek letters, mathematical operators, brackets, signs and letters.
-MATH_LIKE = r"[\x{0370}-\x{03FF}\x{2200}-\x{22FF}\x{2308}-\x{230B}\x{27C0}-\x{27EF}\x{2980}-\x{2AFF}\x{1D400}-\x{1D7FF}]"
+# fixed values: Unicode ranges of letters and signs of mathematics
+MATH_RANGES = (
+    (0x0370, 0x03FF),  # Greek
+    (0x2200, 0x22FF),  # mathematical operators
+    (0x2308, 0x230B),  # ceilings and floors
+    (0x27C0, 0x27EF),  # miscellaneous mathematical symbols A
+    (0x2980, 0x2AFF),  # miscellaneous mathematical symbols B and supplemental operators
+    (0x1D400, 0x1D7FF),  # mathematical letters and digits
+)
+MATH_LIKE = "[" + "".join(rf"\x{{{a:04X}}}-\x{{{z:04X}}}" for a, z in MATH_RANGES) + "]"
 
 
 def is_math_like(quote: Column, display_quote: Column) -> Column:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import not_body
+from ..functions.text import nfkc, not_body
 
 HEADING = r"^(\d{1,2}(?:\.\d{1,2})*)\.? +(\p{Lu}[^.!?]{1,100})$"
-REFERENCES = r"(?i)^(?:\d+\.? +)?(?:references|bibliography|literature cited)$"
-APPENDIX = r"(?i)^(?:appendix|appendices|supplementary)\b"
+REFERENCES = r"(?i)^(?:\d+\.? +)?(?:references|bibliography|literature cited|works cited|참고 ?문헌)$"
+APPENDIX = r"(?i)^(?:appendix|appendices|supplementary|부록)\b"
+#: A lettered appendix head has at most so many words, and is at least this share of the reference heading's size.
+APPENDIX_WORDS, APPENDIX_SIZE = 9, 0.95
 CAPTION = r"^(?:Fig\.|Figure|Table) +(\d+)[.:]"
+FIGURE_HEAD = r"^(?:[Ff]ig(?:ure)?\.?|FIG(?:URE)?\.?|그림) *(\d{1,4})(?: *\p{P}| +[^\p{Ll}\s]|$)"
 DOI = r"10\.\d{4,9}/\S+"
 
 
@@ -20,11 +23,13 @@ def body_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def running_lines(blocks: DataFrame) -> DataFrame:
-    """Blocks wholly in the top or bottom tenth of the page whose text, digits as one sign, is on
-    at least a fifth of the pages of the version and on two, or that are only a page number."""
+    """Blocks of two lines at most, wholly in the top or bottom tenth of the page, whose text, digits as one
+    sign, is on at least a fifth of the pages of the version and on two, or that are only a page number.
+    A column ``lines`` tells the lines of a block; without it all are taken as short enough."""
     band = F.when(F.col("y1") <= 0.1, "header").when(F.col("y0") >= 0.9, "footer")
     key = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), "[0-9]+", "#"), " +", " "))
-    b = blocks.withColumns({"band": band, "key": key})
+    short = F.coalesce(F.col("lines"), F.lit(1)) <= 2 if "lines" in blocks.columns else F.lit(True)
+    b = blocks.filter(short).withColumns({"band": band, "key": key})
     total = blocks.groupBy("version_id").agg(F.count_distinct("page_index").alias("pages"))
     often = b.filter("band is not null").groupBy("version_id", "band", "key").agg(F.count_distinct("page_index").alias("n"))
     # by p, as a hot text joins by version and key and not by page
@@ -33,11 +38,18 @@ def running_lines(blocks: DataFrame) -> DataFrame:
 
 
 def reference_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks from the last reference heading to the first later appendix head or the end."""
+    """Blocks from the last reference heading to the first later appendix head or the end.
+
+    An appendix head begins with a word for it, or is a lettered title: one line of at most nine words without
+    a comma or a full stop at its end, in a font of nearly the heading's size or more, or of unknown size.
+    """
     w = Window.partitionBy("version_id")
-    start = F.max(F.when(F.col("text").rlike(REFERENCES), F.col("p"))).over(w)
-    b = blocks.withColumn("start", start).filter(F.col("p") >= F.col("start"))
-    end = F.min(F.when((F.col("p") > F.col("start")) & F.col("text").rlike(APPENDIX), F.col("p"))).over(w)
+    start = F.max(F.when(F.col("text").rlike(REFERENCES), F.struct("p", "font_size"))).over(w)
+    b = blocks.withColumn("_start", start).withColumn("start", F.col("_start.p")).filter(F.col("p") >= F.col("start"))
+    one_line = F.coalesce(F.col("lines"), F.lit(1)) == 1 if "lines" in blocks.columns else ~F.col("text").contains("\n")
+    large = F.coalesce(F.col("font_size") >= APPENDIX_SIZE * F.col("_start.font_size"), F.lit(True))
+    lettered = F.col("text").rlike(r"^[A-Z]\.?\s+\p{Lu}") & one_line & (F.size(F.split(F.trim("text"), r"\s+")) <= APPENDIX_WORDS) & ~F.col("text").contains(",") & ~F.trim("text").endswith(".") & large
+    end = F.min(F.when((F.col("p") > F.col("start")) & (F.col("text").rlike(APPENDIX) | lettered), F.col("p"))).over(w)
     return b.withColumn("end", end).filter(F.col("end").isNull() | (F.col("p") < F.col("end"))).select("version_id", "p", "page_index", "start")
 
 
@@ -62,85 +74,6 @@ def headings(blocks: DataFrame) -> DataFrame:
     return folded.select("version_id", F.col("h.p").alias("p"), F.col("h.page_index").alias("page_index"), F.col("h.text").alias("title"), F.size("h.number").alias("level"), F.col("h.number").alias("number"))
 
 
-# fixed values: headings that have no number
-NAMED = (
-    "abstract", "introduction", "related work", "background", "conclusions?", "discussion", "references", "bibliography", "acknowledge?ments?",
-    "초록", "요약", "서론", "결론", r"참고\s*문헌",
-)
-NUMBERED = r"^(\d{1,2}(?:\.\d{1,2}){0,3})\.?\s+(\S.*)$"
-ROMAN = r"^(X{0,3}(?:IX|IV|V?I{0,3}))\.\s+(\S.*)$"
-LETTERED = r"^([A-Z])\.\s+(\S.*)$"
-APPENDED = r"^[A-Z](?:\.\d{1,2}){1,3}\.?\s+(\S.*)$"
-UNNUMBERED = r"(?i)^(?:(?:[A-Z]\.?\s+)?(?:appendix|appendices)\b.*|(?:" + "|".join(NAMED) + r")\s*:?)$"
-#: Most words and characters of a heading, and by how much a number may jump beyond the next one.
-HEADING_WORDS, HEADING_CHARS, HEADING_JUMP = 12, 120, 2
-
-
-def _is_short(x: Column) -> Column:
-    return (F.length(x) <= HEADING_CHARS) & (F.size(F.split(x, r"\s+")) <= HEADING_WORDS)
-
-
-def _is_title(x: Column) -> Column:
-    """Begins with a letter that is not a small one, has two letters and no full stop at its end."""
-    return x.rlike(r"^[\p{Lu}\p{Lt}\p{Lo}\p{Lm}]") & (F.length(F.regexp_replace(x, r"\P{L}+", "")) >= 2) & ~x.endswith(".")
-
-
-def _in_title_case(x: Column) -> Column:
-    """Words of more than three characters begin with a capital, if with a letter."""
-    return F.forall(F.split(x, r"\s+"), lambda w: (F.length(w) <= 3) | ~w.rlike(r"^\p{L}") | w.rlike(r"^\p{Lu}"))
-
-
-def outline(blocks: DataFrame) -> DataFrame:
-    """Headings of all kinds in order: (version_id, p, page_index, title, level).
-
-    Numbered ones (also wrapped over lines, or run in before a paragraph) rise above the last accepted
-    number, with a jump of at most two in its first part; sections with Roman numbers in capitals and
-    their lettered subsections follow one another likewise; numbered appendices and named headings
-    stand by themselves. All but numbered ones are one short line; a column ``lines`` tells the lines of a
-    block, one if it is absent. Candidates are told in the row; the fold sees only those of a version.
-    """
-    text = F.trim("text")
-    single = (F.coalesce("lines", F.lit(1)) if "lines" in blocks.columns else F.lit(1)) == 1
-    rest = F.regexp_extract(text, NUMBERED, 2)
-    run_in = F.regexp_extract(rest, r"^(.*?)[.:]\s", 1)
-    whole = single | (_is_short(text) & _is_title(rest) & _in_title_case(rest))
-    head = F.when(whole, rest).when((run_in != "") & _in_title_case(run_in), run_in)
-    b = blocks.select("version_id", "p", "page_index", text.alias("text"), single.alias("single"), text.rlike(NUMBERED).alias("has_number"), rest.alias("rest"), head.alias("head"))
-    col, alone = F.col, ~F.col("has_number") & F.col("single") & _is_short(F.col("text"))
-    number = F.when(col("has_number") & _is_short(col("head")) & _is_title(col("head")), F.transform(F.split(F.regexp_extract("text", NUMBERED, 1), r"\."), lambda x: x.cast("int")))
-    roman, capitals = F.regexp_extract("text", ROMAN, 1), F.regexp_extract("text", ROMAN, 2)
-    ones = F.array(*map(F.lit, ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")))
-    value = 10 * F.length(F.regexp_extract(roman, "^(X*)", 1)) + F.array_position(ones, F.regexp_replace(roman, "^X+", "")) - 1
-    section = F.when(alone & (roman != "") & _is_title(capitals) & (capitals == F.upper(capitals)), value.cast("int"))
-    appended, unnumbered = col("text").rlike(APPENDED), col("text").rlike(UNNUMBERED)
-    dots = F.length(F.regexp_replace(F.regexp_extract("text", r"^(\S+)", 1), r"[^.]", ""))
-    fixed = F.when(alone, F.when(appended, F.when(_is_title(F.regexp_extract("text", APPENDED, 1)), dots + 1)).when(unnumbered, F.lit(1)))
-    letter = F.when(alone & ~appended & ~unnumbered & _is_title(F.regexp_extract("text", LETTERED, 2)), F.ascii("text") - 64)
-    title = F.when(col("has_number"), F.concat(F.expr("substr(text, 1, length(text) - length(rest))"), "head")).otherwise(col("text"))
-    title = F.regexp_replace(title, r":*\s*$", "")
-    h = b.select("version_id", F.struct("p", "page_index", title.alias("title"), number.alias("number"), section.alias("section"), fixed.cast("int").alias("fixed"), letter.cast("int").alias("letter")).alias("h"))
-    found = h.filter("h.number is not null or h.section is not null or h.fixed is not null or h.letter is not null")
-    zero = F.struct(F.array(F.lit(0)).alias("last"), F.lit(0).alias("section"), F.lit(0).alias("letter"), F.array().cast("array<struct<p:int,page_index:int,title:string,level:int>>").alias("kept"))
-
-    def step(a, h):
-        def to(level, **new):
-            return F.struct(*[new.get(n, a[n]).alias(n) for n in ("last", "section", "letter")], F.concat(a["kept"], F.array(F.struct(h["p"].alias("p"), h["page_index"].alias("page_index"), h["title"].alias("title"), level.alias("level")))).alias("kept"))
-
-        rises = (h["number"] > a["last"]) & (h["number"][0] <= a["last"][0] + HEADING_JUMP)
-        follows = lambda x, last: (x > last) & (x <= last + HEADING_JUMP)
-        return (
-            F.when(h["number"].isNotNull() & rises, to(F.size(h["number"]), last=h["number"]))
-            .when(h["number"].isNotNull(), a)
-            .when(follows(h["section"], a["section"]), to(F.lit(1), section=h["section"], letter=F.lit(0)))
-            .when(h["fixed"].isNotNull(), to(h["fixed"]))
-            .when((a["section"] > 0) & follows(h["letter"], a["letter"]), to(F.lit(2), letter=h["letter"]))
-            .otherwise(a)
-        )
-
-    g = found.groupBy("version_id").agg(F.array_sort(F.collect_list("h")).alias("hs"))
-    return g.select("version_id", F.explode(F.aggregate("hs", zero, step, lambda a: a["kept"])).alias("r")).select("version_id", "r.*")
-
-
 def section_paths(blocks: DataFrame, found: DataFrame) -> DataFrame:
     """The section path of each block: at a heading of level L the path is cut to L - 1 titles and
     its own is added; it holds until the next heading."""
@@ -210,9 +143,13 @@ def block_kind(blocks: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def numbered_figures(blocks: DataFrame) -> DataFrame:
-    """The first caption of each figure number of each version, 300 characters at most."""
-    label = F.regexp_extract("text", r"^Fig\. +(\d+)\.", 1)
-    c = body_blocks(blocks).filter(F.col("text").rlike(r"^Fig\. +\d+\.") & ~F.col("text").rlike(r"\.{4}")).withColumn("label", label.cast("int"))
+    """The first caption of each figure number of each version, 300 characters at most.
+
+    A caption begins with a word for a figure and its number, with a mark behind it or a word that does not
+    begin in lower case; lines of dots are entries of a list of figures.
+    """
+    label = F.regexp_extract("text", FIGURE_HEAD, 1)
+    c = body_blocks(blocks).filter(F.col("text").rlike(FIGURE_HEAD) & ~F.col("text").rlike(r"\.{4}")).withColumn("label", label.cast("int"))
     caption = F.when(F.length("text") > 300, F.concat(F.substring("text", 1, 299), F.lit("…"))).otherwise(F.col("text"))
     first = c.withColumn("caption", caption).groupBy("version_id", "label").agg(F.min_by(F.struct("p", "page_index", "caption"), "p").alias("f"))
     return first.select("version_id", "label", "f.*")
@@ -234,14 +171,15 @@ def page_summary(pages: DataFrame) -> DataFrame:
 
 def block_text(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Lines of a block as its text: joined by a space; a hyphen after a letter goes when the next
-    line starts in lower case, as do soft hyphens; white space collapses. Lines are pre-grouped by
-    block, which a page bounds."""
+    line starts in lower case, as do soft hyphens; then NFKC, no control or private characters, and
+    white space collapses. Lines are pre-grouped by block, which a page bounds."""
     w = Window.partitionBy(*keys).orderBy(order)
     after = F.lead("text").over(w)
     soft = F.col("text").rlike(r"\p{L}[-‐]$") & F.coalesce(after.rlike(r"^\p{Ll}"), F.lit(False))
     part = F.when(soft, F.expr("substr(text, 1, length(text) - 1)")).when(after.isNull(), F.col("text")).otherwise(F.concat("text", F.lit(" ")))
     joined = lines.withColumn("part", part).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "part"))), lambda x: x["part"]), "").alias("text"))
-    return joined.withColumn("text", F.trim(F.regexp_replace(F.regexp_replace("text", "­", ""), " +", " ")))
+    plain = nfkc(joined.withColumn("text", F.regexp_replace("text", "­", "")), "text")
+    return plain.withColumn("text", F.trim(F.regexp_replace(F.regexp_replace("text", r"[\p{Cc}\p{Co}]", ""), " +", " ")))
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
@@ -322,8 +260,15 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
 
 def style_runs(chars: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs [start, end) of equal marks over (position, mark); unmarked characters make none."""
+    """Runs [start, end) of equal marks over (position, mark); unmarked characters make none. With a column
+    ``char``, spaces between two equal marks belong to their run, and other spaces to none."""
     w = Window.partitionBy(*keys).orderBy("position")
+    if "char" in chars.columns:
+        blank = F.col("char").rlike(r"^\s$")
+        own = F.when(~blank, F.coalesce("mark", F.lit("")))
+        before = F.last(own, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        behind = F.first(own, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        chars = chars.withColumn("mark", F.when(blank, F.when((before == behind) & (before != ""), before)).otherwise(F.col("mark")))
     new = F.when(F.col("mark").eqNullSafe(F.lag("mark").over(w)) & (F.col("position") == F.lag("position").over(w) + 1), 0).otherwise(1)
     runs = chars.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.filter("mark is not null").groupBy(*keys, "run", "mark").agg(F.min("position").alias("start"), (F.max("position") + 1).alias("end")).drop("run")
@@ -340,16 +285,16 @@ def flag_covered(blocks: DataFrame, regions: DataFrame, share: float = 0.5) -> D
 
 
 # fixed values: names of operators that stand in formulas
-OPERATOR_NAMES = "sin cos tan log ln exp max min arg lim sup inf mod det dim ker deg gcd lcm".split()
+OPERATOR_NAMES = ("sin", "cos", "tan", "log", "ln", "exp", "max", "min", "arg", "lim", "sup", "inf", "mod", "det", "dim", "ker", "deg", "gcd", "lcm")
 MATH_SIGN = r"[=<>+∑∏∫√∂∇≤≥≠≈∈∉⊂⊆∪∩∀∃±×÷·∞]"
 
 
 def flag_math(blocks: DataFrame) -> DataFrame:
     """Display math: no caption, and an equation label at the end with a sign, or at most one distinct
     prose word beside a sign or operator names only."""
-    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1)), lambda w: ~w.isin(OPERATOR_NAMES)))
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1)), lambda w: ~w.isin(*OPERATOR_NAMES)))
     sign = F.col("text").rlike(MATH_SIGN)
-    named = F.size(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,})"), F.lit(1)), lambda w: w.isin(OPERATOR_NAMES))) > 0
+    named = F.size(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,})"), F.lit(1)), lambda w: w.isin(*OPERATOR_NAMES))) > 0
     label = F.col("text").rlike(r"\(\d+(?:\.\d+)*[a-z]?\)$")
     math = ~F.col("text").rlike(CAPTION) & ((label & sign) | ((F.size(words) <= 1) & (sign | ((F.size(words) == 0) & named))))
     return blocks.select("version_id", "p", math.alias("math"))
@@ -447,12 +392,16 @@ def nearest_caption(anchors: DataFrame, blocks: DataFrame, reach: float = 0.08)
 
 def validate_anchors(anchors: DataFrame, counts: DataFrame) -> DataFrame:
     """The first rule that each anchor (version_id, page_index, kind, quote, quads) breaks: its page, a
-    quad of eight numbers with an area, a quote for text, one quad for a region."""
+    quad of eight numbers with an area whose sides do not cross, a quote for text, one quad for a region."""
+    side = lambda q, i, j, k: (q[2 * j] - q[2 * i]) * (q[2 * k + 1] - q[2 * i + 1]) - (q[2 * k] - q[2 * i]) * (q[2 * j + 1] - q[2 * i + 1])  # noqa: E731  which side of the line i-j corner k is on
+    apart = lambda q, i, j, k, m: side(q, i, j, k) * side(q, i, j, m) < 0
+    cross = lambda q, i, j, k, m: apart(q, i, j, k, m) & apart(q, k, m, i, j)
+    crossing = lambda q: cross(q, 0, 1, 2, 3) | cross(q, 1, 2, 3, 0)
     area = lambda q: F.abs((q[4] - q[0]) * (q[7] - q[3]) - (q[6] - q[2]) * (q[5] - q[1])) / 2  # noqa: E731  half the cross product of the diagonals (TL-BR, TR-BL)
     a = anchors.join(counts.select("version_id", "page_count"), "version_id", "left")
     reason = (
         F.when(F.col("page_count").isNull() | (F.col("page_index") < 0) | (F.col("page_index") >= F.col("page_count")), "page").when(F.exists("quads", lambda q: (F.size(q) != 8)), "quad")
-        .when(F.exists("quads", lambda q: area(q) < 1e-9), "area").when((F.col("kind") == "text") & (F.coalesce(F.trim("quote"), F.lit("")) == ""), "quote").when((F.col("kind") == "region") & (F.size("quads") != 1), "quads")
+        .when(F.exists("quads", crossing), "crossing").when(F.exists("quads", lambda q: area(q) < 1e-9), "area").when((F.col("kind") == "text") & (F.coalesce(F.trim("quote"), F.lit("")) == ""), "quote").when((F.col("kind") == "region") & (F.size("quads") != 1), "quads")
     )
     return a.select("anchor_id", reason.alias("reason"))
 

@@ -11,9 +11,9 @@ from .structure import body_blocks
 
 # fixed values: abbreviations that end no sentence
 ABBREVIATIONS = (
-    "e.g i.e al etc vs cf fig figs eq eqs sec secs ref refs no nos "
-    "vol pp p resp approx ch def thm lem prop alg tab dr prof mr ms"
-).split()
+    "e.g", "i.e", "al", "etc", "vs", "cf", "fig", "figs", "eq", "eqs", "sec", "secs", "ref", "refs", "no", "nos",
+    "vol", "pp", "p", "resp", "approx", "ch", "def", "thm", "lem", "prop", "alg", "tab", "dr", "prof", "mr", "ms",
+)
 ENDS = r"""[.!?。！？]["'”’)\]]*$"""
 GROUP_CHARS, MOST_GROUPS, CONTEXT_CHARS = 600, 4, 400
 
@@ -24,7 +24,7 @@ def _ends(token: Column, after: Column) -> Column:
     core = F.regexp_replace(token, ENDS, "")
     mark = F.substring(F.regexp_extract(token, ENDS, 0), 1, 1)
     bare = F.regexp_replace(F.lower(core), r"""^[(\["'“‘]+""", "")
-    return token.rlike(ENDS) & ~after.rlike(r"^\p{Ll}") & ((mark != ".") | ~(bare.isin(ABBREVIATIONS) | bare.rlike(r"^\p{L}$")))
+    return token.rlike(ENDS) & ~after.rlike(r"^\p{Ll}") & ((mark != ".") | ~(bare.isin(*ABBREVIATIONS) | bare.rlike(r"^\p{L}$")))
 
 
 def sentence_array(text: Column) -> Column:

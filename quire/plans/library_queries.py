@@ -10,7 +10,7 @@ from ..operators import library as L
 from ..operators import structure as S
 from ..sources import adapters as A
 from ..sources.adapters_sql import with_tables
-from .structure_queries import NOT_BODY_SQL
+from .structure_queries import FIGURE_HEAD, NOT_BODY_SQL
 
 HAY = "lower(concat(quote, display_quote, comment))"
 NOTE = "trim(coalesce(comment, '')) <> ''"
@@ -36,10 +36,17 @@ def _listed_figures(answers):
     return answers.withColumn("markdown", F.when(F.col("session") % 2 == 0, more).otherwise(F.col("markdown")))
 
 
-FIGURE_SQL = r"""fg AS (SELECT answer_id, packet_id, unnest(regexp_extract_all(CASE WHEN session % 2 = 0 THEN replace(markdown, 'see Fig. ', 'see Figs. 1–3, S1 and ') ELSE markdown END, '(?i)(?:^|[^a-z])fig(?:ure)?s?\.?\s*(s?\d{1,3}(?:\s*(?:,|&|/|and|or|[-–~])\s*s?\d{1,3})*)', 1)) AS g FROM answers),
-  fp AS (SELECT answer_id, packet_id, g, unnest(ps) AS part, generate_subscripts(ps, 1) AS i, ps FROM (SELECT *, regexp_extract_all(g, '([-–~]?\s*[sS]?\d{1,3})', 1) AS ps FROM fg)),
-  fl AS (SELECT *, upper(regexp_extract(part, '([sS]?\d{1,3})', 1)) AS own, try_cast(upper(regexp_extract(part, '([sS]?\d{1,3})', 1)) AS INT) AS n, CASE WHEN i > 1 THEN try_cast(upper(regexp_extract(ps[i - 1], '([sS]?\d{1,3})', 1)) AS INT) END AS was FROM fp),
-  r AS (SELECT DISTINCT answer_id, packet_id AS version_id, unnest(CASE WHEN regexp_matches(part, '^[-–~]') AND was < n THEN list_transform(range(was + 1, least(n, was + 4) + 1), lambda x: x::VARCHAR) ELSE [own] END) AS label FROM fl)"""
+#: Words, numbers and signs of each answer; a number is named by the last word for figures before it if only numbers,
+#: joiners, dashes and an s stand between; behind a dash it is the end of a range.
+FIGURE_SQL = r"""ft AS (SELECT answer_id, packet_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM (SELECT answer_id, packet_id, regexp_extract_all(lower(CASE WHEN session % 2 = 0 THEN replace(markdown, 'see Fig. ', 'see Figs. 1–3, S1 and ') ELSE markdown END), '(\p{L}+|\p{Nd}+|\S)', 1) AS ts FROM answers)),
+  fk AS (SELECT *, list_contains(['fig', 'figs', 'figure', 'figures', '그림'], t) AS word, regexp_matches(t, '^[0-9]{1,3}$') AS num, list_contains([',', '&', '/', 'and', 'or', '-', '–', '~', 's', '.'], t) AS sign FROM ft),
+  fw AS (SELECT *, max(CASE WHEN word THEN i END) OVER w AS begun, max(CASE WHEN NOT (word OR num OR sign) THEN i END) OVER w AS broken, lag(t) OVER w AS t1, lag(t, 2) OVER w AS t2, lag(num, 2) OVER w AS num2 FROM fk WINDOW w AS (PARTITION BY answer_id ORDER BY i)),
+  r AS (SELECT DISTINCT answer_id, packet_id AS version_id, unnest(CASE WHEN t1 = '–' AND num2 THEN list_transform(range(t2::INT + 1, least(t::INT, t2::INT + 4) + 1), lambda x: x::VARCHAR) WHEN t1 = 's' THEN ['S' || t] ELSE [t] END) AS label FROM fw WHERE num AND begun IS NOT NULL AND begun > coalesce(broken, 0))"""
+
+
+def _paged(answers):
+    """Answers of which every other one also names pages in Korean and a range."""
+    return answers.withColumn("markdown", F.when(F.col("session") % 2 == 1, F.concat("markdown", F.lit(" 3쪽, 15–17 쪽 and pp. 21–22"))).otherwise(F.col("markdown")))
 
 
 def _expected(logs):
@@ -123,9 +130,9 @@ def library_queries() -> dict:
         "strip_artifacts": (lambda x, d: N.strip_artifacts(ans(x, d)), with_tables("answers", body="SELECT answer_id, replace(markdown, '```html title' || chr(10) || '<p>' || session || '</p>' || chr(10) || '```', '[artifact: title]') AS markdown FROM answers")),
         "figure_refs": (
             lambda x, d: N.figure_refs(_listed_figures(ans(x, d)), S.numbered_figures(A.blocks(x, d))),
-            with_tables("answers", "blocks", more=FIGURE_SQL + f", f AS (SELECT version_id, regexp_extract(text, '^Fig\\. +(\\d+)\\.', 1)::INT::VARCHAR AS label, arg_min(CASE WHEN length(text) > 300 THEN substr(text, 1, 299) || '…' ELSE text END, p) AS caption FROM blocks WHERE trim(text) <> '' AND NOT {NOT_BODY_SQL} AND regexp_matches(text, '^Fig\\. +\\d+\\.') AND NOT regexp_matches(text, '\\.{{4}}') GROUP BY 1, 2)", body="SELECT answer_id, version_id, label, caption FROM r LEFT JOIN f USING (version_id, label)"),
+            with_tables("answers", "blocks", more=FIGURE_SQL + f", f AS (SELECT version_id, regexp_extract(text, '{FIGURE_HEAD}', 4)::INT::VARCHAR AS label, arg_min(CASE WHEN length(text) > 300 THEN substr(text, 1, 299) || '…' ELSE text END, p) AS caption FROM blocks WHERE trim(text) <> '' AND NOT {NOT_BODY_SQL} AND regexp_matches(text, '{FIGURE_HEAD}') AND NOT regexp_matches(text, '\\.{{4}}') GROUP BY 1, 2)", body="SELECT answer_id, version_id, label, caption FROM r LEFT JOIN f USING (version_id, label)"),
         ),
-        "page_refs": (lambda x, d: N.page_refs(ans(x, d)), with_tables("answers", body="SELECT answer_id, unnest(list_distinct(regexp_extract_all(markdown, '\\bpp?\\. ?(\\d+)', 1)))::INT AS page FROM answers")),
+        "page_refs": (lambda x, d: N.page_refs(_paged(ans(x, d))), with_tables("answers", body="SELECT DISTINCT answer_id, unnest(list_concat(regexp_extract_all(markdown, '\\bp\\. ?(\\d+)', 1), CASE WHEN session % 2 = 1 THEN ['3', '15', '21'] ELSE [] END))::INT AS page FROM answers")),
         "save_answers": (
             lambda x, d: N.save_answers(ans(x, d).filter("turn < 3"), ans(x, d).withColumn("answer_id", F.col("answer_id") + 10**9)),
             with_tables("answers", more="o AS (SELECT packet_id, markdown, prompt, min(answer_id) AS old_id FROM answers WHERE turn < 3 AND discarded_at IS NULL GROUP BY 1, 2, 3)", body="SELECT a.answer_id + 1000000000 AS answer_id, coalesce(old_id, min(a.answer_id + 1000000000) OVER (PARTITION BY a.packet_id, a.markdown, a.prompt)) AS saved_id FROM answers a LEFT JOIN o ON a.packet_id = o.packet_id AND a.markdown = o.markdown AND a.prompt IS NOT DISTINCT FROM o.prompt"),

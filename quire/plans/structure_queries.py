@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import structure as S
+from ..operators.outline import NAMES, ROMANS, outline
 from ..sources import adapters as A
 from ..sources.adapters_sql import with_tables
 
@@ -22,10 +23,12 @@ HEADS = r"""heads AS (
 ), headings AS (
   SELECT o.version_id, o.p, o.page_index, o.text AS title, len(o.number)::INT AS level FROM ordered o JOIN walk w USING (version_id, k) WHERE w.kept
 )"""
-REFS = """starts AS (
-  SELECT version_id, max(p) AS start FROM blocks WHERE regexp_matches(text, '(?i)^(?:\\d+\\.? +)?(?:references|bibliography|literature cited)$') GROUP BY version_id
+#: A word for a figure with its number, and a mark or no small letter behind them.
+FIGURE_HEAD = r"^([Ff]ig(ure)?\.?|FIG(URE)?\.?|그림) *(\d{1,4})( *\p{P}| +[^\p{Ll}\s]|$)"
+REFS = r"""starts AS (
+  SELECT version_id, max(p) AS start, arg_max(font_size, p) AS head_size FROM blocks WHERE regexp_matches(text, '(?i)^(?:\d+\.? +)?(?:references|bibliography|literature cited|works cited|참고 ?문헌)$') GROUP BY version_id
 ), ends AS (
-  SELECT b.version_id, min(b.p) AS stop FROM blocks b JOIN starts s USING (version_id) WHERE b.p > s.start AND regexp_matches(b.text, '(?i)^(?:appendix|appendices|supplementary)\\b') GROUP BY b.version_id
+  SELECT b.version_id, min(b.p) AS stop FROM blocks b JOIN starts s USING (version_id) WHERE b.p > s.start AND (regexp_matches(b.text, '(?i)^(?:appendix|appendices|supplementary|부록)\b') OR (regexp_matches(b.text, '^[A-Z]\.?\s+\p{Lu}') AND len(regexp_split_to_array(trim(b.text), '\s+')) <= 9 AND NOT contains(b.text, ',') AND NOT ends_with(trim(b.text), '.') AND b.font_size >= 0.95::DOUBLE * head_size)) GROUP BY b.version_id
 ), refs AS (
   SELECT b.version_id, b.p, b.page_index, s.start FROM blocks b JOIN starts s USING (version_id) LEFT JOIN ends e USING (version_id) WHERE b.p >= s.start AND (e.stop IS NULL OR b.p < e.stop)
 )"""
@@ -79,18 +82,19 @@ def outlined(blocks):
     return blocks.withColumns({"text": text, "lines": F.when(k == 8, 3).otherwise(1)})
 
 
-IS_TITLE = r"regexp_matches({0}, '^[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{Lm}}]') AND length(regexp_replace({0}, '\P{{L}}+', '', 'g')) >= 2 AND NOT ends_with({0}, '.')"
-IS_SHORT = r"length({0}) <= 120 AND len(regexp_split_to_array({0}, '\s+')) <= 12"
-IN_CASE = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: length(w) > 3 AND regexp_matches(w, '^\p{{L}}') AND NOT regexp_matches(w, '^\p{{Lu}}'))) = 0"
-OUTLINE = rf"""ob AS (SELECT version_id, p, page_index, trim(CASE (p + version_id) % 11 WHEN 0 THEN (['I', 'II', 'III', 'IV', 'VI', 'IX'])[p // 11 % 6 + 1] || '. MAIN RESULTS' WHEN 2 THEN (['A', 'B', 'D', 'C'])[p // 11 % 4 + 1] || '. Some Methods' WHEN 4 THEN 'Conclusion:' WHEN 6 THEN 'B.1 More Proofs' WHEN 8 THEN (p // 11 + 1) || '.1 Long Title. It runs into the text here' ELSE text END) AS text, (p + version_id) % 11 <> 8 AS single FROM blocks),
-  o1 AS (SELECT *, regexp_matches(text, '{S.NUMBERED}') AS num, regexp_extract(text, '{S.NUMBERED}', 2) AS rest, regexp_extract(text, '{S.ROMAN}', 1) AS roman, regexp_extract(text, '{S.ROMAN}', 2) AS caps, regexp_matches(text, '{S.APPENDED}') AS appended, regexp_matches(text, '{S.UNNUMBERED}') AS named FROM ob),
-  o2 AS (SELECT *, regexp_extract(rest, '^(.*?)[.:]\s', 1) AS run_in FROM o1),
-  o3 AS (SELECT *, CASE WHEN single OR ({IS_SHORT.format("text")} AND {IS_TITLE.format("rest")} AND {IN_CASE.format("rest")}) THEN rest WHEN run_in <> '' AND {IN_CASE.format("run_in")} THEN run_in END AS head, NOT num AND single AND {IS_SHORT.format("text")} AS alone FROM o2),
-  o4 AS (SELECT version_id, p, page_index, regexp_replace(CASE WHEN num THEN substr(text, 1, length(text) - length(rest)) || head ELSE text END, ':*\s*$', '') AS title,
-    CASE WHEN num AND {IS_SHORT.format("head")} AND {IS_TITLE.format("head")} THEN list_transform(string_split(regexp_extract(text, '{S.NUMBERED}', 1), '.'), lambda x: x::INT) END AS number,
-    CASE WHEN alone AND roman <> '' AND {IS_TITLE.format("caps")} AND caps = upper(caps) THEN 10 * length(regexp_extract(roman, '^X*')) + list_position(['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'], regexp_replace(roman, '^X+', '')) - 1 END AS section,
-    CASE WHEN alone AND appended THEN CASE WHEN {IS_TITLE.format(f"regexp_extract(text, '{S.APPENDED}', 1)")} THEN length(regexp_replace(regexp_extract(text, '^\S+'), '[^.]', '', 'g')) + 1 END WHEN alone AND named THEN 1 END AS fixed,
-    CASE WHEN alone AND NOT appended AND NOT named AND {IS_TITLE.format(f"regexp_extract(text, '{S.LETTERED}', 2)")} THEN ascii(text) - 64 END AS letter FROM o3),
+HEADS_SQL = r"(length({0}) <= 120 AND len(regexp_split_to_array({0}, '\s+')) <= 12 AND regexp_matches({0}, '^\p{{L}}') AND NOT regexp_matches({0}, '^\p{{Ll}}') AND length(regexp_replace({0}, '\P{{L}}', '', 'g')) > 1 AND NOT ends_with({0}, '.'))"
+CAPITALISED = r"(len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: length(w) > 3 AND regexp_matches(w, '^\p{{L}}') AND NOT regexp_matches(w, '^\p{{Lu}}'))) = 0)"
+OUTLINE = rf"""ob AS (SELECT version_id, p, page_index, trim(CASE (p + version_id) % 11 WHEN 0 THEN (['I', 'II', 'III', 'IV', 'VI', 'IX'])[p // 11 % 6 + 1] || '. MAIN RESULTS' WHEN 2 THEN (['A', 'B', 'D', 'C'])[p // 11 % 4 + 1] || '. Some Methods' WHEN 4 THEN 'Conclusion:' WHEN 6 THEN 'B.1 More Proofs' WHEN 8 THEN (p // 11 + 1) || '.1 Long Title. It runs into the text here' ELSE text END) AS text, (p + version_id) % 11 <> 8 AS one_line FROM blocks),
+  o1 AS (SELECT *, string_split(text, ' ')[1] AS first, ltrim(substr(text, length(string_split(text, ' ')[1]) + 1)) AS rest FROM ob),
+  o2 AS (SELECT *, ends_with(first, '.') AS dotted, string_split(CASE WHEN ends_with(first, '.') THEN left(first, -1) ELSE first END, '.') AS pieces, instr(replace(rest, ': ', '. '), '. ') AS cut FROM o1),
+  o3 AS (SELECT *, rest <> '' AND len(pieces) <= 4 AND list_bool_and(list_transform(pieces, lambda x: regexp_matches(x, '^[0-9]{{1,2}}$'))) AS num, regexp_matches(pieces[1], '^[A-Z]$') AS lettered, length(text) <= 120 AND len(string_split(text, ' ')) <= 12 AS short, list_position({ROMANS}, pieces[1]) AS roman, lower(rtrim(text, ': ')) AS bare,
+    CASE WHEN one_line OR (length(text) <= 120 AND len(string_split(text, ' ')) <= 12 AND {HEADS_SQL.format("rest")} AND {CAPITALISED.format("rest")}) THEN rest WHEN cut > 0 AND {CAPITALISED.format("left(rest, cut - 1)")} THEN left(rest, cut - 1) END AS head FROM o2),
+  o3b AS (SELECT *, NOT num AND one_line AND short AS alone, lettered AND rest <> '' AND len(pieces) BETWEEN 2 AND 4 AND list_bool_and(list_transform(pieces[2:], lambda x: regexp_matches(x, '^[0-9]{{1,2}}$'))) AS appended, list_contains({list(NAMES)}, bare) OR regexp_matches(bare, '^([a-z][.]? )?(appendix|appendices)([^a-z0-9_]|$)') AS named FROM o3),
+  o4 AS (SELECT version_id, p, page_index, rtrim(CASE WHEN num THEN left(text, length(text) - length(rest)) || head ELSE text END, ': ') AS title,
+    CASE WHEN num AND head <> '' AND {HEADS_SQL.format("head")} THEN list_transform(pieces, lambda x: x::INT) END AS number,
+    CASE WHEN alone AND dotted AND len(pieces) = 1 AND roman > 0 AND {HEADS_SQL.format("rest")} AND rest = upper(rest) THEN roman END AS section,
+    CASE WHEN alone AND appended THEN CASE WHEN {HEADS_SQL.format("rest")} THEN length(first) - length(replace(first, '.', '')) + 1 END WHEN alone AND named THEN 1 END AS fixed,
+    CASE WHEN alone AND NOT appended AND NOT named AND lettered AND len(pieces) = 1 AND dotted AND {HEADS_SQL.format("rest")} THEN ascii(first) - 64 END AS letter FROM o3b),
   o5 AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY p) AS k FROM o4 WHERE number IS NOT NULL OR section IS NOT NULL OR fixed IS NOT NULL OR letter IS NOT NULL),
   ow AS (SELECT version_id, 0::BIGINT AS k, [0] AS last, 0 AS sec, 0 AS let, 0 AS level FROM (SELECT DISTINCT version_id FROM o5)
     UNION ALL SELECT version_id, k, CASE WHEN how = 1 THEN number ELSE last END, CASE WHEN how = 2 THEN section ELSE sec END::INT, CASE WHEN how = 2 THEN 0 WHEN how = 4 THEN letter ELSE let END::INT, CASE how WHEN 1 THEN len(number) WHEN 2 THEN 1 WHEN 3 THEN fixed WHEN 4 THEN 2 ELSE 0 END::INT FROM (
@@ -121,7 +125,7 @@ def structure_queries() -> dict:
         ),
         "reference_blocks": (lambda s, d: S.reference_blocks(b(s, d)), with_tables("blocks", more=REFS, body="SELECT * FROM refs")),
         "reference_pages": (lambda s, d: S.reference_pages(b(s, d)), with_tables("blocks", more=REFS, body="SELECT version_id, unnest(range(min(page_index), max(page_index) + 1))::INT AS page_index FROM refs GROUP BY version_id")),
-        "outline": (lambda s, d: S.outline(outlined(b(s, d))), with_tables("blocks", more=OUTLINE, body="SELECT o5.version_id, p, page_index, title, level FROM o5 JOIN ow USING (version_id, k) WHERE level > 0")),
+        "outline": (lambda s, d: outline(outlined(b(s, d))), with_tables("blocks", more=OUTLINE, body="SELECT o5.version_id, p, page_index, title, level FROM o5 JOIN ow USING (version_id, k) WHERE level > 0")),
         "headings": (lambda s, d: heads(s, d).drop("number"), with_tables("blocks", more=HEADS, body="SELECT * FROM headings")),
         "section_paths": (
             lambda s, d: S.section_paths(b(s, d), heads(s, d)),
@@ -147,16 +151,16 @@ def structure_queries() -> dict:
         ),
         "numbered_figures": (
             lambda s, d: S.numbered_figures(b(s, d)),
-            with_tables("blocks", more=f"c AS (SELECT *, regexp_extract(text, '^Fig\\. +(\\d+)\\.', 1)::INT AS label FROM blocks WHERE trim(text) <> '' AND NOT {NOT_BODY_SQL} AND regexp_matches(text, '^Fig\\. +\\d+\\.') AND NOT regexp_matches(text, '\\.{{4}}')), f AS (SELECT *, row_number() OVER (PARTITION BY version_id, label ORDER BY p) AS k FROM c)", body="SELECT version_id, label, p, page_index, CASE WHEN length(text) > 300 THEN substr(text, 1, 299) || '…' ELSE text END AS caption FROM f WHERE k = 1"),
+            with_tables("blocks", more=f"c AS (SELECT *, regexp_extract(text, '{FIGURE_HEAD}', 4)::INT AS label FROM blocks WHERE trim(text) <> '' AND NOT {NOT_BODY_SQL} AND regexp_matches(text, '{FIGURE_HEAD}') AND NOT regexp_matches(text, '\\.{{4}}')), f AS (SELECT *, row_number() OVER (PARTITION BY version_id, label ORDER BY p) AS k FROM c)", body="SELECT version_id, label, p, page_index, CASE WHEN length(text) > 300 THEN substr(text, 1, 299) || '…' ELSE text END AS caption FROM f WHERE k = 1"),
         ),
         "carry_block_ids": (
             lambda s, d: S.carry_block_ids(b(s, d).filter("p % 4 <> 3").withColumn("block_id", F.concat_ws("-", "version_id", "p")), b(s, d)),
             with_tables("blocks", more="o AS (SELECT version_id, page_index, text, version_id || '-' || p AS block_id, row_number() OVER (PARTITION BY version_id, page_index, text ORDER BY p) AS k FROM blocks WHERE p % 4 <> 3), n AS (SELECT *, row_number() OVER (PARTITION BY version_id, page_index, text ORDER BY p) AS k FROM blocks)", body="SELECT n.version_id, n.p, coalesce(block_id, 'new-' || n.version_id || '-' || n.p) AS block_id, block_id IS NOT NULL AS carried FROM n LEFT JOIN o USING (version_id, page_index, text, k)"),
         ),
         "block_text": (
-            lambda s, d: S.block_text(b(s, d).select("version_id", "page_index", "p", F.when(F.col("p") % 3 == 1, F.concat("text", F.lit("a-"))).otherwise(F.lower("text")).alias("text")), ["version_id", "page_index"], "p"),
-            with_tables("blocks", more="l AS (SELECT version_id, page_index, p, CASE WHEN p % 3 = 1 THEN text || 'a-' ELSE lower(text) END AS text FROM blocks), n AS (SELECT *, lead(text) OVER (PARTITION BY version_id, page_index ORDER BY p) AS after FROM l)",
-                        body="SELECT version_id, page_index, trim(regexp_replace(string_agg(CASE WHEN regexp_matches(text, '\\p{L}[-‐]$') AND coalesce(regexp_matches(after, '^\\p{Ll}'), false) THEN substr(text, 1, length(text) - 1) WHEN after IS NULL THEN text ELSE text || ' ' END, '' ORDER BY p), ' +', ' ', 'g')) AS text FROM n GROUP BY version_id, page_index"),
+            lambda s, d: S.block_text(b(s, d).select("version_id", "page_index", "p", F.when(F.col("p") % 3 == 1, F.concat("text", F.lit("a-"))).otherwise(F.concat(F.lower("text"), F.lit("\u0007 \ue000"))).alias("text")), ["version_id", "page_index"], "p"),
+            with_tables("blocks", more="l AS (SELECT version_id, page_index, p, CASE WHEN p % 3 = 1 THEN text || 'a-' ELSE lower(text) || chr(7) || ' ' || chr(57344) END AS text FROM blocks), n AS (SELECT *, lead(text) OVER (PARTITION BY version_id, page_index ORDER BY p) AS after FROM l)",
+                        body="SELECT version_id, page_index, trim(regexp_replace(replace(replace(string_agg(CASE WHEN regexp_matches(text, '\\p{L}[-‐]$') AND coalesce(regexp_matches(after, '^\\p{Ll}'), false) THEN substr(text, 1, length(text) - 1) WHEN after IS NULL THEN text ELSE text || ' ' END, '' ORDER BY p), chr(7), ''), chr(57344), ''), ' +', ' ', 'g')) AS text FROM n GROUP BY version_id, page_index"),
         ),
         "weighted_median": (
             lambda s, d: S.weighted_median(b(s, d).withColumn("chars", F.length("text")), ["version_id", "page_index"], "font_size", "chars"),
@@ -181,8 +185,8 @@ def structure_queries() -> dict:
                         body="""SELECT version_id, p, page_index, two_columns, (row_number() OVER (PARTITION BY version_id, page_index ORDER BY CASE WHEN two_columns THEN above ELSE 0 END, CASE WHEN NOT two_columns THEN 0 WHEN side = 'left' THEN 0 WHEN side = 'right' THEN 1 ELSE 2 END, CASE WHEN two_columns THEN y0 ELSE 0 END, p) - 1)::INT AS "order" FROM s"""),
         ),
         "style_runs": (
-            lambda s, d: S.style_runs(b(s, d).select("version_id", F.col("p").alias("position"), F.when(F.col("p") % 5 < 2, "bold").when(F.col("p") % 5 == 2, "italic").alias("mark")), ["version_id"]),
-            with_tables("blocks", more="c AS (SELECT version_id, p AS position, CASE WHEN p % 5 < 2 THEN 'bold' WHEN p % 5 = 2 THEN 'italic' END AS mark FROM blocks), n AS (SELECT *, CASE WHEN mark IS NOT DISTINCT FROM lag(mark) OVER w AND position = lag(position) OVER w + 1 THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY version_id ORDER BY position)), r AS (SELECT *, sum(new) OVER (PARTITION BY version_id ORDER BY position) AS run FROM n)", body='SELECT version_id, mark, min(position) AS start, max(position) + 1 AS "end" FROM r WHERE mark IS NOT NULL GROUP BY version_id, run, mark'),
+            lambda s, d: S.style_runs(b(s, d).select("version_id", F.col("p").alias("position"), F.when(F.col("p") % 4 == 1, " ").otherwise("x").alias("char"), F.when(F.col("p") % 4 == 1, None).when(F.col("p") % 5 < 2, "bold").when(F.col("p") % 5 == 2, "italic").alias("mark")), ["version_id"]),
+            with_tables("blocks", more="c0 AS (SELECT version_id, p AS position, p % 4 = 1 AS blank, CASE WHEN p % 5 < 2 THEN 'bold' WHEN p % 5 = 2 THEN 'italic' END AS own FROM blocks), c AS (SELECT a.version_id, a.position, CASE WHEN NOT a.blank THEN a.own WHEN b.own = z.own THEN b.own END AS mark FROM c0 a LEFT JOIN c0 b ON b.version_id = a.version_id AND b.position = a.position - 1 LEFT JOIN c0 z ON z.version_id = a.version_id AND z.position = a.position + 1), n AS (SELECT *, CASE WHEN mark IS NOT DISTINCT FROM lag(mark) OVER w AND position = lag(position) OVER w + 1 THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY version_id ORDER BY position)), r AS (SELECT *, sum(new) OVER (PARTITION BY version_id ORDER BY position) AS run FROM n)", body='SELECT version_id, mark, min(position) AS start, max(position) + 1 AS "end" FROM r WHERE mark IS NOT NULL GROUP BY version_id, run, mark'),
         ),
         "flag_covered": (
             lambda s, d: S.flag_covered(b(s, d), figure_regions(b(s, d))),

@@ -20,6 +20,7 @@ from quire.operators import search_index as X
 from quire.operators import structure as S
 from quire.operators import threads as H
 from quire.operators import translation as T
+from quire.operators.outline import outline
 from quire.plans import registry
 from quire.sources import adapters as A
 from quire.sources import library as SRC
@@ -374,10 +375,10 @@ def test_fences(spark):
 
 
 def test_figure_lists(spark):
-    rows = [(1, "see Figs. 3, 4 and s1; figure 3"), (2, "Fig 2–9 and configure 5"), (3, "fig. 7-3"), (4, None)]
+    rows = [(1, "see Figs. 3, 4 and s1; figure 3"), (2, "Fig 2–9 and configure 5"), (3, "fig. 7-3"), (4, None), (5, "그림 3, 4와 Figure 5a; a fig. or 6, figures 1, 2, and 4"), (6, "fig 1234, Fig. S2–S4")]
     a = spark.createDataFrame(rows, "answer_id long, markdown string")
     got = {r.answer_id: r.x for r in a.select("answer_id", N.figure_numbers(F.col("markdown")).alias("x")).collect()}
-    assert got == {1: ["3", "4", "S1"], 2: ["2", "3", "4", "5", "6"], 3: ["7", "3"], 4: None}
+    assert got == {1: ["3", "4", "S1"], 2: ["2", "3", "4", "5", "6"], 3: ["7", "3"], 4: None, 5: ["3", "4", "5", "1", "2"], 6: ["S2", "S4"]}
 
 
 def test_budget_of_roles(spark):
@@ -391,9 +392,9 @@ def test_budget_of_roles(spark):
 def test_outline(spark):
     texts = ["Abstract", "I. INTRODUCTION", "A. First Part", "C. Third Part", "F. too far", "III. LATE", "B. Again", "VI. TOO LATE", "1 One", "4 Jumps", "3.2 Fine:", "2 Falls", "A.1 Extra", "A.2 no title.", "Appendix B", "no heading", "3.3 Run In Title. And the text goes on"]
     b = blocks(spark, texts).withColumn("lines", F.when(F.col("text").startswith("3.3"), 4).otherwise(1))
-    got = [(r.title, r.level) for r in S.outline(b).orderBy("p").collect()]
+    got = [(r.title, r.level) for r in outline(b).orderBy("p").collect()]
     assert got == [("Abstract", 1), ("I. INTRODUCTION", 1), ("A. First Part", 2), ("C. Third Part", 2), ("III. LATE", 1), ("B. Again", 2), ("1 One", 1), ("3.2 Fine", 2), ("A.1 Extra", 2), ("Appendix B", 1), ("3.3 Run In Title", 2)]
-    assert S.outline(b.limit(0)).count() == 0
+    assert outline(b.limit(0)).count() == 0
 
 
 def test_unreadable_selections(spark):
@@ -404,3 +405,48 @@ def test_unreadable_selections(spark):
     anchors = spark.createDataFrame(rows, "anchor_id long, of int, quote string").join(box, "of").drop("of")
     got = {r.anchor_id: r.unreadable for r in H.unreadable(anchors, b).collect()}
     assert got[1] is False and got[2] is True and got[3] is True and got[4] is False and not got[5]
+
+
+def test_page_references(spark):
+    a = spark.createDataFrame([(1, "see p.19, pp. 20–22 and 7쪽, 9-12 쪽; p. 19"), (2, "page 5"), (3, None), (4, "p. 99999999999")], "answer_id long, markdown string")
+    assert sorted((r.answer_id, r.page) for r in N.page_refs(a).collect()) == [(1, 7), (1, 9), (1, 19), (1, 20)]
+
+
+def test_style_runs_over_spaces(spark):
+    marks = {"a b": ["b", None, "b"], "a  c": ["b", None, None, "b"], " a i ": [None, "b", None, "i", None]}
+    rows = [(k, i, c, m) for k, (text, ms) in enumerate(marks.items()) for i, (c, m) in enumerate(zip(text, ms, strict=True))]
+    got = sorted((r.k, r.start, r.end, r.mark) for r in S.style_runs(spark.createDataFrame(rows, "k int, position int, char string, mark string"), ["k"]).collect())
+    assert got == [(0, 0, 3, "b"), (1, 0, 4, "b"), (2, 1, 2, "b"), (2, 3, 4, "i")]
+
+
+def test_paragraph_text_in_nfkc(spark):
+    lines = spark.createDataFrame([(1, 0, "ef\ufb01cient\u0007 so-"), (1, 1, "lution \ue001 of the"), (1, 2, "Pre-"), (1, 3, "Fix"), (2, 0, "soft\u00adware")], "block int, line int, text string")
+    assert {r.block: r.text for r in S.block_text(lines, ["block"], "line").collect()} == {1: "efficient solution of the Pre- Fix", 2: "software"}
+
+
+def test_crossing_quads(spark):
+    quads = [[0.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 1.0], [0.0, 0.0, 1.0, 1.0, 1.0, 0.2, 0.0, 1.0], [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]]
+    a = spark.createDataFrame([(i, 1, 0, "region", None, [q]) for i, q in enumerate(quads)], "anchor_id int, version_id long, page_index int, kind string, quote string, quads array<array<double>>")
+    got = {r.anchor_id: r.reason for r in S.validate_anchors(a, spark.createDataFrame([(1, 1)], "version_id long, page_count int")).collect()}
+    assert got == {0: None, 1: "crossing", 2: "area"}
+
+
+def test_reference_section_ends_at_a_lettered_title(spark):
+    texts = ["Text", "References", "[1] A. Author, Title.", "A. Author and B. Writer wrote, at length", "B Proof of the Main Lemma", "more"]
+    assert [r.p for r in S.reference_blocks(blocks(spark, texts)).orderBy("p").collect()] == [1, 2, 3]
+    small = blocks(spark, texts, size=lambda p: 8.0 if p == 4 else 10.0)
+    assert [r.p for r in S.reference_blocks(small).orderBy("p").collect()] == [1, 2, 3, 4, 5]
+    unknown = small.withColumn("font_size", F.when(F.col("p") != 4, F.col("font_size")))
+    assert [r.p for r in S.reference_blocks(unknown).orderBy("p").collect()] == [1, 2, 3]
+    assert [r.p for r in S.reference_blocks(small.withColumn("font_size", F.lit(9.0)).withColumn("lines", F.when(F.col("p") == 4, 2).otherwise(1))).orderBy("p").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_captions_of_figures(spark):
+    texts = ["Fig. 1. A plan", "Figure 2: Another", "그림 3 Overview", "Fig. 4 shows that", "Figure 5 Title Case", "Fig. 6 ........ 12", "FIG. 1. again"]
+    assert sorted((r.label, r.p) for r in S.numbered_figures(blocks(spark, texts)).collect()) == [(1, 0), (2, 1), (3, 2), (5, 4)]
+
+
+def test_running_heads_of_two_lines_at_most(spark):
+    rows = [(1, p, p, 0, "Head 1", 0.1, 0.02, 0.9, 0.05, 10.0, [], n) for p, n in enumerate([1, 2, 3, 1])]
+    b = spark.createDataFrame(rows, BLOCK + ", lines int")
+    assert sorted(r.p for r in S.running_lines(b).collect()) == [0, 1, 3]
