@@ -2,9 +2,9 @@
 
 The base finds assignments, access keys and long hexadecimal runs. The method looks at values that
 stand in a credential context and estimates how many guesses they take: dynamic programming
-segments a value into common words, dates, repeats, keyboard walks and brute-force spans at the
-least cost. Values that cost more than a threshold are secrets as well; those that a person might
-write as prose or as a placeholder are not.
+segments a value into words, dates, repeats, keyboard walks and brute-force spans at the least cost.
+Values that cost more than a threshold are secrets as well. Behind a word for a password the cost
+alone decides; behind weaker words, such as "login", values that read as prose are none.
 """
 
 from __future__ import annotations
@@ -29,12 +29,18 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A credential context: a key word, a sign or verb, and a value without white space or quotes.
-CONTEXT = re.compile(r"""(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|secret)[_-]?key|auth(?:orization)?|bearer|credentials?|login)(?:["']?\x20{0,3}[:=]>?\x20{0,3}|\x20is\x20)["']?(?:bearer\x20)?([^\s"'<>]{8,})""", re.I | re.A)
+CONTEXT = re.compile(r"""(?<![a-z0-9])(pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|secret)[_-]?key|auth(?:orization)?|bearer|credentials?|login)(?:["']?\x20{0,3}[:=]>?\x20{0,3}|\x20is\x20)["']?(?:bearer\x20)?([^\s"'<>]{6,})""", re.I | re.A)
+#: How the words for a password begin, behind which any value is one.
+PASSWORDS = ("pass", "pwd")
+#: A value that stands for one: a variable of a shell, a template or a format.
+REFERENCE = re.compile(r"[$%#]?[{(\[]{1,2}[\w.\x20-]+[})\]]{0,2}|\$\w+|%\w+%|__\w+__", re.A)
 HINTS = ("pass", "secret", "token", "api", "pwd", "key", "auth", "bearer", "credential", "login")
 #: log10 of the guesses from which a value is a secret.
 THRESHOLD = 8.0
-#: Longest segment other than brute force.
+#: Longest word of a list; shorter repeats and walks within longer ones are tried up to it.
 SPAN = 32
+#: Cost of a word that no list has and that can be spoken, and of each letter beyond the eighth; of a sign between words.
+WORD, LONG_WORD, BETWEEN = 3.3, 0.48, 0.5
 
 # fixed values: common words of passwords by rank
 COMMON = (
@@ -43,7 +49,8 @@ COMMON = (
     "george charlie andrew michelle jessica pepper daniel access joshua maggie starwars silver william dallas yankees ashley "
     "amanda summer winter spring autumn love god ninja mustang computer internet server test demo guest user root default changeme "
     "example sample token key pass temp backup data system network secure service account company home work money monday friday "
-    "january february march april may june july august september october november december red blue green black white apple orange"
+    "january february march april may june july august september october november december red blue green black white apple orange "
+    "your here my enter insert placeholder"
 ).split()
 RANK = {w: i + 1 for i, w in enumerate(COMMON)}
 #: Most words that are learnt from the documents and broadcast with the scan: 1 MB.
@@ -59,38 +66,62 @@ def _char_cost(c: str) -> float:
     return 1.0 if c.isdigit() else 1.2 if c.islower() else 1.3 if c.isupper() else 1.5
 
 
-def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
-    """log10 of the guesses of the cheapest segmentation of ``value``; 0 for an empty one."""
+def _run_ends(value: str, goes_on: Callable[[str, str], bool]) -> list[int]:
+    """For each place the end of the stretch from it in which each character goes on from the one before."""
+    ends = [len(value)] * len(value)
+    for i in range(len(value) - 2, -1, -1):
+        ends[i] = ends[i + 1] if goes_on(value[i], value[i + 1]) else i + 1
+    return ends
+
+
+def guess_cost(value: str, ranks: dict[str, int] = RANK, enough: float = math.inf) -> float:
+    """log10 of the guesses of the cheapest segmentation of ``value``; 0 for an empty one. Costs of ``enough``
+    or more are not told apart: the program ends where no cheaper segmentation goes on.
+
+    A place has a bounded number of segments: words of the list and shorter repeats and walks up to
+    SPAN characters, the whole repeat and walk, a date, and a word that can be spoken.
+    """
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
-    for i in range(n):
+    same, walk = _run_ends(value, str.__eq__), _run_ends(low, lambda a, b: b in _NEAR.get(a, ()))
+    words = {m.start(): m.end() for m in PART.finditer(value) if len(m[0]) >= 3 and can_be_spoken(m[0].lower())}
+    reached = 0  # the last place that costs less than enough
+    i = 0
+    while i <= reached and i < n:
+        if best[i] >= enough:
+            i += 1
+            continue
         at = best[i] + (0.3 if i else 0.0)  # another segment
 
-        def reach(j: int, cost: float, at: float = at) -> None:
-            best[j] = min(best[j], at + cost)
+        def reach(j: int, cost: float) -> None:
+            nonlocal reached
+            if cost < best[j]:
+                best[j] = cost
+                if cost < enough and j > reached:
+                    reached = j
 
-        best[i + 1] = min(best[i + 1], best[i] + _char_cost(value[i]))
+        reach(i + 1, best[i] + _char_cost(value[i]))
+        if 0 < i < n - 1 and value[i] in "-_/." and value[i - 1].isalpha() and value[i + 1].isalpha():
+            reach(i + 1, best[i] + BETWEEN)
         for j in range(i + 3, min(n, i + SPAN) + 1):
             rank, extra = ranks.get(low[i:j]), 0.0
             if rank is None:
                 rank, extra = ranks.get(plain[i:j]), 0.6
             if rank is not None:
-                reach(j, math.log10(rank + 1) + extra + (0.3 if value[i:j] != low[i:j] else 0.0))
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-        if j - i >= 3:
-            reach(j, _char_cost(value[i]) + math.log10(j - i))
-        j = i + 1
-        while j < n and low[j] in _NEAR.get(low[j - 1], ()):
-            j += 1
-            if j - i >= 3:
-                reach(j, math.log10(len(_NEAR)) + 0.5 * math.log10(j - i) + 0.1 * (j - i))
+                reach(j, at + math.log10(rank + 1) + extra + (0.3 if value[i:j] != low[i:j] else 0.0))
+        if i in words:
+            j = words[i]
+            reach(j, at + WORD + LONG_WORD * max(0, j - i - 8) + (0.3 if value[i:j] != low[i:j] else 0.0))
+        for end, cost in ((same[i], lambda k: _char_cost(value[i]) + math.log10(k)), (walk[i], lambda k: math.log10(len(_NEAR)) + 0.5 * math.log10(k) + 0.1 * k)):  # noqa: B023
+            if end - i >= 3:
+                for j in {end, *range(i + 3, min(end, i + SPAN))}:
+                    reach(j, at + cost(j - i))
         m = DATE.match(value, i)
         if m:
-            reach(m.end(), math.log10(119) if m.end() - i == 4 else math.log10(365 * 119) + (0.6 if m.end() - i > 8 else 0.0))
-    return best[n]
+            reach(m.end(), at + (math.log10(119) if m.end() - i == 4 else math.log10(365 * 119) + (0.6 if m.end() - i > 8 else 0.0)))
+        i += 1
+    return min(best[n], enough)
 
 
 def base_spans(text: str, low: str) -> list[tuple[str, int, int]]:
@@ -111,6 +142,11 @@ SCHEME = re.compile(r"(?:https?|ftp|file|mailto)://|www\.", re.I)
 CLUSTER = re.compile(r"[^aeiouy]{7}|[aeiouy]{5}|[jq][^aeiouys]|v[bcdfghjkmpqtwxz]|x[bdfgjkmnrvz]|[bcdfghjkmpqvwx][qx]")
 
 
+def can_be_spoken(part: str) -> bool:
+    """Whether small letters have a vowel in six and no cluster that words do not have; other scripts always."""
+    return not part.isascii() or 6 * sum(c in "aeiouy" for c in part) >= len(part) and not CLUSTER.search(part)
+
+
 def is_prose(value: str) -> bool:
     """Whether a value without digits reads as words: three quarters of its letters are in parts of three
     letters or more that can be spoken, and at most a quarter of its characters are signs."""
@@ -118,27 +154,21 @@ def is_prose(value: str) -> bool:
         return False
     value = "".join(c for c in unicodedata.normalize("NFKD", SCHEME.sub("", value)) if not unicodedata.combining(c))
     letters = sum(map(str.isalpha, value))
-    spoken = 0
-    for m in PART.finditer(value):
-        part = m[0].lower()
-        if len(part) < 3:
-            continue
-        vowels = sum(c in "aeiouy" for c in part)
-        if not part.isascii() or 6 * vowels >= len(part) and not CLUSTER.search(part):
-            spoken += len(part)
+    spoken = sum(len(m[0]) for m in PART.finditer(value) if len(m[0]) >= 3 and can_be_spoken(m[0].lower()))
     return letters > 0 and 4 * spoken >= 3 * letters and 4 * letters >= 3 * len(value)
 
 
 def added_spans(text: str, low: str, base: list[tuple[str, int, int]], threshold: float, ranks: dict[str, int] = RANK) -> list[tuple[str, int, int]]:
-    """Values in credential contexts that no base span holds whole, are costly to guess and not prose."""
+    """Values in credential contexts that no base span holds whole and that are costly to guess; behind a word that
+    is none for a password, also no prose."""
     if not any(h in low for h in HINTS):
         return []
     found = []
     for m in CONTEXT.finditer(text):
-        a, value = m.start(1), m[1].rstrip(".,;:!?)]}")
-        if any(s <= a and a + len(value) <= e for _, s, e in base):
+        a, value = m.start(2), m[2].rstrip(".,;:!?)]}")
+        if any(s <= a and a + len(value) <= e for _, s, e in base) or REFERENCE.fullmatch(m[2].rstrip(".,;:!?")):
             continue
-        if len(value) >= 8 and not is_prose(value) and guess_cost(value, ranks) >= threshold:
+        if guess_cost(value, ranks, threshold) >= threshold and (m[1].lower().startswith(PASSWORDS) or not is_prose(value)):
             found.append(("guess", a, a + len(value)))
     return found
 
