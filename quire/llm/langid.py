@@ -2,11 +2,14 @@
 
 Counts of hashed n-grams are taken over all training documents in Spark. The table of log
 probabilities has one column for each language and a fixed number of rows, so it can be broadcast;
-batches of texts are scored by gathering and summing its rows in numpy.
+batches of texts are scored by gathering and summing its rows in numpy. Beyond TABLE_LANGUAGES languages
+there are several tables, one after the other: a row carries its best language so far, and the sum
+over those seen, from table to table, so the result is that of one table of all.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_ids
+from .common import map_ids, written
 
-#: Hash buckets, lengths of n-grams, and the most languages that the broadcast table may hold (64 MB).
-BUCKETS, LENGTHS, MOST_LANGUAGES = 1 << 16, (2, 3), 256
+#: Hash buckets, lengths of n-grams, and the languages of one broadcast table (64 MB).
+BUCKETS, LENGTHS, TABLE_LANGUAGES = 1 << 16, (2, 3), 256
+#: Languages whose counts a task holds at once, and whose counts come to the driver at once (1 MB each at most).
+HELD_LANGUAGES = 64
 UNKNOWN = "und"
 #: Characters that are hashed at once, and numbers that are gathered at once from the table.
 CHARS, GATHERED = 1 << 20, 1 << 22
@@ -56,48 +61,56 @@ def _sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.concatenate(rows), np.concatenate(buckets), np.concatenate(counts)) if rows else (np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.int64))
 
 
-def _counting(languages: list[str]) -> Callable:
-    place = {x: i for i, x in enumerate(languages)}
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, docs = np.zeros((len(languages), BUCKETS), np.int64), np.zeros(len(languages), np.int64)
-        held: list[list[np.ndarray]] = [[] for _ in languages]
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(lang, bucket, n) of a task; under bucket -1 the number of texts. Sent on whenever many languages are held."""
+    total: dict[str, np.ndarray] = {}
+    docs: Counter = Counter()
+    held: dict[str, list[np.ndarray]] = {}
+
+    def flush(lang: str) -> None:
+        parts = held.pop(lang, None)
+        if parts:
+            total[lang] += np.bincount(np.concatenate(parts), minlength=BUCKETS)
+
+    def rows() -> Iterator[pd.DataFrame]:
+        for lang, sums in total.items():
+            flush(lang)
+            bucket = np.flatnonzero(sums)
+            yield pd.DataFrame({"lang": lang, "bucket": np.r_[bucket, -1].astype(np.int32), "n": np.r_[sums[bucket], docs[lang]]})
+        total.clear()
+        docs.clear()
+
+    for batch in batches:
+        for text, lang in zip(batch["text"], batch["lang"], strict=True):
+            if lang not in total:
+                if len(total) == HELD_LANGUAGES:
+                    yield from rows()
+                total[lang] = np.zeros(BUCKETS, np.int64)
+            docs[lang] += 1
+            for part in _ngrams(text):
+                held.setdefault(lang, []).append(part)
+                if sum(map(len, held[lang])) > CHARS:
+                    flush(lang)
+    yield from rows()
+
+
+def counted(labelled: DataFrame) -> DataFrame:
+    """(lang, bucket, n) over all rows (text, lang) of which neither is null, written."""
+    rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
+    return written(rows.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-counts")
 
-        def flush(i: int) -> None:
-            if held[i]:
-                total[i] += np.bincount(np.concatenate(held[i]), minlength=BUCKETS)
-                held[i].clear()
 
-        for batch in batches:
-            for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                i = place[lang]
-                docs[i] += 1
-                for part in _ngrams(text):
-                    held[i].append(part)
-                    if sum(map(len, held[i])) > CHARS:
-                        flush(i)
-        for i in range(len(languages)):
-            flush(i)
-        lang, bucket = np.nonzero(total)
-        yield pd.DataFrame({"lang": np.r_[lang, np.arange(len(languages))].astype(np.int32), "bucket": np.r_[bucket, np.full(len(languages), -1)].astype(np.int32), "n": np.r_[total[lang, bucket], docs]})
-
-    return count
-
-
-def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log probabilities (BUCKETS x languages) and log priors from all rows (text, lang)
-    of which neither is null."""
-    rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    counts, docs = np.zeros((BUCKETS, len(languages))), np.zeros(len(languages))
-    for r in rows.mapInPandas(_counting(languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # at most (BUCKETS + 1) x languages
-        if r["bucket"] < 0:
-            docs[r["lang"]] = r["n"]
-        else:
-            counts[r["bucket"], r["lang"]] = r["n"]
-    return languages, np.log(counts + 0.5) - np.log((counts + 0.5).sum(axis=0)), np.log(np.maximum(docs, 1) / max(docs.sum(), 1))
+def table_of(counts: DataFrame, languages: list[str], docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities (BUCKETS x languages) and log priors, by the number ``docs`` of all texts."""
+    n, texts = np.zeros((BUCKETS, len(languages))), np.zeros(len(languages))
+    for at in range(0, len(languages), HELD_LANGUAGES):
+        some = {x: at + i for i, x in enumerate(languages[at : at + HELD_LANGUAGES])}
+        rows = counts.filter(F.col("lang").isin(*some)).toPandas()
+        place, bucket = rows["lang"].map(some).to_numpy(np.int64), rows["bucket"].to_numpy(np.int64)
+        whole = bucket < 0
+        texts[place[whole]] = rows["n"].to_numpy()[whole]
+        n[bucket[~whole], place[~whole]] = rows["n"].to_numpy()[~whole]
+    return np.log(n + 0.5) - np.log((n + 0.5).sum(axis=0)), np.log(np.maximum(texts, 1) / max(docs, 1))
 
 
 def _bounded(places: list[int], texts: list[str]) -> Iterator[list[int]]:
@@ -113,13 +126,18 @@ def _bounded(places: list[int], texts: list[str]) -> Iterator[list[int]]:
         yield some
 
 
+#: What a row carries from table to table: the best language and its log likelihood, the sum over all languages of
+#: exp((likelihood - best) * share), and that share.
+STATE = "held_out boolean, text string, lang_pred string, best double, total double, share double"
+
+
 def _predicting(languages: list[str], model) -> Callable:
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, prior = model.value
         for batch in batches:
-            names, scores = [UNKNOWN] * len(batch), [0.0] * len(batch)
-            known = [i for i, t in enumerate(batch["text"]) if languages and isinstance(t, str) and any(map(str.isalpha, t))]
+            names, most, total, share = batch["lang_pred"].tolist(), batch["best"].to_numpy(float, copy=True), batch["total"].to_numpy(float, copy=True), batch["share"].to_numpy(float, copy=True)
             texts = batch["text"].tolist()
+            known = [i for i, t in enumerate(texts) if isinstance(t, str) and any(map(str.isalpha, t))]
             for some in _bounded(known, texts):
                 row, bucket, count = _sparse([texts[i] for i in some])
                 first = np.flatnonzero(np.diff(row, prepend=-1))
@@ -130,24 +148,41 @@ def _predicting(languages: list[str], model) -> Callable:
                     found[row[at + inside]] += np.add.reduceat(table[bucket[cut]].astype(np.float64) * count[cut, None], inside, axis=0)
                 size = np.bincount(row, weights=count, minlength=len(some))
                 found += prior
-                best = found.argmax(axis=1)  # the first of ties
-                off = (found - found.max(axis=1, keepdims=True)) * np.minimum(1.0, SCORED / np.maximum(size, 1))[:, None]
-                for i, b, s in zip(some, best, 1 / np.exp(off).sum(axis=1), strict=True):
-                    names[i], scores[i] = languages[b], float(s)
-            yield batch.drop(columns="text").assign(lang_pred=names, score=scores)
+                place = found.argmax(axis=1)  # the first of ties
+                now = found.max(axis=1)
+                part = np.minimum(1.0, SCORED / np.maximum(size, 1))
+                here = np.exp((found - now[:, None]) * part[:, None]).sum(axis=1)
+                for i, p, b, t, c in zip(some, place, now, here, part, strict=True):
+                    if b > most[i]:  # an earlier language keeps ties
+                        names[i], most[i], total[i] = languages[p], b, t + total[i] * np.exp((most[i] - b) * c)
+                    else:
+                        total[i] += t * np.exp((b - most[i]) * c)
+                    share[i] = c
+            yield batch.assign(lang_pred=names, best=most, total=total, share=share)
 
     return predict
 
 
-def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, at_once: int = TABLE_LANGUAGES) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row of ``docs`` (doc_id, held_out, text), learnt
     from ``labelled`` (text, lang). The score is the posterior of the prediction, for texts of more than
     SCORED n-grams that of an average part of them with so many.
 
     ``und`` with score 0 where a text is null, has no letter, or nothing was learnt. Ties go to the
     language first in order; repeated rows are judged alike; an empty table gives no rows. Other
-    columns are not looked at.
+    columns are not looked at. There may be any number of languages, of which only the names come to
+    the driver together; each ``at_once`` of them cost a pass over the texts.
     """
-    languages, table, prior = fit(labelled)
-    model = docs.sparkSession.sparkContext.broadcast((table.astype(np.float32), prior))
-    return map_ids(docs.select("doc_id", "held_out", "text"), _predicting(languages, model), "held_out boolean, lang_pred string, score double")
+    counts = counted(labelled)
+    languages = sorted((r["lang"], r["n"]) for r in counts.filter("bucket < 0").select("lang", "n").collect())
+    total = sum(n for _, n in languages)
+    start = docs.select("doc_id", "held_out", "text", F.lit(UNKNOWN).alias("lang_pred"), F.lit(float("-inf")).alias("best"), F.lit(0.0).alias("total"), F.lit(1.0).alias("share"))
+    state = start
+    for at in range(0, len(languages), at_once):
+        some = [x for x, _ in languages[at : at + at_once]]
+        table, prior = table_of(counts, some, total)
+        model = docs.sparkSession.sparkContext.broadcast((table.astype(np.float32), prior))
+        state = map_ids(state, _predicting(some, model), STATE)
+        if at + at_once < len(languages):
+            state = written(state, "language-state")
+    return state.select("doc_id", "held_out", "lang_pred", F.when(F.col("total") > 0, 1 / F.col("total")).otherwise(0.0).alias("score"))
