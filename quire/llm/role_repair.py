@@ -191,9 +191,9 @@ def _render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     cost += INSERT * len(ending)
                     before = (*before, *ending)
                 was = role
-                yield row[0], row[3], row[1], row[2], row[4], action, ROLES[role], len(before), cost, piece
+                yield row[0], row[3], row[1], row[2], i, row[4], action, ROLES[role], len(before), cost, piece
 
-    yield from _batched(rows(), ["conv_id", "turn", "block", "part", "role", "action", "new_role", "n_inserted", "cost", "rendered"])
+    yield from _batched(rows(), ["conv_id", "turn", "block", "part", "position", "role", "action", "new_role", "n_inserted", "cost", "rendered"])
 
 
 def _blocks(turns: DataFrame, block: int) -> DataFrame:
@@ -221,7 +221,7 @@ def _blocks(turns: DataFrame, block: int) -> DataFrame:
 def repair_conversations(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``turns`` (conv_id, turn, role, text): its action, new role, number of
     empty turns put beside it, cost and rendered piece. The pieces of a conversation in order of
-    block, part and position are its rendering.
+    block, part and position, the place within the part, are its rendering.
 
     Turns are in order of ``turn`` (null first), then role and text; repeated rows are turns of
     their own. Turns with a null conv_id are one conversation. A null or strange role is unknown
@@ -237,4 +237,4 @@ def repair_conversations(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     known = written(states.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.col("part").alias("p"), "entry", "leave", "last"), "chat-states")
     joined = rows.join(known, rows["conv_id"].eqNullSafe(known["c"]) & (rows["block"] == known["b"]) & (rows["part"] == known["p"])).drop("c", "b", "p")
     again = joined.repartition(*keys).sortWithinPartitions(*keys, "turn", "role", "text")
-    return map_ids(again, _render, "block long, part long, role string, action string, new_role string, n_inserted int, cost double, rendered string", "conv_id", "turn")
+    return map_ids(again, _render, "block long, part long, position int, role string, action string, new_role string, n_inserted int, cost double, rendered string", "conv_id", "turn")
