@@ -2,48 +2,37 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
+
+from ..functions.scratch import scratch_dir
 
 #: ASCII white space as a Java regular expression class body: \x20 and \x09-\x0D.
 WS = r" \t\n\x0B\f\r"
-_LOCAL: dict[str, str] = {}
-#: Paths of scratch tables, in the order of their writing.
-_WRITTEN: list[str] = []
-#: Most rows of a narrow table that is broadcast by hint; 16 MB of ids and hashes.
-BROADCAST_ROWS = 1_000_000
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a temporary folder that ends
-    with the process serves in local mode, where driver and tasks are one; on a cluster it is an error."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = tempfile.mkdtemp(prefix="quire-")
-        atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
-    return "file://" + _LOCAL["dir"]
+#: Paths of the scratch tables that the innermost ``scratch_of`` of this thread holds.
+_HELD: ContextVar[list[str] | None] = ContextVar("held", default=None)
+#: Most rows and bytes of a table that is broadcast by hint.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
 
-    Unlike a cached block, the files outlive any executor.
+    Unlike a cached block, the files outlive any executor. Within ``scratch_of`` they are deleted at
+    its end.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    held = _HELD.get()
+    if held is not None:
+        held.append(path)
     df.write.partitionBy(*partition_by).parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,20 +44,33 @@ def deleted(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch_of(spark: SparkSession, *, keep: int = 0) -> Iterator[None]:
-    """Delete at the end all tables that ``written`` made within, but for the last ``keep`` of them.
-    Everything that reads them must have run by then."""
-    start = len(_WRITTEN)
-    yield
-    end = len(_WRITTEN) - keep
-    for path in _WRITTEN[start:end]:
-        deleted(spark, path)
-    del _WRITTEN[start:end]
+    """Delete at the end, also of a failure, all tables that ``written`` made within by this thread, but for the last
+    ``keep`` of them if nothing failed; these are then held by the caller's ``scratch_of``, if there is one.
+    Everything that reads the others must have run by then."""
+    outer, own = _HELD.get(), []
+    token = _HELD.set(own)
+    kept: list[str] = []
+    try:
+        yield
+        kept = own[len(own) - keep :] if keep else []
+    finally:
+        _HELD.reset(token)
+        for path in own[: len(own) - len(kept)]:
+            deleted(spark, path)
+        if outer is not None:
+            outer += kept
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df``, a written table of ids or hashes, with a broadcast hint if it has few rows; else Spark
-    chooses the join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, a written table, with a broadcast hint if it has few rows and bytes; else Spark chooses the join."""
+    rows = df.count()
+    if rows > BROADCAST_ROWS:
+        return df
+    if all(isinstance(f.dataType, NumericType | BooleanType) for f in df.schema):
+        size = 8 * len(df.columns) * rows
+    else:
+        size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def fresh(columns: list[str], name: str) -> str:
