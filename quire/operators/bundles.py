@@ -101,8 +101,3 @@ def bundle_warnings(texts: DataFrame, anchors: DataFrame, manifest: DataFrame) -
 def list_bundles(log: DataFrame, limit: int) -> DataFrame:
     """The newest bundles: a top-k report."""
     return log.orderBy(F.desc("created_at"), "bundle_id").limit(limit)
-
-
-def write_bundles(files: DataFrame, path: str) -> None:
-    """Bundle files as Parquet by bundle; the commit protocol shows a bundle only when it is whole."""
-    files.write.mode("append").partitionBy("bundle_id").parquet(path)

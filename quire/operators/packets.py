@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..functions.canonical import canonical_json
 
 MAX_CHARS = 12_000
 
@@ -112,8 +115,9 @@ def image_candidates(selections: DataFrame, unreadable: DataFrame) -> DataFrame:
 
 
 def content_sha256(packets: DataFrame, columns: list[str]) -> DataFrame:
-    """SHA-256 of the JSON of the columns in order of their names, nulls kept."""
-    body = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    """SHA-256 of the canonical JSON of the columns: keys sorted at every depth, one form of each number, nulls kept."""
+    kinds = [packets.schema[c] for c in columns]
+    body = canonical_json(F.struct(*columns), StructType(kinds))
     return packets.withColumn("content_sha256", F.sha2(body, 256))
 
 
@@ -136,3 +140,57 @@ def packet_markdown(parts: DataFrame) -> DataFrame:
     row = F.concat(F.lit("## "), F.col("evidence_id"), F.lit(" p."), (F.col("page_index") + 1).cast("string"), F.lit("\n\n"), F.col("text"))
     g = parts.groupBy("packet_id").agg(F.array_sort(F.collect_list(F.struct("rank", row.alias("t")))).alias("ts"))
     return g.select("packet_id", F.concat(F.lit("# Packet "), F.col("packet_id").cast("string"), F.lit("\n\n"), F.array_join(F.transform("ts", lambda x: x["t"]), "\n\n")).alias("markdown"))
+
+
+def build_packets(parts: DataFrame) -> DataFrame:
+    """Whole packets (packet_id, evidence, sources, flags, limits, content_sha256) from their ``parts``: packet_id, rank,
+    version_id, role, page_index, section, text, flags, truncated and reason.
+
+    Parts are evidence in order of rank, selections before pages as they are ranked, with ids e1.. and a reference to
+    their source, src_1.. by first use. A part with a reason is excluded: it is no evidence but is named in the
+    limits, with its page, beside the number of truncated and of excluded ones. Flags are the union of those of the
+    evidence, sorted. The hash is of all but the id, so packets of one content share it. A group is the parts of one packet.
+    """
+    kept = F.col("reason").isNull()
+    w = Window.partitionBy("packet_id")
+    first = F.min(F.when(kept, F.col("rank"))).over(Window.partitionBy("packet_id", "version_id"))
+    p = parts.withColumn("_first", first)
+    number = F.count_if(kept).over(w.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    source = F.dense_rank().over(w.orderBy(F.col("_first").asc_nulls_last()))
+    p = p.withColumn("_id", F.concat(F.lit("e"), number.cast("string"))).withColumn("_ref", F.concat(F.lit("src_"), source.cast("string")))
+    row = F.struct("rank", F.col("_id").alias("evidence_id"), F.col("_ref").alias("source_ref"), "role", "page_index", "section", "text", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+    ranked = lambda cond, x: F.array_sort(F.collect_list(F.when(cond, x)))
+    g = p.groupBy("packet_id").agg(
+        ranked(kept, row).alias("e"), F.array_sort(F.collect_set(F.when(kept, F.struct(F.length("_ref").alias("n"), F.col("_ref").alias("source_ref"), "version_id")))).alias("s"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(kept, F.coalesce("flags", F.array().cast("array<string>"))))))).alias("flags"),
+        ranked(~kept, F.struct("rank", "role", "page_index", "reason")).alias("x"),
+    )
+    without_rank = lambda names: lambda x: F.struct(*[x[n].alias(n) for n in names])
+    evidence = F.transform("e", without_rank(["evidence_id", "source_ref", "role", "page_index", "section", "text", "truncated"]))
+    excluded = F.transform("x", without_rank(["role", "page_index", "reason"]))
+    limits = F.struct(F.size(F.filter("e", lambda x: x["truncated"])).alias("truncated"), F.size("x").alias("excluded"), excluded.alias("exclusions"))
+    out = g.select("packet_id", evidence.alias("evidence"), F.transform("s", without_rank(["source_ref", "version_id"])).alias("sources"), "flags", limits.alias("limits"))
+    return content_sha256(out, ["evidence", "sources", "flags", "limits"])
+
+
+def packet_document(packets: DataFrame) -> DataFrame:
+    """(packet_id, markdown): each packet of ``build_packets`` as a document with a header, a section for each
+    piece of evidence with its role, page and section path and its paragraphs by number, the limits and
+    exclusions, the sources, and the hash."""
+    page = lambda x: F.when(x["page_index"].isNull(), F.lit("")).otherwise(F.concat(F.lit(", p. "), (x["page_index"] + 1).cast("string")))
+
+    def section(x: Column) -> Column:
+        head = F.concat(F.lit("## "), x["evidence_id"], F.lit(" · "), F.coalesce(x["role"], F.lit("text")), page(x), F.lit(" · "), x["source_ref"])
+        path = F.when(x["section"].isNotNull(), F.concat(F.lit("\n_"), x["section"], F.lit("_"))).otherwise(F.lit(""))
+        paragraphs = F.array_join(F.transform(F.split(F.coalesce(x["text"], F.lit("")), "\n\n"), lambda t, i: F.concat(F.lit("¶"), (i + 1).cast("string"), F.lit(" "), t)), "\n\n")
+        return F.concat(head, path, F.lit("\n\n"), paragraphs, F.when(x["truncated"], F.lit("\n\n[truncated]")).otherwise(F.lit("")))
+
+    excluded = lambda x: F.concat(F.lit("- "), F.coalesce(x["role"], F.lit("text")), page(x), F.lit(": "), x["reason"])
+    source = lambda x: F.concat(F.lit("- "), x["source_ref"], F.lit(": "), x["version_id"].cast("string"))
+    lines = F.concat(
+        F.array(F.concat(F.lit("# Packet "), F.col("packet_id").cast("string"))), F.transform("evidence", section),
+        F.array(F.concat(F.lit("## Limits\n\ntruncated: "), F.col("limits.truncated").cast("string"), F.lit(", excluded: "), F.col("limits.excluded").cast("string"))),
+        F.when(F.size("limits.exclusions") > 0, F.array(F.array_join(F.transform("limits.exclusions", excluded), "\n"))).otherwise(F.array().cast("array<string>")),
+        F.array(F.concat(F.lit("## Sources\n\n"), F.array_join(F.transform("sources", source), "\n"))), F.array(F.concat(F.lit("sha256: "), F.col("content_sha256"))),
+    )
+    return packets.select("packet_id", F.array_join(lines, "\n\n").alias("markdown"))

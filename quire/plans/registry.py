@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .library_queries import library_queries
 from .more_queries import more_queries
 from .search_queries import search_queries
+from .store_queries import store_queries
 from .structure_queries import structure_queries
 from .text_queries import text_queries
 from .thread_queries import thread_queries
 
 
 def _all() -> dict:
-    return search_queries() | library_queries() | structure_queries() | text_queries() | more_queries() | thread_queries()
+    return search_queries() | library_queries() | structure_queries() | text_queries() | more_queries() | thread_queries() | store_queries()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,8 +12,19 @@ SCHEMAS = {
     "anchors": "anchor_id string, version_id string, page_index int, kind string, quads array<array<double>>, quote string, display_quote string, prefix string, suffix string",
     "annotations": "annotation_id string, anchor_id string, comment string, color string, revision int, created_at timestamp",
     "text_blocks": "version_id string, page_index int, block_id string, reading_order int, text string, regions array<array<double>>, quality_flags array<string>, styles array<struct<start:int,end:int,mark:string>>, font_size double",
+    "parse_runs": "run_id string, version_id string, parser_version int, config_hash string, status string, attempts int, lease_expires_at timestamp, started_at timestamp, finished_at timestamp",
+    "pages": "version_id string, page_index int, label string, view_box array<double>, rotation int, text_status string, flags array<string>, quality struct<chars:int,unmapped_chars:int,image_coverage:double,error:string>",
+    "context_packets": "packet_id string, owner_id string, content_json string, content_sha256 string, status string, sources array<struct<paper_id:string,version_id:string>>, created_at timestamp, confirmed_at timestamp, handed_off_at timestamp, imported_at timestamp",
     "answers": "answer_id string, packet_id string, session string, origin string, prompt string, markdown string, created_at timestamp, discarded_at timestamp",
     "paper_tags": "paper_id string, tag string",
+    "answer_images": "answer_id string, position int, data binary",
+    "chat_threads": "thread_id string, session string, paper_id string, version_id string, page_index int, anchor_id string, parent_session string, cut_answer_id string, kind string, created_at timestamp, deleted_at timestamp",
+    "chat_titles": "session string, title string, updated_at timestamp",
+    "tags": "owner_id string, name string, created_at timestamp",
+    "host_connections": "connection_id string, name string, created_at timestamp",
+    "share_grants": "grant_id string, packet_id string, connection_id string, created_at timestamp",
+    "evidence_bundles": "bundle_id string, owner_id string, created_at timestamp, files int, size_bytes long",
+    "idempotency_keys": "scope string, key string, request_sha256 string, response string, created_at timestamp",
     "page_translations": "version_id string, page_index int, language string, blocks array<struct<source:string,sentences:array<string>>>",
 }
 MOST_BYTES, MOST_PAGES, HEADER_BYTES = 100 << 20, 300, 1024
@@ -72,16 +83,3 @@ def upsert_translations(target: DataFrame, updates: DataFrame) -> DataFrame:
     both = target.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)))
     rest = [c for c in target.columns if c not in keys]
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_new").alias("r")).select(*keys, "r.*")
-
-
-def replace_extraction(current: DataFrame, new: DataFrame) -> DataFrame:
-    """The latest extraction of each version: versions in ``new`` replace theirs as a whole."""
-    return current.join(new.select("version_id").distinct(), "version_id", "left_anti").unionByName(new)
-
-
-def delete_papers(tables: dict[str, DataFrame], ids: DataFrame, running: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Tables without the papers of ``ids`` (paper_id) and all that hangs on them; papers with a
-    running extraction are refused."""
-    refused = ids.join(running, "paper_id", "left_semi")
-    gone = ids.join(running, "paper_id", "left_anti")
-    return {n: df.join(gone, "paper_id", "left_anti") for n, df in tables.items()}, refused

@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.library import latest_rows
-
 #: States from which a packet may take each status.
 MOVES = {"HANDED_OFF": ("PREPARED", "HANDED_OFF"), "IMPORTED": ("PREPARED", "HANDED_OFF", "IMPORTED"), "CANCELLED": ("PREPARED",)}
 
@@ -33,17 +30,6 @@ def stream_windows(events: DataFrame, time: str = "ts", width: str = "1 hour", l
     return e.groupBy(F.window(time, width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def stream_latest(changes: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a snapshot of the latest row of each key: each micro-batch is merged with what ``read``
-    returns and given to ``write``. A batch that is replayed merges to the same snapshot."""
-
-    def merge(batch: DataFrame, _: int) -> None:
-        now = read()
-        write(latest_rows(batch if now is None else now, batch, keys, order))
-
-    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def expire_runs(runs: DataFrame, now: str, most_attempts: int = 2) -> DataFrame:
     """Runs (run_id, status, attempts, lease_expires_at) whose lease has ended are queued again, or failed after the last attempt."""
     ended = (F.col("status") == "RUNNING") & (F.col("lease_expires_at") < F.lit(now).cast("timestamp"))
@@ -97,7 +83,7 @@ def stream_packets(events: DataFrame) -> DataFrame:
         status = state.get[0] if state.exists else "PREPARED"
         out = []
         for r in pd.concat(list(batches)).sort_values(["ts", "id"]).itertuples():
-            legal = status in MOVES[r.kind]
+            legal = status in MOVES.get(r.kind, ())  # an unknown kind changes nothing
             status = r.kind if legal else status
             out.append((key[0], r.id, status, legal))
         state.update((status,))

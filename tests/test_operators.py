@@ -7,10 +7,12 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions.canonical import canonical_json
 from quire.functions.scratch import scratch_dir
 from quire.functions.text import nfkc, porter_step1, stemmed
 from quire.operators import answers as N
 from quire.operators import bundles as E
+from quire.operators import cascade as C
 from quire.operators import layout as Y
 from quire.operators import library as L
 from quire.operators import packets as K
@@ -23,7 +25,9 @@ from quire.operators import translation as T
 from quire.operators.outline import outline
 from quire.plans import registry
 from quire.sources import adapters as A
+from quire.sources import bundle_store as P
 from quire.sources import library as SRC
+from quire.sources import snapshots as SN
 from quire.streaming import jobs
 
 BLOCK = "version_id long, p int, page_index int, reading_order int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, quality_flags array<string>"
@@ -167,9 +171,10 @@ def test_library_changes(spark, tmp_path):
     t = spark.createDataFrame([("a", 0, "en", "old"), ("b", 0, "en", "keep")], "version_id string, page_index int, language string, text string")
     u = spark.createDataFrame([("a", 0, "en", "new")], t.schema)
     assert {r.version_id: r.text for r in SRC.upsert_translations(t, u).collect()} == {"a": "new", "b": "keep"}
-    assert {r.text for r in SRC.replace_extraction(t, u).collect()} == {"new", "keep"}
     ids = spark.createDataFrame([("1",), ("2",)], "paper_id string")
-    left, refused = SRC.delete_papers({"papers": spark.createDataFrame([("1",), ("2",), ("3",)], "paper_id string")}, ids, spark.createDataFrame([("2",)], "paper_id string"))
+    versions, runs = spark.createDataFrame([("v1", "1"), ("v2", "2")], "version_id string, paper_id string"), spark.createDataFrame([("v1", "FAILED"), ("v2", "RUNNING")], "version_id string, status string")
+    left, refused = C.delete_papers({"papers": spark.createDataFrame([("1",), ("2",), ("3",)], "paper_id string"), "source_versions": versions, "parse_runs": runs}, ids)
+    assert [r.version_id for r in left["parse_runs"].collect()] == ["v2"] == [r.version_id for r in left["source_versions"].collect()]
     assert {r.paper_id for r in left["papers"].collect()} == {"2", "3"} and [r.paper_id for r in refused.collect()] == ["2"]
     spark.createDataFrame([("1", "Tag")], SRC.SCHEMAS["paper_tags"]).write.parquet(f"{tmp_path}/paper_tags.parquet")
     assert SRC.read_library(spark, str(tmp_path), ["paper_tags"])["paper_tags"].first().tag == "Tag"
@@ -179,11 +184,44 @@ def test_library_changes(spark, tmp_path):
 
 def test_bundle_files(spark, tmp_path):
     files = spark.createDataFrame([(1, "texts/a.md", "abc"), (2, "texts/b.md", "d")], "bundle_id long, path string, content string")
-    E.write_bundles(files, f"{tmp_path}/out")
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+    root = f"file://{tmp_path}/out"
+    assert P.read_bundles(spark, root).count() == 0 == P.read_manifests(spark, root).count()
+    broken = files.withColumn("content", F.when(F.col("bundle_id") == 2, F.raise_error(F.lit("killed"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="killed"):
+        P.publish_bundles(broken.repartition(4), root, "a")
+    assert P.published_batches(spark, root) == [] and P.read_bundles(spark, root).count() == 0
+    # all is written, and the process ends before the marker
+    create = P._store
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(P, "_store", lambda s, r: NoMarker(create(s, r)))
+        with pytest.raises(RuntimeError):
+            P.publish_bundles(files, root, "a")
+    assert P.read_bundles(spark, root).count() == 0 and P.published_batches(spark, root) == []
+    assert P.publish_bundles(files, root, "a") == "a" == P.publish_bundles(files, root, "a")
+    assert sorted((r.bundle_id, r.path, bytes(r.content)) for r in P.read_bundles(spark, root).collect()) == [("1", "texts/a.md", b"abc"), ("2", "texts/b.md", b"d")]
+    assert P.publish_bundles(files, root, "b") is None and P.broken_files(spark, root).count() == 0
+    P.publish_bundles(spark.createDataFrame([(3, "x", "y"), (1, "later", "z")], files.schema), root, "c")
+    assert {r.path for r in P.read_manifests(spark, root).collect()} == {"texts/a.md", "texts/b.md", "x"}
+    with pytest.MonkeyPatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(P, "_store", lambda s, r: NoMarker(create(s, r)))
+        P.publish_bundles(files.withColumn("bundle_id", F.col("bundle_id") + 7), root, "d")
+    assert P.clean_up(spark, root) == ["d"] and P.read_bundles(spark, root).count() == 3
     assert {r.size_bytes for r in E.bundle_manifest(files).collect()} == {3, 1}
 
 
+class NoMarker:
+    """A file system whose process ends when a marker is to be made."""
+
+    def __init__(self, store):
+        self.store = store
+
+    def create(self, *_):
+        raise RuntimeError("killed")
+
+    def __getattr__(self, name):
+        return getattr(self.store, name)
+
+
 def _stream(spark, df, folder):
     df.repartition(2).write.parquet(folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
@@ -208,17 +246,11 @@ def test_streams(spark, sf, tmp_path):
 
 def test_stream_latest_matches_batch(spark, sf, tmp_path):
     e = A.table(spark, sf, "events").select("user_id", "event_id", "event_type")
-    state = {"n": 0}
-
-    def read():
-        return spark.read.parquet(f"{tmp_path}/s{state['n']}") if state["n"] else None
-
-    def write(df):
-        df.write.parquet(f"{tmp_path}/s{state['n'] + 1}")
-        state["n"] += 1
-
-    q = jobs.stream_latest(_stream(spark, e, f"{tmp_path}/in"), read, write, ["user_id"], "event_id", f"{tmp_path}/ck")
+    log = {}
+    q = SN.stream_snapshot(_stream(spark, e, f"{tmp_path}/in"), f"{tmp_path}/snapshot", ["user_id"], "event_id", f"{tmp_path}/ck", parts=8, log=log.__setitem__)
     q.awaitTermination(120)
+    read = lambda: SN.read_snapshot(spark, f"{tmp_path}/snapshot").drop("part")
+    assert len(log) == 2
     want = L.latest_rows(e, e.limit(0), ["user_id"], "event_id")
     assert {tuple(r) for r in read().collect()} == {tuple(r) for r in want.collect()}
 
@@ -450,3 +482,58 @@ def test_running_heads_of_two_lines_at_most(spark):
     rows = [(1, p, p, 0, "Head 1", 0.1, 0.02, 0.9, 0.05, 10.0, [], n) for p, n in enumerate([1, 2, 3, 1])]
     b = spark.createDataFrame(rows, BLOCK + ", lines int")
     assert sorted(r.p for r in S.running_lines(b).collect()) == [0, 1, 3]
+
+
+def test_snapshot_writes_touched_parts_only(spark, tmp_path):
+    import pathlib
+
+    rows = lambda *r: spark.createDataFrame(r, "k long, at long, v string")
+    path = f"{tmp_path}/s"
+    SN.merge_snapshot(path, rows(*[(k, 1, "a") for k in range(40)], (None, 1, "n")), ["k"], "at", 8)
+    files = lambda: {str(p) for p in pathlib.Path(f"{path}/rows").rglob("*.parquet")}
+    before = files()
+    touched = SN.merge_snapshot(path, rows((3, 2, "b"), (4, 0, "old"), (5, 1, "tie")), ["k"], "at", 8)
+    assert len(touched) <= 3 and {f for f in before - files()} == {f for f in before if int(f.split("part=")[1].split("/")[0]) in touched}
+    got = {r.k: (r["at"], r.v) for r in SN.read_snapshot(spark, path).collect()}
+    assert len(got) == 41 and got[3] == (2, "b") and got[4] == (1, "a") and got[5] == (1, "tie") and got[None] == (1, "n")
+    SN.merge_snapshot(path, rows((3, 2, "b"), (4, 0, "old"), (5, 1, "tie")), ["k"], "at", 8)
+    assert got == {r.k: (r["at"], r.v) for r in SN.read_snapshot(spark, path).collect()}
+    assert SN.merge_snapshot(path, rows().limit(0), ["k"], "at", 8) == []
+
+
+def test_extraction_keeps_ids_and_failed_runs_clear(spark):
+    t = "version_id string, page_index int, p int, text string, block_id string"
+    current = spark.createDataFrame([("a", 0, 0, "x", "i1"), ("a", 0, 1, "x", "i2"), ("a", 0, 2, "y", "i3"), ("b", 0, 0, "keep", "i4"), ("c", 0, 0, "gone", "i5")], t)
+    new = spark.createDataFrame([("a", 0, 0, "new", None), ("a", 0, 1, "x", None), ("a", 0, 2, "x", None)], t)
+    runs = spark.createDataFrame([("a", "SUCCEEDED"), ("c", "FAILED")], "version_id string, status string")
+    got = sorted((r.version_id, r.p, r.block_id) for r in SN.replace_extraction(current, new, runs).collect())
+    assert got == [("a", 0, "new-a-0"), ("a", 1, "i1"), ("a", 2, "i2"), ("b", 0, "i4")]
+    assert sorted(r.version_id for r in SN.replace_extraction(current, new.limit(0)).collect()) == ["a", "a", "a", "b", "c"]
+
+
+def test_deletion_over_the_graph(spark):
+    frame = lambda schema, *rows: spark.createDataFrame(rows, schema)
+    tables = {
+        "papers": frame("paper_id string", ("1",), ("2",)), "source_versions": frame("version_id string, paper_id string", ("v1", "1"), ("v2", "2")),
+        "anchors": frame("anchor_id string, version_id string", ("a1", "v1"), ("a2", "v2"), ("a3", None)), "annotations": frame("annotation_id string, anchor_id string", ("n1", "a1"), ("n2", "a2")),
+        "context_packets": frame("packet_id string, sources array<struct<paper_id:string>>", ("p1", [("1",)]), ("p2", [("2",)]), ("p12", [("2",), ("1",)]), ("p0", [])),
+        "answers": frame("answer_id string, packet_id string, session string", ("r1", "p12", "s1"), ("r2", "p2", "s2")), "answer_images": frame("answer_id string, position int", ("r1", 0), ("r2", 0)),
+        "chat_threads": frame("session string", ("s1",), ("s2",)), "paper_tags": frame("paper_id string, tag string", ("1", "Only"), ("1", "both"), ("2", "BOTH")), "tags": frame("name string", ("only",), ("both",), ("unused",)),
+    }
+    left, refused = C.delete_papers(tables, frame("paper_id string", ("1",), ("9",)))
+    rows = {n: sorted(tuple(r)[0] for r in df.collect()) for n, df in left.items()}
+    assert rows == {"papers": ["2"], "source_versions": ["v2"], "anchors": ["a2", "a3"], "annotations": ["n2"], "context_packets": ["p0", "p2"], "answers": ["r2"], "answer_images": ["r2"], "chat_threads": ["s2"], "paper_tags": ["2"], "tags": ["both", "unused"]}
+    assert refused.count() == 0
+
+
+def test_canonical_json(spark):
+    import json
+
+    df = spark.sql("""SELECT named_struct('b', 1, 'a', array(named_struct('z', 1.50D, 'y', map('k2', true, 'k1', false)))) AS x, named_struct('a', array(named_struct('y', map('k1', false, 'k2', true), 'z', 1.5BD)), 'b', 1L) AS y""")
+    texts = df.select(canonical_json(F.col("x"), df.schema["x"].dataType).alias("x"), canonical_json(F.col("y"), df.schema["y"].dataType).alias("y")).first()
+    assert texts.x == texts.y == '{"a":[{"y":{"k1":false,"k2":true},"z":1.5}],"b":1}'
+    odd = spark.createDataFrame([("q\"\\\n☃é", 1e-5, -0.0, float("nan"), None, b"\x00", [None, 2])], "s string, small double, zero double, nan double, none string, bin binary, ns array<int>")
+    row = odd.select(canonical_json(F.struct("*"), odd.schema).alias("j")).first().j
+    assert json.loads(row) == {"s": "q\"\\\n☃é", "small": 0.00001, "zero": 0, "nan": "NaN", "none": None, "bin": "AA==", "ns": [None, 2]} and "e-" not in row.lower()
+    a = K.content_sha256(df.select(F.col("x").alias("c")), ["c"]).first().content_sha256
+    assert a == K.content_sha256(df.select(F.col("y").alias("c")), ["c"]).first().content_sha256
