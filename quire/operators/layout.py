@@ -7,9 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .glyphs import visible_share
+
 PAGE = ["version_id", "page_index"]
 # line building, in heights of the line
 DRIFT, BACK, GAP, SPACE = 0.3, 1.0, 1.5, 0.5
+LEAST_VISIBLE = 0.5
 NEAR, LEAST_SIDE, LEAST_FORM_SIDE, MOST_OF_PAGE = 3.0, 36.0, 12.0, 0.8
 RULE_HEIGHT, RULE_WIDTH, SAME_EDGE = 2.0, 0.2, 0.02
 
@@ -92,7 +95,10 @@ def _figures_of(page: pd.DataFrame) -> pd.DataFrame:
 
 def figure_candidates(graphics: DataFrame) -> DataFrame:
     """Figures of a page: visible graphics whose boxes, as they grow, come within three points of each
-    other. Input: version_id, page_index, kind, l, b, r, t, filled, stroked, width, height."""
+    other. Input: version_id, page_index, kind, l, b, r, t, filled, stroked, width, height and, if known, clips;
+    of a graphic half must be seen within its clips."""
+    if "clips" in graphics.columns:
+        graphics = visible_share(graphics).filter(F.col("visible") >= LEAST_VISIBLE).drop("visible", "clips")
     seen = graphics.filter(((F.col("kind") != "path") | F.col("filled") | F.col("stroked")) & ((F.col("r") - F.col("l")) * (F.col("t") - F.col("b")) <= MOST_OF_PAGE * F.col("width") * F.col("height")))
     return seen.groupBy(*PAGE).applyInPandas(_figures_of, "version_id long, page_index int, l double, b double, r double, t double, source string")
 

@@ -197,16 +197,24 @@ CITED = r"\[(\s*\d+(?:\s*[,;–—-]\s*\d+)*\s*)\]"
 def link_citations(blocks: DataFrame) -> DataFrame:
     """The numbers that numeric citations of body text name, each with the reference entry of that
     number, if there is one: the first block that begins with ``[n]`` or ``n.``, else the first of joined entries that
-    holds ``[n]`` among them. Blocks that begin with ``[n]`` are entries and cite nothing."""
+    holds ``[n]`` among them. Blocks that begin with ``[n]`` are entries and cite nothing.
+
+    With a column ``regions``, a box for each line, ``line`` is the box of the line of the entry where its block has
+    as many lines as entries, else null.
+    """
     is_entry = F.col("text").rlike(r"^\s*\[\d+\]")
     groups = F.filter(F.regexp_extract_all("text", F.lit(CITED), F.lit(1)), lambda g: F.length(g) <= 80)
     numbers = F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(r"(\d+)"), F.lit(1))))
     cited = body_blocks(blocks).filter(~is_entry).select("version_id", "p", F.explode(numbers).alias("n")).select("version_id", "p", F.col("n").cast("int").alias("n")).filter("n is not null").distinct()
     joined = F.regexp_extract_all(F.trim("text"), F.lit(r"(?:^|\s)\[(\d+)\]"), F.lit(1))
     dotted = F.regexp_extract_all(F.trim("text"), F.lit(r"^(\d+)\.\s"), F.lit(1))
-    entries = blocks.select("version_id", "p", F.posexplode(F.when(is_entry, joined).otherwise(dotted)).alias("at", "n")).select("version_id", F.col("n").cast("int").alias("n"), F.struct((F.col("at") > 0).alias("later"), "p").alias("entry")).filter("n is not null")
-    first = entries.groupBy("version_id", "n").agg(F.min("entry").alias("e"))
-    return cited.join(first.select("version_id", "n", F.col("e.p").alias("entry_p")), ["version_id", "n"], "left")
+    found = F.when(is_entry, joined).otherwise(dotted)
+    lines = ["regions"] if "regions" in blocks.columns else []
+    each = blocks.select("version_id", "p", *lines, F.size(found).alias("many"), F.posexplode(found).alias("at", "n"))
+    line = [F.when(F.size("regions") == F.col("many"), F.get("regions", F.col("at"))).alias("line")] if lines else []
+    entries = each.select("version_id", F.col("n").cast("int").alias("n"), F.struct((F.col("at") > 0).alias("later"), "p", "at", *line).alias("entry")).filter("n is not null")
+    first = entries.groupBy("version_id", "n").agg(F.min_by("entry", F.struct("entry.later", "entry.p", "entry.at")).alias("e"))
+    return cited.join(first.select("version_id", "n", F.col("e.p").alias("entry_p"), *([F.col("e.line").alias("line")] if lines else [])), ["version_id", "n"], "left")
 
 
 def neighbours(blocks: DataFrame) -> DataFrame:
@@ -331,11 +339,14 @@ def repair_titles(papers: DataFrame, found: DataFrame) -> DataFrame:
     return papers.join(f, "version_id", "left").withColumn("title", F.when(like_file, F.coalesce("found", "title")).otherwise(F.col("title"))).drop("found")
 
 
-def paper_identifiers(papers: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Identifiers of each paper in the order to ask for: an arXiv id in its DOI, else the DOI, then
-    the first arXiv id on the first page."""
+def paper_identifiers(papers: DataFrame, blocks: DataFrame, margins: DataFrame | None = None) -> DataFrame:
+    """Identifiers of each paper in the order to ask for: an arXiv id in its DOI, else the DOI, then that in
+    the turned text of the first page (``margins``: version_id, arxiv), else the first one in its blocks."""
     arxiv = F.regexp_extract("text", r"arXiv:(\d{4}\.\d{4,5})", 1)
     found = blocks.filter("page_index = 0").filter(F.col("text").rlike(r"arXiv:\d{4}\.\d{4,5}")).groupBy("version_id").agg(F.min_by(arxiv, "p").alias("arxiv"))
+    if margins is not None:
+        turned = margins.select("version_id", F.col("arxiv").alias("turned"))
+        found = found.join(turned, "version_id", "full").select("version_id", F.coalesce("turned", "arxiv").alias("arxiv"))
     own = F.regexp_extract("doi", r"(?i)^10\.48550/arxiv\.(\d{4}\.\d{4,5})$", 1)
     first = F.when(own != "", F.concat(F.lit("arxiv:"), own)).when(F.coalesce("doi", F.lit("")) != "", F.concat(F.lit("doi:"), F.col("doi")))
     ids = F.array_distinct(F.array_compact(F.array(first, F.concat(F.lit("arxiv:"), F.col("arxiv")))))

@@ -42,7 +42,7 @@ def _arxiv_papers(x, d):
 
 def _glyphs(x, d):
     """One line a block, of eight glyphs of which some are small and raised."""
-    b = A.blocks(x, d).filter("p < 6").select("version_id", "p", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("seq"))
+    b = A.blocks(x, d).select("version_id", "p", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("seq"))
     small = (F.col("seq") + F.col("p")) % 4 == 3
     low = F.when(small & (F.col("seq") % 2 == 0), 16.0).when(small, 10.0).otherwise(10.0)
     return b.withColumns({"b": low, "t": low + F.when(small, 6.0).otherwise(10.0)})
@@ -96,7 +96,7 @@ def more_queries() -> dict:
         ),
         "script_marks": (
             lambda x, d: S.script_marks(_glyphs(x, d), ["version_id", "p"]).fillna("", ["mark"]).select("version_id", "p", "seq", "mark"),
-            with_tables("blocks", body="SELECT version_id, p, seq::INT AS seq, CASE WHEN (seq + p) % 4 <> 3 THEN '' WHEN seq % 2 = 0 THEN '^' ELSE '_' END AS mark FROM (SELECT version_id, p, unnest(range(8)) AS seq FROM blocks WHERE p < 6)"),
+            with_tables("blocks", body="SELECT version_id, p, seq::INT AS seq, CASE WHEN (seq + p) % 4 <> 3 THEN '' WHEN seq % 2 = 0 THEN '^' ELSE '_' END AS mark FROM (SELECT version_id, p, unnest(range(8)) AS seq FROM blocks)"),
         ),
         "remap_glyphs": (
             lambda x, d: S.remap_glyphs(_font_glyphs(x, d), _dictionary(x, d)).select("version_id", "p", "text"),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .glyph_queries import glyph_queries
 from .library_queries import library_queries
 from .more_queries import more_queries
 from .search_queries import search_queries
@@ -16,7 +17,7 @@ from .thread_queries import thread_queries
 
 
 def _all() -> dict:
-    return search_queries() | library_queries() | structure_queries() | text_queries() | more_queries() | thread_queries() | store_queries()
+    return search_queries() | library_queries() | structure_queries() | text_queries() | more_queries() | thread_queries() | store_queries() | glyph_queries()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

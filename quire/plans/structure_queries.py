@@ -167,11 +167,11 @@ def structure_queries() -> dict:
             with_tables("blocks", more="h AS (SELECT version_id, page_index, font_size, sum(length(text)) AS w FROM blocks GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY version_id, page_index ORDER BY font_size) AS run, sum(w) OVER (PARTITION BY version_id, page_index) AS total FROM h)", body="SELECT version_id, page_index, min(font_size) AS median FROM r WHERE 2 * run >= total GROUP BY ALL"),
         ),
         "link_citations": (
-            lambda s, d: S.link_citations(_cited(b(s, d))).fillna(-1, ["entry_p"]),
-            with_tables("blocks", more=rf"""cb AS (SELECT version_id, p, quality_flags, CASE WHEN p % 14 = 8 THEN replace(text, '[1, 2] see', '[1–3; 5] and [7]') WHEN p % 21 = 19 THEN text || ' [77] joined' ELSE text END AS text FROM blocks),
+            lambda s, d: S.link_citations(_cited(b(s, d)).withColumn("regions", F.transform(F.sequence(F.lit(0), F.lit(1) + F.col("version_id").cast("int") % 2), lambda k: F.array("x0", F.col("y0") + k / 100, "x1", F.col("y1") + k / 100)))).select("version_id", "n", "p", F.coalesce("entry_p", F.lit(-1)).alias("entry_p"), F.round(F.coalesce(F.get("line", F.lit(1)), F.lit(-1.0)), 6).alias("line_y0")),
+            with_tables("blocks", more=rf"""cb AS (SELECT version_id, p, y0, quality_flags, CASE WHEN p % 14 = 8 THEN replace(text, '[1, 2] see', '[1–3; 5] and [7]') WHEN p % 21 = 19 THEN text || ' [77] joined' ELSE text END AS text FROM blocks),
               c0 AS (SELECT version_id, p, unnest(regexp_extract_all(text, '\[(\s*\d+(?:\s*[,;–—-]\s*\d+)*\s*)\]', 1)) AS l FROM cb WHERE NOT {NOT_BODY_SQL} AND trim(text) <> '' AND NOT regexp_matches(text, '^\s*\[\d+\]')), c AS (SELECT DISTINCT version_id, p, unnest(regexp_extract_all(l, '\d+'))::INT AS n FROM c0 WHERE length(l) <= 80),
-              e0 AS (SELECT version_id, p, CASE WHEN regexp_matches(text, '^\s*\[\d+\]') THEN regexp_extract_all(trim(text), '(?:^|\s)\[(\d+)\]', 1) ELSE regexp_extract_all(trim(text), '^(\d+)\.\s', 1) END AS ns FROM cb), e1 AS (SELECT version_id, p, unnest(ns) AS n, generate_subscripts(ns, 1) > 1 AS later FROM e0),
-              e AS (SELECT version_id, try_cast(n AS INT) AS n, arg_min(p, (later, p)) AS entry_p FROM e1 GROUP BY ALL)""", body="SELECT version_id, n, p, coalesce(entry_p, -1) AS entry_p FROM c LEFT JOIN e USING (version_id, n)"),
+              e0 AS (SELECT version_id, p, y0, CASE WHEN regexp_matches(text, '^\s*\[\d+\]') THEN regexp_extract_all(trim(text), '(?:^|\s)\[(\d+)\]', 1) ELSE regexp_extract_all(trim(text), '^(\d+)\.\s', 1) END AS ns FROM cb), e1 AS (SELECT version_id, p, y0, len(ns) AS many, unnest(ns) AS n, generate_subscripts(ns, 1) AS nth FROM e0),
+              e AS (SELECT version_id, try_cast(n AS INT) AS n, arg_min({{'p': p, 'y': CASE WHEN many = 2 + version_id % 2 THEN y0 + (nth - 1) / 100.0::DOUBLE ELSE -1.0 END}}, (nth > 1, p, nth)) AS b FROM e1 GROUP BY ALL)""", body="SELECT version_id, n, p, coalesce(b.p, -1) AS entry_p, round(coalesce(b.y, -1.0), 6) AS line_y0 FROM c LEFT JOIN e USING (version_id, n)"),
         ),
         "neighbours": (lambda s, d: S.neighbours(b(s, d)).fillna(-1, ["before", "after"]), with_tables("blocks", body=f"SELECT version_id, p, coalesce(lag(p) OVER w, -1) AS before, coalesce(lead(p) OVER w, -1) AS after FROM blocks WHERE NOT {NOT_BODY_SQL} AND trim(text) <> '' WINDOW w AS (PARTITION BY version_id, font_size ORDER BY p)")),
         "title_from_blocks": (

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from quire.functions.canonical import canonical_json
 from quire.functions.scratch import scratch_dir
-from quire.functions.text import nfkc, porter_step1, stemmed
+from quire.functions.text import nfkc, porter_stem, porter_step1, stemmed
 from quire.operators import answers as N
 from quire.operators import bundles as E
 from quire.operators import cascade as C
+from quire.operators import glyphs as G
 from quire.operators import layout as Y
 from quire.operators import library as L
 from quire.operators import packets as K
@@ -142,6 +143,9 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("ﬁne",), ("plain",), (None,), ("Ａ",)], "t string")
     assert sorted(r.t or "" for r in nfkc(df, "t", lower=True).collect()) == ["", "a", "fine", "plain"]
     assert [porter_step1(w) for w in ("caresses", "ponies", "cats", "plastered", "motoring", "hopping", "sized", "happy", "sky")] == ["caress", "poni", "cat", "plaster", "motor", "hop", "size", "happi", "sky"]
+    words = "relational conditional rational valenci hesitanci digitizer conformabli radicalli differentli vileli analogousli vietnamization predication operator feudalism decisiveness hopefulness callousness formaliti sensitiviti sensibiliti triplicate formative formalize electriciti electrical hopeful goodness revival allowance inference airliner gyroscopic adjustable defensible irritant replacement adjustment dependent adoption homologou communism activate angulariti homologous effective bowdlerize probate rate cease controll roll feed agreed fizzed filing failing generalizations oscillators"
+    stems = "relat condit ration valenc hesit digit conform radic differ vile analog vietnam predic oper feudal decis hope callous formal sensit sensibl triplic form formal electr electr hope good reviv allow infer airlin gyroscop adjust defens irrit replac adjust depend adopt homolog commun activ angular homolog effect bowdler probat rate ceas control roll feed agre fizz file fail gener oscil"
+    assert [porter_stem(w) for w in words.split()] == stems.split()
     assert sorted(r.term for r in stemmed(spark.createDataFrame([("cats",), ("cats",), ("dog",)], "term string")).collect()) == ["cat", "cat", "dog"]
 
 
@@ -537,3 +541,41 @@ def test_canonical_json(spark):
     assert json.loads(row) == {"s": "q\"\\\n☃é", "small": 0.00001, "zero": 0, "nan": "NaN", "none": None, "bin": "AA==", "ns": [None, 2]} and "e-" not in row.lower()
     a = K.content_sha256(df.select(F.col("x").alias("c")), ["c"]).first().content_sha256
     assert a == K.content_sha256(df.select(F.col("y").alias("c")), ["c"]).first().content_sha256
+
+
+def test_union_of_clips(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(60):
+        clips = [(float(a), float(b), float(a + rnd.randint(0, 6)), float(b + rnd.randint(0, 6))) for a, b in ((rnd.randint(-2, 10), rnd.randint(-2, 10)) for _ in range(rnd.randint(0, 5)))]
+        rows.append((i, 0.0, 0.0, 10.0, 8.0, clips))
+    rows += [(60, 0.0, 0.0, 10.0, 8.0, None), (61, 1.0, 1.0, 1.0, 5.0, [(0.0, 0.0, 9.0, 9.0)])]
+    rect = "array<struct<l:double,b:double,r:double,t:double>>"
+    got = {r.i: r.visible for r in G.visible_share(spark.createDataFrame(rows, f"i int, l double, b double, r double, t double, clips {rect}")).collect()}
+    for i, *_, clips in rows[:60]:
+        assert got[i] == pytest.approx(sum(any(a <= x < c and b <= y < d for a, b, c, d in clips) for x in range(10) for y in range(8)) / 80)
+    assert got[60] == 1.0 and got[61] == 0.0
+    graphics = spark.createDataFrame([(1, 0, "image", 0.0, 0.0, 100.0, 100.0, True, True, 600.0, 800.0, c) for c in (None, [(0.0, 0.0, 100.0, 40.0)])], f"version_id long, page_index int, kind string, l double, b double, r double, t double, filled boolean, stroked boolean, width double, height double, clips {rect}")
+    assert Y.figure_candidates(graphics).count() == 1 and Y.figure_candidates(graphics.filter("clips is not null")).count() == 0
+
+
+def test_recovered_glyphs(spark):
+    rows = [("num", i, None, "?") for i in range(10)] + [("bad", i, None, "?") for i in range(4)] + [("std", 0, n, "#") for n in ("a", "b", "c", "d", "zz")] + [("odd", 0, n, "#") for n in ("a", "y", "z")] + [("odd", 0, None, "\ue001"), ("odd", 0, None, None)]
+    g = spark.createDataFrame(rows, "font string, code int, name string, text string")
+    numbers = spark.createDataFrame([(i, c) for i, c in enumerate("readableio")], "code int, mapped string")
+    names = spark.createDataFrame([(n, n.upper()) for n in "abcd"], "name string, mapped string")
+    private = spark.createDataFrame([(0xE001, "fi")], "code int, mapped string")
+    got = {}
+    for r in G.recover_glyphs(g, numbers, names, private).collect():
+        got.setdefault(r.font, []).append((r.code, r.name, r.text, r.source))
+    assert "".join(t for _, _, t, _ in sorted(got["num"])) == "readableio" and {s for *_, s in got["num"]} == {"number"}
+    assert {t for *_, t, _ in got["bad"]} == {"?"} and sorted(t for _, _, t, _ in got["std"]) == ["#", "A", "B", "C", "D"]
+    assert sorted(str(t) for _, _, t, _ in got["odd"]) == ["#", "#", "#", "None", "fi"]
+
+
+def test_line_of_a_joined_entry(spark):
+    b = blocks(spark, ["see [2] and [9]", "[1] One. [2] Two.", "[2] again"]).withColumn("regions", F.when(F.col("p") == 1, F.array(F.array(F.lit(0.0), F.lit(0.1)), F.array(F.lit(0.0), F.lit(0.2)))).otherwise(F.array(F.array(F.lit(0.0), F.lit(0.5)))))
+    got = {r.n: (r.entry_p, r.line) for r in S.link_citations(b).collect()}
+    assert got == {2: (2, [0.0, 0.5]), 9: (None, None)}
+    got = {r.n: (r.entry_p, r.line) for r in S.link_citations(b.filter("p < 2")).collect()}
+    assert got == {2: (1, [0.0, 0.2]), 9: (None, None)}
