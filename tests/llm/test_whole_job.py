@@ -74,18 +74,3 @@ def test_host_consensus_keeps_the_article(spark):
     rows = [(10 * i + j, f"http://h{i}.example/{j}", page) for i, page in enumerate(shapes) for j in range(3)]
     out = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(out) == 18 and all(r.text == want for r in out)
-
-
-def test_paper_artifacts_of_each_paper(spark):
-    """Two papers of 250 answers each have the artifacts of 200; the registered query has those of all papers."""
-    from quire.operators.answers import paper_artifacts
-    from quire.plans.thread_queries import thread_queries
-    from quire.sources.adapters import answers
-
-    rows = [(1000 * p + i, p, f"2024-0{p}-01 00:{i // 60:02}:{i % 60:02}", "2024-05-01" if i == 249 else None, "x\n```html t\nb\n```") for p in (1, 2) for i in range(250)]
-    a = spark.createDataFrame(rows, "answer_id long, packet_id long, created_at string, discarded_at string, markdown string")
-    got = sorted((r.packet_id, r.answer_id) for r in paper_artifacts(a).collect())
-    assert got == [(p, 1000 * p + i) for p in (1, 2) for i in range(49, 249)]
-    sf = "/root/testdata/sf0.1"
-    live = {r.answer_id for r in answers(spark, sf).filter("discarded_at is null").collect()}
-    assert {r.answer_id for r in thread_queries()["paper_artifacts"][0](spark, sf).collect()} == live and len(live) > 200
