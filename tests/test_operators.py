@@ -579,3 +579,14 @@ def test_line_of_a_joined_entry(spark):
     assert got == {2: (2, [0.0, 0.5]), 9: (None, None)}
     got = {r.n: (r.entry_p, r.line) for r in S.link_citations(b.filter("p < 2")).collect()}
     assert got == {2: (1, [0.0, 0.2]), 9: (None, None)}
+
+
+def test_paper_artifacts_of_each_paper(spark):
+    """Two papers of 250 answers each have the artifacts of 200; the registered query has those of all papers."""
+    rows = [(1000 * p + i, p, f"2024-0{p}-01 00:{i // 60:02}:{i % 60:02}", "2024-05-01" if i == 249 else None, "x\n```html t\nb\n```") for p in (1, 2) for i in range(250)]
+    a = spark.createDataFrame(rows, "answer_id long, packet_id long, created_at string, discarded_at string, markdown string")
+    got = sorted((r.packet_id, r.answer_id) for r in N.paper_artifacts(a).collect())
+    assert got == [(p, 1000 * p + i) for p in (1, 2) for i in range(49, 249)]
+    sf = "/root/testdata/sf0.1"
+    live = {r.answer_id for r in A.answers(spark, sf).filter("discarded_at is null").collect()}
+    assert {r.answer_id for r in registry.queries()["paper_artifacts"](spark, sf).collect()} == live and len(live) > 200
