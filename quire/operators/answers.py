@@ -30,10 +30,31 @@ def list_answers(answers: DataFrame, origin: str) -> DataFrame:
     return answers.filter((F.col("origin") == origin) & F.col("discarded_at").isNull()).select("answer_id", "session", F.unix_timestamp("created_at").alias("created_s"), F.row_number().over(w).alias("position"))
 
 
-def list_conversations(answers: DataFrame) -> DataFrame:
-    """Live sessions: answers, last time, and a title from the first prompt (white space collapsed, 80
-    characters). The first answer comes from the same aggregation as the counts."""
+def find_answers(answers: DataFrame, images: DataFrame, connections: DataFrame, packet=None, session=None, origin: str | None = None, paper=None, packets: DataFrame | None = None) -> DataFrame:
+    """Live answers by any of packet, session, origin and paper, newest first within their session, with the name of
+    their connection (connection_id, name) and the number of their images (answer_id, position).
+
+    A paper's answers are those of the ``packets`` (packet_id, sources) that have it among their sources.
+    """
+    found = answers.filter("discarded_at is null")
+    for column, value in (("packet_id", packet), ("session", session), ("origin", origin)):
+        if value is not None:
+            found = found.filter(F.col(column) == value)
+    if paper is not None:
+        of = packets.filter(F.exists("sources", lambda s: s["paper_id"] == paper)).select("packet_id").distinct()
+        found = found.join(of, "packet_id", "left_semi")
+    n = images.groupBy("answer_id").agg(F.count("*").alias("images"))
+    names = connections.select("connection_id", F.col("name").alias("connection"))
+    w = Window.partitionBy("session").orderBy(F.desc("created_at"), "answer_id")
+    out = found.join(n, "answer_id", "left").join(names, "connection_id", "left")
+    return out.select("answer_id", "packet_id", "session", F.unix_timestamp("created_at").alias("created_s"), "connection", F.coalesce("images", F.lit(0)).cast("long").alias("images"), F.row_number().over(w).alias("position"))
+
+
+def list_conversations(answers: DataFrame, origin: str | None = None) -> DataFrame:
+    """Live sessions, of one origin if it is given: answers, last time, and a title from the first prompt (white space
+    collapsed, 80 characters). The first answer comes from the same aggregation as the counts."""
     live = answers.filter("discarded_at is null")
+    live = live if origin is None else live.filter(F.col("origin") == origin)
     g = live.groupBy("session").agg(F.count("*").alias("answers"), F.max("created_at").alias("last"), F.min_by("prompt", F.struct("created_at", "answer_id")).alias("first_prompt"))
     title = F.substring(F.trim(F.regexp_replace("first_prompt", r"[ \t\r\n]+", " ")), 1, 80)
     return g.select("session", "answers", F.unix_timestamp("last").alias("last_s"), F.coalesce(title, F.lit("Untitled")).alias("title")).orderBy(F.desc("last_s"), "session")
@@ -166,3 +187,25 @@ def discard(answers: DataFrame, keys: DataFrame, now: str) -> DataFrame:
     """Answers of the sessions in ``keys`` with ``discarded_at`` set once."""
     k = keys.select("session").distinct().withColumn("hit", F.lit(True))
     return answers.join(k, "session", "left").withColumn("discarded_at", F.when(F.col("hit"), F.coalesce("discarded_at", F.lit(now).cast("timestamp"))).otherwise(F.col("discarded_at"))).drop("hit")
+
+
+def discard_sessions(answers: DataFrame, titles: DataFrame, threads: DataFrame, keys: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answers, titles, threads) after the sessions in ``keys`` are deleted: their answers and threads are marked once with
+    the time, and their own titles go."""
+    k = keys.select("session").distinct()
+    return discard(answers, k, now), titles.join(k, "session", "left_anti"), _marked(threads, k, now)
+
+
+def _marked(threads: DataFrame, keys: DataFrame, now: str) -> DataFrame:
+    hit = threads.join(keys.withColumn("_hit", F.lit(True)), "session", "left")
+    return hit.withColumn("deleted_at", F.when(F.col("_hit"), F.coalesce("deleted_at", F.lit(now).cast("timestamp"))).otherwise(F.col("deleted_at"))).drop("_hit")
+
+
+def apply_renames(titles: DataFrame, threads: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(titles, threads) after sessions are renamed (session, title): the live thread of a session takes the name; a
+    session without one has it as its own title, in place of one that it had."""
+    new = renames.groupBy("session").agg(F.max("title").alias("_title"))
+    live = threads.filter("deleted_at is null").select("session").distinct()
+    named = threads.join(new, "session", "left").withColumn("title", F.when(F.col("deleted_at").isNull(), F.coalesce("_title", "title")).otherwise(F.col("title"))).drop("_title")
+    own = new.join(live, "session", "left_anti").select("session", F.col("_title").alias("title"))
+    return titles.join(own, "session", "left_anti").unionByName(own, allowMissingColumns=True), named

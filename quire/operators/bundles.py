@@ -62,7 +62,7 @@ def bundle_refs(anchors: DataFrame) -> DataFrame:
 
 def bundle_totals(files: DataFrame) -> DataFrame:
     """Files, bytes, largest path and files by kind of each bundle (bundle_id, path, size_bytes)."""
-    kinds = ("anchors", "answers", "texts", "assets")
+    kinds = ("anchors", "proposals", "answers", "assets", "texts", "artifacts")
     return files.groupBy("bundle_id").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.max_by("path", F.struct("size_bytes", "path")).alias("largest"), *[F.count_if(F.col("path").startswith(f"{k}/")).alias(k) for k in kinds])
 
 
@@ -90,12 +90,29 @@ def bundle_documents(answers: DataFrame) -> DataFrame:
     return answers.select("answer_id", F.concat_ws("\n", F.concat(F.lit("# Answer "), F.col("answer_id").cast("string")), F.substring(F.coalesce("prompt", F.lit("")), 1, 200), fence, "markdown", fence).alias("document"))
 
 
-def bundle_warnings(texts: DataFrame, anchors: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Warnings of bundles by code with their number: missing pages, empty quotes, limits."""
-    w = texts.filter("document is null").groupBy("bundle_id").agg(F.count("*").alias("n")).withColumn("code", F.lit("pages_not_extracted"))
-    q = anchors.filter(F.coalesce(F.trim("quote"), F.lit("")) == "").groupBy("bundle_id").agg(F.count("*").alias("n")).withColumn("code", F.lit("empty_quote"))
-    m = manifest.filter("state <> 'ok'").groupBy("bundle_id", F.col("state").alias("code")).agg(F.count("*").alias("n"))
-    return w.select("bundle_id", "code", "n").unionByName(q.select("bundle_id", "code", "n")).unionByName(m.select("bundle_id", "code", "n"))
+def bundle_warnings(pages: DataFrame, anchors: DataFrame, citations: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(bundle_id, code, subject, detail) of what is wanting in bundles, by code.
+
+    pages_not_extracted: pages (bundle_id, version_id, page_index, extracted) of a version that are missing, from one on;
+    TEXT_NOT_READY where all of a version's are. region_without_image and empty_quote: how many anchors (bundle_id,
+    version_id, kind, quote, has_image) of a version lack theirs. unresolved_answer_citation: numbers of the citations
+    (bundle_id, answer_id, number, pos, resolved) of an answer that name nothing in the bundle, each once in order.
+    over_limit and near_limit: the files and bytes of a bundle by its manifest (bundle_id, size_bytes, state).
+    """
+    row = lambda df, code, subject, detail: df.select("bundle_id", F.lit(code).alias("code"), F.col(subject).cast("string").alias("subject") if subject else F.lit(None).cast("string").alias("subject"), detail.cast("string").alias("detail"))
+    missing = ~F.coalesce("extracted", F.lit(False))
+    p = pages.groupBy("bundle_id", "version_id").agg(F.array_sort(F.collect_set(F.when(missing, F.col("page_index") + 1))).alias("gone"), F.every(missing).alias("all"))
+    p = p.filter(F.size("gone") > 0)
+    out = row(p, "pages_not_extracted", "version_id", F.array_join(F.col("gone").cast("array<string>"), ", "))
+    out = out.unionByName(row(p.filter("all"), "TEXT_NOT_READY", "version_id", F.size("gone")))
+    region, empty = (F.col("kind") != "text") & ~F.coalesce("has_image", F.lit(False)), (F.col("kind") == "text") & (F.coalesce("quote", F.lit("")) == "")
+    a = anchors.groupBy("bundle_id", "version_id").agg(F.count_if(region).alias("regions"), F.count_if(empty).alias("empty"))
+    out = out.unionByName(row(a.filter("regions > 0"), "region_without_image", "version_id", F.col("regions"))).unionByName(row(a.filter("empty > 0"), "empty_quote", "version_id", F.col("empty")))
+    c = citations.filter(~F.coalesce("resolved", F.lit(False))).groupBy("bundle_id", "answer_id", "number").agg(F.min("pos").alias("pos"))
+    c = c.groupBy("bundle_id", "answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "number"))), lambda x: x["number"].cast("string")), ", ").alias("numbers"))
+    out = out.unionByName(row(c, "unresolved_answer_citation", "answer_id", F.col("numbers")))
+    m = manifest.filter("state <> 'ok'").groupBy("bundle_id", "state").agg(F.concat(F.count("*").cast("string"), F.lit(" files, "), F.sum("size_bytes").cast("string"), F.lit(" bytes")).alias("detail"))
+    return out.unionByName(m.select("bundle_id", F.col("state").alias("code"), F.lit(None).cast("string").alias("subject"), "detail"))
 
 
 def list_bundles(log: DataFrame, limit: int) -> DataFrame:

@@ -23,9 +23,12 @@ def threads_with_answers(threads: DataFrame, answers: DataFrame) -> DataFrame:
     return threads.join(answers.filter("discarded_at is null"), "session", "left_semi")
 
 
-def versions_to_reprocess(versions: DataFrame, runs: DataFrame, parser: int) -> DataFrame:
-    """Versions with no queued or running run and none of the current parser."""
-    busy = runs.filter(F.col("status").isin("QUEUED", "RUNNING") | (F.col("parser") == parser))
+def versions_to_reprocess(versions: DataFrame, runs: DataFrame, parser: int, config: str | None = None) -> DataFrame:
+    """Versions with no queued or running run and none of the current parser and, if given, of the current ``config`` (a
+    hash, in the column config_hash of ``runs``)."""
+    current = F.col("parser") == parser
+    current = current if config is None else current & (F.col("config_hash") == config)
+    busy = runs.filter(F.col("status").isin("QUEUED", "RUNNING") | current)
     return versions.join(busy, "version_id", "left_anti")
 
 
@@ -76,6 +79,30 @@ def selection_context(anchors: DataFrame, blocks: DataFrame, near: DataFrame) ->
     return under.join(near, ["version_id", "p"], "left").select("anchor_id", "version_id", "p", "before", "after")
 
 
+#: Share of the length of its paragraphs from which a quote stands for them.
+CONTAINED = 0.9
+
+
+def text_selection_context(anchors: DataFrame, blocks: DataFrame, near: DataFrame) -> DataFrame:
+    """(anchor_id, role, p, reason): what surrounds each text selection (anchor_id, version_id, page_index, quote and box).
+
+    The blocks that the selection lies on are its ``containing_paragraph`` if the quote has less than nine tenths of
+    their characters; the blocks before the first and behind the last of them (``near``) are its previous_paragraph
+    and following_paragraph. A selection on no block has one row with the role ``context`` and why: ``text_not_extracted`` if its
+    version has no blocks, else ``no_extracted_text``.
+    """
+    under = blocks_under(anchors, blocks).join(blocks.select("version_id", "p", F.length("text").alias("n")), ["version_id", "p"])
+    spans = under.groupBy("anchor_id", "version_id").agg(F.min("p").alias("first"), F.max("p").alias("last"), F.sum("n").alias("n"), F.array_sort(F.collect_set("p")).alias("ps"))
+    spans = spans.join(anchors.select("anchor_id", F.length(F.coalesce("quote", F.lit(""))).alias("quoted")), "anchor_id")
+    inside = spans.filter(F.col("quoted") < CONTAINED * F.col("n")).select("anchor_id", F.lit("containing_paragraph").alias("role"), F.explode("ps").alias("p"))
+    side = lambda at, of, role: spans.join(near.select("version_id", F.col("p").alias(at), F.col(of).alias("beside")), ["version_id", at]).filter("beside is not null").select("anchor_id", F.lit(role).alias("role"), F.col("beside").alias("p"))
+    found = inside.unionByName(side("first", "before", "previous_paragraph")).unionByName(side("last", "after", "following_paragraph")).withColumn("reason", F.lit(None).cast("string"))
+    extracted = blocks.select("version_id").distinct().withColumn("has", F.lit(True))
+    none = anchors.join(spans.select("anchor_id"), "anchor_id", "left_anti").join(extracted, "version_id", "left")
+    why = F.when(F.col("has"), "no_extracted_text").otherwise("text_not_extracted")
+    return found.unionByName(none.select("anchor_id", F.lit("context").alias("role"), F.lit(None).cast("int").alias("p"), why.alias("reason")))
+
+
 def region_context(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     """The nearest caption of each region and the text of the other blocks that lie half inside it."""
     caption = nearest_caption(anchors, blocks)
@@ -113,11 +140,16 @@ def styled_sentences(blocks: DataFrame) -> DataFrame:
     return s.select("version_id", "p", "n", F.aggregate(inside, zero, step, end).alias("markup"))
 
 
-def audit_responses(expected: DataFrame, responses: DataFrame) -> DataFrame:
+def audit_responses(expected: DataFrame, responses: DataFrame, continued: DataFrame | None = None) -> DataFrame:
     """Problems of responses (version_id, p, n, text) against the expected sentences: missing ones, and
-    an empty text for the first sentence of a block."""
+    an empty text for the first sentence of a block, unless it goes on with the block before it (``continued``:
+    version_id, p)."""
     e = expected.select("version_id", "p", "n").join(responses.select("version_id", "p", "n", "text"), ["version_id", "p", "n"], "left")
-    bad = F.when(F.col("text").isNull(), F.concat(F.lit("missing "), F.col("n").cast("string"))).when((F.col("n") == 0) & (F.trim("text") == ""), F.lit("empty 0"))
+    goes_on = F.lit(False)
+    if continued is not None:
+        e = e.join(continued.select("version_id", "p", F.lit(True).alias("goes_on")).distinct(), ["version_id", "p"], "left")
+        goes_on = F.coalesce("goes_on", F.lit(False))
+    bad = F.when(F.col("text").isNull(), F.concat(F.lit("missing "), F.col("n").cast("string"))).when((F.col("n") == 0) & (F.trim("text") == "") & ~goes_on, F.lit("empty 0"))
     rows = e.withColumn("bad", bad).filter("bad is not null")
     return rows.groupBy("version_id", "p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "bad"))), lambda x: x["bad"]), ", ").alias("problems"))
 

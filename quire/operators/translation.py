@@ -49,6 +49,18 @@ def sentences(blocks: DataFrame) -> DataFrame:
     return blocks.select("version_id", "p", F.posexplode(sentence_array(F.col("text"))).alias("sentence_no", "sentence"))
 
 
+def sentence_spans(blocks: DataFrame) -> DataFrame:
+    """(version_id, p, sentence_no, start, end, sentence): the sentences of each block with the offsets of their first
+    character and behind their last one in the text as it is. Characters other than white space are counted to find them."""
+    places = F.filter(F.transform(F.split("text", ""), lambda c, i: F.when(~c.rlike(r"(?U)^\s*$"), i)), lambda i: i.isNotNull())
+    b = blocks.select("version_id", "p", places.alias("places"), sentence_array(F.col("text")).alias("ss"))
+    sizes = F.transform("ss", lambda s: F.length(F.regexp_replace(s, r"(?U)\s+", "")))
+    b = b.withColumn("sizes", sizes).select("version_id", "p", "places", "sizes", F.posexplode("ss").alias("sentence_no", "sentence"))
+    before = F.aggregate(F.slice("sizes", F.lit(1), F.col("sentence_no")), F.lit(0), lambda a, n: a + n)
+    last = before + F.get("sizes", F.col("sentence_no")) - 1
+    return b.select("version_id", "p", "sentence_no", F.get("places", before).alias("start"), (F.get("places", last) + 1).alias("end"), "sentence")
+
+
 def reuse_translations(blocks: DataFrame, stored: DataFrame) -> DataFrame:
     """Pages of which every body block has an unused stored block (source, sentences) with its text and
     number of sentences; the k-th of equal ones takes the k-th."""
@@ -86,7 +98,8 @@ def _fits(rest: Column) -> Callable[[Column], Column]:
 
 def translation_batches(blocks: DataFrame) -> DataFrame:
     """Body blocks of each page in at most four batches whose largest is as small as it can be; of
-    equal choices the one with the earliest cuts. ``f_j`` holds, for each place, the least largest batch
+    equal choices the one with the earliest cuts. ``context`` of the first block of a batch is the end of the block before
+    it, 400 characters at most, or null; later blocks have none. ``f_j`` holds, for each place, the least largest batch
     of what follows in j batches, so a page of n blocks takes n * n steps."""
     b = body_blocks(blocks).groupBy("version_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("p", F.length("text").alias("n")))).alias("bs"))
     sizes = F.transform("bs", lambda x: x["n"].cast("long"))
@@ -99,7 +112,7 @@ def translation_batches(blocks: DataFrame) -> DataFrame:
     b = b.withColumn("f1", F.transform(F.sequence(F.lit(0), count), lambda i: total - F.get("sums", i)))
     for j in range(2, MOST_GROUPS + 1):
         # no place is left for j batches within the last j - 1 blocks
-        rest = lambda i, f=f"f{j - 1}": F.array_min(F.transform(F.sequence(i + 1, F.greatest(i + 1, count - 1)), lambda m: F.when(m < count, F.greatest(between(i, m), F.get(f, m)))))
+        rest = lambda i, f=f"f{j - 1}": F.array_min(F.transform(F.sequence(i + 1, F.greatest(i + 1, count - 1)), lambda m: F.when((m < count) & F.get(f, m).isNotNull(), F.greatest(between(i, m), F.get(f, m)))))  # noqa: E731  greatest passes over nulls
         b = b.withColumn(f"f{j}", F.transform(F.sequence(F.lit(0), count), lambda i: F.when(i < count, rest(i))))
     b = b.withColumns({"worst": F.get(F.get(F.array(*[F.col(f"f{j}") for j in range(1, MOST_GROUPS + 1)]), F.col("k") - 1), F.lit(0)), "at": F.lit(0)})
     for c in range(1, MOST_GROUPS):
@@ -109,7 +122,11 @@ def translation_batches(blocks: DataFrame) -> DataFrame:
         b = b.withColumn(f"cut{c}", F.when(left > 0, cut)).withColumn("at", F.coalesce(F.col(f"cut{c}"), F.col("at")))
     chosen = b.select("version_id", "page_index", "worst", *[f"cut{c}" for c in range(1, MOST_GROUPS)], F.posexplode("bs").alias("i", "x"))
     batch = sum((F.when(F.col("i") >= F.col(f"cut{c}"), 1).otherwise(0) for c in range(1, MOST_GROUPS)), F.lit(0))
-    return chosen.select("version_id", "page_index", "x.p", batch.cast("int").alias("batch"), F.col("worst").alias("largest"))
+    out = chosen.select("version_id", "page_index", "x.p", batch.cast("int").alias("batch"), F.col("worst").alias("largest"))
+    was = F.lag("text").over(Window.partitionBy("version_id").orderBy("p"))
+    before = body_blocks(blocks).select("version_id", "p", F.substring(was, -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"))
+    starts = F.coalesce(F.lag("batch").over(Window.partitionBy("version_id", "page_index").orderBy("p")), F.lit(-1)) != F.col("batch")
+    return out.withColumn("starts", starts).join(before, ["version_id", "p"]).withColumn("context", F.when(F.col("starts"), F.col("before"))).drop("starts", "before")
 
 
 def sentence_groups(translated: DataFrame) -> DataFrame:

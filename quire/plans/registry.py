@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .answer_queries import answer_queries
 from .glyph_queries import glyph_queries
 from .library_queries import library_queries
 from .more_queries import more_queries
@@ -17,7 +18,7 @@ from .thread_queries import thread_queries
 
 
 def _all() -> dict:
-    return search_queries() | library_queries() | structure_queries() | text_queries() | more_queries() | thread_queries() | store_queries() | glyph_queries()
+    return search_queries() | library_queries() | structure_queries() | text_queries() | more_queries() | thread_queries() | store_queries() | glyph_queries() | answer_queries()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

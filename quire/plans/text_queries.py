@@ -95,7 +95,6 @@ def text_queries() -> dict:
               mp AS (SELECT *, max(CASE WHEN list_contains(quality_flags, 'math') THEN p END) OVER (PARTITION BY version_id ORDER BY p) AS math_p FROM cb), bb AS (SELECT *, lag(text) OVER w AS was, lag(p) OVER w AS was_p FROM mp WHERE trim(text) <> '' AND NOT {NOT_BODY_SQL} WINDOW w AS (PARTITION BY version_id ORDER BY p))""",
                         body=r"""SELECT b.version_id, b.p, was_p FROM bb b JOIN sent s ON s.version_id = b.version_id AND s.p = b.p AND s.sentence_no = 0 WHERE NOT regexp_matches(trim(was), '[.!?。！？]["''”’)\]]*$') AND NOT regexp_matches(was, '^(?:Fig\.|Figure|Table) +\d+') AND coalesce(math_p, -1) < was_p AND regexp_matches(b.text, '^\p{Ll}') AND 2 * length(sentence) <= length(was)"""),
         ),
-        "translation_batches": (lambda x, d: T.translation_batches(b(x, d)), None),
         "sentence_groups": (
             lambda x, d: T.sentence_groups(_translated(x, d)),
             with_tables("blocks", more=SENT + ", " + TRANSLATED + ", g AS (SELECT *, sum(CASE WHEN translation <> '' OR k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY version_id, p ORDER BY sentence_no) AS grp FROM (SELECT *, row_number() OVER (PARTITION BY version_id, p ORDER BY sentence_no) AS k FROM tr))", body="SELECT version_id, p, grp::BIGINT AS grp, min(sentence_no) AS first_no, max(sentence_no) AS last_no, arg_min(translation, sentence_no) AS translation FROM g GROUP BY version_id, p, grp"),
@@ -175,7 +174,7 @@ def text_queries() -> dict:
         ),
         "bundle_totals": (
             lambda x, d: E.bundle_totals(_files(x, d).withColumn("size_bytes", F.octet_length("content"))),
-            with_tables("blocks", more=FILES, body="SELECT bundle_id, count(*) AS files, sum(size_bytes)::BIGINT AS bytes, arg_max(path, (size_bytes, path)) AS largest, " + ", ".join(f"count(*) FILTER (starts_with(path, '{k}/')) AS {k}" for k in ("anchors", "answers", "texts", "assets")) + " FROM files GROUP BY 1"),
+            with_tables("blocks", more=FILES, body="SELECT bundle_id, count(*) AS files, sum(size_bytes)::BIGINT AS bytes, arg_max(path, (size_bytes, path)) AS largest, " + ", ".join(f"count(*) FILTER (starts_with(path, '{k}/')) AS {k}" for k in ("anchors", "proposals", "answers", "assets", "texts", "artifacts")) + " FROM files GROUP BY 1"),
         ),
         "bundle_manifest": (
             lambda x, d: E.bundle_manifest(_files(x, d)),

@@ -93,16 +93,12 @@ def thread_queries() -> dict:
         ),
         "selection_context": (
             lambda x, d: H.selection_context(_box_anchors(x, d), b(x, d), S.neighbours(b(x, d))).fillna(-1, ["before", "after"]),
-            with_tables("blocks", "annotations", more=ANCHORS + f", u AS (SELECT anchor_id, version_id, min(p) AS p FROM ba JOIN blocks USING (version_id, page_index) WHERE greatest(0, least(x1, a1) - greatest(x0, a0)) * greatest(0, least(y1, b1) - greatest(y0, b0)) >= 0.5::DOUBLE * (a1 - a0) * (b1 - b0) GROUP BY 1, 2), n AS (SELECT version_id, p, lag(p) OVER w AS before, lead(p) OVER w AS after FROM blocks WHERE NOT {NOT_BODY_SQL} AND trim(text) <> '' WINDOW w AS (PARTITION BY version_id, font_size ORDER BY p))", body="SELECT anchor_id, version_id, p, coalesce(before, -1) AS before, coalesce(after, -1) AS after FROM u LEFT JOIN n USING (version_id, p)"),
+            with_tables("blocks", "annotations", more=ANCHORS + f", u AS (SELECT anchor_id, version_id, min(p) AS p FROM ba JOIN blocks USING (version_id, page_index) WHERE greatest(0, least(x1, a1) - greatest(x0, a0)) * greatest(0, least(y1, b1) - greatest(y0, b0)) >= 0.5::DOUBLE * (a1 - a0) * (b1 - b0) GROUP BY 1, 2), n AS (SELECT version_id, p, CASE WHEN page_index - lag(page_index) OVER w <= 2 THEN lag(p) OVER w END AS before, CASE WHEN lead(page_index) OVER w - page_index <= 2 THEN lead(p) OVER w END AS after FROM blocks WHERE NOT {NOT_BODY_SQL} AND trim(text) <> '' WINDOW w AS (PARTITION BY version_id, font_size ORDER BY p))", body="SELECT anchor_id, version_id, p, coalesce(before, -1) AS before, coalesce(after, -1) AS after FROM u LEFT JOIN n USING (version_id, p)"),
         ),
         "region_context": (
             lambda x, d: H.region_context(_box_anchors(x, d).withColumns({"a0": F.lit(0.0), "a1": F.lit(1.0), "b1": F.col("b0") + 0.3}), b(x, d)).fillna(-1, ["caption_p"]).fillna("", ["text"]),
             with_tables("blocks", "annotations", more="ba AS (SELECT annotation_id AS anchor_id, version_id, page_index % 4 AS page_index, 0.0::DOUBLE AS a0, v * 0.9::DOUBLE AS b0, 1.0::DOUBLE AS a1, v * 0.9::DOUBLE + 0.3::DOUBLE AS b1 FROM annotations), j AS (SELECT *, greatest(greatest(0, x0 - a1, a0 - x1), greatest(0, y0 - b1, b0 - y1)) AS gap, greatest(0, least(x1, a1) - greatest(x0, a0)) * greatest(0, least(y1, b1) - greatest(y0, b0)) >= 0.5::DOUBLE * (x1 - x0) * (y1 - y0) AS inside FROM ba JOIN blocks USING (version_id, page_index)), c AS (SELECT anchor_id, arg_min(p, (gap, p)) AS caption_p FROM j WHERE " + CAPTION_SQL + " AND gap <= 0.08::DOUBLE GROUP BY 1), t AS (SELECT j.anchor_id, string_agg(text, chr(10) ORDER BY p) AS text FROM j LEFT JOIN c ON j.anchor_id = c.anchor_id WHERE inside AND p IS DISTINCT FROM caption_p GROUP BY 1)", body="SELECT anchor_id, coalesce(caption_p, -1) AS caption_p, coalesce(text, '') AS text FROM c FULL JOIN t USING (anchor_id)"),
         ),
-        "audit_responses": (
-            lambda x, d: H.audit_responses(_expected(x, d), _expected(x, d).filter("(p + n) % 4 <> 1").select("version_id", "p", "n", F.when(F.col("p") % 5 == 0, "").otherwise(F.col("sentence")).alias("text"))),
-            None,
-        ),
         "export_marks": (lambda x, d: H.export_marks(an(x, d)), with_tables("annotations", more="a AS (SELECT *, CASE WHEN trim(coalesce(comment, '')) <> '' THEN trim(comment) END AS note FROM annotations)", body="SELECT version_id, row_number() OVER (PARTITION BY version_id ORDER BY page_index, v, u, annotation_id)::INT AS position, annotation_id, CASE WHEN color IS NOT NULL THEN 'highlight' ELSE 'note' END AS kind, CASE WHEN length(quote) > 200 THEN substr(quote, 1, 200) || '…' ELSE quote END AS quote, coalesce(note, '') AS note FROM a WHERE color IS NOT NULL OR note IS NOT NULL")),
         "screen_intake": (
             lambda x, d: SRC.screen_intake(A.table(x, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("%PDF-"), "text")).otherwise(F.col("text")).cast("binary").alias("content"), (F.col("doc_id") % 400 - 1).cast("int").alias("page_count"))).select("doc_id", "sha256", F.coalesce("reject_code", F.lit("")).alias("reject_code")),

@@ -11,6 +11,7 @@ from quire.functions.canonical import canonical_json
 from quire.functions.scratch import scratch_dir
 from quire.functions.text import nfkc, porter_stem, porter_step1, stemmed
 from quire.operators import answers as N
+from quire.operators import artifacts as AR
 from quire.operators import bundles as E
 from quire.operators import cascade as C
 from quire.operators import glyphs as G
@@ -119,7 +120,7 @@ def test_budgets(spark):
     assert got == [(0, "x" * 10, False, False), (1, "y" * 5, True, False), (2, None, False, True)]
 
 
-@pytest.mark.parametrize("sizes", [[700, 800, 10, 900, 1200, 40], [100], [2073, 300, 1900, 992], [500, 500, 500, 500, 500]])
+@pytest.mark.parametrize("sizes", [[700, 800, 10, 900, 1200, 40], [100], [2073, 300, 1900, 992], [500, 500, 500, 500, 500], [99, 377, 241, 306, 1173], [1173, 10, 20]])
 def test_batches(spark, sizes):
     from itertools import combinations
 
@@ -590,3 +591,46 @@ def test_paper_artifacts_of_each_paper(spark):
     sf = "/root/testdata/sf0.1"
     live = {r.answer_id for r in A.answers(spark, sf).filter("discarded_at is null").collect()}
     assert {r.answer_id for r in registry.queries()["paper_artifacts"](spark, sf).collect()} == live and len(live) > 200
+
+
+def test_artifacts_of_answers(spark):
+    text = 'a\n```artifact type="react" title=""\n<A/>\n```\n~~~artifact title="x" type="markdown"\n# t\n~~\n~~~\n```python\np\n```\n  ```html\n   <html><title></title>\n'
+    a = spark.createDataFrame([(1, text), (2, None), (3, "```svg\n<svgx>\n```\n```mermaid\n \n```"), (4, "```mermaid\ng\n```\n")], "answer_id long, markdown string")
+    got = [(r.answer_id, r.number, r.kind, r.title, r.language, r.content) for r in AR.artifacts(a).orderBy("answer_id", "number").collect()]
+    assert got == [(1, 0, "react", "React 화면", None, "<A/>"), (1, 1, "markdown", "x", None, "# t\n~~"), (1, 2, "html", "HTML 페이지", None, " <html><title></title>"), (4, 0, "mermaid", "다이어그램", None, "g")]
+    out = {r.answer_id: r.markdown for r in AR.without_artifacts(a).collect()}
+    assert out[1] == "a\n[artifact: React 화면]\n[artifact: x]\n```python\np\n```\n[artifact: HTML 페이지]" and out[2] is None and out[4] == "[artifact: 다이어그램]"
+
+
+def test_renames_and_deleted_sessions(spark):
+    frame = lambda schema, *rows: spark.createDataFrame(rows, schema)
+    titles = frame("session string, title string", ("s1", "old"), ("s3", "keep"))
+    threads = frame("session string, title string, deleted_at timestamp", ("s2", "t", None), ("s1", "gone", dt.datetime(2024, 1, 1)))
+    t, h = N.apply_renames(titles, threads, frame("session string, title string", ("s1", "new"), ("s2", "live"), ("s4", "first")))
+    assert sorted(map(tuple, t.collect())) == [("s1", "new"), ("s3", "keep"), ("s4", "first")]
+    assert {r.session: r.title for r in h.collect()} == {"s1": "gone", "s2": "live"}
+    answers = frame("session string, answer_id long, discarded_at timestamp", ("s1", 1, None), ("s2", 2, None))
+    a, t, h = N.discard_sessions(answers, titles, threads, frame("session string", ("s1",), ("s2",)), "2024-06-01 00:00:00")
+    assert a.filter("discarded_at is null").count() == 0 and [r.session for r in t.collect()] == ["s3"]
+    assert {r.session: r.deleted_at.month for r in h.collect()} == {"s1": 1, "s2": 6}
+
+
+def test_sentence_offsets(spark):
+    text = "  One  two.\tThree e.g. four!  五。 Last "
+    got = [(r.start, r.end, r.sentence) for r in T.sentence_spans(spark.createDataFrame([(1, 0, text), (1, 1, " "), (1, 2, None)], "version_id long, p int, text string")).orderBy("sentence_no").collect()]
+    assert [(text[a:b].split(), s.split()) for a, b, s in got] == [(s.split(), s.split()) for _, _, s in got] and len(got) == 4
+
+
+def test_selection_context_with_reasons(spark):
+    b = blocks(spark, ["one two three four", "more text here", "end of it"], page=lambda p: p)
+    box = lambda p: (0.1, 0.2 + 0.1 * (p % 5), 0.9, 0.25 + 0.1 * (p % 5))
+    rows = [(1, 1, 1, "more", *box(1)), (2, 1, 1, "more text here", *box(1)), (3, 1, 0, "x", 0.1, 0.9, 0.2, 0.95), (4, 2, 0, "x", *box(0))]
+    a = spark.createDataFrame(rows, "anchor_id int, version_id long, page_index int, quote string, a0 double, b0 double, a1 double, b1 double")
+    got = sorted((r.anchor_id, r.role, r.p, r.reason) for r in H.text_selection_context(a, b, S.neighbours(b)).collect())
+    assert got == [(1, "containing_paragraph", 1, None), (1, "following_paragraph", 2, None), (1, "previous_paragraph", 0, None), (2, "following_paragraph", 2, None), (2, "previous_paragraph", 0, None), (3, "context", None, "no_extracted_text"), (4, "context", None, "text_not_extracted")]
+
+
+def test_neighbours_within_two_pages(spark):
+    b = blocks(spark, ["a", "b", "c"], page=lambda p: 3 * p)
+    assert [(r.before, r.after) for r in S.neighbours(b).orderBy("p").collect()] == [(None, None)] * 3
+    assert [(r.before, r.after) for r in S.neighbours(b, 3).orderBy("p").collect()] == [(None, 1), (0, 2), (1, None)]
