@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import map_ids, written
 
-#: Code points of a chunk.
-CHUNK = 32_768
+#: Code points of a chunk at most, and how far back from there a place is looked for that no piece crosses.
+CHUNK, LOOK_BACK = 32_768, 4_096
 #: Matrices that are combined at once.
 FAN = 16
 SPACE = "▁"
@@ -221,13 +221,27 @@ def _direct(path: str) -> Callable:
     return run
 
 
-def _split(longest: int, chunk: int) -> Callable:
+def bounds(p: Pieces, s: str, chunk: int) -> list[int]:
+    """Ends of chunks of at most ``chunk`` characters: at the last place that no piece crosses, if there is one in the
+    last LOOK_BACK characters; else within a piece, if need be."""
+    ends, at = [], 0
+    while len(s) - at > chunk:
+        end = at + chunk
+        free = next((i for i in range(end, max(at, end - LOOK_BACK), -1) if s[i - 1 : i + 1] not in p.pairs), end)
+        ends.append(free)
+        at = free
+    return [*ends, len(s)]
+
+
+def _split(path: str, chunk: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = Pieces.load(path)
         for batch in batches:
             for doc_id, row, t in zip(batch["doc_id"], batch["row"], batch["text"], strict=True):
-                s = _escaped(t)
-                for k in range(0, -(-len(s) // chunk)):
-                    yield pd.DataFrame({"doc_id": [doc_id], "row": [row], "chunk": [k], "inner": [min(chunk, len(s) - k * chunk)], "body": [s[k * chunk : (k + 1) * chunk + longest - 1]]})
+                s, at = _escaped(t), 0
+                for k, end in enumerate(bounds(p, s, chunk)):
+                    yield pd.DataFrame({"doc_id": [doc_id], "row": [row], "chunk": [k], "at": [at], "inner": [end - at], "body": [s[at : end + p.longest - 1]]})
+                    at = end
 
     return run
 
@@ -294,14 +308,14 @@ def chunk_states(matrices: DataFrame, fan: int = FAN) -> DataFrame:
     return states
 
 
-def _backtrace(path: str, chunk: int) -> Callable:
+def _backtrace(path: str) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = Pieces.load(path)
         for batch in batches:
             rows = []
-            for s, n, k, a, b in zip(batch["body"], batch["inner"], batch["chunk"], batch["entry"], batch["leave"], strict=True):
+            for s, n, k, at, a, b in zip(batch["body"], batch["inner"], batch["chunk"], batch["at"], batch["entry"], batch["leave"], strict=True):
                 ids, score = segment(p, s, n, a, b)
-                rows.append((k, k * chunk + a, len(ids), score, ids.tobytes(), p.decode(ids.tolist()) == s[a : n + b].replace(SPACE, " ")))
+                rows.append((k, at + a, len(ids), score, ids.tobytes(), p.decode(ids.tolist()) == s[a : n + b].replace(SPACE, " ")))
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["chunk", "start", "n_ids", "score", "ids", "round_trip"])], axis=1)
 
     return run
@@ -313,18 +327,18 @@ def encode_pieces(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
 
     ``ids`` are little-endian, 32 bits each. ``start`` counts in the text with its leading space mark; a piece belongs to the chunk where it
     starts; the ids of a document are those of its chunks in order. Null and empty texts have one
-    chunk without ids. Of tied segmentations the one whose last piece is longest wins. Repeated rows are
+    chunk without ids. Of tied segmentations the one whose last piece is longest wins, then the one before it, and so
+    on; where LOOK_BACK characters before the end of a chunk have no place that no piece crosses, it is one of them. Repeated rows are
     encoded each; an empty table gives no rows; other columns are not looked at.
     ``model`` is a path that every worker can read.
     """
     long = F.length(F.coalesce("text", F.lit(""))) > chunk
     small = map_ids(docs.filter(~long).select("doc_id", "text"), _direct(model), OUT)
     rows = docs.filter(long).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    reach = Pieces.load(model).longest
-    chunks = written(map_ids(rows, _split(reach, chunk), "row long, chunk int, inner int, body string").repartition("row", "chunk"), "pieces-chunks")
+    chunks = written(map_ids(rows, _split(model, chunk), "row long, chunk int, at long, inner int, body string").repartition("row", "chunk"), "pieces-chunks")
     matrices = chunks.select("row", "chunk", "inner", "body").mapInPandas(_matrices(model), "row long, at long, matrix array<double>")
     states = chunk_states(written(matrices, "pieces-level")).select("row", F.col("at").cast("int").alias("chunk"), "entry", "leave")
-    large = map_ids(chunks.join(states, ["row", "chunk"]).select("doc_id", "body", "inner", "chunk", "entry", "leave"), _backtrace(model, chunk), OUT)
+    large = map_ids(chunks.join(states, ["row", "chunk"]).select("doc_id", "body", "inner", "chunk", "at", "entry", "leave"), _backtrace(model), OUT)
     return small.unionByName(large)
 
 
