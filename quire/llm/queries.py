@@ -100,4 +100,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard": oracles.OP4, "op6_cqf_dedup": oracles.OP6}
+ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard": oracles.OP4, "op6_cqf_dedup": oracles.OP6, "op11_suffix_dedup": oracles.OP11, "op13_periodic_runs": oracles.OP13}
