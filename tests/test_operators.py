@@ -634,3 +634,8 @@ def test_neighbours_within_two_pages(spark):
     b = blocks(spark, ["a", "b", "c"], page=lambda p: 3 * p)
     assert [(r.before, r.after) for r in S.neighbours(b).orderBy("p").collect()] == [(None, None)] * 3
     assert [(r.before, r.after) for r in S.neighbours(b, 3).orderBy("p").collect()] == [(None, 1), (0, 2), (1, None)]
+
+
+def test_neighbours_on_any_page(spark):
+    b = blocks(spark, ["a", "b", "c"], page=lambda p: 9 * p)
+    assert [(r.before, r.after) for r in S.neighbours(b, None).orderBy("p").collect()] == [(None, 1), (0, 2), (1, None)]
