@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import collapsed
 from .structure import body_blocks
 
 # fixed values: abbreviations that end no sentence
@@ -18,31 +19,19 @@ ENDS = r"""[.!?。！？]["'”’)\]]*$"""
 GROUP_CHARS, MOST_GROUPS, CONTEXT_CHARS = 600, 4, 400
 
 
-def _ends(token: Column, after: Column) -> Column:
-    """Whether a sentence ends with ``token``: an end mark, no lower-case start behind it, and for a
-    full stop neither an abbreviation nor a single letter before it."""
-    core = F.regexp_replace(token, ENDS, "")
-    mark = F.substring(F.regexp_extract(token, ENDS, 0), 1, 1)
-    bare = F.regexp_replace(F.lower(core), r"""^[(\["'“‘]+""", "")
-    return token.rlike(ENDS) & ~after.rlike(r"^\p{Ll}") & ((mark != ".") | ~(bare.isin(*ABBREVIATIONS) | bare.rlike(r"^\p{L}$")))
+def _cut(text: Column) -> Column:
+    """A text whose white space is spaces, with a line break for the first space behind each sentence. A sentence ends with
+    an end mark, no lower-case start behind it, and for a full stop neither an abbreviation nor a single letter before it."""
+    marked = F.regexp_replace(text, r"""([.!?。！？]["'”’)\]]*) (?= *+[^ \p{Ll}])""", "$1\n")
+    held = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    # the look ahead is cheap and leaves few words for the list
+    return F.regexp_replace(marked, rf"""(?<![^ \n])(?=[(\["'“‘]*+[^ \n]{{1,{max(map(len, ABBREVIATIONS))}}}\.["'”’)\]]*+\n)([(\["'“‘]*(?:(?i:{held})|[\p{{L}}&&[^İ]])\.["'”’)\]]*)\n""", "$1 ")
 
 
 def sentence_array(text: Column) -> Column:
-    """The sentences of a text as an array, white space inside them as one space. One expression a
-    row: no shuffle and no Python."""
-    tokens = F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
-    zero = F.struct(F.lit("").alias("held"), F.array().cast("array<string>").alias("done"))
-
-    def fold(ts: Column) -> Column:
-        flagged = F.transform(ts, lambda t, i: F.struct(t.alias("t"), (F.coalesce(_ends(t, F.coalesce(F.get(ts, i + 1), F.lit(""))), F.lit(False)) & (i + 1 < F.size(ts))).alias("end")))
-
-        def step(a, x):
-            s = F.when(a["held"] == "", x["t"]).otherwise(F.concat(a["held"], F.lit(" "), x["t"]))
-            return F.when(x["end"], F.struct(F.lit("").alias("held"), F.concat(a["done"], F.array(s)).alias("done"))).otherwise(F.struct(s.alias("held"), a["done"].alias("done")))
-
-        return F.aggregate(flagged, zero, step, lambda a: F.when(a["held"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["held"]))))
-
-    return F.get(F.transform(F.array(tokens), fold), F.lit(0))
+    """The sentences of a text as an array, white space inside them as one space. Two passes of a pattern over each
+    row: no shuffle, no Python, and time linear in the text."""
+    return F.filter(F.split(_cut(collapsed(text)), "\n"), lambda x: x != "")
 
 
 def sentences(blocks: DataFrame) -> DataFrame:
@@ -51,14 +40,13 @@ def sentences(blocks: DataFrame) -> DataFrame:
 
 def sentence_spans(blocks: DataFrame) -> DataFrame:
     """(version_id, p, sentence_no, start, end, sentence): the sentences of each block with the offsets of their first
-    character and behind their last one in the text as it is. Characters other than white space are counted to find them."""
-    places = F.filter(F.transform(F.split("text", ""), lambda c, i: F.when(~c.rlike(r"(?U)^\s*$"), i)), lambda i: i.isNotNull())
-    b = blocks.select("version_id", "p", places.alias("places"), sentence_array(F.col("text")).alias("ss"))
-    sizes = F.transform("ss", lambda s: F.length(F.regexp_replace(s, r"(?U)\s+", "")))
-    b = b.withColumn("sizes", sizes).select("version_id", "p", "places", "sizes", F.posexplode("ss").alias("sentence_no", "sentence"))
-    before = F.aggregate(F.slice("sizes", F.lit(1), F.col("sentence_no")), F.lit(0), lambda a, n: a + n)
-    last = before + F.get("sizes", F.col("sentence_no")) - 1
-    return b.select("version_id", "p", "sentence_no", F.get("places", before).alias("start"), (F.get("places", last) + 1).alias("end"), "sentence")
+    character and behind their last one in the text as it is. Each character of white space counts as one space."""
+    parts = F.split(_cut(F.regexp_replace("text", r"(?U)\s", " ")), "\n")
+    ends = lambda ps: F.aggregate(ps, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
+    placed = F.get(F.transform(F.array(parts), lambda ps: F.zip_with(ps, F.slice(ends(ps), F.lit(1), F.size(ps)), lambda x, at: F.struct(x.alias("part"), at.alias("at")))), F.lit(0))
+    b = blocks.select("version_id", "p", F.posexplode(placed).alias("sentence_no", "x")).select("version_id", "p", "sentence_no", "x.part", "x.at").filter(F.trim("part") != "")
+    start = F.col("at") + F.length("part") - F.length(F.ltrim("part"))
+    return b.select("version_id", "p", "sentence_no", start.alias("start"), (F.col("at") + F.length(F.rtrim("part"))).alias("end"), F.regexp_replace(F.trim("part"), " +", " ").alias("sentence"))
 
 
 def reuse_translations(blocks: DataFrame, stored: DataFrame) -> DataFrame:

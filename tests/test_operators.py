@@ -639,3 +639,25 @@ def test_neighbours_within_two_pages(spark):
 def test_neighbours_on_any_page(spark):
     b = blocks(spark, ["a", "b", "c"], page=lambda p: 9 * p)
     assert [(r.before, r.after) for r in S.neighbours(b, None).orderBy("p").collect()] == [(None, 1), (0, 2), (1, None)]
+
+
+def test_sentences_of_a_long_block(spark):
+    """Sentences are cut by patterns, without folding the tokens of a block into growing arrays, and lie where a scan finds them."""
+    hard = ["A dr. Smith came. ", "See (e.g. This) or Fig. 3.\u3000", "“J. Doe?”\t", "No.) Yes! ", "x.y.z. And. ", "Well.. so? no. It ends.\"  ", "İ. A ", "ET AL. B.\n"]
+    text = " " + "".join(hard) * 500
+    b = spark.createDataFrame([(1, 0, text), (1, 1, "\u3000"), (1, 2, "Only. one")], "version_id long, p int, text string")
+    spans = T.sentence_spans(b)
+    assert "aggregate(" not in T.sentences(b)._jdf.queryExecution().toString()
+    got = spans.orderBy("p", "sentence_no").collect()
+    assert [r.sentence for r in got if r.p] == ["Only. one"]
+    long = [r for r in got if not r.p]
+    assert all(" ".join(text[r.start : r.end].split()) == r.sentence for r in long)
+    assert " ".join(r.sentence for r in long) == " ".join(text.split())
+    assert [r.sentence for r in long[:8]] == ["A dr. Smith came.", "See (e.g. This) or Fig. 3.", "“J. Doe?”", "No.) Yes! x.y.z.", "And.", "Well.. so? no. It ends.\"", "İ.", "A ET AL. B. A dr. Smith came."]
+
+
+def test_outline_passes_candidates_one_by_one(spark):
+    b = blocks(spark, ["1 One", "Conclusion", "2 Two"]).unionByName(blocks(spark, ["2 Two", "9 Nine"]).withColumn("version_id", F.lit(7).cast("long")))
+    found = outline(b)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    assert sorted((r.version_id, r.p, r.level) for r in found.collect()) == [(1, 0, 1), (1, 1, 1), (1, 2, 1), (7, 0, 1)]
