@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.canonical import canonical_json
 from quire.functions.scratch import scratch_dir
-from quire.functions.text import nfkc, porter_stem, porter_step1, stemmed
+from quire.functions.text import folded_terms, nfkc, porter_stem, porter_step1, stemmed
 from quire.operators import answers as N
 from quire.operators import artifacts as AR
 from quire.operators import bundles as E
@@ -661,3 +661,9 @@ def test_outline_passes_candidates_one_by_one(spark):
     found = outline(b)
     assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
     assert sorted((r.version_id, r.p, r.level) for r in found.collect()) == [(1, 0, 1), (1, 1, 1), (1, 2, 1), (7, 0, 1)]
+
+
+def test_ascii_dictionary_needs_no_python(spark):
+    words = folded_terms(spark.createDataFrame([("a1",), ("b",)], "word string"), "word", False, True)
+    assert "Python" not in words._jdf.queryExecution().toString()
+    assert sorted(map(tuple, words.collect())) == [("a1", "a1", "a1"), ("b", "b", "b")]
