@@ -30,21 +30,32 @@ def fold(text: str | None) -> str:
     return _DROPPED.sub("", unicodedata.normalize("NFKC", text or "").lower())
 
 
+class _Folds(dict):
+    """What each character folds to, by code point, each worked out once; None for nothing."""
+
+    def __missing__(self, code: int) -> str | None:
+        self[code] = fold(chr(code)) or None
+        return self[code]
+
+
+_FOLDS = _Folds()
+
+
+def folded_places(parts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The part and the offset that each folded character of the parts comes from."""
+    sizes = [np.fromiter((len(_FOLDS[ord(c)] or "") for c in part or ""), np.int64, len(part or "")) for part in parts]
+    at = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    return np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at or [np.zeros(0, np.int64)])
+
+
 def folded_with_places(parts: list[str | None]) -> tuple[str, list[tuple[int, int]]]:
-    """The parts folded one behind the other, and the part and offset that each folded character comes from."""
-    out, places = [], []
-    for i, part in enumerate(parts):
-        for at, c in enumerate(part or ""):
-            f = fold(c)
-            if f:
-                out.append(f)
-                places += [(i, at)] * len(f)
-    return "".join(out), places
+    """The parts folded one behind the other, character by character, and the part and offset that each folded
+    character comes from."""
+    return "".join(part or "" for part in parts).translate(_FOLDS), [(int(p), int(a)) for p, a in zip(*folded_places(parts), strict=True)]
 
 
 def _folded(parts: list[str | None]) -> str:
-    whole = "".join(p or "" for p in parts)
-    return fold(whole) if whole.isascii() else folded_with_places(parts)[0]
+    return "".join(p or "" for p in parts).translate(_FOLDS)
 
 
 def key_hashes(text: str, sizes: set[int]) -> Iterator[tuple[int, np.ndarray]]:
@@ -108,8 +119,8 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for q in quotes:
                 at, found = text.find(q), []
                 while at >= 0:
-                    places = places or folded_with_places(parts)[1]
-                    (p0, a), (p1, z) = places[at], places[at + len(q) - 1]
+                    places = folded_places(parts) if places is None else places
+                    (p0, p1), (a, z) = (x[[at, at + len(q) - 1]].tolist() for x in places)
                     found.append((at, text[max(0, at - CONTEXT) : at], text[at + len(q) : at + len(q) + CONTEXT], p0, a, p1, z + 1))
                     at = text.find(q, at + 1)
                 if found:

@@ -1,9 +1,10 @@
-"""Work on texts of one file runs on all cores."""
+"""Work on texts of one file runs on all cores, and quotes fold each character once."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.operators import quotes as Q
 from quire.sources import adapters as A
 
 
@@ -31,3 +32,14 @@ def test_even_and_small_tables_stay_as_they_are_read(spark, tmp_path):
     assert A.spread(few, "doc_id") is few
     none = few.filter("doc_id < 0")
     assert A.spread(none, "doc_id").count() == 0
+
+
+def test_each_character_is_folded_once(monkeypatch):
+    calls, fold = [], Q.fold
+    monkeypatch.setattr(Q, "fold", lambda x: calls.append(x) or fold(x))
+    parts = ["Ǆé ﬁ-İ­" * 2000, None, " ½ q"]
+    text, places = Q.folded_with_places(parts)
+    assert len(calls) < 30
+    slow = [(fold(c), i, at) for i, part in enumerate(parts) for at, c in enumerate(part or "")]
+    assert text == "".join(f for f, _, _ in slow)
+    assert places == [(i, at) for f, i, at in slow for _ in f]
