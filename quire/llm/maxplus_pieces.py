@@ -13,6 +13,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,12 @@ OUT = "chunk int, start long, n_ids long, score double, ids binary, round_trip b
 _LOADED: dict[str, Pieces] = {}
 
 
+def _steps(node: dict) -> tuple[Callable, float | None]:
+    """A node of the trie as the lookup of its children by character, and the score of the piece that ends there."""
+    score = node.pop("", None)
+    return {c: _steps(child) for c, child in node.items()}.get, score
+
+
 class Pieces:
     """Pieces and scores of a model file with byte fallback. A character that is no piece costs the
     least score less 10 and becomes its bytes."""
@@ -47,12 +54,13 @@ class Pieces:
         self.text = {i: s for s, (_, i) in self.score.items()}
         self.of_byte = {i: b for b, i in enumerate(self.byte)}
         self.longest = max(map(len, self.score))
-        self.trie: dict = {}  # characters to nodes; the score of a piece that ends at a node under ""
+        trie: dict = {}
         for piece, (x, _) in self.score.items():
-            node = self.trie
+            node = trie
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = x
+        self.trie = _steps(trie)[0]
         self.unknown = min(s for s, _ in self.score.values()) - 10.0
         if any(re.search(f"[^{SPACE}]{SPACE}", s) for s in self.score):
             raise ValueError("pieces go on behind a space")
@@ -68,24 +76,25 @@ class Pieces:
     def forward(self, s: str, entry: int, inner: int) -> tuple[list[float], list[int]]:
         """Best score of each position from ``entry``, and where its last piece starts. Pieces start
         before ``inner``; the text behind it is only looked at. The longest of tied pieces wins."""
-        n, none, root, unknown = len(s), -np.inf, self.trie, self.unknown
+        n, none, root, unknown, longest = len(s), -np.inf, self.trie, self.unknown, self.longest
         best, back = [none] * (n + 1), [-1] * (n + 1)
         best[entry] = 0.0
         for i in range(entry, inner):
             at = best[i]
             if at == none:
                 continue
-            node, single = root, True
-            for j in range(i, n):
-                node = node.get(s[j])
-                if node is None:
+            step, single, j = root, True, i
+            for c in s[i : i + longest]:
+                found = step(c)
+                if found is None:
                     break
-                x = node.get("")
+                step, x = found
+                j += 1
                 if x is not None:
-                    if j == i:
+                    if j == i + 1:
                         single = False
-                    if at + x > best[j + 1]:
-                        best[j + 1], back[j + 1] = at + x, i
+                    if at + x > best[j]:
+                        best[j], back[j] = at + x, i
             if single and at + unknown > best[i + 1]:
                 best[i + 1], back[i + 1] = at + unknown, i
         return best, back
@@ -111,17 +120,24 @@ class Pieces:
         crosses. No piece crosses a place between two characters that are neighbours in none."""
         found = self.known.get(w)
         if found is None:
+            if self.pairs.issuperset(map(add, w, w[1:])):
+                return self.part(w)
             cuts = [i for i in range(1, len(w)) if w[i - 1 : i + 1] not in self.pairs]
-            if cuts:
-                parts = [self.word(w[a:b]) for a, b in zip([0, *cuts], [*cuts, len(w)], strict=True)]
-                found = b"".join(p[0] for p in parts), sum(p[1] for p in parts), all(p[2] for p in parts)
-            else:
-                ids, score = self.traced(w, 0, len(w), len(w))
-                found = array("I", ids).tobytes(), score, self.decode(ids) == w.replace(SPACE, " ")
-            if len(w) <= LONGEST:
-                if len(self.known) >= HELD:
-                    self.known.clear()
-                self.known[w] = found
+            edges = zip([0, *cuts], [*cuts, len(w)], strict=True)
+            parts = [self.known.get(w[a:b]) or self.part(w[a:b]) for a, b in edges]
+            found = self.keep(w, (b"".join([p[0] for p in parts]), sum([p[1] for p in parts]), all([p[2] for p in parts])))
+        return found
+
+    def part(self, w: str) -> tuple[bytes, float, bool]:
+        """``word`` of a text of which all neighbours stand side by side in some piece."""
+        ids, score = self.traced(w, 0, len(w), len(w))
+        return self.keep(w, (array("I", ids).tobytes(), score, self.decode(ids) == w.replace(SPACE, " ")))
+
+    def keep(self, w: str, found: tuple[bytes, float, bool]) -> tuple[bytes, float, bool]:
+        if len(w) <= LONGEST:
+            if len(self.known) >= HELD:
+                self.known.clear()
+            self.known[w] = found
         return found
 
     def words(self, s: str) -> tuple[bytes, float, bool]:
