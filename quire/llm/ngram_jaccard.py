@@ -5,7 +5,9 @@ threshold have at least need = ceil(threshold * size) tokens in common, so they
 the first ones of any order of all tokens. Three steps make use of that, each on what the last left:
 
 1. In the order of hashes a set and its partner share at least ``sure`` tokens of their prefixes. A
-   set of whose prefix fewer tokens occur in any other set has no partner and is done.
+   set of whose prefix fewer tokens occur in any other set has no partner and is done. A short prefix
+   of every set is looked at first, then a longer one of the sets that are left: chance alone leaves
+   ever more sets of a growing corpus after the short one.
 2. The whole sets of the others are counted token by token, exactly. Fewer than ``need`` tokens that
    occur in another of these sets: no partner.
 3. The tokens that do, the rarest first, give the extended prefix of size - need + 2 tokens, of which
@@ -17,7 +19,8 @@ Sizes, the places of a key in both prefixes and parity bits of both sets bound t
 the join on keys; what passes is checked on the whole sets of 64-bit hashes. Each document is first
 compared with the representative of its keys that has the fewest tokens of its own; only documents
 that are not in one component by then are compared with each other, so a group of near copies
-costs its size and not the square of it.
+costs its size and not the square of it. Steps 1 and 2 move each token once, by its hash, to count it
+and to tell its sets of it; what they put on disk does not depend on what Spark would broadcast.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_ids, scratch_of, small, spread_join, without_rows, written
 from .components import components
 
+#: Common tokens of the short and the long prefixes, in halves of the difference allowed.
+SHORT, LONG = 1, 4
 #: Sets in which a token occurs up to which it is rare.
 RARE = 8
 #: Tokens of an extended prefix up to which frequent tokens are indexed in pairs.
@@ -81,10 +86,10 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _sure(n: int, percent: int) -> int:
-    """Common tokens of two prefixes if the smaller set has n tokens: half of the difference allowed."""
+def _sure(n: int, percent: int, halves: int) -> int:
+    """Common tokens of two prefixes if the smaller set has n tokens, in halves of the difference allowed."""
     need = least_overlap(n, percent)
-    return min(need, max(min(2, need), n * (100 - percent) // 200))
+    return min(need, max(min(2, need), n * (100 - percent) * halves // 200))
 
 
 def _signature(s: np.ndarray) -> bytes:
@@ -92,8 +97,9 @@ def _signature(s: np.ndarray) -> bytes:
 
 
 def _indexing(k: int, percent: int) -> Callable:
-    """Size, signature and prefix in the order of hashes of each set; ``least`` is the number of
-    tokens of the prefix that any partner has in its own."""
+    """Size, signature and long prefix in the order of hashes of each set, of which the first ``short``
+    tokens are the short one; ``least`` is the number of tokens of each prefix that any partner has in
+    its own."""
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _pieces(batches):
@@ -101,9 +107,11 @@ def _indexing(k: int, percent: int) -> Callable:
             for s in shingle_sets(batch["text"], k):
                 n = len(s)
                 need = least_overlap(n, percent)
-                rows.append((_signature(s) if n else None, n, _sure(need, percent), s[: n - need + _sure(n, percent)].view(np.int64)))
-            sig, n, least, keys = zip(*rows, strict=True)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "text_hash": batch["text_hash"].to_numpy(), "sig": sig, "n": n, "least": least, "keys": keys})
+                short, long = (n - need + _sure(n, percent, x) for x in (SHORT, LONG))
+                rows.append((_signature(s) if n else None, n, short, _sure(need, percent, SHORT), _sure(need, percent, LONG), s[:long].view(np.int64)))
+            sig, n, short, least_short, least_long, keys = zip(*rows, strict=True)
+            ids = {"doc_id": batch["doc_id"].to_numpy(), "text_hash": batch["text_hash"].to_numpy()}
+            yield pd.DataFrame(ids | {"sig": sig, "n": n, "short": short, "least_short": least_short, "least_long": least_long, "keys": keys})
 
     return index
 
@@ -155,13 +163,21 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.filter(_overlaps(F.size(F.array_intersect("t_a", "t_b")), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
+def _meeting(full: DataFrame, length: Column, least: str) -> DataFrame:
+    """The rows of ``full`` of whose first ``length`` keys at least ``least`` occur in those of another set."""
+    posts = full.select("row", F.xxhash64("sig").alias("h"), F.explode(F.slice("keys", F.lit(1), length)).alias("key"))
+    by = Window.partitionBy("key")
+    shared = posts.select("row", F.min("h").over(by).alias("lo"), F.max("h").over(by).alias("hi")).filter("lo <> hi")
+    met = shared.groupBy("row").agg(F.count("*").alias("met"))
+    return full.select("row", "doc_id", "text_hash", least).join(met, "row").filter(F.col("met") >= F.col(least)).select("row", "doc_id", "text_hash")
+
+
 def _partners(full: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """Steps 1 and 2: the nodes that may have a partner, with their size n, parity bits and their
     tokens that occur in other ones, the rarest first."""
-    posts = full.select("doc_id", "text_hash", "least", F.xxhash64("sig").alias("h"), F.explode("keys").alias("key"))
-    shared = posts.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
-    met = posts.select("doc_id", "text_hash", "least", "key").join(written(shared, "jaccard-shared"), "key", "left_semi")
-    alive = written(met.groupBy("doc_id", "text_hash").agg(F.count("*").alias("met"), F.first("least").alias("least")).filter("met >= least").select("doc_id", "text_hash"), "jaccard-alive")
+    some = written(_meeting(full, F.col("short"), "least_short"), "jaccard-some")
+    left = full.join(small(some.select("row")), "row", "left_semi")
+    alive = written(_meeting(left, F.size("keys"), "least_long"), "jaccard-alive")
     same = nodes["rep.doc_id"].eqNullSafe(alive["doc_id"]) & (nodes["rep.text_hash"] == alive["text_hash"])
     reps = written(nodes.join(alive, same, "left_semi").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "node", "sig"), "jaccard-reps")
     rows = docs.join(small(reps), docs["doc_id"].eqNullSafe(F.col("rep_id")) & (F.xxhash64(docs["text"]) == F.col("rep_hash")))
@@ -169,8 +185,8 @@ def _partners(full: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percen
     if sets.count() > reps.count():  # repeated rows
         sets = written(sets.dropDuplicates(["node"]), "jaccard-sets")
     tokens = sets.select("node", F.explode("tokens").alias("key"))
-    counts = written(tokens.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "jaccard-counts")
-    ranked = tokens.join(counts, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ranked"))
+    counted = tokens.select("node", "key", F.count("*").over(Window.partitionBy("key")).alias("df")).filter("df > 1")
+    ranked = counted.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ranked"))
     n = sets.select("node", "bits", F.size("tokens").alias("n"))
     return n.join(ranked, "node").filter(100 * F.size("ranked") >= percent * F.col("n")).select("node", "n", "bits", F.col("ranked.key").alias("tokens"), F.col("ranked.df").alias("dfs"))
 
@@ -246,11 +262,11 @@ def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     if not 50 < percent <= 100:
         raise ValueError("the similarity is above 50 and at most 100 percent")
     docs = docs.select("doc_id", "text")
-    made = map_ids(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), _indexing(k, percent), "text_hash long, sig binary, n long, least int, keys array<long>")
-    index = written(made, "jaccard-index")
+    made = map_ids(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), _indexing(k, percent), "text_hash long, sig binary, n long, short int, least_short int, least_long int, keys array<long>")
+    # rows and nodes are numbered as they are written; all later reads see the same numbers
+    index = written(made.withColumn("row", F.monotonically_increasing_id()), "jaccard-index")
     full = index.filter("n > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    # numbered as they are written; all later reads see the same numbers
     nodes = written(full.groupBy("sig").agg(first.alias("rep"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     with scratch_of(docs.sparkSession, keep=1):
         may = written(_partners(full, docs, nodes, k, percent), "jaccard-may")
