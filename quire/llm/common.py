@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
@@ -99,13 +102,22 @@ def without_rows(docs: DataFrame, gone: DataFrame, again: DataFrame) -> DataFram
     return left.join(twice, key, "left_anti").unionByName(once)
 
 
-def map_ids(df: DataFrame, run: Callable, columns: str, *ids: str) -> DataFrame:
-    """``mapInPandas`` that carries the columns ``ids`` (doc_id if none is named) as text and gives them
+def slices(batch: pa.RecordBatch, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in their order, cut where the bytes of ``text`` pass a multiple of ``size``: what a worker
+    makes of the texts at once is bounded by that and the longest text, not by the rows of a batch."""
+    at = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype("int64")) // size
+    edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def map_ids(df: DataFrame, run: Callable, columns: str, *ids: str, arrow: bool = False) -> DataFrame:
+    """``mapInPandas`` (``mapInArrow`` if ``arrow``) that carries the columns ``ids`` (doc_id if none is named) as text and gives them
     their type back: pandas would make floats of whole numbers beside a null. ``columns`` is the schema of the others, which come after the ids."""
     ids = ids or ("doc_id",)
     kinds = {c: df.schema[c].dataType for c in ids}
     text = df.select([F.col(c).cast("string").alias(c) if c in kinds else F.col(c) for c in df.columns])
-    out = text.mapInPandas(run, ", ".join([*(f"{c} string" for c in ids), columns]))
+    out = (text.mapInArrow if arrow else text.mapInPandas)(run, ", ".join([*(f"{c} string" for c in ids), columns]))
     return out.select([F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in out.columns])
 
 

@@ -18,13 +18,13 @@ from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import batched
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_ids, written
+from .common import map_ids, slices, written
 
 CAPACITY, END_ID = 1024, 2
 SALTS = 64
@@ -39,12 +39,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def encoder(path: str, held: int = 800_000) -> Callable[[list[str]], list[bytes]]:
+def encoder(path: str, held: int = 250_000) -> Callable[[list[str]], list[bytes]]:
     """Ids of texts (little-endian, 32 bits each) under a byte-level BPE file of ``tokenizers``.
 
     Such a vocabulary splits before a space that a character other than white space follows, so
-    the ids of a text are those of its parts; parts are encoded once and remembered (``held`` of
-    them at most). A part of letters, or of letters and one mark, skips the pattern.
+    the ids of a text are those of its parts; parts are encoded once and remembered: those of the last
+    calls, and as soon as they are more than ``held``, those of the calls before until that happens again.
+    A part of letters, or of letters and one mark, skips the pattern.
     """
     if path in _TOKENIZERS:
         return _TOKENIZERS[path]
@@ -55,6 +56,7 @@ def encoder(path: str, held: int = 800_000) -> Callable[[list[str]], list[bytes]
     tokenizer.encode_special_tokens = True
     model, letters = tokenizer.model, _byte_letters()
     known: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}
     marks = {m: array("I", [t.id for t in model.tokenize(m)]).tobytes() for m in ".,;:!?"}
     spaces, spaced = (" \n", "  ", " \t", " \r", " \x0b", " \x0c", " \x1c", " \x1d", " \x1e", " \x1f"), re.compile(r" \s")
 
@@ -91,39 +93,41 @@ def encoder(path: str, held: int = 800_000) -> Callable[[list[str]], list[bytes]
                 known[p] = bare + marks[p[-1]]
             else:
                 slow.append(p)
-        for p, e in zip(slow, tokenizer.encode_batch_fast([p[1:] if p[0] == " " else " " + p for p in slow], add_special_tokens=False), strict=True):
-            known[p] = array("I", e.ids).tobytes()
+        for some in batched(slow, 4096):
+            for p, e in zip(some, tokenizer.encode_batch_fast([p[1:] if p[0] == " " else " " + p for p in some], add_special_tokens=False), strict=True):
+                known[p] = array("I", e.ids).tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
+        nonlocal known, before
         if len(known) > held:
-            known.clear()
+            known, before = {}, known
         split = [parts_of(t) for t in texts]
-        learn(set().union(*split).difference(known))
+        new = set().union(*split).difference(known)
+        again = new.intersection(before)
+        known.update((p, before[p]) for p in again)
+        learn(new - again)
         return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
     _TOKENIZERS[path] = encode
     return encode
 
 
-def _bounded(texts: pd.Series, chars: int = 2_000_000) -> Iterator[pd.Series]:
-    """The texts in their order, cut where they are long in sum."""
-    for _, some in texts.groupby(texts.str.len().cumsum().to_numpy() // chars, sort=False):
-        yield some
-
-
 def _cut(path: str, capacity: int, end_id: int) -> Callable:
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(path), array("I", [end_id]).tobytes()
         for batch in batches:
-            rows = []
-            encoded = chain.from_iterable(encode(list(some)) for some in _bounded(batch["text"].fillna("")))
-            for at, (ids, row) in enumerate(zip(encoded, batch["row"], strict=True)):
-                ids += array("I", [end_id]).tobytes()
-                n = len(ids) // 4
-                edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                rows += [(at, row, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
-            at, row, piece, start, length, crc = zip(*rows, strict=True) if rows else ((),) * 6
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[list(at)], "row": row, "piece": piece, "start": start, "length": length, "ids_crc32": crc}).astype({"doc_id": batch["doc_id"].dtype})
+            for some in slices(batch):
+                at, rows = array("q"), [array("q") for _ in range(4)]
+                for i, ids in enumerate(encode([t or "" for t in some.column("text").to_pylist()])):
+                    ids += end
+                    n = len(ids) // 4
+                    edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
+                    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                        at.append(i)
+                        for column, x in zip(rows, (k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])), strict=True):
+                            column.append(x)
+                ids_of = [some.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "row")]
+                yield pa.RecordBatch.from_arrays([*ids_of, *(pa.array(x, t) for x, t in zip(rows, (pa.int32(), *[pa.int64()] * 3), strict=True))], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
     return cut
 
@@ -252,7 +256,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("row"))
     salt = F.pmod(F.xxhash64("row", "piece"), F.lit(SALTS)).cast("int")
-    pieces = written(map_ids(rows, _cut(tokenizer, capacity, end_id), f"row long, {PIECES}").withColumn("salt", salt), "pack-pieces")
+    pieces = written(map_ids(rows, _cut(tokenizer, capacity, end_id), f"row long, {PIECES}", arrow=True).withColumn("salt", salt), "pack-pieces")
     counts = written(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")), "pack-counts")
     by_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     fixed, rest = reduced(by_length, capacity)

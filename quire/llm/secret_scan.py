@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 from operator import or_
 
 import pandas as pd
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_ids, written
+from .common import map_ids, slices, written
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -255,7 +256,7 @@ def mask_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ranks = learnt_ranks(docs)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             texts = [masked(t, threshold, ranks) for t in batch.column("text").to_pylist()]
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             columns["text"] = pa.array(texts, batch.schema.field("text").type)
