@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import repeat
 from operator import add
 
 import numpy as np
@@ -29,6 +30,8 @@ FAN = 16
 SPACE = "▁"
 #: Words of the vocabulary remembered with their segmentation, and the longest word that is.
 HELD, LONGEST = 600_000, 256
+#: Characters of the texts whose new words are segmented together, most words of one length at once, and fewest.
+TOGETHER, ROWS, FEW = 2_000_000, 8_192, 24
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 OUT = "chunk int, start long, n_ids long, score double, ids binary, round_trip boolean"
 _LOADED: dict[str, Pieces] = {}
@@ -60,12 +63,115 @@ class Pieces:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = x
-        self.trie = _steps(trie)[0]
         self.unknown = min(s for s, _ in self.score.values()) - 10.0
         if any(re.search(f"[^{SPACE}]{SPACE}", s) for s in self.score):
             raise ValueError("pieces go on behind a space")
         self.pairs = {s[i : i + 2] for s in self.score for i in range(len(s) - 1)}  # neighbours within a piece
         self.known: dict[str, tuple[bytes, float, bool]] = {}
+        self.table(trie)
+        self.trie = _steps(trie)[0]
+
+    def table(self, trie: dict) -> None:
+        """The trie as arrays, for many words at once: a child is found by its parent and its character,
+        as a number in the sorted characters of all pieces, among the sorted ``keys``."""
+        self.alphabet = np.array(sorted({ord(c) for piece in self.score for c in piece}), "<u4")
+        number = {chr(c): i for i, c in enumerate(self.alphabet.tolist())}
+        keys, children, scores, ids, todo = [], [], [-np.inf], [-1], [(0, trie, "")]
+        for parent, node, prefix in todo:
+            for c, child in node.items():
+                if c:
+                    keys.append(parent * len(number) + number[c])
+                    children.append(len(scores))
+                    x, i = self.score.get(prefix + c, (-np.inf, -1))
+                    scores.append(x)
+                    ids.append(i)
+                    todo.append((children[-1], child, prefix + c))
+        order = np.argsort(keys)
+        self.keys, self.children = np.array(keys, "int64")[order], np.array(children, "int64")[order]
+        self.node_score, self.node_id = np.array(scores), np.array(ids, "int64")
+
+        self.pair_keys = np.array([number[a] * len(number) + number[b] for a, b in self.pairs], "int64")
+
+    def numbers(self, s: str) -> np.ndarray:
+        """The number of each character in the alphabet of the pieces, -1 if it is in none."""
+        code = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4")
+        at = np.minimum(np.searchsorted(self.alphabet, code), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == code, at, -1)
+
+    def child(self, nodes: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``nodes`` have a child by their character (numbers, -1 if in no piece), and these children."""
+        key = np.where(chars < 0, -1, nodes * len(self.alphabet) + chars)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        found = np.flatnonzero(self.keys[at] == key)
+        return found, self.children[at[found]]
+
+    def columns(self, words: list[str]) -> Iterator[tuple[list[int] | None, float]]:
+        """Ids and score of words of one length, as ``traced`` gives them; no ids where a character is no piece.
+        The program of ``forward`` goes over all words at once: by place, then by length of the piece from there."""
+        n, size = len(words), len(words[0])
+        chars = self.numbers("".join(words)).reshape(n, size).T
+        best, back, piece = np.full((size + 1, n), -np.inf), np.zeros((size + 1, n), "int64"), np.full((size + 1, n), -1, "int64")
+        best[0] = 0.0
+        for i in range(size):
+            live, nodes = np.arange(n), np.zeros(n, "int64")
+            single = np.zeros(n, bool)
+            for j in range(i + 1, min(size, i + self.longest) + 1):
+                found, nodes = self.child(nodes, chars[j - 1][live])
+                live = live[found]
+                if not len(live):
+                    break
+                score = self.node_score[nodes]
+                if j == i + 1:
+                    single[live] = score > -np.inf
+                cost = best[i][live] + score
+                better = np.flatnonzero(cost > best[j][live])
+                to = live[better]
+                best[j, to], back[j, to], piece[j, to] = cost[better], i, self.node_id[nodes[better]]
+            to = np.flatnonzero(~single & (best[i] + self.unknown > best[i + 1]))
+            best[i + 1, to], back[i + 1, to], piece[i + 1, to] = best[i, to] + self.unknown, i, -1
+        ids, place, known = np.zeros((n, size), "int64"), np.full(n, size), np.ones(n, bool)
+        steps = np.zeros(n, "int64")
+        for k in range(size):
+            live = np.flatnonzero(place > 0)
+            if not len(live):
+                break
+            end = place[live]
+            ids[live, size - 1 - k] = piece[end, live]
+            known[live] &= piece[end, live] >= 0
+            place[live] = back[end, live]
+            steps[live] += 1
+        for row, k, whole, score in zip(ids.tolist(), steps.tolist(), known.tolist(), best[size].tolist(), strict=True):
+            yield row[size - k :] if whole else None, score
+
+    def learn(self, words: set[str]) -> None:
+        """Segment and remember those of ``words`` that are not known, all parts of one length together."""
+        known = self.known
+        if len(known) >= HELD:
+            known.clear()
+        new = [w for w in words.difference(known) if len(w) <= LONGEST]
+        if not new:
+            return
+        s = "".join(new)
+        chars, starts = self.numbers(s), np.cumsum([0, *map(len, new)])
+        cut = ~np.isin(np.where(np.minimum(chars[:-1], chars[1:]) < 0, -1, chars[:-1] * len(self.alphabet) + chars[1:]), self.pair_keys)
+        cut[starts[1:-1] - 1] = True
+        edges = [0, *(np.flatnonzero(cut) + 1).tolist(), len(s)]
+        parts = [s[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        by_size: dict[int, list[str]] = {}
+        for w in set(parts).difference(known):
+            by_size.setdefault(len(w), []).append(w)
+        for size, some in by_size.items():
+            for a in range(0, len(some), ROWS * 32 // max(32, size)):
+                part = some[a : a + ROWS * 32 // max(32, size)]
+                for w, (ids, score) in zip(part, self.columns(part) if len(part) >= FEW else repeat((None, 0.0)), strict=False):
+                    if ids is None:
+                        ids, score = self.traced(w, 0, size, size)
+                    known[w] = (array("I", ids).tobytes(), score, self.decode(ids) == w.replace(SPACE, " "))
+        first = np.searchsorted(edges, starts).tolist()
+        for w, a, b in zip(new, first[:-1], first[1:], strict=True):
+            if b - a > 1:
+                ids, scores, same = zip(*map(known.__getitem__, parts[a:b]), strict=True)
+                known[w] = (b"".join(ids), sum(scores), all(same))
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -142,9 +248,29 @@ class Pieces:
 
     def words(self, s: str) -> tuple[bytes, float, bool]:
         """Ids, score and round trip of an escaped text that starts and ends where no piece crosses."""
-        known = self.known
-        found = [known.get(w) or self.word(w) for w in WORDS.findall(s)]
-        return b"".join([f[0] for f in found]), sum([f[1] for f in found]), all([f[2] for f in found])
+        return self.joined(WORDS.findall(s))
+
+    def joined(self, words: list[str]) -> tuple[bytes, float, bool]:
+        try:
+            found = list(map(self.known.__getitem__, words))
+        except KeyError:  # a long one
+            found = [self.known.get(w) or self.word(w) for w in words]
+        ids, scores, same = zip(*found, strict=True) if found else ((), (), ())
+        return b"".join(ids), sum(scores), all(same)
+
+    def texts(self, texts: Iterable[str]) -> Iterator[tuple[bytes, float, bool]]:
+        """``words`` of each text; the new words of texts of TOGETHER characters in sum are segmented at once."""
+        some: list[list[str]] = []
+        size = 0
+        for s in texts:
+            some.append(WORDS.findall(s))
+            size += len(s)
+            if size >= TOGETHER:
+                self.learn(set().union(*some))
+                yield from map(self.joined, some)
+                some, size = [], 0
+        self.learn(set().union(*some))
+        yield from map(self.joined, some)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, spaces restored; bytes are joined before they are decoded."""
@@ -227,11 +353,8 @@ def _direct(path: str) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = Pieces.load(path)
         for batch in batches:
-            rows = []
-            for t in batch["text"]:
-                s = _escaped(t) if isinstance(t, str) and t else ""
-                ids, score, same = p.words(s)
-                rows.append((0, 0, len(ids) // 4, float(score), ids, same))
+            escaped = (_escaped(t) if isinstance(t, str) and t else "" for t in batch["text"])
+            rows = [(0, 0, len(ids) // 4, float(score), ids, same) for ids, score, same in p.texts(escaped)]
             yield pd.concat([batch.drop(columns="text").reset_index(drop=True), pd.DataFrame(rows, columns=["chunk", "start", "n_ids", "score", "ids", "round_trip"])], axis=1)
 
     return run
