@@ -34,3 +34,8 @@ def test_titles_of_texts_without_lines(spark, blank):
 def test_apply_metadata(spark, blank):
     want = TITLES | {4: "New", 10: "New"}
     assert sorted(rows(spark, blank, "apply_metadata", "paper_id", "title")) == sorted(want.items())
+
+
+def test_build_index(spark, blank):
+    want = [("and", 1, 1), ("art", 2, 2), ("b", 1, 2), ("of", 1, 1), ("small", 1, 1), ("the", 2, 2), ("with", 1, 1), ("word", 1, 1)]
+    assert sorted(rows(spark, blank, "build_index", "term", "docs", "tf")) == want
