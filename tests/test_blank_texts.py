@@ -39,3 +39,8 @@ def test_apply_metadata(spark, blank):
 def test_build_index(spark, blank):
     want = [("and", 1, 1), ("art", 2, 2), ("b", 1, 2), ("of", 1, 1), ("small", 1, 1), ("the", 2, 2), ("with", 1, 1), ("word", 1, 1)]
     assert sorted(rows(spark, blank, "build_index", "term", "docs", "tf")) == want
+
+
+def test_clean_titles(spark, blank):
+    want = {i: (t, False) for i, t in TITLES.items()} | {13: ("Of Art", True)}
+    assert {i: (t, c) for i, t, c in rows(spark, blank, "clean_titles", "paper_id", "title", "changed")} == want
