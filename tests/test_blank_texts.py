@@ -44,3 +44,8 @@ def test_build_index(spark, blank):
 def test_clean_titles(spark, blank):
     want = {i: (t, False) for i, t in TITLES.items()} | {13: ("Of Art", True)}
     assert {i: (t, c) for i, t, c in rows(spark, blank, "clean_titles", "paper_id", "title", "changed")} == want
+
+
+def test_highlight(spark, blank):
+    want = [(3, 1, True, "The"), (3, 2, False, "small word"), (3, 3, True, "and"), (5, 1, True, "The"), (5, 2, False, "art with"), (13, 1, False, "<b>Of Art</b>")]
+    assert sorted(rows(spark, blank, "highlight", "doc", "run", "match", "part")) == want
