@@ -49,3 +49,9 @@ def test_clean_titles(spark, blank):
 def test_highlight(spark, blank):
     want = [(3, 1, True, "The"), (3, 2, False, "small word"), (3, 3, True, "and"), (5, 1, True, "The"), (5, 2, False, "art with"), (13, 1, False, "<b>Of Art</b>")]
     assert sorted(rows(spark, blank, "highlight", "doc", "run", "match", "part")) == want
+
+
+def test_index_positions(spark, blank):
+    words = {3: ["the", "small", "word", "and"], 5: ["the", "art", "with"], 13: ["b", "of", "art", "b"]}
+    want = sorted((w, doc, len(ws), k) for doc, ws in words.items() for k, w in enumerate(ws))
+    assert sorted(rows(spark, blank, "index_positions", "term", "doc", "len", "pos")) == want
