@@ -55,3 +55,8 @@ def test_index_positions(spark, blank):
     words = {3: ["the", "small", "word", "and"], 5: ["the", "art", "with"], 13: ["b", "of", "art", "b"]}
     want = sorted((w, doc, len(ws), k) for doc, ws in words.items() for k, w in enumerate(ws))
     assert sorted(rows(spark, blank, "index_positions", "term", "doc", "len", "pos")) == want
+
+
+def test_index_terms(spark, blank):
+    want = [("and", 1), ("art", 2), ("b", 1), ("of", 1), ("small", 1), ("the", 2), ("with", 1), ("word", 1)]
+    assert sorted(rows(spark, blank, "index_terms", "word", "df")) == want
