@@ -60,3 +60,7 @@ def test_index_positions(spark, blank):
 def test_index_terms(spark, blank):
     want = [("and", 1), ("art", 2), ("b", 1), ("of", 1), ("small", 1), ("the", 2), ("with", 1), ("word", 1)]
     assert sorted(rows(spark, blank, "index_terms", "word", "df")) == want
+
+
+def test_list_papers(spark, blank):
+    assert rows(spark, blank, "list_papers", "paper_id", "title") == [(i, TITLES[i]) for i in (4, 13, 10, 7, 5, 3, 2, 1)]
