@@ -64,3 +64,8 @@ def test_index_terms(spark, blank):
 
 def test_list_papers(spark, blank):
     assert rows(spark, blank, "list_papers", "paper_id", "title") == [(i, TITLES[i]) for i in (4, 13, 10, 7, 5, 3, 2, 1)]
+
+
+def test_repair_titles(spark, blank):
+    want = TITLES | {0: "paper_final.pdf"}
+    assert sorted(rows(spark, blank, "repair_titles", "paper_id", "title")) == sorted(want.items())
