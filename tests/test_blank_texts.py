@@ -69,3 +69,7 @@ def test_list_papers(spark, blank):
 def test_repair_titles(spark, blank):
     want = TITLES | {0: "paper_final.pdf"}
     assert sorted(rows(spark, blank, "repair_titles", "paper_id", "title")) == sorted(want.items())
+
+
+def test_search_phrases(spark, blank):
+    assert rows(spark, blank, "search_phrases", "query_id", "rank", "doc") == [("a", 1, 3)]
