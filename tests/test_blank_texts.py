@@ -73,3 +73,7 @@ def test_repair_titles(spark, blank):
 
 def test_search_phrases(spark, blank):
     assert rows(spark, blank, "search_phrases", "query_id", "rank", "doc") == [("a", 1, 3)]
+
+
+def test_search_titles(spark, blank):
+    assert rows(spark, blank, "search_titles", "query_id", "rank", "doc") == [("q1", 1, 5)]
